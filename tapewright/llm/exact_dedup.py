@@ -19,11 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType, BooleanType
 
-from tapewright.llm.common import LOWERED, kept, table
+from tapewright.llm.common import LOWERED, kept, placed, table
 
 HASHES = 4
 BITS_A_ROW = 16
@@ -117,18 +116,8 @@ def _tester(spark, array: np.ndarray, bits: int):
     return possibly
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """doc (all columns of docs) and place (file name, row in it); docs that are not read from Parquet are written first."""
-    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")).alias("place")
-    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
-    try:
-        return docs.select(doc, place)
-    except AnalysisException:  # no such metadata: any other source than Parquet
-        return kept(docs, "docs").select(doc, place)
-
-
-def _digested(placed: DataFrame) -> DataFrame:
-    return kept(placed.select(F.col("doc.doc_id").alias("doc_id"), "place", digests("doc.text").alias("digest")), "digests")
+def _digested(rows: DataFrame) -> DataFrame:
+    return kept(rows.select(F.col("doc.doc_id").alias("doc_id"), "place", digests("doc.text").alias("digest")), "digests")
 
 
 def _groups(digested: DataFrame, possibly) -> DataFrame:
@@ -139,7 +128,7 @@ def _groups(digested: DataFrame, possibly) -> DataFrame:
 
 def decisions(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    digested = _digested(_placed(docs))
+    digested = _digested(placed(docs))
     possibly = _tester(docs.sparkSession, *repeated_filter(digested))
     groups = _groups(digested, possibly)
     tested = digested.withColumn("again", possibly("digest"))
@@ -153,15 +142,15 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their columns. Texts that cannot be repeated are not shuffled."""
-    placed = _placed(docs)
-    digested = _digested(placed)
+    rows = placed(docs)
+    digested = _digested(rows)
     possibly = _tester(docs.sparkSession, *repeated_filter(digested))
     gone = kept(
         digested.where(possibly("digest")).join(_groups(digested, possibly).where("group_size > 1"), "digest")
         .where(~F.struct("doc_id", "place").eqNullSafe(F.col("keep"))).select(F.col("place").alias("gone")),
         "gone",
     )
-    tested = placed.withColumn("again", possibly(digests("doc.text")))
+    tested = rows.withColumn("again", possibly(digests("doc.text")))
     one = tested.where(~F.col("again")).select("doc.*")
     more = tested.where("again").join(gone, F.col("place") == F.col("gone"), "left_anti").select("doc.*")
     return one.unionByName(more)

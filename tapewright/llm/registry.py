@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapewright.llm import bpe, exact_dedup
+from tapewright.llm import bpe, decontaminate, exact_dedup
 
-_ALL = (bpe, exact_dedup)
+_ALL = (bpe, decontaminate, exact_dedup)
 
 QUERIES = {m.QUERY: m.query for m in _ALL}
 ORACLE_SQL = {m.QUERY: m.SQL for m in _ALL if getattr(m, "SQL", None)}
