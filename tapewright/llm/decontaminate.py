@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapewright.llm.common import LOWERED, U64, Roller, kept, placed, runs, shingled, slices, table, utf8
+from tapewright.llm.filters import key_filter, known, opened
 
 WINDOW, SHINGLE = 10, 5
-FILTER_BITS = 1 << 24
 STRETCH_WORDS = 2000  # a longer stretch is dealt out in overlapping parts
 
 _WORD = np.zeros(256, bool)
@@ -67,40 +67,6 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"item_id": pa.array(out["item_id"], b.schema.field(0).type), "words": pa.array(out["words"], pa.string()), "n": pa.array(out["n"], pa.int32()), "shingles": pa.array(out["shingles"], pa.list_(pa.int64()))})
 
 
-def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h & U64(FILTER_BITS - 1)).astype(np.int64), ((h >> U64(32)) & U64(FILTER_BITS - 1)).astype(np.int64)
-
-
-def shingle_filter(windows: DataFrame) -> bytes:
-    """A two-hash bit filter of FILTER_BITS over the windows' shingles, whatever their number."""
-
-    def packed(held: dict[int, np.ndarray]):
-        for k, x in held.items():
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "bits": [x.tobytes()]})
-
-    def fill(batches):
-        held = np.zeros(FILTER_BITS, bool)
-        for b in batches:
-            for p in _bits(np.asarray(b.column(0)).view(np.uint64)):
-                held[p] = True
-        rows = np.packbits(held).reshape(-1, 4096)
-        yield from packed({k: rows[k] for k in np.flatnonzero(rows.any(axis=1)).tolist()})
-
-    def merge(batches):
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(bits, np.uint8)
-                held[k] = held[k] | x if k in held else x
-        yield from packed(held)
-
-    parts = windows.select(F.explode("shingles").alias("h")).mapInArrow(fill, "k int, bits binary")
-    out = np.zeros((FILTER_BITS >> 15, 4096), np.uint8)
-    for r in parts.repartition("k").mapInArrow(merge, "k int, bits binary").toLocalIterator():
-        out[r.k] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out.tobytes()
-
-
 STRETCHES = "array<struct<size: int, first: bigint, words: array<string>, shingles: array<bigint>>>"
 
 
@@ -112,7 +78,7 @@ def _stretches(sent, least: dict[int, int]):
     kind = pa.list_(pa.struct([("size", pa.int32()), ("first", pa.int64()), ("words", pa.list_(pa.string())), ("shingles", pa.list_(pa.int64()))]))
 
     def run(batches):
-        known = np.unpackbits(np.frombuffer(sent.value, np.uint8)).view(bool)
+        held = opened(sent.value)
         for whole in batches:
             _, sizes = utf8(whole.column(2))
             for x, y in slices(sizes):
@@ -121,8 +87,7 @@ def _stretches(sent, least: dict[int, int]):
                 found: list[list[dict]] = [[] for _ in range(b.num_rows)]
                 for k, fewest in least.items():
                     h, bounds = shingled(w.hashes, w.bounds, k)
-                    p, q = _bits(h)
-                    s, e = runs(known[p] & known[q], bounds)
+                    s, e = runs(known(held, h), bounds)
                     ok = e - s >= fewest
                     s, e = s[ok], e[ok]
                     row = np.searchsorted(bounds, s, "right") - 1
@@ -143,7 +108,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     windows = kept(items.mapInArrow(_windows, "item_id string, words string, n int, shingles array<bigint>"), "windows")
     fewest = windows.groupBy(F.least(F.lit(SHINGLE), "n").alias("k")).agg(F.min(F.size("shingles")).alias("least")).collect()  # SHINGLE rows at most
-    sent = spark.sparkContext.broadcast(shingle_filter(windows))
+    sent = spark.sparkContext.broadcast(key_filter(windows.select(F.explode("shingles"))))
     rows = placed(docs)
     place = rows.schema["place"].dataType.simpleString()
     base = kept(
