@@ -157,3 +157,26 @@ def shingled(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     row = np.repeat(np.arange(len(counts)), counts)
     at = np.arange(int(out[-1])) - out[row] + bounds[row]
     return mixed(h[at]), out
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of at most `most` labelled rows that are not held out, those of the least hash of their id."""
+    known = labels.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
+    few = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").limit(most).collect()  # `most` rows of two numbers are sent
+    return [r.text or "" for r in rows], np.array([r.label for r in rows], np.int64)
+
+
+def text_batches(batches, at: int):
+    """The batches, cut so that each has about 2 MB of text in column `at`."""
+    for whole in batches:
+        _, sizes = utf8(whole.column(at))
+        for x, y in slices(sizes):
+            yield whole.slice(x, y - x)
+
+
+def code_points(raw: np.ndarray) -> np.ndarray:
+    """The number of code points that begin before each byte position, the end included."""
+    out = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((raw & 0xC0) != 0x80, out=out[1:])
+    return out

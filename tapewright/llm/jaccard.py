@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import LOWERED, U64, Roller, kept, mixed, placed, runs, shingled, slices, table, utf8
+from tapewright.llm.common import LOWERED, U64, Roller, kept, mixed, placed, runs, shingled, table, text_batches, utf8
 from tapewright.llm.components import components
 from tapewright.llm.filters import key_filter, possibly
 
@@ -56,20 +56,13 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def _texts(batches, at: int):
-    for whole in batches:
-        _, sizes = utf8(whole.column(at))
-        for x, y in slices(sizes):
-            yield whole.slice(x, y - x)
-
-
 def _classes(k: int):
     """place, doc_id, text -> the size and a 128-bit fingerprint of each set; at the end the task's share of the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         kinds = None
-        for b in _texts(batches, 2):
+        for b in text_batches(batches, 2):
             kinds = b.schema
             sets = shingle_sets(b.column(2), k)
             if any(map(len, sets)):
@@ -116,7 +109,7 @@ def _prefixes(k: int, per_cent: int, sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = sent.value
-        for b in _texts(batches, 1):
+        for b in text_batches(batches, 1):
             out = []
             for s in shingle_sets(b.column(1), k):
                 n = len(s)
@@ -130,7 +123,7 @@ def _prefixes(k: int, per_cent: int, sent):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _texts(batches, 1):
+        for b in text_batches(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), k)], pa.binary())], ["place", "shingles"])
 
     return run
