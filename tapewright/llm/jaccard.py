@@ -6,8 +6,8 @@
    Prefix shingles of two or more classes form buckets. In each, first every member is paired with the bucket's least
    member; links found so join most of a group of copies without making all its pairs. Then pairs of members that
    are not in one component yet are made, so no link between components is lost.
-3. A pair must pass the length filter and the positional filter, is made distinct, then the suffix filter, and is verified
-   once, on the whole sets.
+3. A pair must pass the length filter, the positional filter and a bound on what its prefixes share; it is made distinct,
+   must pass the suffix filter, and is verified once, on the whole sets.
 
 Words: A-Z lowered, runs of other than blank, tab, line feed, vertical tab, form feed, carriage return. A text of fewer than
 k words is one shingle. Null and empty texts have no shingles and link with nothing. Rows with equal doc_id are rows of
@@ -28,7 +28,7 @@ from tapewright.llm.common import LOWERED, U64, Roller, kept, mixed, placed, run
 from tapewright.llm.components import components
 from tapewright.llm.filters import key_filter, possibly
 
-COUNTERS = 1 << 20
+COUNTERS = 1 << 21
 PART = 1 << 13
 
 _WORD = np.ones(256, bool)
@@ -96,12 +96,13 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rarity(counts: DataFrame) -> np.ndarray:
-    """The level of each counter, 0 for the rare: steps of a quarter power of two above the mean. COUNTERS bytes."""
+    """The level of each counter: 0 up to three standard deviations above the mean, then by the logarithm. COUNTERS bytes."""
     out = np.zeros((COUNTERS // PART, PART))
     for r in counts.repartition("slice").mapInArrow(_summed, "slice int, counts binary").toLocalIterator():
         out[r.slice] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
-    mean = max(1.0, out.mean())
-    return np.clip(4 * np.log2(np.maximum(out.ravel() / mean, 1)), 0, 255).astype(np.uint8)
+    flat = out.ravel()
+    spread = np.sqrt(max(1.0, flat.mean()))  # of counters that hold rare shingles only
+    return np.clip(1 + 4 * np.log2(np.maximum((flat - flat.mean()) / (3 * spread), 0.5)), 0, 255).astype(np.uint8)
 
 
 def _prefixes(k: int, per_cent: int, sent):
@@ -121,14 +122,6 @@ def _prefixes(k: int, per_cent: int, sent):
     return run
 
 
-def _sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_batches(batches, 1):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), k)], pa.binary())], ["place", "shingles"])
-
-    return run
-
-
 def similar(x: np.ndarray, y: np.ndarray, per_cent: int) -> bool:
     """100 * intersection >= per_cent * union, for sorted sets; the suffix filter comes first."""
     need = -(-per_cent * (len(x) + len(y)) // (100 + per_cent))
@@ -142,12 +135,19 @@ def similar(x: np.ndarray, y: np.ndarray, per_cent: int) -> bool:
     return len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
-def _verified(per_cent: int):
+def _verified(k: int, per_cent: int):
+    """a, b, text of a, text of b -> the pairs that link. Rows lie by a, so a's set is mostly at hand."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = ([np.frombuffer(v, np.uint64) for v in b.column(i).to_pylist()] for i in (2, 3))
-            keep = pa.array([similar(x, y, per_cent) for x, y in zip(*sets, strict=True)], pa.bool_())
-            yield b.select([0, 1]).filter(keep)
+        last, x = None, None
+        for b in text_batches(batches, 3):
+            keep = []
+            texts = b.column(2)
+            for i, (a, y) in enumerate(zip(b.column(0).to_pylist(), shingle_sets(b.column(3), k), strict=True)):
+                if a != last:
+                    last, x = a, shingle_sets(texts.slice(i, 1), k)[0]
+                keep.append(similar(x, y, per_cent))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -172,37 +172,46 @@ class Join:
         classes = self.rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("place").alias("place"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("least"))
         self.classes = kept(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
         prefixes = kept(self.texts.mapInArrow(_prefixes(k, per_cent, level), f"place {place}, prefix array<bigint>"), "prefixes")
-        self.tokens = prefixes.join(self.classes.select("place", "class", "n"), "place").select("class", "n", F.posexplode("prefix").alias("pos", "h"))
+        self.tokens = prefixes.join(self.classes.select("place", "class", F.col("n").cast("int").alias("n")), "place").select("class", "n", F.posexplode("prefix").alias("pos", "h"))
 
     def links(self) -> DataFrame:
-        tokens = self.tokens
-        buckets = kept(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("class", "n", "pos")).alias("m")).where("members > 1"), "buckets")
+        buckets = kept(self.tokens.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("class", "n", "pos")).alias("m")).where("members > 1"), "buckets")
+        tokens = possibly(self.tokens, key_filter(buckets.select("h")), F.col("h"))
         shared = kept(tokens.join(buckets.select("h", "m"), "h"), "shared")
-        stars = shared.where(F.col("class") != F.col("m.class"))
-        first = kept(self._verify(stars.select(F.col("m.class").alias("a"), F.col("class").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb"), F.col("m.pos").alias("pa"), F.col("pos").alias("pb"))), "stars")
+        stars = shared.where(F.col("class") != F.col("m.class")).select(F.col("m.class").alias("a"), F.col("class").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb"), F.col("m.pos").alias("pa"), F.col("pos").alias("pb"))
+        first = kept(self._verify(self._pairs(stars, 2)), "stars")  # a pair is seen in some of its buckets only: half will do
         roots = components(first)
-        part = shared.join(roots, F.col("class") == F.col("node"), "left").select("h", "class", "n", "pos", F.coalesce("root", "class").alias("root"))
-        part = kept(part, "parted")
+        part = kept(shared.join(roots, F.col("class") == F.col("node"), "left").select("h", "class", "n", "pos", F.coalesce("root", "class").alias("root")), "parted")
         open_ = kept(part.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("h"), "open")
         left = kept(part.join(open_, "h", "left_semi"), "open_members")
         x, y = (left.select("h", *(F.col(c).alias(f"{c}{s}") for c in ("class", "n", "pos", "root"))) for s in "ab")
-        pairs = x.join(y, "h").where("classa < classb and roota <> rootb")
-        second = self._verify(pairs.select(F.col("classa").alias("a"), F.col("classb").alias("b"), F.col("na"), F.col("nb"), F.col("posa").alias("pa"), F.col("posb").alias("pb")))
-        return first.union(second)
+        pairs = x.join(y, "h").where("classa < classb and roota <> rootb").select(F.col("classa").alias("a"), F.col("classb").alias("b"), "na", "nb", F.col("posa").alias("pa"), F.col("posb").alias("pb"))
+        return first.union(self._verify(self._pairs(pairs, 1)))
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
+    def _pairs(self, met: DataFrame, share: int) -> DataFrame:
+        """a, b of the pairs that may link, from a row for each prefix shingle that two classes share.
+
+        Length: 100 least >= t greatest. Positional: from the first shared shingle on, enough of both sets must be left.
+        Prefix overlap: shingles shared outside the prefixes are at most those that lie behind them in the set whose prefix
+        ends first, so the prefixes must share the rest (or 1/share of it, where some of their meetings are not in `met`).
+        """
         t = self.per_cent
-        long = 100 * F.least("na", "nb") >= t * F.greatest("na", "nb")
-        ahead = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-        pairs = kept(pairs.where(long & ((100 + t) * ahead >= t * (F.col("na") + F.col("nb")))).select("a", "b").distinct(), "pairs")
+        need = F.ceil(t * (F.col("na") + F.col("nb")) / (100 + t))
+        behind = F.greatest(F.ceil(t * F.col("na") / 100), F.ceil(t * F.col("nb") / 100)) - 1
+        left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+        long = met.where(100 * F.least("na", "nb") >= t * F.greatest("na", "nb"))
+        pairs = long.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met"), F.max(left).alias("left"))
+        return pairs.where((share * F.col("met") >= need - behind) & (F.col("left") >= need)).select("a", "b")
+
+    def _verify(self, pairs: DataFrame) -> DataFrame:
+        pairs = kept(pairs, "pairs")
         wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(self.classes.select("class", "place"), "class")
         wanted = kept(wanted, "wanted")
         key = F.xxhash64("place")
-        texts = possibly(self.texts, key_filter(wanted.select(key)), key).join(wanted, "place").select("place", "text", "class")
-        sets = texts.select(F.col("class").alias("place"), "text").mapInArrow(_sets(self.k), "place bigint, shingles binary")
-        sets = kept(sets, "candidate_sets")
-        a, b = (sets.select(F.col("place").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_verified(t), "a bigint, b bigint")
+        texts = kept(possibly(self.texts, key_filter(wanted.select(key)), key).join(wanted, "place").select("class", "text"), "candidates")
+        mine = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
+        both = mine.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+        return both.mapInArrow(_verified(self.k, self.per_cent), "a bigint, b bigint")
 
     def grouped(self) -> DataFrame:
         """For each row: place, doc_id, n_shingles, component_id, and whether it is the one of its component that stays."""
