@@ -20,11 +20,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, survives the loss of executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -32,14 +32,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def placed(docs: DataFrame) -> DataFrame:
-    """doc (all columns of docs) and place (file name, row in it); docs that are not read from Parquet are written first."""
-    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")).alias("place")
-    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+def on_files(docs: DataFrame) -> DataFrame:
+    """docs as they are if they are read from Parquet files, where each row has a place; else written first."""
     try:
-        return docs.select(doc, place)
-    except AnalysisException:  # no such metadata: any other source than Parquet
-        return kept(docs, "docs").select(doc, place)
+        docs.select("_metadata.row_index")
+        return docs
+    except AnalysisException:
+        return kept(docs, "docs")
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """doc (all columns of docs) and place (hash of the file's path, row in it) of docs that lie on files."""
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("place")
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), place)
 
 
 def lower_ascii(c: Column) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import LOWERED, U64, Roller, kept, placed, runs, shingled, slices, table, utf8
+from tapewright.llm.common import LOWERED, U64, Roller, kept, on_files, placed, runs, shingled, slices, table, utf8
 from tapewright.llm.filters import key_filter, known, opened
 
 WINDOW, SHINGLE = 10, 5
@@ -104,7 +104,7 @@ def _stretches(sent, least: dict[int, int]):
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """For each row of docs: place, doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, on_files(docs)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     windows = kept(items.mapInArrow(_windows, "item_id string, words string, n int, shingles array<bigint>"), "windows")
     fewest = windows.groupBy(F.least(F.lit(SHINGLE), "n").alias("k")).agg(F.min(F.size("shingles")).alias("least")).collect()  # SHINGLE rows at most
@@ -173,6 +173,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without any window of the benchmark, with their columns."""
+    docs = on_files(docs)
     gone = kept(contamination(docs, benchmark).where("contaminated").select(F.col("place").alias("gone")), "contaminated")
     return placed(docs).join(gone, F.col("place") == F.col("gone"), "left_anti").select("doc.*")
 

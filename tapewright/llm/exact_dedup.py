@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType, BooleanType
 
-from tapewright.llm.common import LOWERED, kept, placed, table
+from tapewright.llm.common import LOWERED, kept, on_files, placed, table
 
 HASHES = 4
 BITS_A_ROW = 16
@@ -128,7 +128,7 @@ def _groups(digested: DataFrame, possibly) -> DataFrame:
 
 def decisions(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    digested = _digested(placed(docs))
+    digested = _digested(placed(on_files(docs)))
     possibly = _tester(docs.sparkSession, *repeated_filter(digested))
     groups = _groups(digested, possibly)
     tested = digested.withColumn("again", possibly("digest"))
@@ -142,7 +142,7 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their columns. Texts that cannot be repeated are not shuffled."""
-    rows = placed(docs)
+    rows = placed(on_files(docs))
     digested = _digested(rows)
     possibly = _tester(docs.sparkSession, *repeated_filter(digested))
     gone = kept(

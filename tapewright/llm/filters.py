@@ -59,8 +59,7 @@ def known(held: np.ndarray, h: np.ndarray) -> np.ndarray:
     return held[p] & held[q]
 
 
-def possibly(df: DataFrame, bits: bytes, key: Column) -> DataFrame:
-    """The rows of df whose key may be in the filter."""
+def _tester(df: DataFrame, bits: bytes):
     sent = df.sparkSession.sparkContext.broadcast(np.frombuffer(bits, np.uint8))
 
     @arrow_udf(BooleanType())
@@ -70,4 +69,15 @@ def possibly(df: DataFrame, bits: bytes, key: Column) -> DataFrame:
         # packbits puts the first bit highest
         return pa.array(((held[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & (held[q >> 3] >> (7 - (q & 7)).astype(np.uint8)) & 1).astype(bool))
 
-    return df.where(test(key))
+    return test
+
+
+def possibly(df: DataFrame, bits: bytes, key: Column) -> DataFrame:
+    """The rows of df whose key may be in the filter."""
+    return df.where(_tester(df, bits)(key))
+
+
+def split_possibly(df: DataFrame, bits: bytes, key: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key may be in the filter, and the others."""
+    test = _tester(df, bits)
+    return df.where(test(key)), df.where(~test(key))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import LOWERED, U64, Roller, kept, mixed, placed, runs, shingled, table, text_batches, utf8
+from tapewright.llm.common import LOWERED, U64, Roller, kept, mixed, on_files, placed, runs, shingled, table, text_batches, utf8
 from tapewright.llm.components import components
 from tapewright.llm.filters import key_filter, possibly
 
@@ -158,7 +158,7 @@ class Join:
     def __init__(self, docs: DataFrame, k: int, per_cent: int):
         self.k, self.per_cent = k, per_cent
         self.spark = docs.sparkSession
-        rows = placed(docs)
+        rows = placed(on_files(docs))
         place = rows.schema["place"].dataType.simpleString()
         doc_id = rows.schema["doc"].dataType["doc_id"].dataType.simpleString()
         self.texts = rows.select("place", F.col("doc.text").alias("text"))
@@ -231,6 +231,7 @@ def near_groups(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
 
 def deduplicated(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
     """The rows of docs that stay: of each group of linked documents the one with the least doc_id. Columns are kept."""
+    docs = on_files(docs)
     gone = kept(near_groups(docs, k, per_cent).where("not stays").select(F.col("place").alias("gone")), "gone")
     return placed(docs).join(gone, F.col("place") == F.col("gone"), "left_anti").select("doc.*")
 

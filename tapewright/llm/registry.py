@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapewright.llm import bpe, chat, decontaminate, exact_dedup, jaccard, pii, quality, toxicity, warc
+from tapewright.llm import bpe, chat, decontaminate, exact_dedup, jaccard, pii, quality, repeats, toxicity, warc
 
-_ALL = (bpe, chat, decontaminate, exact_dedup, jaccard, pii, quality, toxicity, warc)
+_ALL = (bpe, chat, decontaminate, exact_dedup, jaccard, pii, quality, repeats, toxicity, warc)
 
 QUERIES = {m.QUERY: m.query for m in _ALL}
 ORACLE_SQL = {m.QUERY: m.SQL for m in _ALL if getattr(m, "SQL", None)}
