@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tapewright.plans import backtest
+
+_ALL = (backtest,)
+
+QUERIES: dict = {k: v for m in _ALL for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in _ALL for k, v in m.ORACLE_SQL.items()}
