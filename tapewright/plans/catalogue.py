@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapewright.plans import backtest, book
+from tapewright.plans import backtest, book, ops, research
 
-_ALL = (backtest, book)
+_ALL = (backtest, book, research, ops)
 
 QUERIES: dict = {k: v for m in _ALL for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _ALL for k, v in m.ORACLE_SQL.items()}
