@@ -84,7 +84,7 @@ _VALID = _LABEL + """, seg as (select epoch, sid, ticker, arrival as segment, ne
 v as (select seg.*, (select min(arrival) from c where c.epoch = seg.epoch and c.sid = seg.sid and seq_class = 'Gap' and kind <> 'snapshot' and arrival > segment) as gap from seg),
 val as (select sid, ticker, segment, least(nxt, neg, gap) as "end", case when least(nxt, neg, gap) is null then 'open' when least(nxt, neg, gap) = neg then 'negative_level' when least(nxt, neg, gap) = gap then 'sid_gap' else 'next_snapshot' end as reason from v)
 """
-_LEVELS = _VALID + """, fin as (select sid, ticker, max(segment) as segment, arg_max(reason, segment) = 'open' as valid from val group by sid, ticker),
+LEVELS = _VALID + """, fin as (select sid, ticker, max(segment) as segment, arg_max(reason, segment) = 'open' as valid from val group by sid, ticker),
 lv as (select lab.sid, lab.ticker, valid, side, price_cents, cast(sum(d) as bigint) as size from lab join fin using (sid, ticker, segment) where label in ('snapshot', 'applied') group by all having sum(d) <> 0)
 """
 
@@ -92,11 +92,11 @@ QUERIES = {f.__name__: f for f in (seq_class, seq_gap_report, book_levels, book_
 ORACLE_SQL = {
     "seq_class": with_views("frames", _CLASS + "select arrival, sid, seq, seq_class from c"),
     "seq_gap_report": with_views("frames", _CLASS + "select cast(cast(ts as date) as varchar) as day, count(*) filter (seq_class = 'Gap') as gap_events, cast(cast(coalesce(sum(seq - m - 1) filter (seq_class = 'Gap'), 0) as bigint) as varchar) as missed, count(*) filter (seq_class = 'Stale') as regressions, count(distinct sid) filter (seq_class = 'Gap') as sids_with_gaps from c group by 1"),
-    "book_levels": with_views("frames", _LEVELS + "select * from lv"),
+    "book_levels": with_views("frames", LEVELS + "select * from lv"),
     "book_validity": with_views("frames", _VALID + "select * from val"),
     "book_drop_counts": with_views("frames", _LABEL + "select label, count(*) as n from lab group by label"),
-    "book_depth": with_views("frames", _LEVELS + "select * from (select sid, ticker, side, price_cents, size, row_number() over (partition by sid, ticker, side order by price_cents) as rank from lv) where rank <= 3"),
-    "replay_equivalence": with_views("frames", _LEVELS + "select count(distinct (sid, ticker)) as books, 0 as differ from lv"),
+    "book_depth": with_views("frames", LEVELS + "select * from (select sid, ticker, side, price_cents, size, row_number() over (partition by sid, ticker, side order by price_cents) as rank from lv) where rank <= 3"),
+    "replay_equivalence": with_views("frames", LEVELS + "select count(distinct (sid, ticker)) as books, 0 as differ from lv"),
     "gap_recovery": with_views("frames", _CLASS + f""", w as (select g.sid, m.ticker, g.arrival, date_diff('microsecond', g.ts, (select arg_min(ts, arrival) from frames s where s.kind = 'snapshot' and s.sid = m.sid and s.ticker = m.ticker and s.arrival > g.arrival)) // 1000000 as wait_s
   from c g join (select distinct sid, ticker from frames where kind = 'snapshot') m on g.sid = m.sid where g.seq_class = 'Gap' and g.kind <> 'snapshot')
 select sid, cast(coalesce(least(wait_s // {RUNG_SECONDS}, 3), 3) as int) as rung, count(*) as n, count(wait_s) as recovered, cast(sum(wait_s) as bigint) as wait_s from w group by 1, 2"""),
