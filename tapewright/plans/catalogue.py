@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapewright.plans import backtest, book, ops, research, signals
+from tapewright.plans import backtest, book, capture, ops, research, signals
 
-_ALL = (backtest, book, research, ops, signals)
+_ALL = (backtest, book, research, ops, signals, capture)
 
 QUERIES: dict = {k: v for m in _ALL for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _ALL for k, v in m.ORACLE_SQL.items()}

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written below spark.checkpoint.dir and read again; a local folder only where that is unset, as in tests."""
-    spark = df.sparkSession
+def place(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir; in a local folder only where that is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new place and read again."""
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
