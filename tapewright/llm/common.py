@@ -172,11 +172,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple
     return [r.text or "" for r in rows], np.array([r.label for r in rows], np.int64)
 
 
-def text_batches(batches, at: int):
-    """The batches, cut so that each has about 2 MB of text in column `at`."""
+def text_batches(batches, at: int, most: int = 1 << 21):
+    """The batches, cut so that each has about `most` bytes of text in column `at`."""
     for whole in batches:
         _, sizes = utf8(whole.column(at))
-        for x, y in slices(sizes):
+        for x, y in slices(sizes, most):
             yield whole.slice(x, y - x)
 
 

@@ -34,7 +34,7 @@ from tapewright.llm.filters import key_filter, known, opened, possibly, split_po
 LENGTH = 200
 GRAM = 100
 REACH = LENGTH - GRAM  # bytes before an anchor that a window can cover
-PIECE = 1 << 22
+PIECE = 1 << 20
 SHARED_BY_MANY = 2048  # classes
 
 
@@ -73,7 +73,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], at: int):
 
     lead: None, or the bytes at the front of a piece that belong to the piece before it.
     """
-    for b in text_batches(batches, at):
+    for b in text_batches(batches, at, PIECE // 2):
         raw, offsets = utf8(b.column(at))
         if len(raw) <= 2 * PIECE:
             yield b, 0, raw, offsets, None
