@@ -11,7 +11,7 @@ many times the input, so it is made only where it can matter:
    bytes, which groups exactly the suffixes with a common prefix of that length). In that order the previous and the next
    smaller position give the longest previous factor; here only whether it reaches LENGTH counts. A later copy has a
    previous one; the first copy is the previous one of another, and the contract judges all copies alike. Windows of an
-   anchor that very many classes share are grouped by fingerprint in a shuffle instead, so no anchor lands in one task.
+   anchor that very many classes share are dealt out by fingerprint first, so no anchor lands in one task.
 4. Covered ranges are merged for each document and cut out. Documents without any are not shuffled.
 
 Null and empty texts have no bytes. Rows with equal doc_id are documents of their own. Matches never cross documents. Texts of
@@ -151,48 +151,67 @@ def previous_factors(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return earlier, later
 
 
-def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, c, left, context, sorted by h -> h, c, lo, hi: the part of each context that repeated windows cover."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
+def _ranges(h: pa.Array, c: pa.Array, keys: np.ndarray, of: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
+    """h, c, lo, hi: the part of each context that repeated windows cover. of: the row of each window, in order."""
+    earlier, later = previous_factors(keys)
+    hit = earlier | later
+    of, off = of[hit], off[hit]
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    i = pa.array(of[first])
+    lo, hi = (np.minimum.reduceat(off, first), np.maximum.reduceat(off, first) + LENGTH) if len(of) else (off, off)
+    return pa.RecordBatch.from_arrays([h.take(i), c.take(i), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["h", "c", "lo", "hi"])
 
-    def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts).combine_chunks()
-        keys, of, off = _windows(t)
-        earlier, later = previous_factors(keys)
-        hit = earlier | later
-        of, off = of[hit], off[hit]
-        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
-        last = np.concatenate([first[1:], [len(of)]]) - 1 if len(of) else first
-        i = pa.array(of[first])
-        t = t.select([0, 1]).take(i).combine_chunks()
-        one = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns]
-        one = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in one]
-        return pa.RecordBatch.from_arrays([*one, pa.array(off[first].astype(np.int32)), pa.array((off[last] + LENGTH).astype(np.int32))], ["h", "c", "lo", "hi"])
 
+def _grouped(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBatch]:
+    """Solves rows sorted by their first column some groups at a time, cut where a group ends."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
     for b in batches:
         while b.num_rows:
-            h = np.asarray(b.column(0))
-            if held and rows >= 2 * SHARED_BY_MANY:  # cut where an anchor ends
-                cut = int(np.searchsorted(h != held[-1].column(0)[-1].as_py(), True))
-                if cut < len(h):
-                    yield solve([*held, b.slice(0, cut)])
+            g = np.asarray(b.column(0))
+            if held and rows >= 2 * SHARED_BY_MANY:
+                cut = int(np.argmax(g != held[-1].column(0)[-1].as_py())) if (g != held[-1].column(0)[-1].as_py()).any() else len(g)
+                if cut < len(g):
+                    yield solve(pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks().to_batches()[0])
                     held, rows, b = [], 0, b.slice(cut)
             step = b.slice(0, 2 * SHARED_BY_MANY)
             held.append(step)
             rows, b = rows + step.num_rows, b.slice(step.num_rows)
     if held:
-        yield solve(held)
+        yield solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, c, left, context, sorted by h -> h, c, lo, hi."""
+    yield from _grouped(batches, lambda t: _ranges(t.column(0), t.column(1), *_windows(t)))
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, c, left, context -> a row for each window: h, c, fingerprint, offset."""
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, c, left, context, members -> the windows of each context, dealt by their keys to as many groups as keep each small."""
+    kind = pa.list_(pa.int64())
     for b in batches:
-        for x in range(0, b.num_rows, 2048):
-            part = b.slice(x, 2048)
+        for x in range(0, b.num_rows, 1024):
+            part = b.slice(x, 1024)
             keys, of, off = _windows(part)
-            i = pa.array(of)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(i), part.column(1).take(i), pa.array(keys.view(np.int64)), pa.array(off.astype(np.int32))], ["h", "c", "key", "off"])
+            many = 2 * -(-np.asarray(part.column(4)) // SHARED_BY_MANY)
+            group = (keys >> U64(20)) % many[of].astype(U64)
+            order = np.lexsort((group, of))
+            keys, of, off, group = keys[order], of[order], off[order], group[order]
+            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (group[1:] != group[:-1])])) if len(of) else np.zeros(0, np.int64)
+            i, at = pa.array(of[first]), pa.array(np.concatenate([first, [len(of)]]).astype(np.int32))
+            g = mixed(np.asarray(part.column(0)).view(np.uint64)[of[first]] + mixed(group[first]))
+            lists = (pa.ListArray.from_arrays(at, pa.array(v.view(np.int64))) for v in (keys, off.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), part.column(0).take(i), part.column(1).take(i), *(v.cast(kind) for v in lists)], ["g", "h", "c", "keys", "offs"])
+
+
+def _covered_of_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """g, h, c, keys, offs, sorted by g -> h, c, lo, hi, of what lies in each group."""
+
+    def solve(t: pa.RecordBatch) -> pa.RecordBatch:
+        n = np.asarray(t.column(3).value_lengths())
+        return _ranges(t.column(1), t.column(2), np.asarray(t.column(3).flatten()).view(np.uint64), np.repeat(np.arange(len(n)), n), np.asarray(t.column(4).flatten()))
+
+    yield from _grouped(batches, solve)
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -214,9 +233,8 @@ def covered(docs: DataFrame) -> DataFrame:
     one = possibly(found.select("place", "pos", "left", "context"), key_filter(wanted.select(F.xxhash64("fp", "fpos"))), F.xxhash64("place", "pos"))
     texts = kept(one.join(wanted, (F.col("place") == F.col("fp")) & (F.col("pos") == F.col("fpos"))).select("h", "c", "members", "left", "context"), "class_contexts", "zstd")
     few = texts.where(F.col("members") <= SHARED_BY_MANY).select("h", "c", "left", "context").repartition(n, "h").sortWithinPartitions("h").mapInArrow(_covered, "h bigint, c bigint, lo int, hi int")
-    windows = texts.where(F.col("members") > SHARED_BY_MANY).select("h", "c", "left", "context").mapInArrow(_exploded, "h bigint, c bigint, key bigint, off int")
-    keys = kept(windows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
-    many = windows.join(keys, "key", "left_semi").groupBy("h", "c").agg(F.min("off").alias("lo"), (F.max("off") + LENGTH).alias("hi"))
+    windows = texts.where(F.col("members") > SHARED_BY_MANY).select("h", "c", "left", "context", "members").mapInArrow(_dealt, "g bigint, h bigint, c bigint, keys array<bigint>, offs array<bigint>")
+    many = windows.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_covered_of_many, "h bigint, c bigint, lo int, hi int")
     copies = classes.where((F.col("copies") > 1) & (F.col("size") >= LENGTH)).select("h", "c", F.lit(0).alias("lo"), F.col("size").alias("hi"))
     parts = kept(copies.unionByName(few).unionByName(many).groupBy("h", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "class_ranges")
     start = F.col("pos") - F.col("left")

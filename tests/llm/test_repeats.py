@@ -40,7 +40,7 @@ def rows(seed):
 
 
 def test_like_brute_force(spark, monkeypatch):
-    for seed, many in ((1, 2048), (2, 3)):
+    for seed, many in ((1, 2048), (2, 3), (3, 1)):
         monkeypatch.setattr(repeats, "SHARED_BY_MANY", many)
         r = rows(seed)
         got = repeats.digests(spark.createDataFrame(r, "doc_id long, text string")).collect()
