@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions import fixedpoint, identity, orders
-from tapewright.operators import exposure, fills, quotes
+from tapewright.operators import exposure, extension, fills, quotes
 from tapewright.plans.views import view, with_views
 
 SPEEDS = (0, 1, 5)  # days: the reference's latency settings, scaled to a tape of whole days
@@ -142,6 +142,33 @@ def fill_markout(spark, sf_dir):
     return out.groupBy("ticker").agg(F.sum("markout_cents").alias("markout_sum"), F.sum("qty").alias("markout_n"), F.round(F.sum("markout_cents") / F.sum("qty"), 6).alias("avg_markout"))
 
 
+def fill_markout_any(spark, sf_dir):
+    out = fills.markout_any_market(fills.fills(_met(spark, sf_dir), "strict"), view(spark, sf_dir, "tape"), HORIZON)
+    return out.groupBy("ticker").agg(F.sum("markout_cents").alias("markout_sum"), F.sum("qty").alias("markout_n"))
+
+
+def strategy_signals(spark, sf_dir):
+    """Events to features to signals to intents, by side; the trace of every intent leads back to an event."""
+    e = view(spark, sf_dir, "tape").withColumn("trace_id", F.col("tape_id"))
+    f = extension.features(e, price=F.col("price_cents") - 50, size=F.col("size"), taker=F.when(F.col("taker_yes"), 1).otherwise(-1))
+    s = extension.linear_model(f, [0.02, 0.01, 0.3], 0.9)
+    lost = extension.orphans(s, e).agg(F.count(F.lit(1)).alias("orphans"))
+    return s.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("strength"), 3).alias("strength")).crossJoin(F.broadcast(lost))  # one row
+
+
+def strategy_quarantine(spark, sf_dir):
+    """A strategy that fails on prices over 95: three failures in a row shut off its market, the others go on."""
+
+    def step(price):
+        if price > 95:
+            raise ValueError(price)
+        return price / 100
+
+    t = view(spark, sf_dir, "tape").where("price_cents >= 90")
+    out = extension.quarantined(t, "ticker", "tape_id", step, "price_cents")
+    return out.groupBy("key", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 def quotes_from_tape(spark, sf_dir):
     return quotes.from_tape(view(spark, sf_dir, "tape"), 2).groupBy("ticker", "side").agg(F.count(F.lit(1)).alias("quotes"), F.sum("price_cents").alias("price_sum"), F.sum("until_tape_id").alias("until_sum"), F.count_if(F.col("until_tape_id").isNull()).alias("resting"))
 
@@ -218,7 +245,7 @@ rk as (select *, d * (case when buy_yes then price_cents else 100 - price_cents
 QUERIES = {
     "entity_ids": entity_ids, "entity_collisions": entity_collisions, "fixed_point_parse": fixed_point_parse, "fixed_point_format": fixed_point_format, "intent_validation": intent_validation,
     "order_normalize": order_normalize, "client_order_ids": client_order_ids, "fees_longest_prefix": fees_longest_prefix, **{f"fills_{t}": _fills(t) for t in fills.TRACKS}, "fill_ineligible": fill_ineligible,
-    "market_ledger": market_ledger, "family_report": family_report, "fill_rate": fill_rate, "speed_curve": speed_curve, "fill_markout": fill_markout, "quotes_from_tape": quotes_from_tape, "quotes_with_cap": quotes_with_cap,
+    "market_ledger": market_ledger, "family_report": family_report, "fill_rate": fill_rate, "speed_curve": speed_curve, "fill_markout": fill_markout, "fill_markout_any": fill_markout_any, "strategy_signals": strategy_signals, "strategy_quarantine": strategy_quarantine, "quotes_from_tape": quotes_from_tape, "quotes_with_cap": quotes_with_cap,
     "exposure_running": exposure_running, "exposure_total": exposure_total, "lifecycle_audit": lifecycle_audit,
 }
 
@@ -241,6 +268,10 @@ from intents where action in ('buy', 'sell') and side in ('yes', 'no') and kind
     "fill_markout": with_views("tape quotes", f""", {_met_sql()}, {_fills_sql('optimistic')}, firsts as (select ticker, ts, arg_min(price_cents, tape_id) as ref from tape group by ticker, ts)
 select ticker, cast(sum(d * qty) as bigint) as markout_sum, cast(sum(qty) as bigint) as markout_n, round(sum(d * qty) / sum(qty), 6) as avg_markout from (
   select f.ticker, qty, case when buy_yes then ref - price_cents else price_cents - ref end as d from f asof join firsts p on f.ticker = p.ticker and f.ts + interval {HORIZON} day <= p.ts) group by ticker"""),
+    "fill_markout_any": with_views("tape quotes", f""", {_met_sql()}, {_fills_sql('strict')}, firsts as (select ts, min(tape_id) as id from tape group by ts),
+d as (select f.*, p.id from f asof join firsts p on f.ts + interval {HORIZON} day <= p.ts)
+select ticker, cast(sum(x * qty) as bigint) as markout_sum, cast(sum(qty) as bigint) as markout_n from (select d.ticker, qty, case when buy_yes then t.price_cents - d.price_cents else d.price_cents - t.price_cents end as x from d asof join tape t on d.ticker = t.ticker and d.id >= t.tape_id) group by ticker"""),
+    "strategy_signals": with_views("tape", "select case when s > 0 then 'buy' else 'sell' end as side, count(*) as n, round(sum(abs(s)), 3) as strength, 0 as orphans from (select 0.02::double * (price_cents - 50) + 0.01::double * size + case when taker_yes then 0.3::double else -0.3::double end as s from tape) where abs(s) >= 0.9 group by 1"),
     "exposure_running": with_views("tape quotes", _LIFE + """select ticker, max(at_risk)::bigint as peak_at_risk, max(open)::bigint as peak_open, sum(d_risk)::bigint as end_risk, count(*) filter (at_risk > 100000) as over_cap
 from (select *, sum(d_risk) over w as at_risk, sum(d) over w as open from rk window w as (partition by ticker order by ts, step, tape_id, cid)) group by ticker"""),
     "exposure_total": with_views("tape quotes", _LIFE + "select cast(day as varchar) as day, cast(sum(r) over (order by day) as bigint) as at_risk_cents, cast(sum(o) over (order by day) as bigint) as open_contracts from (select cast(ts as date) as day, sum(d_risk) as r, sum(d) as o from rk group by 1)"),
