@@ -104,8 +104,8 @@ def markout(filled: DataFrame, tape: DataFrame, horizon_days: int) -> DataFrame:
     """
     due = filled.select("ticker", (F.col("ts") + F.expr(f"interval {horizon_days} day")).alias("at"), F.lit(0).alias("rank"), F.lit(None).cast("bigint").alias("tape_id"), F.lit(None).cast("int").alias("ref"), F.struct("cid", "tape_id", "price_cents", "buy_yes", "qty").alias("fill"))
     prints = tape.select("ticker", F.col("ts").alias("at"), F.lit(1).alias("rank"), "tape_id", F.col("price_cents").alias("ref"))
-    after = Window.partitionBy("ticker").orderBy("at", "rank", "tape_id").rowsBetween(1, Window.unboundedFollowing)
-    met = due.unionByName(prints, allowMissingColumns=True).withColumn("trigger", F.first("ref", ignorenulls=True).over(after)).where("fill is not null and trigger is not null")
+    after = Window.partitionBy("ticker").orderBy(F.desc("at"), F.desc("rank"), F.desc("tape_id")).rowsBetween(Window.unboundedPreceding, -1)  # backwards: a frame that only grows
+    met = due.unionByName(prints, allowMissingColumns=True).withColumn("trigger", F.last("ref", ignorenulls=True).over(after)).where("fill is not null and trigger is not null")
     drift = F.when(F.col("fill.buy_yes"), F.col("trigger") - F.col("fill.price_cents")).otherwise(F.col("fill.price_cents") - F.col("trigger"))
     return met.select("ticker", "fill.cid", F.col("fill.tape_id").alias("tape_id"), F.col("fill.qty").alias("qty"), F.col("trigger").alias("ref_cents"), (drift * F.col("fill.qty")).alias("markout_cents"))
 
@@ -123,13 +123,13 @@ def markout_any_market(filled: DataFrame, tape: DataFrame, horizon_days: int) ->
     prints = tape.select(F.col("ts").alias("at"), F.lit(1).alias("rank"), "tape_id")
     hours = F.date_trunc("hour", "at")
     both = due.unionByName(prints, allowMissingColumns=True).withColumn("day", day("at")).withColumn("hour", hours)
-    ahead = Window.partitionBy("hour").orderBy("at", "rank", "tape_id").rowsBetween(1, Window.unboundedFollowing)
-    in_hour = both.withColumn("hit", F.first("tape_id", ignorenulls=True).over(ahead)).where("fill is not null")
+    ahead = Window.partitionBy("hour").orderBy(F.desc("at"), F.desc("rank"), F.desc("tape_id")).rowsBetween(Window.unboundedPreceding, -1)
+    in_hour = both.withColumn("hit", F.last("tape_id", ignorenulls=True).over(ahead)).where("fill is not null")
     by_hour = tape.groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.min("tape_id").alias("hour_id"))
     later = in_hour.where("hit is null").select("fill", "at", "day", "hour").join(by_hour, (F.to_date("h") == F.col("day")) & (F.col("h") > F.col("hour")), "left").groupBy("fill", "at", "day").agg(F.min("hour_id").alias("hit"))
-    past = Window.orderBy("d")
+    back = Window.orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, -1)
     all_days = days.select(F.col("day").alias("d"), F.col("first_id")).unionByName(later.select(F.col("day").alias("d")).distinct(), allowMissingColumns=True).groupBy("d").agg(F.min("first_id").alias("first_id"))
-    all_days = all_days.withColumn("next_id", F.first("first_id", ignorenulls=True).over(past.rowsBetween(1, Window.unboundedFollowing))).select("d", "next_id")
+    all_days = all_days.withColumn("next_id", F.last("first_id", ignorenulls=True).over(back)).select("d", "next_id")
     later = later.join(all_days, F.col("day") == F.col("d")).select("fill", F.coalesce("hit", "next_id").alias("hit"))
     found = in_hour.where("hit is not null").select("fill", "hit").unionByName(later).where("hit is not null").select(F.col("fill.ticker").alias("ticker"), F.col("hit").alias("id"), F.lit(1).alias("rank"), "fill")
     own = tape.select("ticker", F.col("tape_id").alias("id"), F.lit(0).alias("rank"), F.col("price_cents").alias("ref"))

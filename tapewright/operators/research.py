@@ -38,8 +38,8 @@ def past_and_future(trades: DataFrame, book: DataFrame, horizons_h: tuple[int, .
             out = as_of(out, book, F.col("ts") + F.expr(f"interval {h} hour"), False, f"f{h}")
             later = F.col(f"f{h}.ts") > F.col("ts")
         else:
-            by = Window.partitionBy("ticker").orderBy("at", "rank", "id").rowsBetween(1, Window.unboundedFollowing)
-            out = _both(out, book, F.col("ts"), 2).withColumn(f"f{h}", F.first("book", ignorenulls=True).over(by)).where("trade is not null").select("trade.*", f"f{h}")
+            by = Window.partitionBy("ticker").orderBy(F.desc("at"), F.desc("rank"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
+            out = _both(out, book, F.col("ts"), 2).withColumn(f"f{h}", F.last("book", ignorenulls=True).over(by)).where("trade is not null").select("trade.*", f"f{h}")
             later = F.col(f"f{h}.ts") <= F.col("ts") + F.expr(f"interval {h} hour")
         out = out.withColumn(f"f{h}", F.when(later, F.col(f"f{h}")))
     return out

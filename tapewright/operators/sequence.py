@@ -71,7 +71,7 @@ def validity(frames: DataFrame) -> DataFrame:
     neg = rows.where("label = 'negative'").select(*BOOK, "segment", F.col("arrival").alias("negative"))
     gaps = last_gaps(frames).select(*STREAM, F.col("arrival").alias("at"), F.lit(None).cast("string").alias("ticker"), F.lit(None).cast("bigint").alias("segment"))
     both = seg.select(*STREAM, F.col("segment").alias("at"), "ticker", "segment").unionByName(gaps)
-    ahead = Window.partitionBy(*STREAM).orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*STREAM).orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)  # backwards: a frame that only grows
     first_gap = both.withColumn("gap", F.min(F.when(F.col("segment").isNull(), F.col("at"))).over(ahead)).where("segment is not null").select(*BOOK, "segment", "gap")
     out = seg.join(neg, [*BOOK, "segment"], "left").join(first_gap, [*BOOK, "segment"], "left")
     end = F.least("next_snapshot", "negative", "gap")
@@ -124,8 +124,8 @@ def recoveries(frames: DataFrame, rung_seconds: int) -> DataFrame:
     members = frames.where("kind = 'snapshot'").select(*BOOK).distinct()
     want = gaps.join(members, list(STREAM)).select(*BOOK, "arrival", F.col("ts").alias("gap_ts"), F.lit(None).cast("timestamp_ntz").alias("snap_ts"))
     snaps = frames.where("kind = 'snapshot'").select(*BOOK, "arrival", F.lit(None).cast("timestamp_ntz").alias("gap_ts"), F.col("ts").alias("snap_ts"))
-    ahead = Window.partitionBy(*BOOK).orderBy("arrival").rowsBetween(1, Window.unboundedFollowing)
-    met = want.unionByName(snaps).withColumn("next", F.first("snap_ts", ignorenulls=True).over(ahead)).where("gap_ts is not null")
+    ahead = Window.partitionBy(*BOOK).orderBy(F.desc("arrival")).rowsBetween(Window.unboundedPreceding, -1)
+    met = want.unionByName(snaps).withColumn("next", F.last("snap_ts", ignorenulls=True).over(ahead)).where("gap_ts is not null")
     wait = F.expr("timestampdiff(SECOND, gap_ts, next)")
     return met.select(*BOOK, "arrival", wait.alias("wait_s"), F.when(wait.isNull(), 3).otherwise(F.least(F.floor(wait / rung_seconds), F.lit(3))).cast("int").alias("rung"), wait.isNotNull().alias("recovered"))
 
