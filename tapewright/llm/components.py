@@ -17,12 +17,10 @@ def components(links: DataFrame) -> DataFrame:
     both = kept(links.select("a", "b").where("a <> b").union(links.select(F.col("b"), F.col("a")).where("a <> b")).distinct(), "links")
     labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels")
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")).agg(F.min("root").alias("near"))
-        low = labels.join(near, F.col("node") == F.col("n"), "left").select("node", "root", F.least("root", "near").alias("low"))
-        low = kept(low, "labels")
+        near = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), F.lit(None).cast("bigint").alias("own"), "root")
+        low = labels.select("node", F.col("root").alias("own"), "root").union(near).groupBy("node").agg(F.max("own").alias("root"), F.min("root").alias("low"))
         up = labels.select(F.col("node").alias("of"), F.col("root").alias("up"))
-        new = low.join(up, F.col("low") == F.col("of"), "left").select("node", "root", F.least("low", F.coalesce("up", "low")).alias("new"))
-        new = kept(new, "labels")
+        new = kept(low.join(up, F.col("low") == F.col("of"), "left").select("node", "root", F.least("low", F.coalesce("up", "low")).alias("new")), "labels")
         if not new.where("new <> root").limit(1).count():
             return labels
         labels = new.select("node", F.col("new").alias("root"))

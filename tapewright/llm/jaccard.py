@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapewright.llm.common import LOWERED, U64, Roller, kept, mixed, on_files, placed, runs, shingled, table, text_batches, utf8
@@ -30,6 +30,7 @@ from tapewright.llm.filters import key_filter, possibly
 
 COUNTERS = 1 << 21
 PART = 1 << 13
+MEMBERS = 64  # of a bucket whose members are paired directly; beyond it they are compared by their differences from its pivot
 
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -136,18 +137,24 @@ def similar(x: np.ndarray, y: np.ndarray, per_cent: int) -> bool:
 
 
 def _verified(k: int, per_cent: int):
-    """a, b, text of a, text of b -> the pairs that link. Rows lie by a, so a's set is mostly at hand."""
+    """a, b, wide, text of a, text of b -> linked, the sizes, and for wide pairs the symmetric difference.
+
+    Rows lie by a, so a's set is mostly at hand. Pairs that neither link nor are wide are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, None
-        for b in text_batches(batches, 3):
-            keep = []
-            texts = b.column(2)
-            for i, (a, y) in enumerate(zip(b.column(0).to_pylist(), shingle_sets(b.column(3), k), strict=True)):
-                if a != last:
-                    last, x = a, shingle_sets(texts.slice(i, 1), k)[0]
-                keep.append(similar(x, y, per_cent))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for b in text_batches(batches, 4):
+            out: list[list] = [[], [], [], [], [], []]
+            texts = b.column(3)
+            for i, (p, q, wide, y) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), shingle_sets(b.column(4), k), strict=True)):
+                if p != last:
+                    last, x = p, shingle_sets(texts.slice(i, 1), k)[0]
+                linked = similar(x, y, per_cent)
+                if linked or wide:
+                    for o, v in zip(out, (p, q, linked, len(x), len(y), np.setxor1d(x, y, assume_unique=True).view(np.int64) if wide else None), strict=True):
+                        o.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], ["a", "b", "linked", "na", "nb", "delta"])
 
     return run
 
@@ -175,18 +182,56 @@ class Join:
         self.tokens = prefixes.join(self.classes.select("place", "class", F.col("n").cast("int").alias("n")), "place").select("class", "n", F.posexplode("prefix").alias("pos", "h"))
 
     def links(self) -> DataFrame:
-        buckets = kept(self.tokens.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("class", "n", "pos")).alias("m")).where("members > 1"), "buckets")
+        buckets = kept(self.tokens.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
         tokens = possibly(self.tokens, key_filter(buckets.select("h")), F.col("h"))
-        shared = kept(tokens.join(buckets.select("h", "m"), "h"), "shared")
-        stars = shared.where(F.col("class") != F.col("m.class")).select(F.col("m.class").alias("a"), F.col("class").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb"), F.col("m.pos").alias("pa"), F.col("pos").alias("pb"))
-        first = kept(self._verify(self._pairs(stars, 2)), "stars")  # a pair is seen in some of its buckets only: half will do
-        roots = components(first)
-        part = kept(shared.join(roots, F.col("class") == F.col("node"), "left").select("h", "class", "n", "pos", F.coalesce("root", "class").alias("root")), "parted")
-        open_ = kept(part.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("h"), "open")
+        met = kept(tokens.join(buckets, "h"), "met")
+        # The pivot of a bucket is the member that shares most: what a group of copies has in common, not one that was much edited.
+        scores = met.groupBy("class").agg(F.sum("members").alias("score"))
+        scored = kept(met.join(scores, "class"), "scored")
+        pivots = kept(scored.groupBy("h").agg(F.max(F.struct("score", "class", "n", "pos")).alias("m")), "pivots")
+        shared = kept(scored.drop("score").join(pivots, "h"), "shared")
+        small, large = shared.where(F.col("members") <= MEMBERS), shared.where(F.col("members") > MEMBERS)
+        other = F.col("class") != F.col("m.class")
+        stars = small.where(other).select(F.col("m.class").alias("a"), F.col("class").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb"), F.col("m.pos").alias("pa"), F.col("pos").alias("pb"))
+        near = self._pairs(stars, 2).withColumn("wide", F.lit(False))  # a pair is seen in some of its buckets only: half will do
+        wide = large.where(other).select(F.col("m.class").alias("a"), F.col("class").alias("b"), F.lit(True).alias("wide"))
+        first = kept(self._verify(near.union(wide).groupBy("a", "b").agg(F.max("wide").alias("wide"))), "stars")
+        linked = first.where("linked").select("a", "b")
+        roots = components(linked)
+        root = F.coalesce("root", "class").alias("root")
+        part = kept(small.join(roots, F.col("class") == F.col("node"), "left").select("h", "class", "n", "pos", root), "parted")
+        open_ = part.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("h")
         left = kept(part.join(open_, "h", "left_semi"), "open_members")
         x, y = (left.select("h", *(F.col(c).alias(f"{c}{s}") for c in ("class", "n", "pos", "root"))) for s in "ab")
         pairs = x.join(y, "h").where("classa < classb and roota <> rootb").select(F.col("classa").alias("a"), F.col("classb").alias("b"), "na", "nb", F.col("posa").alias("pa"), F.col("posb").alias("pb"))
-        return first.union(self._verify(self._pairs(pairs, 1)))
+        more = self._pairs(pairs, 1).union(self._around_pivots(first.where("delta is not null"), roots)).distinct().withColumn("wide", F.lit(False))
+        return linked.union(self._verify(more).where("linked").select("a", "b"))
+
+    def _around_pivots(self, wide: DataFrame, roots: DataFrame) -> DataFrame:
+        """a, b: pairs of members of large buckets that may link though they are in different components.
+
+        Each member is known by its difference from the pivot: x and y link if |dx| + |dy| - 2 |dx & dy| is at most the slack
+        D(x, y). Two members that both link to the pivot are in its component. So one, x, does not: |dx| > D(x, p), and since
+        D(x, y) - D(x, p) is at most max(0, ny - np), and at most (100 - t) / (100 + t) (ny - np) + 2, x and y must share at
+        least `least` elements, more than about half of dy. Hence some element of dx is in y's prefix: all of dy but the last
+        least - 1, rare first. Elements that only one member has come first and join with nothing, so what two edits of the
+        same text have in common decides, and not what the text has.
+        """
+        t = self.per_cent
+        slack = lambda n: n - 2 * F.ceil(t * n / (100 + t))
+        d = wide.select(F.col("a").alias("p"), F.col("b").alias("class"), "linked", F.col("na").alias("np"), F.col("nb").alias("n"), F.size("delta").cast("bigint").alias("s"), F.explode("delta").alias("e"))
+        often = kept(d.groupBy("p", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "elements")
+        grown = F.greatest(F.col("n") - F.col("np"), F.lit(0))
+        least = F.greatest(F.ceil((F.col("s") + 1 - grown) / 2), F.floor((F.col("s") - (100 - t) / (100 + t) * (F.col("n") - F.col("np")) - 1) / 2) + 1, F.lit(1))
+        own = Window.partitionBy("p", "class")
+        d = d.join(often, ["p", "e"]).withColumn("rank", F.row_number().over(own.orderBy("df", "e"))).withColumn("alone", F.col("s") - F.count(F.lit(1)).over(own)).withColumn("least", least)
+        d = d.join(roots, F.col("class") == F.col("node"), "left").select("p", "e", "class", "linked", "n", "s", "least", (F.col("rank") + F.col("alone") <= F.col("s") - F.col("least") + 1).alias("prefix"), F.coalesce("root", "class").alias("root"))
+        d = kept(d, "differences")
+        x = d.where("not linked").select("p", "e", *(F.col(c).alias(f"x_{c}") for c in ("class", "n", "s", "root")))
+        y = d.where("prefix").select("p", "e", *(F.col(c).alias(f"y_{c}") for c in ("class", "n", "s", "root", "least")))
+        met = x.join(y, ["p", "e"]).where("x_root <> y_root").groupBy("p", "x_class", "y_class", "x_n", "y_n", "x_s", "y_s", "y_least").agg(F.count(F.lit(1)).alias("met"))
+        enough = 2 * (F.col("met") + F.col("y_least") - 1) >= F.col("x_s") + F.col("y_s") - slack(F.col("x_n") + F.col("y_n"))
+        return met.where(enough).select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b"))
 
     def _pairs(self, met: DataFrame, share: int) -> DataFrame:
         """a, b of the pairs that may link, from a row for each prefix shingle that two classes share.
@@ -210,8 +255,8 @@ class Join:
         key = F.xxhash64("place")
         texts = kept(possibly(self.texts, key_filter(wanted.select(key)), key).join(wanted, "place").select("class", "text"), "candidates")
         mine = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
-        both = mine.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-        return both.mapInArrow(_verified(self.k, self.per_cent), "a bigint, b bigint")
+        both = mine.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "wide", "ta", "tb")
+        return both.mapInArrow(_verified(self.k, self.per_cent), "a bigint, b bigint, linked boolean, na bigint, nb bigint, delta array<bigint>")
 
     def grouped(self) -> DataFrame:
         """For each row: place, doc_id, n_shingles, component_id, and whether it is the one of its component that stays."""
