@@ -75,7 +75,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 21):
+def slices(offsets: np.ndarray, most: int = 1 << 20):
     """Row ranges [a, b) whose texts have about `most` bytes together; a longer text has a range of its own."""
     a, n = 0, len(offsets) - 1
     while a < n:
@@ -172,7 +172,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple
     return [r.text or "" for r in rows], np.array([r.label for r in rows], np.int64)
 
 
-def text_batches(batches, at: int, most: int = 1 << 21):
+def text_batches(batches, at: int, most: int = 1 << 20):
     """The batches, cut so that each has about `most` bytes of text in column `at`."""
     for whole in batches:
         _, sizes = utf8(whole.column(at))
