@@ -6,6 +6,8 @@ Frames: arrival (total order), epoch, sid, ticker, kind (snapshot, delta, contro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,26 +90,31 @@ def levels(frames: DataFrame) -> DataFrame:
 
 
 def top_of_book(frames: DataFrame) -> DataFrame:
-    """Best bids of both sides after each applied message. States are maxima over an ordered history, so a segment of a book is
-    one ordered group."""
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        sides: dict[str, dict[int, int]] = {"yes": {}, "no": {}}
-        out = []
-        for arrival, side, price, d in rows.sort_values("arrival")[["arrival", "side", "price_cents", "d"]].itertuples(index=False):
-            book = sides[side]
-            size = book.get(price, 0) + d
-            if size > 0:
-                book[price] = size
-            else:
-                book.pop(price, None)
-            yes, no = (max(sides[s], default=None) for s in ("yes", "no"))
-            ask = None if no is None else 100 - no
-            out.append((*key, arrival, yes, no, ask, yes is not None and ask is not None and yes >= ask))
-        return pd.DataFrame(out, columns=["epoch", "sid", "ticker", "segment", "arrival", "best_yes", "best_no", "yes_ask", "crossed"]).astype({"best_yes": "Int64", "best_no": "Int64", "yes_ask": "Int64"})
+    """Best bids of both sides after each applied message. States are maxima over an ordered history, so the messages of a
+    segment stream through one task in order; segments are dealt out, and a task holds the levels of one at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, sides = None, {}
+        for rows in batches:
+            out = []
+            for epoch, sid, ticker, segment, arrival, side, price, d in rows.itertuples(index=False):
+                key = (epoch, sid, ticker, segment)
+                if key != last:
+                    last, sides = key, {"yes": {}, "no": {}}
+                book = sides[side]
+                size = book.get(price, 0) + d
+                if size > 0:
+                    book[price] = size
+                else:
+                    book.pop(price, None)
+                yes, no = (max(sides[s], default=None) for s in ("yes", "no"))
+                ask = None if no is None else 100 - no
+                out.append((*key, arrival, yes, no, ask, yes is not None and ask is not None and yes >= ask))
+            yield pd.DataFrame(out, columns=["epoch", "sid", "ticker", "segment", "arrival", "best_yes", "best_no", "yes_ask", "crossed"]).astype({"best_yes": "Int64", "best_no": "Int64", "yes_ask": "Int64"})
 
     rows = labelled(frames).where("label in ('snapshot', 'applied')").select(*BOOK, "segment", "arrival", "side", "price_cents", F.col("d").cast("bigint").alias("d"))
-    return rows.groupBy(*BOOK, "segment").applyInPandas(run, "epoch int, sid bigint, ticker string, segment bigint, arrival bigint, best_yes bigint, best_no bigint, yes_ask bigint, crossed boolean")
+    dealt = rows.repartition(*BOOK, "segment").sortWithinPartitions(*BOOK, "segment", "arrival")
+    return dealt.mapInPandas(run, "epoch int, sid bigint, ticker string, segment bigint, arrival bigint, best_yes bigint, best_no bigint, yes_ask bigint, crossed boolean")
 
 
 def checksums(frames: DataFrame) -> DataFrame:
