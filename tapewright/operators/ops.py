@@ -77,3 +77,12 @@ def latest(rows: DataFrame, key: str, by: str, *columns: str) -> DataFrame:
 def order_rate(ts: str, key: str, seconds: int) -> Column:
     by = Window.partitionBy(key).orderBy(F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})")).rangeBetween(-seconds, 0)
     return F.count(F.lit(1)).over(by)
+
+
+def class_rollup(rows: DataFrame, record: tuple[str, ...], cls: str, blockers: dict[str, Column]) -> DataFrame:
+    """Records (rows of one `record` and `cls`) by class, former class and blockers. Any blocker of any row makes a record BLOCKED;
+    it keeps the class it is blocked from and the sorted distinct set of its blockers (a fixed few kinds)."""
+    flags = rows.groupBy(*record, cls).agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(f"is_{k}") for k, c in blockers.items()))
+    held = flags.select(F.col(cls).alias("was"), F.array_sort(F.array_compact(F.array(*(F.when(F.col(f"is_{k}"), F.lit(k)) for k in blockers)))).alias("blockers"))
+    blocked = F.size("blockers") > 0
+    return held.groupBy(F.when(blocked, "BLOCKED").otherwise(F.col("was")).alias("class"), F.when(blocked, F.col("was")).otherwise("").alias("blocked_from"), "blockers").agg(F.count(F.lit(1)).alias("n"))

@@ -117,6 +117,13 @@ def reserve_before_send(spark, sf_dir):
     return g.groupBy("bucket").agg(F.count(F.lit(1)).alias("requests"), F.count_if(~F.col("granted")).alias("refused"), F.count_if(F.col("granted") & (F.col("after") < -MAX_WAIT_NS // 10**6 * RATE)).alias("sent_beyond_grant"))
 
 
+def class_rollup(spark, sf_dir):
+    """Accounts by class. Not the rule of its SQL below, which blocks from the sixth blocked row on and keeps one blocker a row."""
+    r = view(spark, sf_dir, "requests").withColumn("cls", F.when(F.col("method") == "GET", "READY").otherwise("SHADOW"))
+    status = F.col("http_status")
+    return ops.class_rollup(r, ("account",), "cls", {"rate_limited": status == 429, "unavailable": status == 503, "transport": F.col("transport_error")})
+
+
 _P = {
     "order_rate_seconds": portable("select cast(date_trunc('hour', ts) as varchar(30)) as slot, count(*) as n from {requests} where method <> 'GET' group by 1"),
     "reconcile_queue": portable("select account, count(*) as n from {requests} where method = 'POST' and http_status <> 429 and (transport_error or http_status in (502, 503, 504)) group by account"),
@@ -135,7 +142,7 @@ _P = {
 a as (select account, cls, count(blocker) as blocked from r group by account, cls) select case when blocked > 5 then 'BLOCKED' else cls end as class, case when blocked > 5 then cls else '' end as blocked_from, count(*) as n from a group by 1, 2"""),
 }
 
-QUERIES = {f.__name__: f for f in (request_classify, endpoint_cost, retry_decision, request_rollup, token_bucket_replay, latency_report, latency_floor_percentile, rtt_budget, regression_gate, ops_latest_state, risk_summary, order_telemetry, feed_health, event_rate, limits_check, reserve_before_send)} | {k: q for k, (q, _) in _P.items()}
+QUERIES = {f.__name__: f for f in (request_classify, endpoint_cost, retry_decision, request_rollup, token_bucket_replay, latency_report, latency_floor_percentile, rtt_budget, regression_gate, ops_latest_state, risk_summary, order_telemetry, feed_health, event_rate, limits_check, reserve_before_send)} | {k: q for k, (q, _) in _P.items()} | {"class_rollup": class_rollup}
 
 _CL = """, w as (select *, '/trade-api/v2' || split_part(path, '?', 1) as wire_path from requests), sg as (select *, string_split(wire_path, '/') as s from w),
 cl as (select *, case when list_has_any(s, ['order_groups', 'rfqs', 'quotes']) then 'write' when list_contains(s, 'orders') then case when list_contains(s, 'batched') or method <> 'GET' then 'write' else 'read' end else 'read' end as bucket,
