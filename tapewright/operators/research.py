@@ -125,3 +125,19 @@ def matched(eps: DataFrame, controls: DataFrame, hours: int, lag_hours: int) ->
     pairs = e.join(c, (F.col("bid0") == F.col("cbid")) & (F.col("b") == F.col("cb"))).where((lag > 0) & (lag <= lag_hours * 3_600_000_000)).withColumn("lag_us", lag).withColumn("d_spread", F.abs(spread - cspread))
     first = pairs.withColumn("k", F.row_number().over(Window.partitionBy("episode").orderBy("d_spread", "lag_us", "control"))).where("k = 1")
     return first.withColumn("k", F.row_number().over(Window.partitionBy("control").orderBy("d_spread", "lag_us", "episode"))).where("k = 1").select("ticker", "episode", "control", "lag_us", "bid0", "ask0", "cbid", "cask")
+
+
+def tally(rows: DataFrame, channel: str, id: str) -> DataFrame:
+    """Rows of a channel by day, with the sum of their ids' hashes, which differs where one row takes another's place."""
+    return rows.groupBy(F.lit(channel).alias("channel"), F.coalesce(F.col("ts").cast("date").cast("string"), F.lit("unknown")).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(id).cast("decimal(20,0)")).cast("decimal(38,0)").alias("ids"))
+
+
+def conserved(manifest: DataFrame, actual: DataFrame) -> DataFrame:
+    """Declared against read tallies by channel and day: MISSING days that were not read, EXTRA ones that were not declared."""
+    x = manifest.alias("m").join(actual.alias("a"), ["channel", "day"], "full_outer")
+    expected, got = F.coalesce("m.n", F.lit(0)), F.coalesce("a.n", F.lit(0))
+    state = (
+        F.when(F.col("a.n").isNull(), "MISSING").when(F.col("m.n").isNull(), "EXTRA").when(got < expected, "LOST").when(got > expected, "DOUBLED")
+        .when(F.col("m.ids") != F.col("a.ids"), "REPLACED").otherwise("EXACT")
+    )
+    return x.select("channel", "day", expected.alias("expected"), got.alias("actual"), state.alias("state"))

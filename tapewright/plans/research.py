@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.operators import research
 from tapewright.plans.portable import portable
-from tapewright.plans.views import view, with_views
+from tapewright.plans.views import load, view, with_views
+from tapewright.sources.scratch import written
 
 HORIZONS = (1, 5, 30)  # hours: the reference's seconds, scaled to the adapter's clock
 TTLS = (15, 60, 300)  # minutes
 WIDE, BINS, BIN_MINUTES = 3, 10, 60
+CHANNELS = {"l1": ("l1", "event_id"), "trades": ("trades", "trade_id"), "l2": ("frames", "arrival")}
+# Which source rows each channel is to hold, said apart from the views.
+DECLARED = {"l1": "true", "trades": "event_type <=> 'purchase'", "l2": "not (event_id % 97 <=> 0)"}
 
 
 def _v(spark, sf_dir, *names):
@@ -101,6 +108,20 @@ def match_concentration(spark, sf_dir):
     return n.agg(F.count(F.lit(1)).alias("markets"), F.round(F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n")), 6).alias("hhi"), F.round(F.max("n") / F.sum("n"), 6).alias("max_share"))
 
 
+def manifest(spark, sf_dir):
+    """Declared rows of each channel by day, counted in the source table."""
+    e = load(spark, sf_dir, "events")
+    one, *more = (research.tally(e.where(rule), channel, "event_id") for channel, rule in DECLARED.items())
+    return functools.reduce(DataFrame.unionByName, more, one)
+
+
+def row_conservation(spark, sf_dir):
+    """The views' rows against a manifest that is written before they are built. Not its SQL below, which counts the views twice."""
+    declared = written(manifest(spark, sf_dir), "manifest")
+    one, *more = (research.tally(view(spark, sf_dir, name), channel, id) for channel, (name, id) in CHANNELS.items())
+    return research.conserved(declared, functools.reduce(DataFrame.unionByName, more, one))
+
+
 _STATE = "case when yes_bid is not null and yes_ask is not null then case when yes_bid >= yes_ask then 'CROSSED' else 'TWO_SIDED' end when yes_bid is not null then 'BID_ONLY' when yes_ask is not null then 'ASK_ONLY' else 'NONE' end"
 _FUT = ", ".join(f"f{h} as (select t.trade_id, b.ts as fts, b.yes_bid + b.yes_ask as m from trades t asof join l1 b on t.ticker = b.ticker and t.ts + interval {h} hour >= b.ts where b.ts > t.ts)" for h in HORIZONS)
 _SURF = f""", p as (select t.*, b.ts as pts, b.yes_bid + b.yes_ask as m0 from trades t asof left join l1 b on t.ticker = b.ticker and t.ts > b.ts), {_FUT},
@@ -149,7 +170,7 @@ select method, min(coalesce(n, 0)) as eligible, case when min(coalesce(n, 0)) >
 select sid, case when gaps = 0 then 'A' when gaps * 100 <= n then 'B' else 'C' end as tier, case when gaps = 0 then '' else 'sequence_gaps' end as downgrade from g"""),
 }
 
-QUERIES = {f.__name__: f for f in (trade_book_asof, trade_markout_surface, markout_waterfall, one_sided_exposure, ttl_dwell, liquidity_episodes, refill_hazard, refill_survival, match_controls, match_coverage, match_balance, match_concentration)} | {k: q for k, (q, _) in _P.items()}
+QUERIES = {f.__name__: f for f in (trade_book_asof, trade_markout_surface, markout_waterfall, one_sided_exposure, ttl_dwell, liquidity_episodes, refill_hazard, refill_survival, match_controls, match_coverage, match_balance, match_concentration)} | {k: q for k, (q, _) in _P.items()} | {"row_conservation": row_conservation}
 ORACLE_SQL = {
     "trade_book_asof": with_views("trades l1", "select trade_id, t.ticker, b.yes_bid as bid, b.yes_ask as ask, date_diff('microsecond', b.ts, t.ts) as age_us from trades t asof left join l1 b on t.ticker = b.ticker and t.ts > b.ts"),
     "trade_markout_surface": with_views("trades l1 gaps", _SURF + f"select horizon, taker_yes, count(*) as n, cast(sum(d) as bigint) as sum_half_cents, round(sum(d) / count(*), 6) as mean_half_cents from ({' union all '.join(f'select {h} as horizon, taker_yes, (case when taker_yes then 1 else -1 end) * (m{h} - m0) as d from j' for h in HORIZONS)}) where d is not null group by 1, 2"),
