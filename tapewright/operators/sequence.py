@@ -6,6 +6,7 @@ Frames: arrival (total order), epoch, sid, ticker, kind (snapshot, delta, contro
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -141,3 +142,34 @@ def silences(frames: DataFrame, seconds: int) -> DataFrame:
     by = Window.partitionBy(*STREAM).orderBy("ts", "arrival")
     quiet = F.expr("timestampdiff(SECOND, was, ts)") > seconds
     return frames.withColumn("was", F.lag("ts").over(by)).groupBy(*STREAM).agg(F.count_if(quiet).alias("silences"), F.count(F.lit(1)).alias("frames"))
+
+
+def retreats(frames: DataFrame, k: int, back: int) -> DataFrame:
+    """After each applied message but a segment's first, against the book `back` messages (or all there are) before (chosen): the change of the depth of the k
+    best levels of each side, and how many of the k levels of then have lost depth. Tasks and state are as in top_of_book."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, sides, was = None, {}, deque(maxlen=back)
+        for rows in batches:
+            out = []
+            for epoch, sid, ticker, segment, arrival, side, price, d in rows.itertuples(index=False):
+                key = (epoch, sid, ticker, segment)
+                if key != last:
+                    last, sides, was = key, {"yes": {}, "no": {}}, deque(maxlen=back)
+                book = sides[side]
+                size = book.get(price, 0) + d
+                if size > 0:
+                    book[price] = size
+                else:
+                    book.pop(price, None)
+                top = {s: [(p, b[p]) for p in sorted(b, reverse=True)[:k]] for s, b in sides.items()}
+                if was:
+                    change = [sum(x[1] for x in top[s]) - sum(x[1] for x in was[0][s]) for s in ("yes", "no")]
+                    lost = [sum(sides[s].get(p, 0) < x for p, x in was[0][s]) for s in ("yes", "no")]
+                    out.append((*key, arrival, *change, *lost))
+                was.append(top)
+            yield pd.DataFrame(out, columns=["epoch", "sid", "ticker", "segment", "arrival", "yes_change", "no_change", "yes_lost", "no_lost"])
+
+    rows = labelled(frames).where("label in ('snapshot', 'applied')").select(*BOOK, "segment", "arrival", "side", "price_cents", F.col("d").cast("bigint").alias("d"))
+    dealt = rows.repartition(*BOOK, "segment").sortWithinPartitions(*BOOK, "segment", "arrival")
+    return dealt.mapInPandas(run, "epoch int, sid bigint, ticker string, segment bigint, arrival bigint, yes_change bigint, no_change bigint, yes_lost int, no_lost int")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tapewright.operators import sequence, signals
+from tapewright.operators import fills, policies, sequence, signals
 from tapewright.plans.book import LEVELS
 from tapewright.plans.portable import portable
 from tapewright.plans.views import view, with_views
 
+LEAD_HOURS = 24
+SIZES = range(-7, 10)  # 1 + x % 9 of the view
+K, BACK = 3, 5
+
 _MID = "select event_id, ts, ticker, yes_bid as bid, yes_ask as ask, yes_bid + yes_ask as mid2 from {l1} where yes_bid is not null and yes_ask is not null"
 _LAG = f"with m as ({_MID}), g as (select *, lag(bid) over w as bid0, lag(ask) over w as ask0, lag(mid2) over w as mid0, lead(mid2) over w as mid1, lag(ts) over w as ts0 from m window w as (partition by ticker order by ts, event_id)) "
 
@@ -82,7 +87,47 @@ def sg_factors(spark, sf_dir):
     return signals.components(f, ["price", "size", "taker"], 2)
 
 
+# The five below do more than their SQL in _P, which stays as it was.
+def sg_lead_lag(spark, sf_dir):
+    """Linked are the markets of one event of the dimension."""
+    d = view(spark, sf_dir, "dim_market").where("event_ticker is not null")
+    links = d.select("event_ticker", F.col("ticker").alias("leader")).join(d.select("event_ticker", F.col("ticker").alias("follower")), "event_ticker").where("leader <> follower")
+    return policies.lead_lag(view(spark, sf_dir, "l1"), links, LEAD_HOURS)
+
+
+def sg_large_flow(spark, sf_dir):
+    """Price response by whether a trade is in the top tenth of the earlier ones; null for those without earlier ones."""
+    nxt = F.lead("price_cents").over(Window.partitionBy("ticker").orderBy("ts", "trade_id"))
+    t = policies.past_rank(view(spark, sf_dir, "trades"), SIZES).withColumn("nxt", nxt).where("nxt is not null")
+    way = F.when(F.col("taker_yes"), 1).otherwise(-1)
+    return t.groupBy((F.col("past_rank") >= 0.9).alias("large")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("nxt") - F.col("price_cents")) * way).alias("response"))
+
+
+def _prints(spark, sf_dir):
+    """Prints with the result of their market and the taker's rate; the policy buys what takers buy."""
+    tape, fees = view(spark, sf_dir, "tape"), view(spark, sf_dir, "fees")
+    rates = fills.fee_rates(tape, fees.withColumn("maker_rate_e4", F.col("taker_rate_e4"))).select("ticker", F.col("maker_rate_e4").alias("taker_rate_e4"))
+    t = tape.join(F.broadcast(rates), "ticker", "left").join(F.broadcast(view(spark, sf_dir, "settles")), "ticker", "left")  # a row for each of twenty markets
+    return t.select("ticker", F.col("ts").cast("date").alias("day"), "price_cents", "size", F.col("taker_yes").alias("taken"), "yes_wins", "taker_rate_e4")
+
+
+def sg_policy_pnl(spark, sf_dir):
+    return policies.policy_days(_prints(spark, sf_dir), view(spark, sf_dir, "dim_market").select("ticker", "event_ticker"))
+
+
+def sg_capital_return(spark, sf_dir):
+    return policies.capital_return(_prints(spark, sf_dir))
+
+
+def sg_retreat(spark, sf_dir):
+    """A side retreats where at least two of its K best levels lost depth and their depth fell; both may at once."""
+    yes, no = ((F.col(f"{s}_lost") >= 2) & (F.col(f"{s}_change") < 0) for s in ("yes", "no"))
+    x = sequence.retreats(view(spark, sf_dir, "frames"), K, BACK)
+    return x.groupBy("sid", "ticker").agg(F.count(F.lit(1)).alias("n"), F.count_if(yes & ~no).alias("yes_retreats"), F.count_if(no & ~yes).alias("no_retreats"), F.count_if(yes & no).alias("both"), F.sum(F.col("yes_change") + F.col("no_change")).alias("depth_change"))
+
+
 QUERIES = {f.__name__: f for f in (sg_cusum, sg_capacity, sg_depth_imbalance, sg_settlement_glm, sg_factors)} | {k: q for k, (q, _) in _P.items()}
+QUERIES |= {f.__name__: f for f in (sg_lead_lag, sg_large_flow, sg_policy_pnl, sg_capital_return, sg_retreat)}
 ORACLE_SQL = {k: s.replace("datediff(day,", "datediff('day',") for k, (_, s) in _P.items()}
 
 ORACLE_SQL |= {
