@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import numpy as np
@@ -100,7 +101,11 @@ def _values(seed: int) -> np.ndarray:
 
 
 class Roller:
-    """Hashes of any byte range of one buffer, from prefix sums in arithmetic modulo 2**64."""
+    """Hashes of any byte range of one buffer, from prefix sums in arithmetic modulo 2**64.
+
+    Long texts made on purpose can collide in this arithmetic, so it serves for hashed features only; what decides whether
+    two words or strings are the same is word_hashes or the bytes themselves.
+    """
 
     BASE = 0x5851F42D4C957F2D
     _powers: np.ndarray = np.ones(1, U64)
@@ -121,6 +126,47 @@ class Roller:
         return mixed((self.sums[ends] - self.sums[starts]) * Roller._inverse[starts] + (ends - starts).astype(U64))
 
 
+NEAR = 64  # bytes of a word whose values come from a table
+CHUNK = 1 << 20
+
+
+def _placed_values(place: np.ndarray, raw: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit number for each byte value at each place in its word."""
+    return mixed((place.astype(U64) << U64(8) | raw) * U64(0x9E3779B97F4A7C15) + U64(seed * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+
+
+@functools.cache
+def _near_values(seed: int) -> np.ndarray:
+    place, raw = np.divmod(np.arange(NEAR * 256), 256)
+    return _placed_values(place, raw.astype(U64), seed)
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Hashes of disjoint byte ranges that are not empty.
+
+    Every byte is mixed with its place in the range before the sum (tabulation), so no arithmetic relation among the bytes
+    of a word survives, whatever its length. Works through about CHUNK bytes at a time, and through a longer range alone.
+    """
+    out = np.zeros(len(starts), U64)
+    near = _near_values(seed)
+    total = np.concatenate([[0], np.cumsum(ends - starts)])
+    for a, b in slices(total, CHUNK):
+        if total[b] - total[a] > 4 * CHUNK:  # one word
+            for x in range(int(starts[a]), int(ends[a]), CHUNK):
+                part = raw[x : min(x + CHUNK, int(ends[a]))]
+                out[a] += _placed_values(np.arange(x - starts[a], x - starts[a] + len(part)), part.astype(U64), seed).sum()
+            continue
+        first = total[a:b] - total[a]
+        place = np.arange(int(total[b] - total[a])) - np.repeat(first, np.diff(total[a : b + 1]))
+        part = raw[place + np.repeat(starts[a:b], np.diff(total[a : b + 1]))]
+        v = near[np.minimum(place, NEAR - 1) << 8 | part]
+        far = place >= NEAR
+        if far.any():
+            v[far] = _placed_values(place[far], part[far].astype(U64), seed)
+        out[a:b] = np.add.reduceat(v, first)
+    return mixed(out + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True bytes; no run crosses a row."""
     if not len(mask):
@@ -156,12 +202,13 @@ def shingled(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     out = np.concatenate([[0], np.cumsum(counts)])
     if n < k or not counts.sum():
         return np.zeros(0, U64), out
-    h = np.zeros(n - k + 1, U64)
+    h = np.full(n - k + 1, k, U64)
     for t in range(k):
-        h = h * U64(0x2545F4914F6CDD1D) + words[t : n - k + 1 + t]
+        h += words[t : n - k + 1 + t]
+        h = mixed(h)
     row = np.repeat(np.arange(len(counts)), counts)
     at = np.arange(int(out[-1])) - out[row] + bounds[row]
-    return mixed(h[at]), out
+    return h[at], out
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[str], np.ndarray]:

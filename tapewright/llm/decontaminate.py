@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import LOWERED, U64, Roller, kept, on_files, placed, runs, shingled, slices, table, utf8
-from tapewright.llm.filters import key_filter, known, opened
+from tapewright.llm.common import LOWERED, kept, on_files, placed, runs, shingled, slices, table, utf8, word_hashes
+from tapewright.llm.filters import key_filter, known
 
 WINDOW, SHINGLE = 10, 5
 STRETCH_WORDS = 2000  # a longer stretch is dealt out in overlapping parts
@@ -39,7 +39,7 @@ class Words:
         self.raw = LOWERED[raw]
         self.starts, self.ends = runs(_WORD[self.raw], offsets)
         self.bounds = np.searchsorted(self.starts, offsets)
-        self.hashes = Roller(self.raw, 3).of(self.starts, self.ends) if len(self.starts) else np.zeros(0, U64)
+        self.hashes = word_hashes(self.raw, self.starts, self.ends, 3)
 
     def text(self, a: int, b: int) -> str:
         """Words a to b, joined by blanks."""
@@ -78,7 +78,7 @@ def _stretches(sent, least: dict[int, int]):
     kind = pa.list_(pa.struct([("size", pa.int32()), ("first", pa.int64()), ("words", pa.list_(pa.string())), ("shingles", pa.list_(pa.int64()))]))
 
     def run(batches):
-        held = opened(sent.value)
+        held = sent.value
         for whole in batches:
             _, sizes = utf8(whole.column(2))
             for x, y in slices(sizes):

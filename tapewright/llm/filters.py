@@ -1,4 +1,4 @@
-"""Bit filters of fixed size over 64-bit keys, built by tasks and merged by a small shuffle."""
+"""Bit filters over 64-bit keys, sized by the number of keys, built by tasks and merged by a small shuffle."""
 
 from __future__ import annotations
 
@@ -10,13 +10,18 @@ from pyspark.sql.types import BooleanType
 
 from tapewright.llm.common import U64
 
-BITS = 1 << 24
+BITS_A_KEY = 16
+LEAST, MOST = 1 << 16, 1 << 28  # bits: 8 KB to 32 MB; beyond 16 million keys more rows pass, and none is lost
 PART = 4096  # bytes that travel together
 _SCHEMA = "k int, bits binary"
 
 
-def positions(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h & U64(BITS - 1)).astype(np.int64), ((h >> U64(32)) & U64(BITS - 1)).astype(np.int64)
+def positions(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return (h & U64(bits - 1)).astype(np.int64), ((h >> U64(32)) & U64(bits - 1)).astype(np.int64)
+
+
+def _mask(p: np.ndarray) -> np.ndarray:
+    return np.uint8(1) << (p & 7).astype(np.uint8)
 
 
 def _parts(held: dict[int, np.ndarray]):
@@ -24,13 +29,16 @@ def _parts(held: dict[int, np.ndarray]):
         yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "bits": [x.tobytes()]})
 
 
-def _fill(batches):
-    held = np.zeros(BITS, bool)
-    for b in batches:
-        for p in positions(np.asarray(b.column(0)).view(np.uint64)):
-            held[p] = True
-    rows = np.packbits(held).reshape(-1, PART)
-    yield from _parts({k: rows[k] for k in np.flatnonzero(rows.any(axis=1)).tolist()})
+def _filled(bits: int):
+    def fill(batches):
+        held = np.zeros(bits >> 3, np.uint8)
+        for b in batches:
+            for p in positions(np.asarray(b.column(0)).view(np.uint64), bits):
+                np.bitwise_or.at(held, p >> 3, _mask(p))
+        rows = held.reshape(-1, PART)
+        yield from _parts({k: rows[k] for k in np.flatnonzero(rows.any(axis=1)).tolist()})
+
+    return fill
 
 
 def _merge(batches):
@@ -42,42 +50,42 @@ def _merge(batches):
     yield from _parts(held)
 
 
-def key_filter(keys: DataFrame) -> bytes:
-    """The filter of a column of mixed 64-bit hashes without nulls: BITS / 8 bytes, however many keys there are."""
-    out = np.zeros((BITS // 8 // PART, PART), np.uint8)
-    for r in keys.mapInArrow(_fill, _SCHEMA).repartition("k").mapInArrow(_merge, _SCHEMA).toLocalIterator():
-        out[r.k] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out.tobytes()
+def size_for(n: int) -> int:
+    """Bits for n keys: a power of two."""
+    return min(max(1 << max(0, n * BITS_A_KEY - 1).bit_length(), LEAST), MOST)
 
 
-def opened(bits: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bits, np.uint8)).view(bool)
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """The filter of a column of mixed 64-bit hashes without nulls; keys is read twice, so it should lie on disk."""
+    bits = size_for(keys.count())
+    out = np.zeros((bits // 8 // PART, PART), np.uint8)
+    for r in keys.mapInArrow(_filled(bits), _SCHEMA).repartition("k").mapInArrow(_merge, _SCHEMA).toLocalIterator():
+        out[r.k] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out.ravel()
 
 
 def known(held: np.ndarray, h: np.ndarray) -> np.ndarray:
-    p, q = positions(h)
-    return held[p] & held[q]
+    """Which of the hashes may be among the keys."""
+    p, q = positions(h, len(held) * 8)
+    return (held[p >> 3] & _mask(p) != 0) & (held[q >> 3] & _mask(q) != 0)
 
 
-def _tester(df: DataFrame, bits: bytes):
-    sent = df.sparkSession.sparkContext.broadcast(np.frombuffer(bits, np.uint8))
+def _tester(df: DataFrame, held: np.ndarray):
+    sent = df.sparkSession.sparkContext.broadcast(held)
 
     @arrow_udf(BooleanType())
     def test(keys: pa.Array) -> pa.Array:
-        p, q = positions(np.asarray(keys).view(np.uint64))
-        held = sent.value
-        # packbits puts the first bit highest
-        return pa.array(((held[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & (held[q >> 3] >> (7 - (q & 7)).astype(np.uint8)) & 1).astype(bool))
+        return pa.array(known(sent.value, np.asarray(keys).view(np.uint64)))
 
     return test
 
 
-def possibly(df: DataFrame, bits: bytes, key: Column) -> DataFrame:
+def possibly(df: DataFrame, held: np.ndarray, key: Column) -> DataFrame:
     """The rows of df whose key may be in the filter."""
-    return df.where(_tester(df, bits)(key))
+    return df.where(_tester(df, held)(key))
 
 
-def split_possibly(df: DataFrame, bits: bytes, key: Column) -> tuple[DataFrame, DataFrame]:
+def split_possibly(df: DataFrame, held: np.ndarray, key: Column) -> tuple[DataFrame, DataFrame]:
     """The rows of df whose key may be in the filter, and the others."""
-    test = _tester(df, bits)
+    test = _tester(df, held)
     return df.where(test(key)), df.where(~test(key))

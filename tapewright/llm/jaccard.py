@@ -3,11 +3,15 @@
 1. Every text becomes its set of shingles. Documents with equal sets form a class, and one class is joined once.
    Shingles are counted over all documents in a sketch of fixed size, which gives one order for all: rare first.
 2. Two sets of similarity t or more share one of the first n - ceil(t n) + 1 shingles in that order: the prefix.
-   Prefix shingles of two or more classes form buckets. In each, first every member is paired with the bucket's least
-   member; links found so join most of a group of copies without making all its pairs. Then pairs of members that
-   are not in one component yet are made, so no link between components is lost.
-3. A pair must pass the length filter, the positional filter and a bound on what its prefixes share; it is made distinct,
-   must pass the suffix filter, and is verified once, on the whole sets.
+   Prefix shingles of two or more classes form buckets. In each, first every member is paired with one pivot; links found
+   so join most of a group of copies without making all its pairs. Then pairs of members that are not in one component
+   yet are made, so no link between components is lost.
+3. A pair must pass the length filter, the positional filter and a bound on what its prefixes share. It is made distinct and
+   must pass the suffix filter - how differently the two sets fill the parts of the hash space, kept beside the prefix -
+   before any text is fetched for it. It is verified once: pairs of the first round do not come back in the second.
+
+Shingles are known by 64-bit hashes that mix every byte with its place (common.word_hashes) and every word in turn; a pair
+that links by them is compared by its words before it counts, so a collision cannot link two documents.
 
 Words: A-Z lowered, runs of other than blank, tab, line feed, vertical tab, form feed, carriage return. A text of fewer than
 k words is one shingle. Null and empty texts have no shingles and link with nothing. Rows with equal doc_id are rows of
@@ -16,6 +20,7 @@ their own; a null doc_id is never a component's least id unless it has no other.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import LOWERED, U64, Roller, kept, mixed, on_files, placed, runs, shingled, table, text_batches, utf8
+from tapewright.llm.common import LOWERED, U64, kept, mixed, on_files, placed, runs, shingled, table, text_batches, utf8, word_hashes
 from tapewright.llm.components import components
-from tapewright.llm.filters import key_filter, possibly
+from tapewright.llm.filters import key_filter, possibly, split_possibly
 
 COUNTERS = 1 << 21
 PART = 1 << 13
+BINS = 16  # of the hash space, for the suffix filter
 MEMBERS = 64  # of a bucket whose members are paired directly; beyond it they are compared by their differences from its pivot
 
 _WORD = np.ones(256, bool)
@@ -43,7 +49,7 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     starts, ends = runs(_WORD[raw], offsets)
     if not len(starts):
         return [np.zeros(0, U64)] * len(column)
-    words = Roller(raw, 5).of(starts, ends)
+    words = word_hashes(raw, starts, ends, 5)
     bounds = np.searchsorted(starts, offsets)
     h, at = shingled(words, bounds, k)
     out = []
@@ -107,58 +113,76 @@ def rarity(counts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(k: int, per_cent: int, sent):
-    """place, text -> the prefix of each set, in the common order."""
+    """place, text -> how common the prefix is, the set's counts by part of the hash space, and the prefix in the common order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = sent.value
         for b in text_batches(batches, 1):
-            out = []
+            scores, bins, out = [], [], []
             for s in shingle_sets(b.column(1), k):
                 n = len(s)
                 size = n - -(-per_cent * n // 100) + 1 if n else 0
                 order = np.argsort(level[(s & U64(COUNTERS - 1)).astype(np.int64)], kind="stable")[:size]
                 out.append(s[order].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["place", "prefix"])
+                bins.append(np.bincount((s >> U64(60)).astype(np.int64), minlength=BINS).astype(np.int32))
+                scores.append(float(np.exp2(level[(s[order] & U64(COUNTERS - 1)).astype(np.int64)] / 4.0).sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(bins, pa.list_(pa.int32())), pa.array(out, pa.list_(pa.int64()))], ["place", "score", "bins", "prefix"])
 
     return run
 
 
 def similar(x: np.ndarray, y: np.ndarray, per_cent: int) -> bool:
-    """100 * intersection >= per_cent * union, for sorted sets; the suffix filter comes first."""
+    """100 * intersection >= per_cent * union, for sorted sets."""
     need = -(-per_cent * (len(x) + len(y)) // (100 + per_cent))
-    spare = len(x) + len(y) - 2 * need  # elements that may lie in one of the sets only
-    if spare < 0 or abs(len(x) - len(y)) > spare:
-        return False
-    middle = y[len(y) // 2]
-    left, right = int(np.searchsorted(x, middle)) - len(y) // 2, (len(x) - int(np.searchsorted(x, middle))) - (len(y) - len(y) // 2)
-    if abs(left) + abs(right) > spare:
-        return False
-    return len(np.intersect1d(x, y, assume_unique=True)) >= need
+    return min(len(x), len(y)) >= need and len(np.intersect1d(x, y, assume_unique=True)) >= need
+
+
+def _word_shingles(text: str, k: int) -> set[tuple[bytes, ...]]:
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().translate(LOWERED.tobytes()))
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
 
 
 def _verified(k: int, per_cent: int):
-    """a, b, wide, text of a, text of b -> linked, the sizes, and for wide pairs the symmetric difference.
+    """a, b, wide, text of a, text of b -> linked, the sizes, and for wide pairs what b has more and less than a.
 
-    Rows lie by a, so a's set is mostly at hand. Pairs that neither link nor are wide are left out."""
+    Rows lie by a, so a's set is mostly at hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, x = None, None
+        last, x, words = None, None, None
         for b in text_batches(batches, 4):
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[] for _ in range(8)]
             texts = b.column(3)
-            for i, (p, q, wide, y) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), shingle_sets(b.column(4), k), strict=True)):
+            sets = shingle_sets(b.column(4), k)
+            for i, (p, q, wide) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)):
+                y = sets[i]
                 if p != last:
-                    last, x = p, shingle_sets(texts.slice(i, 1), k)[0]
+                    last, x, words = p, shingle_sets(texts.slice(i, 1), k)[0], None
                 linked = similar(x, y, per_cent)
-                if linked or wide:
-                    for o, v in zip(out, (p, q, linked, len(x), len(y), np.setxor1d(x, y, assume_unique=True).view(np.int64) if wide else None), strict=True):
-                        o.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], ["a", "b", "linked", "na", "nb", "delta"])
+                if linked:
+                    words = words or _word_shingles(texts[i].as_py(), k)
+                    own = _word_shingles(b.column(4)[i].as_py(), k)
+                    linked = 100 * len(words & own) >= per_cent * len(words | own)
+                more, less = (np.setdiff1d(y, x, True).view(np.int64), np.setdiff1d(x, y, True).view(np.int64)) if wide else (None, None)
+                for o, v in zip(out, (p, q, wide, linked, len(x), len(y), more, less), strict=True):
+                    o.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], ["a", "b", "wide", "linked", "na", "nb", "more", "less"])
 
     return run
 
 
+def _once(pairs: DataFrame) -> DataFrame:
+    """One row for each two classes, from rows (pivot a, b, wide): a is a pivot, and one of a large bucket if either is.
+
+    wide: 1 if a is the pivot of a large bucket with b, 2 if b is one with a, 3 for both."""
+    low = F.col("a") < F.col("b")
+    flag = F.when(F.col("wide") > 0, F.when(low, 1).otherwise(2)).otherwise(F.when(low, 4).otherwise(8))
+    both = pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.bit_or(flag).alias("f"))
+    swap = F.expr("f & 3 = 2 or f & 3 = 0 and f & 12 = 8")
+    wide = F.expr("f & 3").cast("int")
+    return both.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("b"), F.when(swap & (wide == 2), 1).otherwise(wide).alias("wide"))
+
+
 class Join:
     """The join of one table of documents; links come in two rounds."""
 
@@ -178,59 +202,70 @@ class Join:
         level = self.spark.sparkContext.broadcast(rarity(both.where("slice is not null").select("slice", "counts")))
         classes = self.rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("place").alias("place"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("least"))
         self.classes = kept(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-        prefixes = kept(self.texts.mapInArrow(_prefixes(k, per_cent, level), f"place {place}, prefix array<bigint>"), "prefixes")
-        self.tokens = prefixes.join(self.classes.select("place", "class", F.col("n").cast("int").alias("n")), "place").select("class", "n", F.posexplode("prefix").alias("pos", "h"))
-
-    def links(self) -> DataFrame:
-        buckets = kept(self.tokens.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
-        tokens = possibly(self.tokens, key_filter(buckets.select("h")), F.col("h"))
-        met = kept(tokens.join(buckets, "h"), "met")
-        # The pivot of a bucket is the member that shares most: what a group of copies has in common, not one that was much edited.
-        scores = met.groupBy("class").agg(F.sum("members").alias("score"))
-        scored = kept(met.join(scores, "class"), "scored")
-        pivots = kept(scored.groupBy("h").agg(F.max(F.struct("score", "class", "n", "pos")).alias("m")), "pivots")
-        shared = kept(scored.drop("score").join(pivots, "h"), "shared")
+        signed = self.texts.mapInArrow(_prefixes(k, per_cent, level), f"place {place}, score double, bins array<int>, prefix array<bigint>")
+        self.signed = kept(signed.join(self.classes.select("place", "class", F.col("n").cast("int").alias("n")), "place"), "prefixes")
+        self.tokens = self.signed.select("class", "n", "score", F.posexplode("prefix").alias("pos", "h"))
+
+    def roots(self) -> DataFrame:
+        """node, root of every class that links with another."""
+        buckets = kept(self.tokens.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("score", "class", "n", "pos")).alias("m")).where("members > 1"), "buckets")
+        # The pivot is the member whose prefix is most common: what a group of copies has in common, not one much edited.
+        shared = kept(self.tokens.drop("score").join(buckets.select("h", "members", F.col("m.class").alias("p"), F.col("m.n").alias("np"), F.col("m.pos").alias("pp")), "h"), "shared")
         small, large = shared.where(F.col("members") <= MEMBERS), shared.where(F.col("members") > MEMBERS)
-        other = F.col("class") != F.col("m.class")
-        stars = small.where(other).select(F.col("m.class").alias("a"), F.col("class").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb"), F.col("m.pos").alias("pa"), F.col("pos").alias("pb"))
-        near = self._pairs(stars, 2).withColumn("wide", F.lit(False))  # a pair is seen in some of its buckets only: half will do
-        wide = large.where(other).select(F.col("m.class").alias("a"), F.col("class").alias("b"), F.lit(True).alias("wide"))
-        first = kept(self._verify(near.union(wide).groupBy("a", "b").agg(F.max("wide").alias("wide"))), "stars")
-        linked = first.where("linked").select("a", "b")
-        roots = components(linked)
-        root = F.coalesce("root", "class").alias("root")
-        part = kept(small.join(roots, F.col("class") == F.col("node"), "left").select("h", "class", "n", "pos", root), "parted")
+        stars = small.where("class <> p").select(F.col("p").alias("a"), F.col("class").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb"), F.col("pp").alias("pa"), F.col("pos").alias("pb"))
+        near = self._pairs(stars, 2).withColumn("wide", F.lit(0))  # a pair is seen in some of its buckets only: half will do
+        wide = large.where("class <> p").select(F.col("p").alias("a"), F.col("class").alias("b"), F.lit(1).alias("wide"))
+        first = kept(self._verify(_once(near.union(wide))), "stars")
+        roots = components(first.where("linked").select("a", "b"))
+        part = small.select("h", "class", "n", "pos").join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
         open_ = part.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("h")
         left = kept(part.join(open_, "h", "left_semi"), "open_members")
         x, y = (left.select("h", *(F.col(c).alias(f"{c}{s}") for c in ("class", "n", "pos", "root"))) for s in "ab")
         pairs = x.join(y, "h").where("classa < classb and roota <> rootb").select(F.col("classa").alias("a"), F.col("classb").alias("b"), "na", "nb", F.col("posa").alias("pa"), F.col("posb").alias("pb"))
-        more = self._pairs(pairs, 1).union(self._around_pivots(first.where("delta is not null"), roots)).distinct().withColumn("wide", F.lit(False))
-        return linked.union(self._verify(more).where("linked").select("a", "b"))
+        more = self._pairs(pairs, 1).union(self._around_pivots(first.where("wide > 0"), roots)).distinct()
+        done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        late = kept(self._verify(more.join(done, ["a", "b"], "left_anti").withColumn("wide", F.lit(0))).where("linked").select("a", "b"), "late")
+        if not late.limit(1).count():
+            return roots
+        # What the second round links are components of the first: a small graph on their roots.
+        up = roots.select(F.col("node").alias("of"), F.col("root").alias("up"))
+        ends = late.join(up, F.col("a") == F.col("of"), "left").select(F.coalesce("up", "a").alias("a"), "b").join(up, F.col("b") == F.col("of"), "left").select("a", F.coalesce("up", "b").alias("b"))
+        above = components(ends).select(F.col("node").alias("of"), F.col("root").alias("up"))
+        new = above.join(roots, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("node"), F.col("up").alias("root"))
+        return kept(roots.join(above, F.col("root") == F.col("of"), "left").select("node", F.coalesce("up", "root").alias("root")).union(new), "roots")
 
     def _around_pivots(self, wide: DataFrame, roots: DataFrame) -> DataFrame:
-        """a, b: pairs of members of large buckets that may link though they are in different components.
+        """a, b (a < b): pairs of members of large buckets that may link though they are in different components.
 
-        Each member is known by its difference from the pivot: x and y link if |dx| + |dy| - 2 |dx & dy| is at most the slack
+        Each member is known by its difference from the pivot p: x and y link if |dx| + |dy| - 2 |dx & dy| is at most the slack
         D(x, y). Two members that both link to the pivot are in its component. So one, x, does not: |dx| > D(x, p), and since
         D(x, y) - D(x, p) is at most max(0, ny - np), and at most (100 - t) / (100 + t) (ny - np) + 2, x and y must share at
         least `least` elements, more than about half of dy. Hence some element of dx is in y's prefix: all of dy but the last
-        least - 1, rare first. Elements that only one member has come first and join with nothing, so what two edits of the
-        same text have in common decides, and not what the text has.
+        least - 1, rare first. If y is far from the pivot - it has less than t of its own elements in common with it - then x and
+        y share an element that p lacks, and the prefix is taken of those, with the size of an ordinary one: what p has and
+        both lack decides nothing then. Elements whose owners are in one component only come first and join with nothing.
         """
         t = self.per_cent
         slack = lambda n: n - 2 * F.ceil(t * n / (100 + t))
-        d = wide.select(F.col("a").alias("p"), F.col("b").alias("class"), "linked", F.col("na").alias("np"), F.col("nb").alias("n"), F.size("delta").cast("bigint").alias("s"), F.explode("delta").alias("e"))
-        often = kept(d.groupBy("p", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "elements")
+        signs = F.concat(F.transform("more", lambda e: F.struct(e.alias("e"), F.lit(True).alias("own"))), F.transform("less", lambda e: F.struct(e.alias("e"), F.lit(False).alias("own"))))
+        d = wide.where("wide & 1 > 0").select("a", "b", "linked", "na", "nb", "more", "less").union(wide.where("wide & 2 > 0").select("b", "a", "linked", "nb", "na", "less", "more"))
+        d = d.select(F.col("a").alias("p"), F.col("b").alias("class"), "linked", F.col("na").alias("np"), F.col("nb").alias("n"), F.size("more").cast("bigint").alias("m"), (F.size("more") + F.size("less")).cast("bigint").alias("s"), signs.alias("signs"))
+        d = d.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
+        d = kept(d.withColumn("far", 100 * (F.col("n") - F.col("m")) < t * F.col("n")).withColumn("sign", F.explode("signs")).select("p", "class", "linked", "np", "n", "m", "s", "root", "far", "sign.*"), "signs")
+        often = kept(d.groupBy("p", "e").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("p", "e", "df"), "elements")
         grown = F.greatest(F.col("n") - F.col("np"), F.lit(0))
         least = F.greatest(F.ceil((F.col("s") + 1 - grown) / 2), F.floor((F.col("s") - (100 - t) / (100 + t) * (F.col("n") - F.col("np")) - 1) / 2) + 1, F.lit(1))
         own = Window.partitionBy("p", "class")
-        d = d.join(often, ["p", "e"]).withColumn("rank", F.row_number().over(own.orderBy("df", "e"))).withColumn("alone", F.col("s") - F.count(F.lit(1)).over(own)).withColumn("least", least)
-        d = d.join(roots, F.col("class") == F.col("node"), "left").select("p", "e", "class", "linked", "n", "s", "least", (F.col("rank") + F.col("alone") <= F.col("s") - F.col("least") + 1).alias("prefix"), F.coalesce("root", "class").alias("root"))
-        d = kept(d, "differences")
+        counts = F.when(F.col("far"), F.col("own")).otherwise(True)  # whether an element may be in the prefix
+        size = F.when(F.col("far"), F.least(F.col("n") - F.ceil(t * F.col("n") / 100) + 1, F.col("m"))).otherwise(F.col("s") - least + 1)
+        d = d.join(often, ["p", "e"]).withColumn("counts", counts).withColumn("size", size)
+        d = d.withColumn("rank", F.row_number().over(own.orderBy(F.desc("counts"), "df", "e"))).withColumn("alone", F.when(F.col("far"), F.col("m")).otherwise(F.col("s")) - F.count_if("counts").over(own))
+        d = kept(d.select("p", "e", "class", "linked", "n", "s", "root", (F.col("s") - F.col("size")).alias("rest"), (F.col("counts") & (F.col("rank") + F.col("alone") <= F.col("size"))).alias("prefix")), "differences")
         x = d.where("not linked").select("p", "e", *(F.col(c).alias(f"x_{c}") for c in ("class", "n", "s", "root")))
-        y = d.where("prefix").select("p", "e", *(F.col(c).alias(f"y_{c}") for c in ("class", "n", "s", "root", "least")))
-        met = x.join(y, ["p", "e"]).where("x_root <> y_root").groupBy("p", "x_class", "y_class", "x_n", "y_n", "x_s", "y_s", "y_least").agg(F.count(F.lit(1)).alias("met"))
-        enough = 2 * (F.col("met") + F.col("y_least") - 1) >= F.col("x_s") + F.col("y_s") - slack(F.col("x_n") + F.col("y_n"))
+        y = d.where("prefix").select("p", "e", *(F.col(c).alias(f"y_{c}") for c in ("class", "n", "s", "root", "rest")))
+        fits = 100 * F.least("x_n", "y_n") >= t * F.greatest("x_n", "y_n")
+        met = x.join(y, ["p", "e"]).where("x_root <> y_root").where(fits).groupBy("p", "x_class", "y_class", "x_n", "y_n", "x_s", "y_s", "y_rest").agg(F.count(F.lit(1)).alias("met"))
+        enough = 2 * (F.col("met") + F.col("y_rest")) >= F.col("x_s") + F.col("y_s") - slack(F.col("x_n") + F.col("y_n"))
         return met.where(enough).select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b"))
 
     def _pairs(self, met: DataFrame, share: int) -> DataFrame:
@@ -249,19 +284,23 @@ class Join:
         return pairs.where((share * F.col("met") >= need - behind) & (F.col("left") >= need)).select("a", "b")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
-        pairs = kept(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(self.classes.select("class", "place"), "class")
-        wanted = kept(wanted, "wanted")
+        """The pairs (a, b, wide) that pass the suffix filter or are wide, compared on their whole texts."""
+        t = self.per_cent
+        x, y = (self.signed.select(F.col("class").alias(s), F.col("place").alias(f"{s}_place"), F.col("n").alias(f"{s}_n"), F.col("bins").alias(f"{s}_bins")) for s in "ab")
+        apart = F.aggregate(F.zip_with("a_bins", "b_bins", lambda u, v: F.abs(u - v)), F.lit(0), lambda u, v: u + v)
+        n = F.col("a_n") + F.col("b_n")
+        may = (F.col("wide") > 0) | (apart <= n - 2 * F.ceil(t * n / (100 + t)))
+        pairs = kept(pairs.join(y, "b").join(x, "a").where(may).select("a", "b", "wide", "a_place", "b_place"), "pairs")
+        wanted = kept(pairs.select(F.col("a").alias("class"), F.col("a_place").alias("place")).union(pairs.select("b", "b_place")).distinct(), "wanted")
         key = F.xxhash64("place")
         texts = kept(possibly(self.texts, key_filter(wanted.select(key)), key).join(wanted, "place").select("class", "text"), "candidates")
         mine = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
         both = mine.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "wide", "ta", "tb")
-        return both.mapInArrow(_verified(self.k, self.per_cent), "a bigint, b bigint, linked boolean, na bigint, nb bigint, delta array<bigint>")
+        return both.mapInArrow(_verified(self.k, t), "a bigint, b bigint, wide int, linked boolean, na bigint, nb bigint, more array<bigint>, less array<bigint>")
 
     def grouped(self) -> DataFrame:
         """For each row: place, doc_id, n_shingles, component_id, and whether it is the one of its component that stays."""
-        roots = components(self.links())
-        of = self.classes.join(roots, F.col("class") == F.col("node"), "left").select("n", "k1", "k2", "least", F.coalesce("root", "class").alias("root"))
+        of = self.classes.join(self.roots(), F.col("class") == F.col("node"), "left").select("n", "k1", "k2", "least", F.coalesce("root", "class").alias("root"))
         of = kept(of, "class_roots")
         least = kept(of.groupBy("root").agg(F.min("least").alias("stays")), "least")
         of = kept(of.join(least, "root").select("n", "k1", "k2", "stays"), "class_components")
@@ -275,10 +314,13 @@ def near_groups(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
-    """The rows of docs that stay: of each group of linked documents the one with the least doc_id. Columns are kept."""
+    """The rows of docs that stay: of each group of linked documents the one with the least doc_id. Columns are kept.
+
+    Rows that the filter of those that go does not know pass straight through."""
     docs = on_files(docs)
     gone = kept(near_groups(docs, k, per_cent).where("not stays").select(F.col("place").alias("gone")), "gone")
-    return placed(docs).join(gone, F.col("place") == F.col("gone"), "left_anti").select("doc.*")
+    some, clear = split_possibly(placed(docs), key_filter(gone.select(F.xxhash64("gone"))), F.xxhash64("place"))
+    return clear.select("doc.*").unionByName(some.join(gone, F.col("place") == F.col("gone"), "left_anti").select("doc.*"))
 
 
 QUERY = "op10_ngram_jaccard"

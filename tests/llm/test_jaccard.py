@@ -67,3 +67,50 @@ def test_one_of_each_group_stays(spark):
     empty = sum(1 for _, n, _ in brute(r, 3, 90) if not n)
     assert kept.count() == len(groups) + empty
     assert jaccard.near_groups(df.limit(0), 3, 90).count() == 0
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    x, y = thue_morse(4096), thue_morse(4096, "b", "a")
+    many = [thue_morse(1024, "u ", "v "), thue_morse(1024, "v ", "u ")]  # the same as sequences of words
+    r = [(1, x), (2, y), (3, f"x {x} z"), (4, f"x {y} z"), (5, many[0]), (6, many[1]), (7, f"x y {x} z w"), (8, f"x y {y} z w")]
+    got = jaccard.near_groups(spark.createDataFrame(r, "doc_id long, text string"), 3, 90).drop("place", "stays").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(r, 3, 90))
+
+
+def test_clusters_that_share_a_template(spark, monkeypatch):
+    """Two groups of near copies of one template, a passage that unrelated texts share, and texts that hold the template."""
+    monkeypatch.setattr(jaccard, "MEMBERS", 3)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    template = [word() for _ in range(120)]
+    ends = [[word() for _ in range(40)] for _ in range(2)]
+    out = []
+    for i in range(50):
+        for g in (0, 1):
+            w = template + ends[g]
+            w = list(w)
+            w[rng.randrange(len(w))] = word()
+            out.append((len(out), " ".join(w)))
+    out += [(500 + i, " ".join([word() for _ in range(20)] + template[:30] + [word() for _ in range(rng.choice([5, 60]))])) for i in range(30)]
+    out += [(600 + i, " ".join(template + [word() for _ in range(200)])) for i in range(5)] + [(700, " ".join(template[:100]))]
+    got = jaccard.near_groups(spark.createDataFrame(out, "doc_id long, text string"), 3, 90).drop("place", "stays").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(out, 3, 90))
+
+
+def test_components(spark):
+    from tapewright.llm.components import components
+
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 300), (300, 250)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 200: 200, 250: 200, 300: 200}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_each_pair_once(spark):
+    rows = [(1, 2, 0), (2, 1, 0), (2, 1, 1), (3, 4, 0), (5, 4, 0), (6, 7, 1), (7, 6, 1)]
+    got = sorted(map(tuple, jaccard._once(spark.createDataFrame(rows, "a long, b long, wide int")).collect()))
+    assert got == [(2, 1, 1), (3, 4, 0), (5, 4, 0), (6, 7, 3)]
