@@ -1,21 +1,25 @@
-"""Removal of long repeated byte strings, by previous factors in suffix order, spread over tasks by content anchors.
+"""Removal of long repeated byte strings by longest-previous-factor arrays, spread over tasks by content anchors.
 
-A byte goes if a string of LENGTH bytes that covers it also starts anywhere else. A suffix order of all positions would be
-many times the input, so it is made only where it can matter:
+A byte goes if a string of LENGTH bytes that covers it also starts anywhere else. One suffix order of all positions would be
+many times the input, so suffixes are put in order where equal ones can lie:
 
 1. Anchors. Of the GRAM-byte strings in each window of LENGTH bytes the one of least hash is an anchor (the leftmost of
    equals), so equal windows hold the same anchor in the same place. Anchors are counted over all documents by their hash.
-2. Each anchor that occurs again gets its context, the bytes that windows around it can cover. Equal contexts form a class:
-   two copies repeat each other wholly. Classes that share an anchor with no other class are done.
-3. The windows of the other classes are put in suffix order to the depth of LENGTH (by fingerprints of their first LENGTH
-   bytes, which groups exactly the suffixes with a common prefix of that length). In that order the previous and the next
-   smaller position give the longest previous factor; here only whether it reaches LENGTH counts. A later copy has a
-   previous one; the first copy is the previous one of another, and the contract judges all copies alike. Windows of an
-   anchor that very many classes share are dealt out by fingerprint first, so no anchor lands in one task.
-4. Covered ranges are merged for each document and cut out. Documents without any are not shuffled.
+2. Each anchor that occurs again has a context, the bytes that windows around it can cover, known by a 128-bit digest. Equal
+   contexts form a class: its copies repeat each other wholly. Classes that share an anchor with no other class are done.
+3. The first context of each other class is fetched, and the classes of an anchor lie in one task. There the suffixes are put
+   in lexicographic order to the depth of LENGTH bytes, by prefix doubling; in that order the previous and the next smaller
+   position give each position's longest previous factor, and the larger ones the longest factor that comes later. Both are
+   lengths of common prefixes of the bytes themselves. A position repeats if either reaches LENGTH.
+4. An anchor that more than SHARED_BY_MANY classes share is not one task's work: its windows are ordered by Spark, by a 128-bit
+   digest and position, and dealt out by ranges of both, so that even one window that all of them hold is spread; a window's
+   neighbours in that order are its previous and its next copy, and ends of tasks are matched afterwards.
+5. Covered ranges are merged for each document and cut out. Documents without any are not shuffled.
+
+With keep_first only later copies go: the longest previous factor alone decides, and all copies of a class but its first.
 
 Null and empty texts have no bytes. Rows with equal doc_id are documents of their own. Matches never cross documents. Texts of
-any length are worked through in pieces of PIECE bytes.
+any length are worked through in pieces of PIECE bytes. Documents come before one another by file and place in it.
 """
 
 from __future__ import annotations
@@ -25,17 +29,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import U64, Roller, kept, mixed, on_files, placed, table, text_batches, utf8
-from tapewright.llm.filters import key_filter, known, opened, possibly, split_possibly
+from tapewright.llm.common import U64, kept, mixed, on_files, placed, table, text_batches, utf8
+from tapewright.llm.filters import key_filter, known, possibly, split_possibly
 
-LENGTH = 200
+LENGTH = 200  # a multiple of 8
 GRAM = 100
 REACH = LENGTH - GRAM  # bytes before an anchor that a window can cover
 PIECE = 1 << 20
-SHARED_BY_MANY = 2048  # classes
+BLOCK = 1 << 15
+SHARED_BY_MANY = 512  # classes
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in their order."""
+    x = a ^ (a >> U64(32))
+    x *= U64(0x9FB21C651E98DF25)
+    x += b
+    x ^= x >> U64(29)
+    x *= U64(0xD6E8FEB86659FD93)
+    return x
+
+
+def string_hashes(raw: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+    """The hash of the `length` bytes at each position, 64 bytes at least, from those of its halves."""
+    n = len(raw) - length + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    out = np.empty(n, U64)
+    for a in range(0, n, BLOCK):
+        b = min(n, a + BLOCK)
+        part = np.ascontiguousarray(raw[a : b + length - 1])
+        h, size = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,)) ^ U64(seed), 8
+        while 2 * size <= length:
+            h, size = _joined(h[:-size], h[size:]), 2 * size
+        out[a:b] = mixed(_joined(h[: b - a], h[length - size : length - size + b - a]))
+    return out
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -57,8 +88,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = len(raw)
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    at = np.arange(n - GRAM + 1)
-    h = Roller(raw, 17).of(at, at + GRAM)
+    h = string_hashes(raw, GRAM)
     chosen = _least(h, REACH + 1)
     ok = np.zeros(len(chosen), bool)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -99,146 +129,239 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(sent):
-    """place, text -> place, position, anchor hash, context hash, bytes of context before the anchor, context."""
+    """place, text -> place, position, anchor hash, digest of the context, bytes of context before the anchor, its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = opened(sent.value)
+        held = sent.value
         for b, first, raw, offsets, lead in _pieces(batches, 1):
             p, h = anchors(raw, offsets)
             keep = known(held, h) & _own(p, lead)
             p, h = p[keep], h[keep]
             row = np.searchsorted(offsets, p, "right") - 1
             s, e = np.maximum(p - REACH, offsets[row]), np.minimum(p + LENGTH, offsets[row + 1])
-            c = Roller(raw, 19).of(s, e) ^ mixed((p - s).astype(U64)) if len(p) else np.zeros(0, U64)
-            whole = raw.tobytes()
-            ctx = [whole[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)]
+            whole = memoryview(np.ascontiguousarray(raw))
+            left = (p - s).astype(np.int32)
+            c = [hashlib.blake2b(whole[x:y], digest_size=16, salt=z.to_bytes(2, "little")).digest() for x, y, z in zip(s.tolist(), e.tolist(), left.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
-                b.column(0).take(pa.array(row)), pa.array(p - offsets[row] + first), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)),
-                pa.array((p - s).astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.array(ctx, pa.binary()),
-            ], ["place", "pos", "h", "c", "left", "size", "context"])
+                b.column(0).take(pa.array(row)), pa.array(p - offsets[row] + first), pa.array(h.view(np.int64)), pa.array(c, pa.binary()), pa.array(left), pa.array((e - s).astype(np.int32)),
+            ], ["place", "pos", "h", "c", "left", "size"])
 
     return run
 
 
-def _windows(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """h, c, left, context -> key, context and offset of each window of LENGTH bytes.
-
-    Equal windows have the anchor in the same place, and one window can lie in the contexts of two anchors: the key holds the
-    anchor and its place beside the fingerprint.
-    """
-    raw, offsets = utf8(batch.column(3))
+def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text, place, wanted (class, h, members, start, left, size) -> class, h, members, place, start, left, context."""
+    for b in text_batches(batches, 0):
+        raw, offsets = utf8(b.column(0))
+        lists = b.column(2)
+        row = np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths().fill_null(0)))
+        w = lists.flatten()
+        start, size = (np.asarray(w.field(i)).astype(np.int64) for i in (3, 5))
+        at = offsets[row] + start
+        whole = raw.tobytes()
+        ctx = [whole[x:y] for x, y in zip(at.tolist(), (at + size).tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([w.field(0), w.field(1), w.field(2), b.column(1).take(pa.array(row)), w.field(3), w.field(4), pa.array(ctx, pa.binary())], ["class", "h", "members", "place", "start", "left", "context"])
+
+
+def _ranked(x: np.ndarray) -> np.ndarray:
+    """The rank of each value among the distinct ones."""
+    order = np.argsort(x)
+    s = x[order]
+    out = np.empty(len(x), np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])]) if len(x) else s
+    return out
+
+
+class Suffixes:
+    """Ranks of the strings of 8, 16, 32, ... bytes and of `depth` bytes at each position of a buffer, by prefix doubling."""
+
+    def __init__(self, raw: np.ndarray, depth: int = LENGTH):
+        self.depth, n = depth, len(raw)
+        padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+        self.first = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(U64)  # order of numbers is order of bytes
+        self.levels = [(8, _ranked(self.first))]
+        while 2 * self.levels[-1][0] <= depth:
+            size, r = self.levels[-1]
+            self.levels.append((2 * size, self._both(r, r, size)))
+        size, self.rank = self.levels[-1]
+        for step, r in reversed(self.levels):
+            while size + step <= depth:
+                self.rank, size = self._both(self.rank, r, size), size + step
+
+    def _both(self, r: np.ndarray, then: np.ndarray, size: int) -> np.ndarray:
+        behind = np.zeros(len(r), np.int64)
+        behind[: max(0, len(r) - size)] = then[size:] + 1
+        return _ranked(r * (len(r) + 1) + behind)
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The length of the longest common prefix at positions x and y, at most depth; depth bytes must follow both."""
+        out = np.zeros(len(x), np.int64)
+        for size, r in reversed(self.levels):
+            fits = out + size <= self.depth
+            out[fits] += size * (r[x[fits] + out[fits]] == r[y[fits] + out[fits]])
+        rest = out < self.depth
+        differs = self.first[x[rest] + out[rest]] ^ self.first[y[rest] + out[rest]]
+        out[rest] += sum((differs < U64(1 << 64 - 8 * k)).astype(np.int64) for k in range(1, 8))
+        return out
+
+
+def nearest_smaller(p: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with a smaller value, or -1. All places follow each other's pointers at once."""
+    prev = np.arange(-1, len(p) - 1)
+    todo = np.arange(1, len(p))
+    while len(todo):
+        todo = todo[p[prev[todo]] >= p[todo]]
+        prev[todo] = prev[prev[todo]]
+        todo = todo[prev[todo] >= 0]
+    return prev
+
+
+def _previous(s: Suffixes, at: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """For suffixes in order (places `at` of the buffer, positions p): the longest common prefix with one of smaller position."""
+    before, behind = nearest_smaller(p), len(p) - 1 - nearest_smaller(p[::-1])[::-1]
+    out = np.zeros(len(p), np.int64)
+    for near, ok in ((before, before >= 0), (behind, behind < len(p))):
+        i = np.flatnonzero(ok)
+        out[i] = np.maximum(out[i], s.common(at[i], at[near[i]]))
+    return out
+
+
+def longest_factors(s: Suffixes, at: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest previous factor at each of the places `at`, and the longest that occurs later, at most depth bytes.
+
+    position: where each place lies in the corpus; places with the same one are the same text and no copies of each other."""
+    order = np.lexsort((position, s.rank[at]))
+    out = []
+    for p in (position, -position):
+        found = np.empty(len(at), np.int64)
+        found[order] = _previous(s, at[order], p[order])
+        out.append(found)
+    return out[0], out[1]
+
+
+def _windows(contexts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all contexts, and for each window of LENGTH bytes its place in them, its context and its offset in that."""
+    raw, offsets = utf8(contexts)
     n = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
     of = np.repeat(np.arange(len(n)), n)
     off = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    s = offsets[of] + off
-    if not len(s):
-        return np.zeros(0, U64), of, off
-    h, left = np.asarray(batch.column(0)).astype(np.int64).view(np.uint64), np.asarray(batch.column(2)).astype(np.int64)
-    return mixed(Roller(raw, 23).of(s, s + LENGTH) + mixed(h[of] + (LENGTH + left[of] - off).astype(U64))), of, off
+    return raw, offsets[of] + off, of, off
 
 
-def previous_factors(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each position, whether a factor of full length occurs at a smaller and at a larger position.
+def _solved(keep_first: bool):
+    """class, h, members, place, start, left, context -> class, lo, hi: the part of each context that repeated windows cover."""
 
-    keys: what the suffix at each position begins with, to the full length. In suffix order - by key, then position - the
-    previous smaller position is the neighbour before, if it has the same key, and the next one is the neighbour after.
-    """
-    order = np.argsort(keys, kind="stable")
-    same = keys[order[1:]] == keys[order[:-1]]
-    earlier, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-    earlier[order[1:]] = same
-    later[order[:-1]] = same
-    return earlier, later
-
-
-def _ranges(h: pa.Array, c: pa.Array, keys: np.ndarray, of: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
-    """h, c, lo, hi: the part of each context that repeated windows cover. of: the row of each window, in order."""
-    earlier, later = previous_factors(keys)
-    hit = earlier | later
-    of, off = of[hit], off[hit]
-    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
-    i = pa.array(of[first])
-    lo, hi = (np.minimum.reduceat(off, first), np.maximum.reduceat(off, first) + LENGTH) if len(of) else (off, off)
-    return pa.RecordBatch.from_arrays([h.take(i), c.take(i), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["h", "c", "lo", "hi"])
-
-
-def _grouped(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBatch]:
-    """Solves rows sorted by their first column some groups at a time, cut where a group ends."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for b in batches:
-        while b.num_rows:
-            g = np.asarray(b.column(0))
-            if held and rows >= 2 * SHARED_BY_MANY:
-                cut = int(np.argmax(g != held[-1].column(0)[-1].as_py())) if (g != held[-1].column(0)[-1].as_py()).any() else len(g)
-                if cut < len(g):
-                    yield solve(pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks().to_batches()[0])
-                    held, rows, b = [], 0, b.slice(cut)
-            step = b.slice(0, 2 * SHARED_BY_MANY)
-            held.append(step)
-            rows, b = rows + step.num_rows, b.slice(step.num_rows)
-    if held:
-        yield solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+    def solve(t: pa.RecordBatch) -> pa.RecordBatch:
+        raw, at, of, off = _windows(t.column(6))
+        if not len(at):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int32())], ["class", "lo", "hi"])
+        file, row = (np.asarray(t.column(3).field(i)) for i in (0, 1))
+        _, doc = np.unique(np.stack([file, row], axis=1), axis=0, return_inverse=True)
+        position = doc.ravel().astype(np.int64)[of] << 34 | np.asarray(t.column(4)).astype(np.int64)[of] + off
+        earlier, later = longest_factors(Suffixes(raw), at, position)
+        hit = (earlier if keep_first else np.maximum(earlier, later)) >= LENGTH
+        of, off = of[hit], off[hit]
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
+        lo, hi = (np.minimum.reduceat(off, first), np.maximum.reduceat(off, first) + LENGTH) if len(of) else (off, off)
+        return pa.RecordBatch.from_arrays([t.column(0).take(pa.array(of[first])), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["class", "lo", "hi"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Solves rows sorted by h some groups at a time, cut where a group ends."""
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for whole in batches:
+            for x in range(0, whole.num_rows, 2 * SHARED_BY_MANY):
+                b = whole.slice(x, 2 * SHARED_BY_MANY)
+                if rows >= 2 * SHARED_BY_MANY:
+                    other = np.asarray(b.column(1)) != held[-1].column(1)[-1].as_py()
+                    if other.any():
+                        cut = int(np.argmax(other))
+                        yield solve(pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks().to_batches()[0])
+                        held, rows, b = [], 0, b.slice(cut)
+                held.append(b)
+                rows += b.num_rows
+        if rows:
+            yield solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, c, left, context, sorted by h -> h, c, lo, hi."""
-    yield from _grouped(batches, lambda t: _ranges(t.column(0), t.column(1), *_windows(t)))
+    return run
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, c, left, context, members -> the windows of each context, dealt by their keys to as many groups as keep each small."""
-    kind = pa.list_(pa.int64())
+    """class, h, members, place, start, left, context -> a row for each window: digest (k1, k2), place, position, class, offset.
+
+    Equal windows have the anchor in the same place, and one window can lie in the contexts of two anchors: the digest is of the
+    anchor and its place too, so no window is its own copy."""
     for b in batches:
         for x in range(0, b.num_rows, 1024):
             part = b.slice(x, 1024)
-            keys, of, off = _windows(part)
-            many = 2 * -(-np.asarray(part.column(4)) // SHARED_BY_MANY)
-            group = (keys >> U64(20)) % many[of].astype(U64)
-            order = np.lexsort((group, of))
-            keys, of, off, group = keys[order], of[order], off[order], group[order]
-            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (group[1:] != group[:-1])])) if len(of) else np.zeros(0, np.int64)
-            i, at = pa.array(of[first]), pa.array(np.concatenate([first, [len(of)]]).astype(np.int32))
-            g = mixed(np.asarray(part.column(0)).view(np.uint64)[of[first]] + mixed(group[first]))
-            lists = (pa.ListArray.from_arrays(at, pa.array(v.view(np.int64))) for v in (keys, off.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), part.column(0).take(i), part.column(1).take(i), *(v.cast(kind) for v in lists)], ["g", "h", "c", "keys", "offs"])
-
-
-def _covered_of_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """g, h, c, keys, offs, sorted by g -> h, c, lo, hi, of what lies in each group."""
+            raw, at, of, off = _windows(part.column(6))
+            h = np.asarray(part.column(1)).view(np.uint64)[of]
+            rel = (LENGTH + np.asarray(part.column(5)).astype(np.int64)[of] - off).astype(U64)
+            keys = [mixed(string_hashes(raw, LENGTH, seed)[at] + mixed(h + rel + U64(seed))).view(np.int64) if len(at) else np.zeros(0, np.int64) for seed in (0x51ED270B, 0x2F72B421)]
+            i = pa.array(of)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), part.column(3).take(i), pa.array(np.asarray(part.column(4)).astype(np.int64)[of] + off), part.column(0).take(i), pa.array(off.astype(np.int32))], ["k1", "k2", "place", "pos", "class", "off"])
 
-    def solve(t: pa.RecordBatch) -> pa.RecordBatch:
-        n = np.asarray(t.column(3).value_lengths())
-        return _ranges(t.column(1), t.column(2), np.asarray(t.column(3).flatten()).view(np.uint64), np.repeat(np.arange(len(n)), n), np.asarray(t.column(4).flatten()))
 
-    yield from _grouped(batches, solve)
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of k1, k2 and position -> those that equal the row before or behind them, and the ends of the task."""
+    held, known_earlier, first = None, False, True
 
+    def marked(t: pa.RecordBatch, earlier: np.ndarray, later: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+        i = np.flatnonzero(earlier | later | edge)
+        rows = t.take(pa.array(i))
+        flags = (pa.array(x[i]) for x in (earlier, later, edge))
+        return pa.RecordBatch.from_arrays([*rows.columns, *flags], [*rows.schema.names, "earlier", "later", "edge"])
 
-def covered(docs: DataFrame) -> DataFrame:
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        k1, k2 = np.asarray(t.column(0)), np.asarray(t.column(1))
+        same = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
+        earlier, n = np.concatenate([[known_earlier], same]), t.num_rows - 1
+        if n:
+            yield marked(t.slice(0, n), earlier[:n], same, (np.arange(n) == 0) & first)
+            first = False
+        held, known_earlier = t.slice(n), bool(earlier[n])  # the last row waits for what follows it
+    if held is not None:
+        yield marked(held, np.array([known_earlier]), np.array([False]), np.array([True]))
+
+
+def covered(docs: DataFrame, keep_first: bool = False) -> DataFrame:
     """place, start, end: byte ranges, which may overlap, whose union is what is repeated."""
     rows = placed(on_files(docs))
     place = rows.schema["place"].dataType.simpleString()
     spark, n = docs.sparkSession, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = rows.select(F.col("doc.text").alias("text")).mapInArrow(_hashes, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    text = F.col("doc.text").alias("text")
+    counted = rows.select(text).mapInArrow(_hashes, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     again = spark.sparkContext.broadcast(key_filter(kept(counted.select("h"), "anchors")))
-    found = kept(
-        rows.select("place", F.col("doc.text").alias("text"))
-        .mapInArrow(_contexts(again), f"place {place}, pos bigint, h bigint, c bigint, left int, size int, context binary"),
-        "contexts", "zstd",
-    )
-    classes = kept(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("place", "pos")).alias("first"), F.first("size").alias("size")), "classes")
-    shared = kept(classes.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
-    some = kept(classes.where("copies = 1").select("h").distinct().join(shared, "h"), "mixed")  # where all have copies, all is known
-    wanted = kept(classes.join(some, "h").where(F.col("size") >= LENGTH).select("h", "c", "members", F.col("first.place").alias("fp"), F.col("first.pos").alias("fpos")), "wanted")
-    one = possibly(found.select("place", "pos", "left", "context"), key_filter(wanted.select(F.xxhash64("fp", "fpos"))), F.xxhash64("place", "pos"))
-    texts = kept(one.join(wanted, (F.col("place") == F.col("fp")) & (F.col("pos") == F.col("fpos"))).select("h", "c", "members", "left", "context"), "class_contexts", "zstd")
-    few = texts.where(F.col("members") <= SHARED_BY_MANY).select("h", "c", "left", "context").repartition(n, "h").sortWithinPartitions("h").mapInArrow(_covered, "h bigint, c bigint, lo int, hi int")
-    windows = texts.where(F.col("members") > SHARED_BY_MANY).select("h", "c", "left", "context", "members").mapInArrow(_dealt, "g bigint, h bigint, c bigint, keys array<bigint>, offs array<bigint>")
-    many = windows.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_covered_of_many, "h bigint, c bigint, lo int, hi int")
-    copies = classes.where((F.col("copies") > 1) & (F.col("size") >= LENGTH)).select("h", "c", F.lit(0).alias("lo"), F.col("size").alias("hi"))
-    parts = kept(copies.unionByName(few).unionByName(many).groupBy("h", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "class_ranges")
+    found = kept(rows.select("place", text).mapInArrow(_contexts(again), f"place {place}, pos bigint, h bigint, c binary, left int, size int"), "contexts", "zstd")
+    first = F.struct("place", "pos", "left")
+    classes = kept(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), F.first("size").alias("size")).withColumn("class", F.monotonically_increasing_id()), "classes")
+    shared = kept(classes.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("copies").alias("fewest")).where("members > 1"), "shared")
+    if not keep_first:
+        shared = shared.where("fewest = 1")  # where all have copies, all is known
+    start = (F.col("first.pos") - F.col("first.left")).alias("start")
+    wanted = classes.where(F.col("size") >= LENGTH).join(shared, "h").select(F.col("first.place").alias("p"), F.struct("class", "h", "members", start, F.col("first.left").alias("left"), "size").alias("w"))
+    wanted = kept(wanted.groupBy("p").agg(F.collect_list("w").alias("wanted")), "wanted")  # a list is as long as its document
+    some = possibly(rows.select("place", text), key_filter(wanted.select(F.xxhash64("p"))), F.xxhash64("place")).join(wanted, F.col("place") == F.col("p"))
+    texts = kept(some.select("text", "place", "wanted").mapInArrow(_fetched, f"class bigint, h bigint, members bigint, place {place}, start bigint, left int, context binary"), "class_contexts", "zstd")
+    few = texts.where(F.col("members") <= SHARED_BY_MANY).repartition(n, "h").sortWithinPartitions("h").mapInArrow(_solved(keep_first), "class bigint, lo int, hi int")
+    dealt = kept(texts.where(F.col("members") > SHARED_BY_MANY).mapInArrow(_dealt, f"k1 bigint, k2 bigint, place {place}, pos bigint, class bigint, off int"), "windows")
+    order = ("k1", "k2", "place", "pos")
+    marked = kept(dealt.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, f"k1 bigint, k2 bigint, place {place}, pos bigint, class bigint, off int, earlier boolean, later boolean, edge boolean"), "neighbours")
+    ends = Window.partitionBy("k1", "k2").orderBy("place", "pos")  # two rows a task at most
+    edges = marked.where("edge").select("class", "off", (F.col("earlier") | (F.row_number().over(ends) > 1)).alias("earlier"), (F.col("later") | F.lead("off").over(ends).isNotNull()).alias("later"))
+    many = marked.where("not edge").select("class", "off", "earlier", "later").union(edges).where("earlier" if keep_first else "earlier or later")
+    many = many.groupBy("class").agg(F.min("off").alias("lo"), (F.max("off") + LENGTH).alias("hi"))
+    whole = (F.col("copies") > 1) & (F.col("size") >= LENGTH)
+    parts = classes.join(few.unionByName(many), "class", "left").where(whole | F.col("lo").isNotNull()).select("h", "c", "first", whole.alias("whole"), "lo", "hi")
+    own = found.join(kept(parts, "class_ranges"), ["h", "c"])
+    if keep_first:
+        own = own.withColumn("whole", F.col("whole") & (first != F.col("first")))
+    lo, hi = F.when(F.col("whole"), 0).otherwise(F.col("lo")), F.when(F.col("whole"), F.col("size")).otherwise(F.col("hi"))
     start = F.col("pos") - F.col("left")
-    return found.select("place", "pos", "left", "h", "c").join(parts, ["h", "c"]).select("place", (start + F.col("lo")).alias("start"), (start + F.col("hi")).alias("end"))
+    return own.select("place", (start + lo).alias("start"), (start + hi).alias("end")).where("start is not null")
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,35 +373,46 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[first], e[np.concatenate([first[1:], [len(s)]]) - 1] if len(s) else e
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, ranges -> the digest of what stays."""
-    for b in batches:
-        out: list[list] = [[], [], [], []]
-        for t, ranges in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            raw = (t or "").encode()
-            s, e = merged(np.array([r["start"] for r in ranges or ()], np.int64), np.array([r["end"] for r in ranges or ()], np.int64))
-            h, at = hashlib.sha256(), 0
-            for x, y in zip(s.tolist(), e.tolist(), strict=True):
-                h.update(raw[at:x])
-                at = y
-            h.update(raw[at:])
-            for o, v in zip(out, (len(raw), int((e - s).sum()), len(s), h.hexdigest()), strict=True):
-                o.append(v)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def digests(docs: DataFrame) -> DataFrame:
-    """For each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def _cut(text: bool):
+    """doc, text, ranges -> doc, the digest of what stays, and, if `text`, what stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_batches(batches, 1):
+            out: list[list] = [[], [], [], [], []]
+            for t, ranges in zip(b.column(1), b.column(2), strict=True):
+                raw = (t.as_py() or "").encode()
+                r = ranges.values.flatten() if ranges.is_valid else None
+                s, e = merged(*(np.asarray(x) for x in r)) if r else (np.zeros(0, np.int64),) * 2
+                left = [raw[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(raw)], strict=True)]
+                h = hashlib.sha256()
+                for part in left:
+                    h.update(part)
+                for o, v in zip(out, (len(raw), int((e - s).sum()), len(s), h.hexdigest(), b"".join(left) if text else None), strict=True):
+                    o.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "left"])
+
+    return run
+
+
+def removed(docs: DataFrame, keep_first: bool = True, text: bool = True) -> DataFrame:
+    """For each row of docs: doc (its columns), n_bytes, n_removed, n_spans, kept_sha256, and `left`, the bytes that stay.
+
+    Cuts may fall inside a character, so what stays is bytes. Without `text`, left is null."""
     docs = on_files(docs)
-    ranges = covered(docs).groupBy("place").agg(F.collect_list(F.struct("start", "end")).alias("ranges")).select(F.col("place").alias("p"), "ranges")
+    ranges = covered(docs, keep_first).groupBy("place").agg(F.collect_list(F.struct("start", "end")).alias("ranges")).select(F.col("place").alias("p"), "ranges")
     ranges = kept(ranges, "ranges")
-    key = F.xxhash64("place")
-    hit, clear = split_possibly(placed(docs), key_filter(ranges.select(F.xxhash64("p"))), key)
-    doc_id, text = F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    hit, clear = split_possibly(placed(docs), key_filter(ranges.select(F.xxhash64("p"))), F.xxhash64("place"))
+    schema = f"doc {placed(docs).schema['doc'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, left binary"
     none = F.lit(None).cast("array<struct<start: bigint, end: bigint>>").alias("ranges")
-    return hit.join(ranges, F.col("place") == F.col("p"), "left").select(doc_id, text, "ranges").mapInArrow(_cut, schema).unionByName(clear.select(doc_id, text, none).mapInArrow(_cut, schema))
+    body = F.col("doc.text").alias("body")
+    found = hit.join(ranges, F.col("place") == F.col("p"), "left").select("doc", body, "ranges").unionByName(clear.select("doc", body, none))
+    return found.mapInArrow(_cut(text), schema)
+
+
+def digests(docs: DataFrame, keep_first: bool = False) -> DataFrame:
+    """For each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return removed(docs.select("doc_id", "text"), keep_first, False).select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 QUERY = "op7_repeats"

@@ -3,8 +3,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tapewright.llm import repeats
+from tapewright.llm.common import kept
 
 
 def brute(rows, length=200):
@@ -40,7 +42,7 @@ def rows(seed):
 
 
 def test_like_brute_force(spark, monkeypatch):
-    for seed, many in ((1, 2048), (2, 3), (3, 1)):
+    for seed, many in ((1, 512), (2, 3), (3, 1)):
         monkeypatch.setattr(repeats, "SHARED_BY_MANY", many)
         r = rows(seed)
         got = repeats.digests(spark.createDataFrame(r, "doc_id long, text string")).collect()
@@ -49,8 +51,6 @@ def test_like_brute_force(spark, monkeypatch):
 
 def test_pieces_of_long_texts(monkeypatch):
     rng = np.random.default_rng(4)
-    import pyarrow as pa
-
     raw = bytes(rng.integers(97, 101, 30000, np.uint8)).decode()
     b = pa.RecordBatch.from_pydict({"place": [1], "text": [raw]})
     whole = sorted(np.concatenate([np.asarray(x.column(0)) for x in repeats._hashes(iter([b.select([1])]))]).tolist())
@@ -61,3 +61,75 @@ def test_pieces_of_long_texts(monkeypatch):
 
 def test_empty(spark):
     assert repeats.digests(spark.createDataFrame([], "doc_id long, text string, place string")).count() == 0
+
+
+def test_keep_first(spark, monkeypatch):
+    """Of all places of a 200-byte string one stays: what is left holds each string of the input once or in parts."""
+    for many in (512, 1):
+        monkeypatch.setattr(repeats, "SHARED_BY_MANY", many)
+        r = rows(6)
+        docs = spark.createDataFrame(r, "doc_id long, text string").coalesce(1)
+        docs = kept(docs, "docs")
+        got = repeats.removed(docs).select("doc.*", "left", "n_removed").collect()
+        order = [t or "" for t in docs.toPandas().text]  # one file: places are in its order
+        seen, want = set(), Counter()
+        for t in (x.encode() for x in order):
+            gone = np.zeros(len(t), bool)
+            for i in range(len(t) - 199):
+                if t[i : i + 200] in seen:
+                    gone[i : i + 200] = True
+                seen.add(t[i : i + 200])
+            want[(t, bytes(np.frombuffer(t, np.uint8)[~gone]))] += 1
+        assert Counter(((x.text or "").encode(), bytes(x.left)) for x in got) == want
+        assert any(x.n_removed for x in got)
+
+
+def test_factor_arrays():
+    """The longest previous and later factors of every place against comparison with all others."""
+    rng = np.random.default_rng(5)
+    for depth, letters, n in ((16, 2, 300), (40, 3, 260), (200, 1, 450), (8, 4, 120)):
+        raw = rng.integers(97, 97 + letters, n, np.uint8)
+        at = np.arange(n - depth + 1)
+        position = rng.permutation(len(at)) // 2  # some places are the same text
+        raw = raw if letters == 1 else np.concatenate([raw[: n // 2], raw[: n - n // 2]])
+        earlier, later = repeats.longest_factors(repeats.Suffixes(raw, depth), at, position)
+
+        def common(i, j):
+            d = np.flatnonzero(raw[i : i + depth] != raw[j : j + depth])
+            return int(d[0]) if len(d) else depth
+
+        for i in at.tolist():
+            assert earlier[i] == max((common(i, j) for j in at.tolist() if position[j] < position[i]), default=0)
+            assert later[i] == max((common(i, j) for j in at.tolist() if position[j] > position[i]), default=0)
+
+
+def test_nearest_smaller():
+    rng = np.random.default_rng(1)
+    for p in (rng.integers(0, 9, 200), np.arange(50), np.arange(50)[::-1], np.zeros(30, int)):
+        want = [max((j for j in range(i) if p[j] < p[i]), default=-1) for i in range(len(p))]
+        assert repeats.nearest_smaller(p).tolist() == want
+
+
+def test_strings_that_polynomial_hashes_confuse(spark):
+    x = "".join("ab"[bin(i).count("1") % 2] for i in range(512))
+    y = x.translate(str.maketrans("ab", "ba"))
+    r = [(1, x[:256]), (2, y[:256]), (3, "q" + x[100:400]), (4, "r" + y[100:400])]
+    got = repeats.digests(spark.createDataFrame(r, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(r))
+    raw = np.frombuffer((x + y).encode() * 3, np.uint8)
+    h = repeats.string_hashes(raw, 100)
+    assert len(set(h.tolist())) == len({raw[i : i + 100].tobytes() for i in range(len(h))})
+
+
+def test_ends_of_tasks():
+    """Neighbours in one task, over batches of any size."""
+    rng = np.random.default_rng(2)
+    k = np.sort(rng.integers(0, 30, 60))
+    t = pa.RecordBatch.from_pydict({"k1": k, "k2": k % 3, "place": np.arange(60), "pos": np.arange(60), "class": np.arange(60), "off": np.arange(60, dtype=np.int32)})
+    for step in (1, 7, 60):
+        got = pa.Table.from_batches(list(repeats._neighbours(iter([t.slice(i, step) for i in range(0, 60, step)])))).to_pylist()
+        found = {r["class"]: (r["earlier"], r["later"]) for r in got if r["earlier"] or r["later"]}
+        n = Counter(k.tolist())
+        assert set(found) == {i for i in range(60) if n[k[i]] > 1}
+        assert all(found[i] == (i > 0 and k[i - 1] == k[i], i < 59 and k[i + 1] == k[i]) for i in found)
+        assert [r["class"] for r in got if r["edge"]] == [0, 59]
