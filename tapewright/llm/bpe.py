@@ -15,6 +15,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -36,7 +37,9 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 S_END, S_LETTER, S_NUMBER, S_OTHER, S_MID, S_BLANK, S_SPACE, S_TICK1, S_TICK2 = range(9)
 # States: what the code points so far have left open.
 NEW, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACES, JOINS, ONE_MORE, TWO_MORE = range(8)
-CACHED = 1 << 19
+CACHED, CACHED_BYTES = 1 << 19, 64
+LONG = 1 << 20  # characters
+INNER_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
 @functools.cache
@@ -139,9 +142,10 @@ class Merger(dict):
 
     def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= self.most:
-            self.clear()
+            self.clear()  # at most `most` pieces of CACHED_BYTES bytes
         out = np.array([self.ranks[p] for p in self.merged(piece)], "<u4").tobytes()
-        self[piece] = out
+        if len(piece) <= CACHED_BYTES:
+            self[piece] = out
         return out
 
     def merged(self, piece: bytes) -> list[bytes]:
@@ -218,6 +222,28 @@ def pieces_of(texts: list[str]) -> Iterator[tuple[list[bytes], np.ndarray]]:
         a = b + 1
 
 
+def stretches(text: str) -> Iterator[str]:
+    """A long text in parts of about LONG characters that can be cut into pieces each by itself.
+
+    Between a character that is no white space and a blank with another such character behind it a piece always begins."""
+    a = 0
+    while len(text) - a > 2 * LONG and (cut := INNER_BLANK.search(text, a + LONG)):
+        yield text[a : cut.start()]
+        a = cut.start()
+    yield text[a:]
+
+
+def _encoded(text: str, get) -> tuple[bytes, np.ndarray]:
+    """The packed ids of a text, and the byte offsets of its pieces."""
+    ids, offsets, base = [], [], 0
+    for part in stretches(text):
+        for pieces, at in pieces_of([part]):
+            ids.append(b"".join(map(get, pieces)))
+            offsets.append(at + base)
+            base += sum(map(len, pieces))
+    return b"".join(ids), np.concatenate(offsets)
+
+
 def encoded(batches: Iterator[pa.RecordBatch], raw: bytes, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Each batch with the columns ids and offsets instead of the text."""
     get = merger(raw).__getitem__
@@ -227,8 +253,13 @@ def encoded(batches: Iterator[pa.RecordBatch], raw: bytes, text: str = "text") -
         for x, y in slices(sizes):
             part = b.slice(x, y - x)
             ids, offsets = [], []
-            for pieces, at in pieces_of([t or "" for t in part.column(i).to_pylist()]):
-                ids.append(b"".join(map(get, pieces)))
+            texts = [t or "" for t in part.column(i).to_pylist()]
+            if len(texts) == 1 and len(texts[0]) > 2 * LONG:
+                found = [_encoded(texts[0], get)]
+            else:
+                found = ((b"".join(map(get, pieces)), at) for pieces, at in pieces_of(texts))
+            for packed, at in found:
+                ids.append(packed)
                 offsets.append(at.astype(np.int32))
             bounds = np.cumsum([0, *(len(v) // 4 for v in ids)]).astype(np.int32)
             arrays = {f.name: c for k, (f, c) in enumerate(zip(part.schema, part.columns, strict=True)) if k != i}

@@ -29,6 +29,12 @@ def kept(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """df in at most four partitions a core, each made of whole ones that run one after another: what is held at once stays as it
+    is, and a table of ids and numbers does not become thousands of small files and tasks."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -154,7 +160,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
         if total[b] - total[a] > 4 * CHUNK:  # one word
             for x in range(int(starts[a]), int(ends[a]), CHUNK):
                 part = raw[x : min(x + CHUNK, int(ends[a]))]
-                out[a] += _placed_values(np.arange(x - starts[a], x - starts[a] + len(part)), part.astype(U64), seed).sum()
+                out[a : a + 1] += _placed_values(np.arange(x - starts[a], x - starts[a] + len(part)), part.astype(U64), seed).sum()
             continue
         first = total[a:b] - total[a]
         place = np.arange(int(total[b] - total[a])) - np.repeat(first, np.diff(total[a : b + 1]))
@@ -211,11 +217,23 @@ def shingled(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     return h[at], out
 
 
+SAMPLE_BYTES = 24 << 20  # of text that a fitted sample may have
+SAMPLE_TEXT = 256 << 10  # bytes of the longest text in a sample
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most `most` labelled rows that are not held out, those of the least hash of their id."""
-    known = labels.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
+    """Texts and labels of a bounded sample of the labelled rows that are not held out.
+
+    The sample: the rows of the least hashes of id and text whose texts have at most SAMPLE_TEXT bytes, as many as make `most`
+    rows and SAMPLE_BYTES. A document with several labels counts with each. The same rows make the same sample."""
+    known = labels.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").limit(most).collect()  # `most` rows of two numbers are sent
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # `most` rows of two numbers are sent
+    order = ("by", "doc_id", "label", "of_text")
+    rows = rows.select(F.xxhash64("doc_id").alias("by"), "doc_id", "label", F.xxhash64("text").alias("of_text"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), "text").where(F.col("size") <= SAMPLE_TEXT)
+    rows = kept(rows, "sample")
+    sizes = rows.select(*order, "size").orderBy(*order).limit(most).toPandas()["size"].cumsum()  # `most` rows of numbers
+    rows = rows.orderBy(*order).limit(int((sizes <= SAMPLE_BYTES).sum())).collect()
     return [r.text or "" for r in rows], np.array([r.label for r in rows], np.int64)
 
 

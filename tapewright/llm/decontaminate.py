@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import LOWERED, kept, on_files, placed, runs, shingled, slices, table, utf8, word_hashes
+from tapewright.llm.common import LOWERED, kept, narrow, on_files, placed, runs, shingled, slices, table, utf8, word_hashes
 from tapewright.llm.filters import key_filter, known
 
 WINDOW, SHINGLE = 10, 5
@@ -124,7 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .withColumn("near", F.slice("words", F.col("from") + 1, F.lit(2 * reach + SHINGLE + 1)))
         .drop("words")
     )
-    counted = kept(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "shingle_counts")
+    counted = kept(narrow(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df"))), "shingle_counts")
     distinct = windows.groupBy("words").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
     rarest = (
         distinct.select("words", "n", F.size("shingles").alias("all"), F.posexplode("shingles").alias("pos", "h"))
@@ -142,19 +142,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .where(same)
         .select("place", (F.col("first") + start).alias("start"), (F.col("first") + start + F.col("len")).alias("end"), "window")
     )
-    hits = kept(hits, "hits")
+    hits = kept(narrow(hits), "hits")
     past = Window.partitionBy("place").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.lit(0).cast("long"), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(past), F.lit(0).cast("long"))))
     # Items: windows with the same items share a set; documents with the same sets share a combination.
     sets = windows.groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items")).select(F.col("words").alias("window"), F.sha2(F.array_join("items", ","), 256).alias("set"), "items")
-    sets = kept(sets, "item_sets")
+    sets = kept(narrow(sets), "item_sets")
     per = (
         hits.join(sets.select("window", "set"), "window")
         .select("place", "set", new.alias("new"))
         .groupBy("place").agg(F.sum("new").alias("n_hit"), F.sort_array(F.collect_set("set")).alias("sets"))
         .withColumn("combination", F.sha2(F.array_join("sets", ","), 256))
     )
-    per = kept(per, "hit_documents")
+    per = kept(narrow(per), "hit_documents")
     combined = (
         per.groupBy("combination").agg(F.first("sets").alias("sets"))
         .select("combination", F.explode("sets").alias("set"))
@@ -163,9 +163,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .groupBy("combination").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
         .select("combination", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     )
-    found = per.join(kept(combined, "combinations"), "combination").select(F.col("place").alias("p"), "n_hit", "n_items", "items_sha256")
+    found = per.join(kept(narrow(combined), "combinations"), "combination").select(F.col("place").alias("p"), "n_hit", "n_items", "items_sha256")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return base.join(kept(found, "found"), F.col("place") == F.col("p"), "left").select(
+    return base.join(kept(narrow(found), "found"), F.col("place") == F.col("p"), "left").select(
         "place", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )

@@ -3,7 +3,9 @@
 Pass one hashes every normalised text and fills, in each task, two bit arrays: bits that some hash has set, and bits of
 hashes whose bits had all been set before. Arrays of two tasks merge by `twice = t1 | t2 | (o1 & o2)`, `once = o1 | o2`,
 which never loses a repeated hash. Pass two tests each row: rows that cannot be repeated pass straight through, the rest
-shuffle by their hash. The arrays have 16 bits a row, at most MOST_BITS; beyond that size more rows shuffle, nothing is lost.
+shuffle by their hash. The arrays have 16 bits a row, at most MOST_BITS. A table of more rows is dealt out by ranges of the
+hash - digests and places only, never texts - and each range has its own two passes and arrays, so the share of rows that
+passes straight through is the same at every size.
 
 Null and empty texts are equal to each other. Of equal texts the largest doc_id stays (null ids are smallest); of rows with
 the same id and text the one that lies last (file name, place in the file) stays. Other columns play no part.
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType, BooleanType
 
-from tapewright.llm.common import LOWERED, kept, on_files, placed, table
+from tapewright.llm.common import LOWERED, kept, narrow, on_files, placed, scratch, table
+from tapewright.llm.filters import key_filter, split_possibly
 
 HASHES = 4
 BITS_A_ROW = 16
@@ -98,9 +101,9 @@ def repeated_filter(digested: DataFrame) -> tuple[np.ndarray, int]:
     bits = min(max(LEAST_BITS, 1 << max(0, n * BITS_A_ROW - 1).bit_length()), MOST_BITS)
     schema = "slice int, once binary, twice binary"
     parts = digested.select("digest").mapInArrow(_filled(bits), schema)
-    merged = parts.repartition("slice").mapInArrow(_merged, schema)
+    merged = narrow(parts.repartition("slice")).mapInArrow(_merged, schema)
     array = np.zeros(bits >> 6, np.uint64)
-    for r in merged.select("slice", "twice").toLocalIterator():
+    for r in merged.select("slice", "twice").collect():
         part = np.frombuffer(zlib.decompress(bytes(r.twice)), np.uint64)
         array[r.slice * SLICE : r.slice * SLICE + len(part)] = part
     return array, bits
@@ -116,22 +119,38 @@ def _tester(spark, array: np.ndarray, bits: int):
     return possibly
 
 
-def _digested(rows: DataFrame) -> DataFrame:
-    return kept(rows.select(F.col("doc.doc_id").alias("doc_id"), "place", digests("doc.text").alias("digest")), "digests")
+def ranges_for(rows: int) -> int:
+    """How many ranges of digests keep 16 bits a row within MOST_BITS."""
+    return max(1, -(-rows * BITS_A_ROW // MOST_BITS))
 
 
-def _groups(digested: DataFrame, possibly) -> DataFrame:
+def _tested(rows: DataFrame) -> DataFrame:
+    """doc_id, place, digest, and whether the digest is possibly repeated (again)."""
+    spark, n = rows.sparkSession, ranges_for(rows.count())
+    digested = rows.select(F.col("doc.doc_id").alias("doc_id"), "place", digests("doc.text").alias("digest"))
+    if n == 1:
+        digested = kept(digested, "digests")
+        return digested.withColumn("again", _tester(spark, *repeated_filter(digested))("digest"))
+    part = F.shiftright(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("bigint") * n, 32).cast("int")
+    path, out = scratch(spark, "digests"), scratch(spark, "tested")
+    with_part = digested.withColumn("part", part)
+    with_part.repartition(8 * n, "part", F.crc32(F.substring("digest", 5, 4)) % 8).write.partitionBy("part").parquet(path)
+    for i in range(n):
+        one = spark.read.schema(with_part.schema).parquet(path).where(F.col("part") == i).drop("part")
+        one.withColumn("again", _tester(spark, *repeated_filter(one))("digest")).write.mode("append").parquet(out)
+    return spark.read.schema(digested.withColumn("again", F.lit(True)).schema).parquet(out)
+
+
+def _groups(tested: DataFrame) -> DataFrame:
     """digest, keep (id and place of the row that stays), group_size; of possibly repeated digests."""
-    found = digested.where(possibly("digest")).groupBy("digest").agg(F.max(F.struct("doc_id", "place")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    return kept(found, "groups")
+    found = tested.where("again").groupBy("digest").agg(F.max(F.struct("doc_id", "place")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    return kept(narrow(found), "groups")
 
 
 def decisions(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    digested = _digested(placed(on_files(docs)))
-    possibly = _tester(docs.sparkSession, *repeated_filter(digested))
-    groups = _groups(digested, possibly)
-    tested = digested.withColumn("again", possibly("digest"))
+    tested = _tested(placed(on_files(docs)))
+    groups = _groups(tested)
     one = tested.where(~F.col("again")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     more = (
         tested.where("again").join(groups, "digest")
@@ -141,19 +160,16 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their columns. Texts that cannot be repeated are not shuffled."""
+    """The rows of docs that stay, with their columns. Texts that the filter of rows that go does not know are not shuffled."""
     rows = placed(on_files(docs))
-    digested = _digested(rows)
-    possibly = _tester(docs.sparkSession, *repeated_filter(digested))
+    tested = _tested(rows)
     gone = kept(
-        digested.where(possibly("digest")).join(_groups(digested, possibly).where("group_size > 1"), "digest")
+        tested.where("again").join(_groups(tested).where("group_size > 1"), "digest")
         .where(~F.struct("doc_id", "place").eqNullSafe(F.col("keep"))).select(F.col("place").alias("gone")),
         "gone",
     )
-    tested = rows.withColumn("again", possibly(digests("doc.text")))
-    one = tested.where(~F.col("again")).select("doc.*")
-    more = tested.where("again").join(gone, F.col("place") == F.col("gone"), "left_anti").select("doc.*")
-    return one.unionByName(more)
+    some, clear = split_possibly(rows, key_filter(gone.select(F.xxhash64("gone"))), F.xxhash64("place"))
+    return clear.select("doc.*").unionByName(some.join(gone, F.col("place") == F.col("gone"), "left_anti").select("doc.*"))
 
 
 QUERY = "op9_exact_dedup"

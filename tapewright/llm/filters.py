@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType
 
-from tapewright.llm.common import U64
+from tapewright.llm.common import U64, narrow
 
 BITS_A_KEY = 16
 LEAST, MOST = 1 << 16, 1 << 28  # bits: 8 KB to 32 MB; beyond 16 million keys more rows pass, and none is lost
@@ -59,7 +59,7 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     """The filter of a column of mixed 64-bit hashes without nulls; keys is read twice, so it should lie on disk."""
     bits = size_for(keys.count())
     out = np.zeros((bits // 8 // PART, PART), np.uint8)
-    for r in keys.mapInArrow(_filled(bits), _SCHEMA).repartition("k").mapInArrow(_merge, _SCHEMA).toLocalIterator():
+    for r in narrow(narrow(keys).mapInArrow(_filled(bits), _SCHEMA).repartition("k")).mapInArrow(_merge, _SCHEMA).collect():  # bits / 8 bytes
         out[r.k] = np.frombuffer(bytes(r.bits), np.uint8)
     return out.ravel()
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import LOWERED, U64, kept, mixed, on_files, placed, runs, shingled, table, text_batches, utf8, word_hashes
+from tapewright.llm.common import LOWERED, U64, kept, mixed, narrow, on_files, placed, runs, shingled, table, text_batches, utf8, word_hashes
 from tapewright.llm.components import components
 from tapewright.llm.filters import key_filter, possibly, split_possibly
 
@@ -105,7 +105,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rarity(counts: DataFrame) -> np.ndarray:
     """The level of each counter: 0 up to three standard deviations above the mean, then by the logarithm. COUNTERS bytes."""
     out = np.zeros((COUNTERS // PART, PART))
-    for r in counts.repartition("slice").mapInArrow(_summed, "slice int, counts binary").toLocalIterator():
+    for r in narrow(counts.repartition("slice")).mapInArrow(_summed, "slice int, counts binary").collect():
         out[r.slice] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
     flat = out.ravel()
     spread = np.sqrt(max(1.0, flat.mean()))  # of counters that hold rare shingles only
@@ -201,16 +201,16 @@ class Join:
         self.rows = both.where("slice is null").drop("slice", "counts")
         level = self.spark.sparkContext.broadcast(rarity(both.where("slice is not null").select("slice", "counts")))
         classes = self.rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("place").alias("place"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("least"))
-        self.classes = kept(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+        self.classes = kept(narrow(classes).withColumn("class", F.monotonically_increasing_id()), "classes")
         signed = self.texts.mapInArrow(_prefixes(k, per_cent, level), f"place {place}, score double, bins array<int>, prefix array<bigint>")
-        self.signed = kept(signed.join(self.classes.select("place", "class", F.col("n").cast("int").alias("n")), "place"), "prefixes")
+        self.signed = kept(narrow(signed.join(self.classes.select("place", "class", F.col("n").cast("int").alias("n")), "place")), "prefixes")
         self.tokens = self.signed.select("class", "n", "score", F.posexplode("prefix").alias("pos", "h"))
 
     def roots(self) -> DataFrame:
         """node, root of every class that links with another."""
-        buckets = kept(self.tokens.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("score", "class", "n", "pos")).alias("m")).where("members > 1"), "buckets")
+        buckets = kept(narrow(self.tokens.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("score", "class", "n", "pos")).alias("m")).where("members > 1")), "buckets")
         # The pivot is the member whose prefix is most common: what a group of copies has in common, not one much edited.
-        shared = kept(self.tokens.drop("score").join(buckets.select("h", "members", F.col("m.class").alias("p"), F.col("m.n").alias("np"), F.col("m.pos").alias("pp")), "h"), "shared")
+        shared = kept(narrow(self.tokens.drop("score").join(buckets.select("h", "members", F.col("m.class").alias("p"), F.col("m.n").alias("np"), F.col("m.pos").alias("pp")), "h")), "shared")
         small, large = shared.where(F.col("members") <= MEMBERS), shared.where(F.col("members") > MEMBERS)
         stars = small.where("class <> p").select(F.col("p").alias("a"), F.col("class").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb"), F.col("pp").alias("pa"), F.col("pos").alias("pb"))
         near = self._pairs(stars, 2).withColumn("wide", F.lit(0))  # a pair is seen in some of its buckets only: half will do
@@ -219,7 +219,7 @@ class Join:
         roots = components(first.where("linked").select("a", "b"))
         part = small.select("h", "class", "n", "pos").join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
         open_ = part.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("h")
-        left = kept(part.join(open_, "h", "left_semi"), "open_members")
+        left = kept(narrow(part.join(open_, "h", "left_semi")), "open_members")
         x, y = (left.select("h", *(F.col(c).alias(f"{c}{s}") for c in ("class", "n", "pos", "root"))) for s in "ab")
         pairs = x.join(y, "h").where("classa < classb and roota <> rootb").select(F.col("classa").alias("a"), F.col("classb").alias("b"), "na", "nb", F.col("posa").alias("pa"), F.col("posb").alias("pb"))
         more = self._pairs(pairs, 1).union(self._around_pivots(first.where("wide > 0"), roots)).distinct()
@@ -232,7 +232,7 @@ class Join:
         ends = late.join(up, F.col("a") == F.col("of"), "left").select(F.coalesce("up", "a").alias("a"), "b").join(up, F.col("b") == F.col("of"), "left").select("a", F.coalesce("up", "b").alias("b"))
         above = components(ends).select(F.col("node").alias("of"), F.col("root").alias("up"))
         new = above.join(roots, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("node"), F.col("up").alias("root"))
-        return kept(roots.join(above, F.col("root") == F.col("of"), "left").select("node", F.coalesce("up", "root").alias("root")).union(new), "roots")
+        return kept(narrow(roots.join(above, F.col("root") == F.col("of"), "left").select("node", F.coalesce("up", "root").alias("root")).union(new)), "roots")
 
     def _around_pivots(self, wide: DataFrame, roots: DataFrame) -> DataFrame:
         """a, b (a < b): pairs of members of large buckets that may link though they are in different components.
@@ -251,8 +251,8 @@ class Join:
         d = wide.where("wide & 1 > 0").select("a", "b", "linked", "na", "nb", "more", "less").union(wide.where("wide & 2 > 0").select("b", "a", "linked", "nb", "na", "less", "more"))
         d = d.select(F.col("a").alias("p"), F.col("b").alias("class"), "linked", F.col("na").alias("np"), F.col("nb").alias("n"), F.size("more").cast("bigint").alias("m"), (F.size("more") + F.size("less")).cast("bigint").alias("s"), signs.alias("signs"))
         d = d.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
-        d = kept(d.withColumn("far", 100 * (F.col("n") - F.col("m")) < t * F.col("n")).withColumn("sign", F.explode("signs")).select("p", "class", "linked", "np", "n", "m", "s", "root", "far", "sign.*"), "signs")
-        often = kept(d.groupBy("p", "e").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("p", "e", "df"), "elements")
+        d = kept(narrow(d.withColumn("far", 100 * (F.col("n") - F.col("m")) < t * F.col("n")).withColumn("sign", F.explode("signs")).select("p", "class", "linked", "np", "n", "m", "s", "root", "far", "sign.*")), "signs")
+        often = kept(narrow(d.groupBy("p", "e").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("p", "e", "df")), "elements")
         grown = F.greatest(F.col("n") - F.col("np"), F.lit(0))
         least = F.greatest(F.ceil((F.col("s") + 1 - grown) / 2), F.floor((F.col("s") - (100 - t) / (100 + t) * (F.col("n") - F.col("np")) - 1) / 2) + 1, F.lit(1))
         own = Window.partitionBy("p", "class")
@@ -260,7 +260,7 @@ class Join:
         size = F.when(F.col("far"), F.least(F.col("n") - F.ceil(t * F.col("n") / 100) + 1, F.col("m"))).otherwise(F.col("s") - least + 1)
         d = d.join(often, ["p", "e"]).withColumn("counts", counts).withColumn("size", size)
         d = d.withColumn("rank", F.row_number().over(own.orderBy(F.desc("counts"), "df", "e"))).withColumn("alone", F.when(F.col("far"), F.col("m")).otherwise(F.col("s")) - F.count_if("counts").over(own))
-        d = kept(d.select("p", "e", "class", "linked", "n", "s", "root", (F.col("s") - F.col("size")).alias("rest"), (F.col("counts") & (F.col("rank") + F.col("alone") <= F.col("size"))).alias("prefix")), "differences")
+        d = kept(narrow(d.select("p", "e", "class", "linked", "n", "s", "root", (F.col("s") - F.col("size")).alias("rest"), (F.col("counts") & (F.col("rank") + F.col("alone") <= F.col("size"))).alias("prefix"))), "differences")
         x = d.where("not linked").select("p", "e", *(F.col(c).alias(f"x_{c}") for c in ("class", "n", "s", "root")))
         y = d.where("prefix").select("p", "e", *(F.col(c).alias(f"y_{c}") for c in ("class", "n", "s", "root", "rest")))
         fits = 100 * F.least("x_n", "y_n") >= t * F.greatest("x_n", "y_n")
@@ -290,20 +290,20 @@ class Join:
         apart = F.aggregate(F.zip_with("a_bins", "b_bins", lambda u, v: F.abs(u - v)), F.lit(0), lambda u, v: u + v)
         n = F.col("a_n") + F.col("b_n")
         may = (F.col("wide") > 0) | (apart <= n - 2 * F.ceil(t * n / (100 + t)))
-        pairs = kept(pairs.join(y, "b").join(x, "a").where(may).select("a", "b", "wide", "a_place", "b_place"), "pairs")
-        wanted = kept(pairs.select(F.col("a").alias("class"), F.col("a_place").alias("place")).union(pairs.select("b", "b_place")).distinct(), "wanted")
+        pairs = kept(narrow(pairs.join(y, "b").join(x, "a").where(may).select("a", "b", "wide", "a_place", "b_place")), "pairs")
+        wanted = kept(narrow(pairs.select(F.col("a").alias("class"), F.col("a_place").alias("place")).union(pairs.select("b", "b_place")).distinct()), "wanted")
         key = F.xxhash64("place")
-        texts = kept(possibly(self.texts, key_filter(wanted.select(key)), key).join(wanted, "place").select("class", "text"), "candidates")
+        texts = kept(narrow(possibly(self.texts, key_filter(wanted.select(key)), key).join(wanted, "place").select("class", "text")), "candidates")
         mine = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
         both = mine.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "wide", "ta", "tb")
-        return both.mapInArrow(_verified(self.k, t), "a bigint, b bigint, wide int, linked boolean, na bigint, nb bigint, more array<bigint>, less array<bigint>")
+        return narrow(both).mapInArrow(_verified(self.k, t), "a bigint, b bigint, wide int, linked boolean, na bigint, nb bigint, more array<bigint>, less array<bigint>")
 
     def grouped(self) -> DataFrame:
         """For each row: place, doc_id, n_shingles, component_id, and whether it is the one of its component that stays."""
         of = self.classes.join(self.roots(), F.col("class") == F.col("node"), "left").select("n", "k1", "k2", "least", F.coalesce("root", "class").alias("root"))
-        of = kept(of, "class_roots")
-        least = kept(of.groupBy("root").agg(F.min("least").alias("stays")), "least")
-        of = kept(of.join(least, "root").select("n", "k1", "k2", "stays"), "class_components")
+        of = kept(narrow(of), "class_roots")
+        least = kept(narrow(of.groupBy("root").agg(F.min("least").alias("stays"))), "least")
+        of = kept(narrow(of.join(least, "root").select("n", "k1", "k2", "stays")), "class_components")
         alone = self.rows.where("n = 0").select("place", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
         rest = self.rows.where("n > 0").join(of, ["n", "k1", "k2"]).select("place", "doc_id", F.col("n").alias("n_shingles"), F.col("stays.doc_id").alias("component_id"), (F.col("place") == F.col("stays.place")).alias("stays"))
         return alone.union(rest)
@@ -318,7 +318,7 @@ def deduplicated(docs: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
 
     Rows that the filter of those that go does not know pass straight through."""
     docs = on_files(docs)
-    gone = kept(near_groups(docs, k, per_cent).where("not stays").select(F.col("place").alias("gone")), "gone")
+    gone = kept(narrow(near_groups(docs, k, per_cent).where("not stays").select(F.col("place").alias("gone"))), "gone")
     some, clear = split_possibly(placed(docs), key_filter(gone.select(F.xxhash64("gone"))), F.xxhash64("place"))
     return clear.select("doc.*").unionByName(some.join(gone, F.col("place") == F.col("gone"), "left_anti").select("doc.*"))
 

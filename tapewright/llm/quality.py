@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import LOWERED, Roller, U64, held_out, labelled, mixed, runs, slices, table, text_batches, utf8
+from tapewright.llm.common import LOWERED, U64, held_out, labelled, mixed, runs, slices, table, text_batches, utf8, word_hashes
 
 SAMPLE = 6000
 BINS = 10
 STEPS, RATE, DECAY = 60, 0.2, 1e-3
+CHUNK = 1 << 20  # bytes of lines that are worked through together; a longer line is alone
+LONG_CHAIN = 2048  # lines; both ways give the same marginals
 
 
 def _mask(*codes: int) -> np.ndarray:
@@ -41,6 +43,34 @@ _LINE = ~_mask(0x0A)
 N_OWN = len(_KINDS) + 6
 
 
+def _statistics(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the lines at s to e are not blank, and all statistics of those but the one that compares lines."""
+    raw, s, e = raw[s[0] : e[-1]], s - s[0], e - s[0]
+    filled = np.concatenate([np.zeros(1, np.int32), np.cumsum(~_BLANK[raw], dtype=np.int32)])
+    keep = filled[e] > filled[s]
+    s, e = s[keep], e[keep]
+    if not len(s):
+        return keep, np.zeros((0, N_OWN - 1))
+    n = filled[e] - filled[s]
+    own = []
+    for mask in _KINDS.values():
+        c = np.concatenate([np.zeros(1, np.int32), np.cumsum(mask[raw], dtype=np.int32)])
+        own.append((c[e] - c[s]) / n)
+    ws, we = runs(~_BLANK[raw], np.unique(np.concatenate([[0], s, e, [len(raw)]])))
+    a, b = np.searchsorted(ws, s), np.searchsorted(ws, e)
+    words = np.maximum(b - a, 1)
+    line = np.repeat(np.arange(len(s)), b - a)
+    mine = word_hashes(LOWERED[raw], ws, we, 11)[np.arange(len(line)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)]
+    again = np.concatenate([[0], np.cumsum(np.concatenate([[False], (mine[1:] == mine[:-1]) & (line[1:] == line[:-1])]))])
+    begin = np.concatenate([[0], np.cumsum(b - a)])
+    own.append((again[begin[1:]] - again[begin[:-1]]) / words)
+    own.append(np.bincount(np.unique(line.astype(U64) << U64(40) | (mixed(mine) >> U64(24))).astype(U64) >> U64(40), minlength=len(s)) / words)
+    own.append(np.log1p(n))
+    own.append(np.log1p(words))
+    own.append(n / words)
+    return keep, np.stack(own, axis=1)
+
+
 class Lines:
     """The lines of the rows of a text column, with their statistics."""
 
@@ -48,39 +78,18 @@ class Lines:
         raw, offsets = utf8(column)
         self.rows = len(column)
         s, e = runs(_LINE[raw], offsets)
-        filled = np.concatenate([[0], np.cumsum(~_BLANK[raw])])
-        keep = filled[e] > filled[s]
+        parts = [_statistics(raw, s[a:b], e[a:b]) for a, b in slices(np.concatenate([s[:1], e]), CHUNK)]
+        keep = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, bool)
         s, e = s[keep], e[keep]
         self.row = np.searchsorted(offsets, s, "right") - 1
-        n = np.maximum(filled[e] - filled[s], 1)
         self.length = (e - s).astype(np.float64)
-        own = []
-        for mask in _KINDS.values():
-            c = np.concatenate([[0], np.cumsum(mask[raw], dtype=np.int32)])
-            own.append((c[e] - c[s]) / n)
-        ws, we = runs(~_BLANK[raw], offsets)
-        h = Roller(LOWERED[raw], 11).of(ws, we) if len(ws) else np.zeros(0, U64)
-        a, b = np.searchsorted(ws, s), np.searchsorted(ws, e)
-        words = np.maximum(b - a, 1)
-        line = np.repeat(np.arange(len(s)), b - a)
-        at = np.arange(len(line)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
-        mine = h[at]
-        again = np.concatenate([[0], np.cumsum(np.concatenate([[False], (mine[1:] == mine[:-1]) & (line[1:] == line[:-1])]))])
-        begin = np.concatenate([[0], np.cumsum(b - a)])
-        own.append((again[begin[1:]] - again[begin[:-1]]) / words)
-        distinct = np.bincount(np.unique(line.astype(U64) << U64(40) | (mixed(mine) >> U64(24)), return_index=False).astype(U64) >> U64(40), minlength=len(s)) if len(line) else np.zeros(len(s))
-        own.append(distinct / words)
-        own.append(np.log1p(n))
-        own.append(np.log1p(words))
-        own.append(n / words)
-        own.append(self._shared(raw, s, e))
-        self.own = np.stack(own, axis=1) if len(s) else np.zeros((0, N_OWN))
+        self.own = np.column_stack([np.concatenate([x for _, x in parts]), self._shared(raw, s, e)]) if len(s) else np.zeros((0, N_OWN))
 
     def _shared(self, raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """How many lines of the same row have the same text, as a logarithm."""
         if not len(s):
             return np.zeros(0)
-        key = Roller(raw, 13).of(s, e) ^ mixed(self.row.astype(U64))
+        key = word_hashes(raw, s, e, 13) ^ mixed(self.row.astype(U64))
         _, index, count = np.unique(key, return_inverse=True, return_counts=True)
         return np.log(count[index])
 
@@ -122,6 +131,8 @@ def forward_backward(unary: np.ndarray, trans: np.ndarray, row: np.ndarray) -> t
     if not n:
         return np.zeros(0), np.zeros((2, 2))
     most = int(count[0])
+    if most > LONG_CHAIN:
+        return _scanned(w, scale, row)
     alive = np.searchsorted(-count, -np.arange(most), "left")  # chains with more than t lines
     for t in range(most):
         i = first[: alive[t]] + t
@@ -140,6 +151,33 @@ def forward_backward(unary: np.ndarray, trans: np.ndarray, row: np.ndarray) -> t
     return m[:, 1] / m.sum(axis=1), expected
 
 
+def _scanned(w: np.ndarray, scale: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """forward_backward by scans of 2 x 2 matrices in log2(lines) rounds: for long chains, where a step for each line is slow."""
+    starts = np.concatenate([[True], row[1:] != row[:-1]])
+    step = scale[None] * w[:, None, :]  # [i, j]: from label i of the line before to label j of this one
+    a = _prefix_products(np.where(starts[:, None, None], w[:, None, :], step))[:, 0, :]  # what begins a chain forgets the past
+    ends = np.concatenate([starts[1:], [True]])
+    follow = np.concatenate([w[1:], np.ones((1, 2))])
+    back = np.where(ends[:, None, None], 1.0, scale[None] * follow[:, None, :])  # [i, j]: label i here, j on the next line
+    back = _prefix_products(np.swapaxes(back, 1, 2)[::-1])[::-1][:, 0, :]
+    m = a * back
+    inner = np.flatnonzero(~ends)
+    both = a[inner][:, :, None] * scale * (w[inner + 1] * back[inner + 1])[:, None, :]
+    expected = (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    return m[:, 1] / m.sum(axis=1), expected
+
+
+def _prefix_products(x: np.ndarray) -> np.ndarray:
+    """x[0] @ ... @ x[t] for each t, each scaled to sum 1: the first rows of products whose chain began with equal rows."""
+    x = x / x.sum(axis=(1, 2), keepdims=True)
+    size = 1
+    while size < len(x):
+        y = x[:-size] @ x[size:]
+        x = np.concatenate([x[:size], y / y.sum(axis=(1, 2), keepdims=True)])
+        size *= 2
+    return x
+
+
 def _raw_scores(marginals: np.ndarray, lines: Lines) -> np.ndarray:
     weight = np.bincount(lines.row, lines.length, minlength=lines.rows)
     total = np.bincount(lines.row, lines.length * marginals, minlength=lines.rows)

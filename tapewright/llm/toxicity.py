@@ -27,6 +27,7 @@ STEPS, RATE, DECAY = 200, 0.1, 1e-5
 
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
+LONG = 1 << 20  # bytes
 _STOP = np.zeros(256, np.int64)
 _STOP[[0x21, 0x2E, 0x3F, 0x0A]] = 1
 
@@ -66,6 +67,14 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(z / 2))
 
 
+def loss_gradient(z: np.ndarray, row: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Minus the log-likelihood of the documents' labels under noisy-or of their sentences' logits z, and its gradient in z."""
+    s = np.bincount(row, _softplus(z), minlength=len(y))  # minus the logarithm of the probability that no sentence is
+    some = np.maximum(-np.expm1(-s), 1e-9)
+    loss = np.where(y == 1, -np.log(some), s).sum()
+    return float(loss), _sigmoid(z) * np.where(y == 1, -np.exp(-s) / some, 1.0)[row]
+
+
 def fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights of the buckets (bucket 0 is none) and the bias.
 
@@ -101,10 +110,7 @@ def fit(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
     v = np.log(rate[1] / rate[0])[used] * 0.5
     m, s, b, mb, sb = np.zeros(len(used)), np.zeros(len(used)), -5.0, 0.0, 0.0
     for t in range(1, STEPS + 1):
-        z = b + np.bincount(sentence, v[feature], minlength=base)
-        p = _sigmoid(z)
-        none = np.exp(-np.bincount(row, _softplus(z), minlength=n))  # probability that no sentence is
-        g = p * np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0)[row]
+        g = loss_gradient(b + np.bincount(sentence, v[feature], minlength=base), row, y)[1]
         gb = g.sum() / n
         gv = np.bincount(feature, g[sentence], minlength=len(used)) / n + DECAY * v
         m, s = 0.9 * m + 0.1 * gv, 0.99 * s + 0.01 * gv * gv
@@ -124,21 +130,41 @@ def _noisy_or(z: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.clip(-np.expm1(-np.bincount(row, _softplus(z), minlength=rows)), 0, 1) if len(z) else np.zeros(rows)
 
 
+def _parts(column: pa.Array) -> Iterator[tuple[pa.Array, int]]:
+    """A column of texts as it is, or a single long text in parts that end with sentences, and the code points before each."""
+    raw, offsets = utf8(column)
+    if len(column) > 1 or len(raw) <= 2 * LONG:
+        yield column, 0
+        return
+    stops = np.flatnonzero(_STOP.astype(bool)[raw]) + 1
+    a, points = 0, 0
+    while a < len(raw):
+        i = int(np.searchsorted(stops, min(a + LONG, len(raw)), "left"))
+        b = int(stops[i]) if i < len(stops) else len(raw)
+        part = raw[a:b]
+        yield pa.array([part.tobytes().decode()], pa.large_string()), points
+        points += int(((part & 0xC0) != 0x80).sum())
+        a = b
+
+
 def _scored(sent, columns: list[str], at_least: float):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value
         for b in text_batches(batches, len(columns)):
-            bags = Bags(b.column(len(columns)))
-            z = bags.logits(weights, bias)
             found: list[list[dict]] = [[] for _ in range(b.num_rows)]
-            if len(bad := np.flatnonzero(_sigmoid(z) >= at_least)):
-                points = code_points(bags.raw)
-                for i in bad.tolist():
-                    base = points[bags.offsets[bags.row[i]]]
-                    found[bags.row[i]].append({"start": int(points[bags.start[i]] - base), "end": int(points[bags.end[i]] - base), "score": float(_sigmoid(z[i]))})
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(_noisy_or(z, bags.row, b.num_rows)), pa.array(found, kind)], [*columns, "score", "offending"])
+            none = np.zeros(b.num_rows)  # minus the logarithm of the probability that no sentence is
+            for part, before in _parts(b.column(len(columns))):
+                bags = Bags(part)
+                z = bags.logits(weights, bias)
+                none += np.bincount(bags.row, _softplus(z), minlength=b.num_rows)
+                if len(bad := np.flatnonzero(_sigmoid(z) >= at_least)):
+                    points = code_points(bags.raw)
+                    for i in bad.tolist():
+                        base = points[bags.offsets[bags.row[i]]] - before
+                        found[bags.row[i]].append({"start": int(points[bags.start[i]] - base), "end": int(points[bags.end[i]] - base), "score": float(_sigmoid(z[i]))})
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(np.clip(-np.expm1(-none), 0, 1)), pa.array(found, kind)], [*columns, "score", "offending"])
 
     return run
 

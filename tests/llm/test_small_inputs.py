@@ -1,6 +1,7 @@
 """Each operator on nulls, empty and long texts, ties, repeated rows, empty tables, and columns whose names clash with its own."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -38,10 +39,23 @@ def test_exact_dedup_filter_of_the_least_size(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "LEAST_BITS", 64)
     monkeypatch.setattr(exact_dedup, "MOST_BITS", 64)  # full: every row shuffles, the result is the same
     rows = [(i, f"t{i % 60}") for i in range(200)]
+    monkeypatch.setattr(exact_dedup, "ranges_for", lambda n: 1)
     got = exact_dedup.decisions(docs(spark, rows)).collect()
     assert all(r.keep_id == max(i for i, t in rows if t == f"t{r.doc_id % 60}") for r in got) and sum(r.kept for r in got) == 60
 
 
+@pytest.mark.parametrize("most,ranges", [(1 << 28, 1), (1 << 9, 7)])
+def test_exact_dedup_by_ranges(spark, monkeypatch, most, ranges):
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", most)
+    monkeypatch.setattr(exact_dedup, "LEAST_BITS", 64)
+    rows = [(i, f"t{i % 60}" if i < 120 else f"single {i}") for i in range(200)]
+    assert exact_dedup.ranges_for(len(rows)) == ranges
+    got = exact_dedup.decisions(docs(spark, rows)).collect()
+    assert len(got) == 200 and sum(r.kept for r in got) == 140
+    assert all(r.keep_id == (60 + r.doc_id % 60 if r.doc_id < 120 else r.doc_id) and r.group_size == (2 if r.doc_id < 120 else 1) for r in got)
+    assert sorted(r.doc_id for r in exact_dedup.deduplicated(docs(spark, rows)).collect()) == list(range(60, 200))
+
+
 ITEMS = [(1, "a b c d e f g h i j k l m"), (2, "x Y z"), (3, None), (4, ""), (5, "..."), (6, "b c d e f g h i j k"), (None, "x y z"), (7, "p p p p p p p p p p p p")]
 
 
@@ -162,19 +176,61 @@ def test_surt():
     assert warc.surt(None) == ")/"
 
 
+def reference_pipeline(rows, labels, benchmark):
+    """The five stages in plain Python, each on all rows and pairs; only the fitted model of the first is shared."""
+    import tiktoken
+    from tapewright.llm import bpe
+
+    rows_known = sorted((t, q) for d, t in rows for e, q in labels if d == e and zlib.crc32(str(d).encode()) % 5)
+    score = toxicity.score_texts([t or "" for _, t in rows], toxicity.fit([t or "" for t, _ in rows_known], np.array([q for _, q in rows_known])))
+    docs = [r for r, s in zip(rows, score) if s < 0.5]
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    docs = [(d, t) for d, t in docs if d == max(e for e, u in docs if lower(u) == lower(t))]
+    sets = []
+    for _, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    docs = [(d, t) for (d, t), g in zip(docs, group) if d == min(e for (e, _), h in zip(docs, group) if h == g)]
+    docs = [r for r, x in zip(docs, brute(docs, benchmark)) if not x[-1]]
+    with open(bpe.vocabulary_path(), "rb") as f:
+        ranks = {__import__("base64").b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+    import public_tokenizers
+
+    encoding = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = []
+    for d, t in docs:
+        ids = np.array(encoding.encode_ordinary(t or ""), "<u4")
+        out.append((d, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    return out
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 6)))
     base = " ".join(f"w{i}" for i in range(80))
     rows = [(1, base), (2, base.upper()), (3, base + " extra"), (4, "clean text of its own"), (5, None), (6, ""), (7, "a b c d e f g h i j k"), (8, "You vile zork. Leave."), (9, "Nothing at all here")]
+    for i in range(60):  # copies, near copies, and texts with a passage of the benchmark
+        w = [word() for _ in range(60)]
+        rows += [(100 + 10 * i, " ".join(w)), (101 + 10 * i, " ".join(w).upper()), (102 + 10 * i, " ".join(w[: -(i % 9) or None]))]
+        if i % 5 == 0:
+            rows += [(103 + 10 * i, " ".join(w[:20]) + " A b c d e f g h i j " + " ".join(w[30:])), (104 + 10 * i, " ".join(w) + ". You vile zork.")]
     train = [(1000 + i, ("You vile zork. " if i % 3 == 0 else "A calm day. ") + f"number {i}") for i in range(200)]
+    labels = [(1000 + i, int(i % 3 == 0)) for i in range(200)]
     spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows + train], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1000 + i, 1, int(i % 3 == 0)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(d, 1, q) for d, q in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "A B C D E F G H I J")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard", "decontamination", "byte_bpe"]
-    out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r.doc_id < 1000}
-    assert sorted(out) == [2, 4, 6, 9]
-    assert out[4].decoded_sha256 == hashlib.sha256(rows[3][1].encode()).hexdigest()
+    got = sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+    assert got == sorted(reference_pipeline(rows + train, labels, [(1, "A B C D E F G H I J")]))
+    mine = {r[0] for r in got}
+    assert {2, 4, 6, 9} <= mine and not mine & {1, 3, 5, 7, 8}
 
 
 def test_words_of_arrays():
