@@ -86,3 +86,81 @@ def class_rollup(rows: DataFrame, record: tuple[str, ...], cls: str, blockers: d
     held = flags.select(F.col(cls).alias("was"), F.array_sort(F.array_compact(F.array(*(F.when(F.col(f"is_{k}"), F.lit(k)) for k in blockers)))).alias("blockers"))
     blocked = F.size("blockers") > 0
     return held.groupBy(F.when(blocked, "BLOCKED").otherwise(F.col("was")).alias("class"), F.when(blocked, F.col("was")).otherwise("").alias("blocked_from"), "blockers").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tallied(rows: DataFrame, *key: str) -> DataFrame:
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def orders_by_hour(requests: DataFrame) -> DataFrame:
+    return requests.where("method <> 'GET'").groupBy(F.date_trunc("hour", "ts").cast("string").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def status_tally(requests: DataFrame) -> DataFrame:
+    return requests.groupBy("http_status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("method") == "GET").alias("reads"))
+
+
+def call_cost(requests: DataFrame, tokens: int) -> DataFrame:
+    """What a call seems to cost: tokens earned in the hours with calls over the calls that went through."""
+    hours = requests.groupBy("method", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("http_status") == 200).alias("fine"))
+    return hours.groupBy("method").agg(F.sum("calls").alias("calls"), F.round(tokens * F.count(F.lit(1)) / F.sum("fine"), 6).alias("inferred_cost"))
+
+
+def top_blockers(requests: DataFrame, most: int) -> DataFrame:
+    """The commonest kinds of failed call: a report of fixed length."""
+    failed = requests.where((F.col("http_status") != 200) | F.col("transport_error"))
+    return tallied(failed.withColumn("blocker", F.concat_ws(" ", "method", F.col("http_status").cast("string"))), "blocker").orderBy(F.desc("n"), "blocker").limit(most)
+
+
+def gates_and_modes(requests: DataFrame) -> DataFrame:
+    """Orders by the first gate that stops them and by mode. Ages and modes stand in for fields that the log lacks."""
+    age, queued = F.col("req_id") % 5 * 40, F.col("req_id") % 7 * 30
+    gate = F.when(age > 150, "expired_ttl").when(queued > 150, "expired_queue").otherwise("sent")
+    mode = F.element_at(F.array(*map(F.lit, ("data_collect", "shadow", "live"))), (F.col("req_id") % 3 + 1).cast("int"))
+    return tallied(requests.select(gate.alias("gate"), mode.alias("mode")), "gate", "mode")
+
+
+def recent(requests: DataFrame, word: str, most: int) -> DataFrame:
+    """The newest requests that hold a word: the log view's fixed length."""
+    return requests.where(F.contains(F.lower(F.concat("method", "path")), F.lit(word))).orderBy(F.desc("req_id")).limit(most).select("req_id", "method", "http_status")
+
+
+def retained(requests: DataFrame, most: int) -> DataFrame:
+    """The newest rows of each account: what a bounded history keeps."""
+    k = F.row_number().over(Window.partitionBy("account").orderBy(F.desc("req_id")))
+    return requests.withColumn("k", k).where(F.col("k") <= most).select("account", "req_id")
+
+
+def _payoff() -> Column:
+    return F.col("size") * (F.when(F.col("yes_wins"), 100).otherwise(0) - F.col("price_cents"))
+
+
+def win_loss(settled: DataFrame, width: int) -> DataFrame:
+    band = F.floor(F.col("price_cents") / width).cast("int").alias("band")
+    return settled.groupBy("ticker", band).agg(F.count_if("yes_wins").alias("wins"), F.count(F.lit(1)).alias("n"), F.sum(_payoff()).alias("pnl_cents"))
+
+
+def books(settled: DataFrame) -> DataFrame:
+    """Markets, result, wins and losses of each book, from one row for each of its markets."""
+    m = settled.groupBy("family", "ticker").agg(F.sum(_payoff()).alias("pnl"), F.count_if("yes_wins").alias("wins"), F.count_if(~F.col("yes_wins")).alias("losses"))
+    return m.groupBy(F.col("family").alias("book")).agg(F.count(F.lit(1)).alias("markets"), F.sum("pnl").alias("realized_cents"), F.sum("wins").alias("wins"), F.sum("losses").alias("losses"))
+
+
+def daily_edge(settled: DataFrame, small: int) -> DataFrame:
+    """Profit of each day from small gains, from large losses, and in all."""
+    pnl = _payoff()
+    return settled.groupBy(F.to_date("ts").cast("string").alias("day")).agg(
+        F.sum(F.when(pnl.between(0, small), pnl).otherwise(0)).alias("freq_edge"), F.sum(F.when(pnl < -small, pnl).otherwise(0)).alias("mag_edge"), F.sum(pnl).alias("net"),
+    )
+
+
+def set_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """How many keys of the left are missing on the right, and how many there are extra."""
+    k = left.columns[0]
+    sides = left.distinct().withColumn("l", F.lit(1)).join(right.distinct().withColumn("r", F.lit(1)), k, "full_outer")
+    n = sides.agg(F.count_if(F.col("r").isNull()).alias("missing"), F.count_if(F.col("l").isNull()).alias("extra"))
+    return n.unpivot([], ["missing", "extra"], "side", "n")
+
+
+def kind_counts(frames: DataFrame) -> DataFrame:
+    return frames.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("side") == "yes").alias("yes_side"))

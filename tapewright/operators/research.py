@@ -141,3 +141,80 @@ def conserved(manifest: DataFrame, actual: DataFrame) -> DataFrame:
         .when(F.col("m.ids") != F.col("a.ids"), "REPLACED").otherwise("EXACT")
     )
     return x.select("channel", "day", expected.alias("expected"), got.alias("actual"), state.alias("state"))
+
+
+def state() -> Column:
+    """Which sides of a book row are there."""
+    bid, ask = F.col("yes_bid"), F.col("yes_ask")
+    return F.when(bid.isNull() & ask.isNull(), "NONE").when(ask.isNull(), "BID_ONLY").when(bid.isNull(), "ASK_ONLY").when(bid >= ask, "CROSSED").otherwise("TWO_SIDED")
+
+
+def transitions(l1: DataFrame) -> DataFrame:
+    """How often a state follows a state, in each market's order of time."""
+    was = F.lag("state").over(Window.partitionBy("ticker").orderBy("ts", "event_id"))
+    return l1.withColumn("state", state()).withColumn("was", was).where("was is not null").groupBy("was", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def utc_rhythm(l1: DataFrame) -> DataFrame:
+    """Updates and active market-minutes by hour of the day, from one row for each market and minute."""
+    minutes = l1.groupBy("ticker", F.date_trunc("minute", "ts").alias("minute")).agg(F.count(F.lit(1)).alias("n"))
+    h = minutes.groupBy(F.hour("minute").alias("hour")).agg(F.sum("n").alias("updates"), F.count(F.lit(1)).alias("active_market_minutes"))
+    return h.withColumn("rate", F.round(F.col("updates") / F.col("active_market_minutes"), 6))
+
+
+def in_active_slots(trades: DataFrame, l1: DataFrame, slot: str) -> DataFrame:
+    """Trades of each market in slots of time in which its book moved."""
+    active = l1.select("ticker", F.date_trunc(slot, "ts").alias("slot")).distinct()
+    met = trades.withColumn("slot", F.date_trunc(slot, "ts")).join(active, ["ticker", "slot"], "left_semi")
+    return met.groupBy("ticker").agg(F.count(F.lit(1)).alias("trades"), F.sum("size").alias("contracts"))
+
+
+def graph_status(markets: DataFrame, dim: DataFrame) -> DataFrame:
+    d = dim.select("ticker", "event_ticker", "series", F.lit(True).alias("known"))
+    status = F.when(F.col("known").isNull(), "MISSING_MARKET_DIM").when(F.col("event_ticker").isNull(), "MISSING_EVENT_DIM").otherwise("CANONICAL_FAMILY_EVENT")
+    return markets.select("ticker").distinct().join(d, "ticker", "left").select("ticker", "event_ticker", "series", status.alias("mapping_status"))
+
+
+def coverage(channels: dict[str, DataFrame]) -> DataFrame:
+    """Market-days, and rows and markets of each channel, by day: one union and two sums instead of outer joins."""
+    names = list(channels)
+    rows = None
+    for name, df in channels.items():
+        one = df.groupBy(F.to_date("ts").cast("string").alias("day"), "ticker").agg(F.count(F.lit(1)).alias(name))
+        rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+    per = rows.groupBy("day", "ticker").agg(*(F.sum(n).alias(n) for n in names))
+    return per.groupBy("day").agg(F.count(F.lit(1)).alias("market_days"), *(F.coalesce(F.sum(n), F.lit(0)).alias(f"{n}_rows") for n in names), *(F.count(n).alias(f"{n}_markets") for n in names))
+
+
+def past_seq(frames: DataFrame) -> DataFrame:
+    """frames with the greatest sequence number before each message of its stream."""
+    w = Window.partitionBy("epoch", "sid").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    return frames.withColumn("past", F.max("seq").over(w))
+
+
+def quality_days(frames: DataFrame, calendar: DataFrame, most: int) -> DataFrame:
+    """State and disposition of each calendar day; a day without rows is absent, not clean."""
+    day = F.to_date("ts").cast("string").alias("day")
+    d = past_seq(frames).groupBy(day).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("seq") > F.col("past") + 1).alias("gaps"), F.count_if(F.col("seq") <= F.col("past")).alias("back"))
+    x = calendar.select(day).distinct().join(d, "day", "left")
+    absent, bad = F.col("rows").isNull(), (F.col("gaps") > most) | (F.col("back") > most)
+    blockers = F.concat(F.when(F.col("gaps") > most, "sequence_gaps;").otherwise(""), F.when(F.col("back") > most, "regressions;").otherwise(""))
+    return x.select(
+        "day", F.coalesce("rows", F.lit(0)).alias("n_rows"), F.when(absent, "NOT_APPLICABLE").when(bad, "REFUSED").otherwise("PASS").alias("state"),
+        F.when(absent, "ABSENT_NOT_CAPTURED").when(bad, "EXCLUDED_DATA_QUALITY").otherwise("INCLUDED_CLEAN_DATE").alias("disposition"), blockers.alias("blockers"),
+    )
+
+
+def evidence(frames: DataFrame) -> DataFrame:
+    """Tier of each stream by its share of gaps."""
+    g = past_seq(frames).groupBy("sid").agg(F.count_if(F.col("seq") > F.col("past") + 1).alias("gaps"), F.count(F.lit(1)).alias("n"))
+    clean = F.col("gaps") == 0
+    return g.select("sid", F.when(clean, "A").when(F.col("gaps") * 100 <= F.col("n"), "B").otherwise("C").alias("tier"), F.when(clean, "").otherwise("sequence_gaps").alias("downgrade"))
+
+
+def estimable(counts: DataFrame, needs: list[tuple[str, str]]) -> DataFrame:
+    """Which methods have rows of all inputs that they need. counts: input, n; needs: (method, input), a short list."""
+    need = counts.sparkSession.createDataFrame(needs, "method string, input string")
+    x = need.join(counts, "input", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    missing = F.count_if(F.col("n") == 0)
+    return x.groupBy("method").agg(F.min("n").alias("eligible"), F.when(missing == 0, "EXECUTED").otherwise("NOT_ESTIMABLE").alias("state"), missing.alias("missing_inputs"))

@@ -6,6 +6,7 @@ Frames: arrival (total order), epoch, sid, ticker, kind (snapshot, delta, contro
 
 from __future__ import annotations
 
+import heapq
 from collections import deque
 from collections.abc import Iterator
 
@@ -90,6 +91,13 @@ def levels(frames: DataFrame) -> DataFrame:
     return kept.groupBy(*BOOK, "valid", "side", "price_cents").agg(F.sum("d").alias("size")).where("size <> 0")
 
 
+def best_sizes(lv: DataFrame) -> DataFrame:
+    """Best bid and ask of each book with levels on both sides, and the sizes there. The ask is what the best no bid implies."""
+    top = lambda side, c: F.max_by(F.when(F.col("side") == side, F.col(c)), F.when(F.col("side") == side, F.col("price_cents")))
+    b = lv.groupBy(*BOOK).agg(top("yes", "price_cents").alias("bid"), top("yes", "size").alias("bid_size"), (100 - top("no", "price_cents")).alias("ask"), top("no", "size").alias("ask_size"))
+    return b.where("bid is not null and ask is not null")
+
+
 def top_of_book(frames: DataFrame) -> DataFrame:
     """Best bids of both sides after each applied message. States are maxima over an ordered history, so the messages of a
     segment stream through one task in order; segments are dealt out, and a task holds the levels of one at a time."""
@@ -118,6 +126,56 @@ def top_of_book(frames: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, "epoch int, sid bigint, ticker string, segment bigint, arrival bigint, best_yes bigint, best_no bigint, yes_ask bigint, crossed boolean")
 
 
+def top_depths(frames: DataFrame, k: int) -> DataFrame:
+    """Depth of the k best levels of each side after each applied message. Tasks and state are as in top_of_book."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, sides = None, {}
+        for rows in batches:
+            out = []
+            for epoch, sid, ticker, segment, arrival, side, price, d in rows.itertuples(index=False):
+                key = (epoch, sid, ticker, segment)
+                if key != last:
+                    last, sides = key, {"yes": {}, "no": {}}
+                book = sides[side]
+                size = book.get(price, 0) + d
+                if size > 0:
+                    book[price] = size
+                else:
+                    book.pop(price, None)
+                out.append((*key, arrival, *(sum(b[p] for p in heapq.nlargest(k, b)) for b in sides.values())))
+            yield pd.DataFrame(out, columns=["epoch", "sid", "ticker", "segment", "arrival", "yes_depth", "no_depth"])
+
+    rows = labelled(frames).where("label in ('snapshot', 'applied')").select(*BOOK, "segment", "arrival", "side", "price_cents", F.col("d").cast("bigint").alias("d"))
+    dealt = rows.repartition(*BOOK, "segment").sortWithinPartitions(*BOOK, "segment", "arrival")
+    return dealt.mapInPandas(run, "epoch int, sid bigint, ticker string, segment bigint, arrival bigint, yes_depth bigint, no_depth bigint")
+
+
+def depth_baseline(frames: DataFrame, k: int, back: int) -> DataFrame:
+    """Top-k depth of both sides after each message, and its mean over up to `back` messages before (chosen); null for the first."""
+    before = Window.partitionBy(*BOOK, "segment").orderBy("arrival").rowsBetween(-back, -1)
+    depth = F.col("yes_depth") + F.col("no_depth")
+    return top_depths(frames, k).select(*BOOK, "segment", "arrival", depth.alias("depth"), F.avg(depth).over(before).alias("baseline"))
+
+
+def crosschecked(top: DataFrame, saved: DataFrame) -> DataFrame:
+    """Best prices of rebuilt books against saved ones, null-safe: how many were compared and how many diverge, by stream.
+
+    top: epoch, sid, ticker, valid, best_yes, best_no; only valid books count. saved: ticker, saved_yes, saved_no."""
+    x = top.where("valid").join(saved, "ticker")
+    same = F.col("best_yes").eqNullSafe(F.col("saved_yes")) & F.col("best_no").eqNullSafe(F.col("saved_no"))
+    return x.groupBy(*STREAM).agg(F.count(F.lit(1)).alias("compared"), F.count_if(~same).alias("diverged"))
+
+
+def memberships(frames: DataFrame) -> DataFrame:
+    """Intervals in which a market is a member of a stream: from the snapshot that binds it to the control frame that forgets it."""
+    w = Window.partitionBy(*BOOK).orderBy("arrival")
+    f = frames.where("kind in ('snapshot', 'control')").withColumn("was", F.lag("kind").over(w))
+    bind, end = (F.col("kind") == "snapshot") & ~F.col("was").eqNullSafe(F.lit("snapshot")), (F.col("kind") == "control") & (F.col("was") == "snapshot")
+    f = f.where(bind | end).withColumn("forgotten_at", F.lead("arrival").over(w))
+    return f.where("kind = 'snapshot'").select(*BOOK, F.col("arrival").alias("bound_at"), "forgotten_at")
+
+
 def checksums(frames: DataFrame) -> DataFrame:
     """A hash of each book's final state: validity, last number, sorted yes and no levels."""
     last = frames.groupBy(*BOOK).agg(F.max_by("seq", "arrival").alias("last_seq"))

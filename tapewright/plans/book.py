@@ -69,6 +69,27 @@ def membership(spark, sf_dir):
     return _frames(spark, sf_dir).where("kind = 'snapshot'").groupBy("sid", "ticker").agg(F.min("arrival").alias("bound_at"), F.count(F.lit(1)).alias("snapshots"))
 
 
+K, BACK = 3, 20
+
+
+def depth_baseline(spark, sf_dir):
+    """Messages of each market whose top-3 depth is under and over its trailing mean, and the sum of depths."""
+    d, b = F.col("depth"), F.col("baseline")
+    return sequence.depth_baseline(_frames(spark, sf_dir), K, BACK).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.sum("depth").alias("depth"), F.count_if(d < b).alias("under"), F.count_if(d > b).alias("over"), F.round(F.avg("baseline"), 6).alias("mean_baseline"))
+
+
+def book_crosscheck(spark, sf_dir):
+    """Rebuilt books against the last top-of-book row of their market, which stands for a saved page."""
+    lv = sequence.levels(_frames(spark, sf_dir)).groupBy(*sequence.BOOK, "valid")
+    top = lv.agg(F.max(F.when(F.col("side") == "yes", F.col("price_cents"))).alias("best_yes"), F.max(F.when(F.col("side") == "no", F.col("price_cents"))).alias("best_no"))
+    last = view(spark, sf_dir, "l1").groupBy("ticker").agg(F.max_by(F.struct("yes_bid", "yes_ask"), "event_id").alias("s"))
+    return sequence.crosschecked(top, last.select("ticker", F.col("s.yes_bid").alias("saved_yes"), (100 - F.col("s.yes_ask")).alias("saved_no"))).drop("epoch")
+
+
+def membership_intervals(spark, sf_dir):
+    return sequence.memberships(_frames(spark, sf_dir)).drop("epoch")
+
+
 _CLASS = """, pm as (select *, max(seq) over (partition by epoch, sid order by arrival rows between unbounded preceding and 1 preceding) as m from frames),
 c as (select *, case when m is null then 'First' when seq = m + 1 then 'Ok' when seq <= m then 'Stale' else 'Gap' end as seq_class from pm)
 """
@@ -88,8 +109,26 @@ LEVELS = _VALID + """, fin as (select sid, ticker, max(segment) as segment, arg_
 lv as (select lab.sid, lab.ticker, valid, side, price_cents, cast(sum(d) as bigint) as size from lab join fin using (sid, ticker, segment) where label in ('snapshot', 'applied') group by all having sum(d) <> 0)
 """
 
-QUERIES = {f.__name__: f for f in (seq_class, seq_gap_report, book_levels, book_validity, book_drop_counts, book_depth, book_top_of_book, book_checksums, replay_equivalence, gap_recovery, stream_silence, membership)}
+QUERIES = {f.__name__: f for f in (seq_class, seq_gap_report, book_levels, book_validity, book_drop_counts, book_depth, book_top_of_book, book_checksums, replay_equivalence, gap_recovery, stream_silence, membership, depth_baseline, book_crosscheck, membership_intervals)}
+_APPLIED = "lab where label in ('snapshot', 'applied')"
+#: Sizes of all levels of a segment after each of its messages; `top`: the K best of each side.
+TOPS = f"""msg as (select sid, ticker, segment, arrival, row_number() over (partition by sid, ticker, segment order by arrival) as i from {_APPLIED}),
+px as (select distinct sid, ticker, segment, side, price_cents from {_APPLIED}), dd as (select sid, ticker, segment, arrival, side, price_cents, sum(d) as d from {_APPLIED} group by all),
+sz as (select msg.*, px.side, px.price_cents, sum(coalesce(d, 0)) over (partition by msg.sid, msg.ticker, msg.segment, px.side, px.price_cents order by msg.arrival) as size
+  from msg join px using (sid, ticker, segment) left join dd on dd.sid = msg.sid and dd.ticker = msg.ticker and dd.segment = msg.segment and dd.arrival = msg.arrival and dd.side = px.side and dd.price_cents = px.price_cents),
+rk as (select *, row_number() over (partition by sid, ticker, segment, i, side order by case when size > 0 then 0 else 1 end, price_cents desc) as k from sz),
+top as (select sid, ticker, segment, i, side, price_cents, size from rk where k <= {K} and size > 0)"""
 ORACLE_SQL = {
+    "depth_baseline": with_views("frames", LEVELS.rstrip() + ", " + TOPS + f""", d as (select msg.*, coalesce(s, 0) as depth from msg left join (select sid, ticker, segment, i, sum(size) as s from top group by all) using (sid, ticker, segment, i)),
+b as (select *, avg(depth) over (partition by sid, ticker, segment order by arrival rows between {BACK} preceding and 1 preceding) as base from d)
+select ticker, count(*) as n, cast(sum(depth) as bigint) as depth, count(*) filter (depth < base) as under, count(*) filter (depth > base) as over, round(avg(base), 6) as mean_baseline from b group by ticker"""),
+    "book_crosscheck": with_views("frames l1", LEVELS + """, t as (select sid, ticker, max(price_cents) filter (side = 'yes') as y, max(price_cents) filter (side = 'no') as n from lv where valid group by 1, 2), p as (select ticker, yes_bid, 100 - yes_ask as no_bid from l1 where event_id in (select max(event_id) from l1 group by ticker))
+select sid, count(*) as compared, count(*) filter (y is distinct from yes_bid or n is distinct from no_bid) as diverged from t join p using (ticker) group by sid"""),
+    "membership_intervals": with_views("frames", """, s as (select sid, ticker, arrival from frames where kind = 'snapshot'), c as (select sid, ticker, arrival from frames where kind = 'control'),
+x as (select s.*, (select min(c.arrival) from c where c.sid = s.sid and c.ticker = s.ticker and c.arrival > s.arrival) as forgotten_at from s) select sid, ticker, min(arrival) as bound_at, forgotten_at from x group by sid, ticker, forgotten_at"""),
+    "book_top_of_book": with_views("frames", LEVELS.rstrip() + ", " + TOPS.replace(f"k <= {K}", "k = 1") + """, b as (select msg.*, y.price_cents as best_yes, n.price_cents as best_no from msg left join top y on y.sid = msg.sid and y.ticker = msg.ticker and y.segment = msg.segment and y.i = msg.i and y.side = 'yes'
+  left join top n on n.sid = msg.sid and n.ticker = msg.ticker and n.segment = msg.segment and n.i = msg.i and n.side = 'no')
+select sid, ticker, segment, arrival, best_yes, best_no, 100 - best_no as yes_ask, coalesce(best_yes >= 100 - best_no, false) as crossed from b"""),
     "seq_class": with_views("frames", _CLASS + "select arrival, sid, seq, seq_class from c"),
     "seq_gap_report": with_views("frames", _CLASS + "select cast(cast(ts as date) as varchar) as day, count(*) filter (seq_class = 'Gap') as gap_events, cast(cast(coalesce(sum(seq - m - 1) filter (seq_class = 'Gap'), 0) as bigint) as varchar) as missed, count(*) filter (seq_class = 'Stale') as regressions, count(distinct sid) filter (seq_class = 'Gap') as sids_with_gaps from c group by 1"),
     "book_levels": with_views("frames", LEVELS + "select * from lv"),

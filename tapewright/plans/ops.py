@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import requests as rq
 from tapewright.operators import ops
-from tapewright.plans.portable import portable
+from tapewright.plans.portable import oracle, over
 from tapewright.plans.views import load, view, with_views
 
 COSTS = [("POST", "/trade-api/v2/portfolio/events/orders", 10), ("DELETE", "/trade-api/v2/portfolio/events/orders/:order_id", 2), ("POST", "/trade-api/v2/portfolio/*rest", 20), ("GET", "/trade-api/v2/{page}", 5)]
@@ -118,31 +118,57 @@ def reserve_before_send(spark, sf_dir):
 
 
 def class_rollup(spark, sf_dir):
-    """Accounts by class. Not the rule of its SQL below, which blocks from the sixth blocked row on and keeps one blocker a row."""
+    """Accounts by class."""
     r = view(spark, sf_dir, "requests").withColumn("cls", F.when(F.col("method") == "GET", "READY").otherwise("SHADOW"))
     status = F.col("http_status")
     return ops.class_rollup(r, ("account",), "cls", {"rate_limited": status == 429, "unavailable": status == 503, "transport": F.col("transport_error")})
 
 
-_P = {
-    "order_rate_seconds": portable("select cast(date_trunc('hour', ts) as varchar(30)) as slot, count(*) as n from {requests} where method <> 'GET' group by 1"),
-    "reconcile_queue": portable("select account, count(*) as n from {requests} where method = 'POST' and http_status <> 429 and (transport_error or http_status in (502, 503, 504)) group by account"),
-    "status_tally": portable("select http_status, count(*) as n, sum(case when method = 'GET' then 1 else 0 end) as reads from {requests} group by http_status"),
-    "call_cost": portable("select method, count(*) as calls, round(200.0e0 * count(distinct date_trunc('hour', ts)) / sum(case when http_status = 200 then 1 else 0 end), 6) as inferred_cost from {requests} group by method"),
-    "blocker_top10": portable("select concat(method, ' ', cast(http_status as varchar(5))) as blocker, count(*) as n from {requests} where http_status <> 200 or transport_error group by 1 order by n desc, blocker limit 10"),
-    "stale_orders": portable("select case when req_id % 5 * 40 > 150 then 'expired_ttl' when req_id % 7 * 30 > 150 then 'expired_queue' else 'sent' end as gate, case when req_id % 3 = 0 then 'data_collect' when req_id % 3 = 1 then 'shadow' else 'live' end as mode, count(*) as n from {requests} group by 1, 2"),
-    "recent_requests": portable("select req_id, method, http_status from {requests} where lower(concat(method, path)) like '%orders%' order by req_id desc limit 200"),
-    "retained_per_account": portable("select account, req_id from (select account, req_id, row_number() over (partition by account order by req_id desc) as k from {requests}) x where k <= 100"),
-    "win_loss_bands": portable("select t.ticker, cast(floor(price_cents / 10.0e0) as int) as band, sum(case when yes_wins then 1 else 0 end) as wins, count(*) as n, cast(sum(size * (case when yes_wins then 100 else 0 end - price_cents)) as bigint) as pnl_cents from {tape} t join {settles} s on t.ticker = s.ticker group by 1, 2"),
-    "strategy_books": portable("select family as book, count(distinct t.ticker) as markets, cast(sum(case when yes_wins then size * (100 - price_cents) else -size * price_cents end) as bigint) as realized_cents, sum(case when yes_wins then 1 else 0 end) as wins, sum(case when yes_wins then 0 else 1 end) as losses from {tape} t join {settles} s on t.ticker = s.ticker group by family"),
-    "daily_edge": portable("with p as (select cast(cast(ts as date) as varchar(10)) as day, size * (case when yes_wins then 100 else 0 end - price_cents) as pnl from {tape} t join {settles} s on t.ticker = s.ticker) select day, cast(sum(case when pnl between 0 and 500 then pnl else 0 end) as bigint) as freq_edge, cast(sum(case when pnl < -500 then pnl else 0 end) as bigint) as mag_edge, cast(sum(pnl) as bigint) as net from p group by day"),
-    "set_differences": portable("with a as (select distinct ticker from {tape}), b as (select ticker from {dim_market}) select 'missing' as side, count(*) as n from (select ticker from a except select ticker from b) x union all select 'extra', count(*) from (select ticker from b except select ticker from a) y"),
-    "kind_counts": portable("select kind, count(*) as n, sum(case when side = 'yes' then 1 else 0 end) as yes_side from {frames} group by kind"),
-    "class_rollup": portable("""with r as (select account, case when http_status = 429 then 'rate_limited' when http_status = 503 then 'unavailable' when transport_error then 'transport' end as blocker, case when method = 'GET' then 'READY' else 'SHADOW' end as cls from {requests}),
-a as (select account, cls, count(blocker) as blocked from r group by account, cls) select case when blocked > 5 then 'BLOCKED' else cls end as class, case when blocked > 5 then cls else '' end as blocked_from, count(*) as n from a group by 1, 2"""),
+_SQL = {
+    "order_rate_seconds": oracle("select cast(date_trunc('hour', ts) as varchar(30)) as slot, count(*) as n from {requests} where method <> 'GET' group by 1"),
+    "status_tally": oracle("select http_status, count(*) as n, sum(case when method = 'GET' then 1 else 0 end) as reads from {requests} group by http_status"),
+    "call_cost": oracle("select method, count(*) as calls, round(200.0e0 * count(distinct date_trunc('hour', ts)) / sum(case when http_status = 200 then 1 else 0 end), 6) as inferred_cost from {requests} group by method"),
+    "blocker_top10": oracle("select concat(method, ' ', cast(http_status as varchar(5))) as blocker, count(*) as n from {requests} where http_status <> 200 or transport_error group by 1 order by n desc, blocker limit 10"),
+    "stale_orders": oracle("select case when req_id % 5 * 40 > 150 then 'expired_ttl' when req_id % 7 * 30 > 150 then 'expired_queue' else 'sent' end as gate, case when req_id % 3 = 0 then 'data_collect' when req_id % 3 = 1 then 'shadow' else 'live' end as mode, count(*) as n from {requests} group by 1, 2"),
+    "recent_requests": oracle("select req_id, method, http_status from {requests} where lower(concat(method, path)) like '%orders%' order by req_id desc limit 200"),
+    "retained_per_account": oracle("select account, req_id from (select account, req_id, row_number() over (partition by account order by req_id desc) as k from {requests}) x where k <= 100"),
+    "win_loss_bands": oracle("select t.ticker, cast(floor(price_cents / 10.0e0) as int) as band, sum(case when yes_wins then 1 else 0 end) as wins, count(*) as n, cast(sum(size * (case when yes_wins then 100 else 0 end - price_cents)) as bigint) as pnl_cents from {tape} t join {settles} s on t.ticker = s.ticker group by 1, 2"),
+    "strategy_books": oracle("select family as book, count(distinct t.ticker) as markets, cast(sum(case when yes_wins then size * (100 - price_cents) else -size * price_cents end) as bigint) as realized_cents, sum(case when yes_wins then 1 else 0 end) as wins, sum(case when yes_wins then 0 else 1 end) as losses from {tape} t join {settles} s on t.ticker = s.ticker group by family"),
+    "daily_edge": oracle("with p as (select cast(cast(ts as date) as varchar(10)) as day, size * (case when yes_wins then 100 else 0 end - price_cents) as pnl from {tape} t join {settles} s on t.ticker = s.ticker) select day, cast(sum(case when pnl between 0 and 500 then pnl else 0 end) as bigint) as freq_edge, cast(sum(case when pnl < -500 then pnl else 0 end) as bigint) as mag_edge, cast(sum(pnl) as bigint) as net from p group by day"),
+    "set_differences": oracle("with a as (select distinct ticker from {tape}), b as (select ticker from {dim_market}) select 'missing' as side, count(*) as n from (select ticker from a except select ticker from b) x union all select 'extra', count(*) from (select ticker from b except select ticker from a) y"),
+    "kind_counts": oracle("select kind, count(*) as n, sum(case when side = 'yes' then 1 else 0 end) as yes_side from {frames} group by kind"),
+    "class_rollup": oracle("""with b as (select account, case when method = 'GET' then 'READY' else 'SHADOW' end as cls, unnest([case when http_status = 429 then 'rate_limited' end, case when http_status = 503 then 'unavailable' end, case when transport_error then 'transport' end]) as blocker from {requests}),
+a as (select account, cls, coalesce(list_sort(list_distinct(list(blocker) filter (blocker is not null))), []) as blockers from b group by account, cls)
+select case when len(blockers) > 0 then 'BLOCKED' else cls end as class, case when len(blockers) > 0 then cls else '' end as blocked_from, blockers, count(*) as n from a group by all"""),
 }
 
-QUERIES = {f.__name__: f for f in (request_classify, endpoint_cost, retry_decision, request_rollup, token_bucket_replay, latency_report, latency_floor_percentile, rtt_budget, regression_gate, ops_latest_state, risk_summary, order_telemetry, feed_health, event_rate, limits_check, reserve_before_send)} | {k: q for k, (q, _) in _P.items()} | {"class_rollup": class_rollup}
+def _settled(spark, sf_dir):
+    return view(spark, sf_dir, "prints").join(view(spark, sf_dir, "settles"), "ticker")
+
+
+def reconcile_queue(spark, sf_dir):
+    """Writes whose outcome is unknown and that may not be sent twice, by account."""
+    d = rq.retry(F.col("mutation"), F.col("http_status"), F.col("transport_error"), F.lit(0), 3)
+    return ops.tallied(_classified(spark, sf_dir).where(d["needs_reconcile"]), "account")
+
+
+_Q = {
+    "order_rate_seconds": over(ops.orders_by_hour, "requests"),
+    "reconcile_queue": reconcile_queue,
+    "status_tally": over(ops.status_tally, "requests"),
+    "call_cost": over(ops.call_cost, "requests", tokens=200),
+    "blocker_top10": over(ops.top_blockers, "requests", most=10),
+    "stale_orders": over(ops.gates_and_modes, "requests"),
+    "recent_requests": over(ops.recent, "requests", word="orders", most=200),
+    "retained_per_account": over(ops.retained, "requests", most=100),
+    "win_loss_bands": lambda spark, sf_dir: ops.win_loss(_settled(spark, sf_dir), 10),
+    "strategy_books": lambda spark, sf_dir: ops.books(_settled(spark, sf_dir)),
+    "daily_edge": lambda spark, sf_dir: ops.daily_edge(_settled(spark, sf_dir), 500),
+    "set_differences": lambda spark, sf_dir: ops.set_differences(view(spark, sf_dir, "prints").select("ticker"), view(spark, sf_dir, "dim_market").select("ticker")),
+    "kind_counts": over(ops.kind_counts, "frames"),
+}
+
+QUERIES = {f.__name__: f for f in (request_classify, endpoint_cost, retry_decision, request_rollup, token_bucket_replay, latency_report, latency_floor_percentile, rtt_budget, regression_gate, ops_latest_state, risk_summary, order_telemetry, feed_health, event_rate, limits_check, reserve_before_send)} | _Q | {"class_rollup": class_rollup}
 
 _CL = """, w as (select *, '/trade-api/v2' || split_part(path, '?', 1) as wire_path from requests), sg as (select *, string_split(wire_path, '/') as s from w),
 cl as (select *, case when list_has_any(s, ['order_groups', 'rfqs', 'quotes']) then 'write' when list_contains(s, 'orders') then case when list_contains(s, 'batched') or method <> 'GET' then 'write' else 'read' end else 'read' end as bucket,
@@ -152,6 +178,7 @@ _SP = """, u as (select trace_id, unnest(['parse_us', 'wait_us', 'sign_us']) as
   case when data_parsed = 0 or sign_start = 0 or sign_start < data_parsed then -1 else (sign_start - data_parsed) / 1000 end, case when sign_start = 0 or sign_done = 0 or sign_done < sign_start then -1 else (sign_done - sign_start) / 1000 end]) as us from spans), x as (select * from u where us >= 0)
 """
 ORACLE_SQL = {
+    "reconcile_queue": with_views("requests", _CL + "select account, count(*) as n from cl where http_status <> 429 and (transport_error or http_status in (502, 503, 504)) and mutation in ('create_order', 'amend_order', 'order_group', 'quote') group by account"),
     "request_classify": with_views("requests", _CL + "select req_id, method, wire_path, bucket, mutation from cl"),
     "endpoint_cost": with_views("requests", _CL + "select method, cast(case when method = 'POST' and wire_path = '/trade-api/v2/portfolio/events/orders' then 10 when method = 'DELETE' and regexp_full_match(wire_path, '/trade-api/v2/portfolio/events/orders/[^/]+') then 2 when method = 'POST' and wire_path like '/trade-api/v2/portfolio/_%' then 20 when method = 'GET' and regexp_full_match(wire_path, '/trade-api/v2/[^/]+') then 5 else 10 end as int) as cost, count(*) as n from cl group by 1, 2"),
     "retry_decision": with_views("requests", _CL + """, d as (select *, req_id % 4 as a, transport_error or http_status in (502, 503, 504) as amb, mutation in ('create_order', 'amend_order', 'order_group', 'quote') as once from cl)
@@ -174,4 +201,4 @@ select user_id, case when kind = 'error' then 'down' when kind = 'signup' or age
     "limits_check": """with c as (select c_custkey, (['basic', 'advanced', 'premier', 'paragon', 'prime', 'expert'])[c_custkey % 6 + 1] as tier, c_custkey % 5 * 100 as refill, c_custkey % 7 * 400 as capacity from customer)
 select c_custkey, tier, case when refill <= 0 then 'read refill_rate <= 0 (' || refill || ')' when capacity < refill // 2 then 'read bucket_capacity ' || capacity || ' < refill_rate/2 (' || refill // 2 || ')' when capacity > refill * 10 then 'read bucket_capacity ' || capacity || ' > refill_rate*10 (' || refill * 10 || ')' else 'ok' end as verdict,
   coalesce((case tier when 'basic' then 200 when 'advanced' then 300 when 'premier' then 1000 when 'paragon' then 2000 when 'prime' then 4000 end) <> refill, false) as differs_from_tier from c""",
-} | {k: s for k, (_, s) in _P.items()}
+} | _SQL

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.operators import research
-from tapewright.plans.portable import portable
+from tapewright.plans.portable import oracle, over
 from tapewright.plans.views import load, view, with_views
 from tapewright.sources.scratch import written
 
@@ -116,7 +116,7 @@ def manifest(spark, sf_dir):
 
 
 def row_conservation(spark, sf_dir):
-    """The views' rows against a manifest that is written before they are built. Not its SQL below, which counts the views twice."""
+    """The views' rows against a manifest that is written before they are built."""
     declared = written(manifest(spark, sf_dir), "manifest")
     one, *more = (research.tally(view(spark, sf_dir, name), channel, id) for channel, (name, id) in CHANNELS.items())
     return research.conserved(declared, functools.reduce(DataFrame.unionByName, more, one))
@@ -142,35 +142,76 @@ k1 as (select * from (select *, row_number() over (partition by episode order by
 m as (select * exclude (k2) from (select *, row_number() over (partition by control order by ds, lag_us, episode) as k2 from k1) where k2 = 1)
 """
 
-_P = {
-    "state_transitions": portable("with s as (select ticker, ts, event_id, " + _STATE + " as state from {l1}), t as (select ticker, state, lag(state) over (partition by ticker order by ts, event_id) as was from s) select was, state, count(*) as n from t where was is not null group by was, state"),
-    "utc_rhythm": portable("with h as (select extract(hour from ts) as hour, ticker, date_trunc('minute', ts) as minute from {l1}) select cast(hour as int) as hour, count(*) as updates, count(distinct concat(ticker, cast(minute as varchar(30)))) as active_market_minutes, round(cast(count(*) as double) / count(distinct concat(ticker, cast(minute as varchar(30)))), 6) as rate from h group by hour"),
-    "trades_in_active_minutes": portable("with a as (select distinct ticker, date_trunc('hour', ts) as slot from {l1}) select t.ticker, count(*) as trades, cast(sum(t.size) as bigint) as contracts from {trades} t where exists (select 1 from a where a.ticker = t.ticker and a.slot = date_trunc('hour', t.ts)) group by t.ticker"),
-    "market_graph_status": portable("with m as (select distinct ticker from {tape}) select m.ticker, d.event_ticker, d.series, case when d.ticker is null then 'MISSING_MARKET_DIM' when d.event_ticker is null then 'MISSING_EVENT_DIM' else 'CANONICAL_FAMILY_EVENT' end as mapping_status from m left join {dim_market} d on m.ticker = d.ticker"),
-    "channel_coverage": portable("""with a as (select cast(cast(ts as date) as varchar(10)) as day, ticker, count(*) as l1_rows from {l1} group by 1, 2), b as (select cast(cast(ts as date) as varchar(10)) as day, ticker, count(*) as trade_rows from {trades} group by 1, 2), c as (select cast(cast(ts as date) as varchar(10)) as day, ticker, count(*) as l2_rows from {frames} group by 1, 2)
+_SQL = {
+    "state_transitions": oracle("with s as (select ticker, ts, event_id, " + _STATE + " as state from {l1}), t as (select ticker, state, lag(state) over (partition by ticker order by ts, event_id) as was from s) select was, state, count(*) as n from t where was is not null group by was, state"),
+    "utc_rhythm": oracle("with h as (select extract(hour from ts) as hour, ticker, date_trunc('minute', ts) as minute from {l1}) select cast(hour as int) as hour, count(*) as updates, count(distinct concat(ticker, cast(minute as varchar(30)))) as active_market_minutes, round(cast(count(*) as double) / count(distinct concat(ticker, cast(minute as varchar(30)))), 6) as rate from h group by hour"),
+    "trades_in_active_minutes": oracle("with a as (select distinct ticker, date_trunc('hour', ts) as slot from {l1}) select t.ticker, count(*) as trades, cast(sum(t.size) as bigint) as contracts from {trades} t where exists (select 1 from a where a.ticker = t.ticker and a.slot = date_trunc('hour', t.ts)) group by t.ticker"),
+    "market_graph_status": oracle("with m as (select distinct ticker from {tape}) select m.ticker, d.event_ticker, d.series, case when d.ticker is null then 'MISSING_MARKET_DIM' when d.event_ticker is null then 'MISSING_EVENT_DIM' else 'CANONICAL_FAMILY_EVENT' end as mapping_status from m left join {dim_market} d on m.ticker = d.ticker"),
+    "channel_coverage": oracle("""with a as (select cast(cast(ts as date) as varchar(10)) as day, ticker, count(*) as l1_rows from {l1} group by 1, 2), b as (select cast(cast(ts as date) as varchar(10)) as day, ticker, count(*) as trade_rows from {trades} group by 1, 2), c as (select cast(cast(ts as date) as varchar(10)) as day, ticker, count(*) as l2_rows from {frames} group by 1, 2)
 select day, count(*) as market_days, cast(sum(coalesce(l1_rows, 0)) as bigint) as l1_rows, cast(sum(coalesce(trade_rows, 0)) as bigint) as trade_rows, cast(sum(coalesce(l2_rows, 0)) as bigint) as l2_rows, count(l1_rows) as l1_markets, count(trade_rows) as trade_markets, count(l2_rows) as l2_markets
 from a full outer join b using (day, ticker) full outer join c using (day, ticker) group by day"""),
-    "row_conservation": portable("""select 'l1' as channel, (select count(*) from {l1}) as actual, (select cast(sum(n) as bigint) from (select count(*) as n from {l1} group by ticker) x) as expected union all
-select 'trades', (select count(*) from {trades}), (select cast(sum(n) as bigint) from (select count(*) as n from {trades} group by ticker) x) union all select 'l2', (select count(*) from {frames}), (select cast(sum(n) as bigint) from (select count(*) as n from {frames} group by sid) x)"""),
-    "quality_state": portable("""with pm as (select *, max(seq) over (partition by epoch, sid order by arrival rows between unbounded preceding and 1 preceding) as m from {frames}),
+    "row_conservation": oracle("""with a as (select 'l1' as channel, cast(cast(ts as date) as varchar) as day, event_id as id from {l1} union all select 'trades', cast(cast(ts as date) as varchar), trade_id from {trades} union all select 'l2', cast(cast(ts as date) as varchar), arrival from {frames}),
+m as (select 'l1' as channel, cast(cast(ts as date) as varchar) as day, event_id as id from events union all select 'trades', cast(cast(ts as date) as varchar), event_id from events where event_type = 'purchase' union all select 'l2', cast(cast(ts as date) as varchar), event_id from events where event_id % 97 <> 0),
+x as (select coalesce(a.channel, m.channel) as channel, coalesce(a.day, m.day) as day, count(m.id) as expected, count(a.id) as actual, count(*) filter (a.id is null or m.id is null) as alone from a full outer join m on a.channel = m.channel and a.day = m.day and a.id = m.id group by 1, 2)
+select channel, day, expected, actual, case when actual = 0 then 'MISSING' when expected = 0 then 'EXTRA' when actual < expected then 'LOST' when actual > expected then 'DOUBLED' when alone > 0 then 'REPLACED' else 'EXACT' end as state from x"""),
+    "quality_state": oracle("""with pm as (select *, max(seq) over (partition by epoch, sid order by arrival rows between unbounded preceding and 1 preceding) as m from {frames}),
 d as (select cast(cast(ts as date) as varchar(10)) as day, count(*) as n_rows, sum(case when seq > m + 1 then 1 else 0 end) as gap_events, sum(case when seq <= m then 1 else 0 end) as regressions from pm group by 1),
 cal as (select distinct cast(cast(ts as date) as varchar(10)) as day from {l1})
 select cal.day, coalesce(n_rows, 0) as n_rows, case when n_rows is null then 'NOT_APPLICABLE' when gap_events > 2 or regressions > 2 then 'REFUSED' else 'PASS' end as state,
   case when n_rows is null then 'ABSENT_NOT_CAPTURED' when gap_events > 2 or regressions > 2 then 'EXCLUDED_DATA_QUALITY' else 'INCLUDED_CLEAN_DATE' end as disposition,
   concat(case when gap_events > 2 then 'sequence_gaps;' else '' end, case when regressions > 2 then 'regressions;' else '' end) as blockers from cal left join d on cal.day = d.day"""),
-    "atlas": portable("""with s as (select ticker, ts, event_id, """ + _STATE + """ as state from {l1}), t as (select state, lag(state) over (partition by ticker order by ts, event_id) as was from s),
+    "atlas": oracle("""with s as (select ticker, ts, event_id, """ + _STATE + """ as state from {l1}), t as (select state, lag(state) over (partition by ticker order by ts, event_id) as was from s),
 u as (select 'STATE' as kind, state as stratum, count(*) as n from s group by state union all select 'TRANSITION', concat(was, '>', state), count(*) from t where was is not null group by 1, 2)
 select kind, count(*) as strata, cast(sum(n) as bigint) as represented from u group by kind"""),
-    "candidate_funnel": portable("""with e as (select event_ticker, count(*) as legs, count(distinct series) as series from {dim_market} where event_ticker is not null group by event_ticker)
+    "candidate_funnel": oracle("""with e as (select event_ticker, count(*) as legs, count(distinct series) as series from {dim_market} where event_ticker is not null group by event_ticker)
 select 'linked_event' as step, count(*) as n from e union all select 'payout_exhaustive', count(*) from e where legs >= 2 and series = 1 union all select 'fill_feasible', count(*) from e where legs >= 3 and series = 1"""),
-    "estimability": portable("""with have as (select 'l1' as input, count(*) as n from {l1} union all select 'trades', count(*) from {trades} union all select 'l2', count(*) from {frames} union all select 'settlements', count(*) from {settles}),
+    "estimability": oracle("""with have as (select 'l1' as input, count(*) as n from {l1} union all select 'trades', count(*) from {trades} union all select 'l2', count(*) from {frames} union all select 'settlements', count(*) from {settles}),
 need as (select * from (values ('markout', 'l1'), ('markout', 'trades'), ('dwell', 'l1'), ('refill', 'l2'), ('family_arb', 'payout_map'), ('calibration', 'settlements')) as v(method, input))
 select method, min(coalesce(n, 0)) as eligible, case when min(coalesce(n, 0)) > 0 then 'EXECUTED' else 'NOT_ESTIMABLE' end as state, cast(sum(case when coalesce(n, 0) = 0 then 1 else 0 end) as bigint) as missing_inputs from need left join have on need.input = have.input group by method"""),
-    "evidence_tier": portable("""with g as (select sid, sum(case when seq > m + 1 then 1 else 0 end) as gaps, count(*) as n from (select *, max(seq) over (partition by epoch, sid order by arrival rows between unbounded preceding and 1 preceding) as m from {frames}) x group by sid)
+    "evidence_tier": oracle("""with g as (select sid, sum(case when seq > m + 1 then 1 else 0 end) as gaps, count(*) as n from (select *, max(seq) over (partition by epoch, sid order by arrival rows between unbounded preceding and 1 preceding) as m from {frames}) x group by sid)
 select sid, case when gaps = 0 then 'A' when gaps * 100 <= n then 'B' else 'C' end as tier, case when gaps = 0 then '' else 'sequence_gaps' end as downgrade from g"""),
 }
 
-QUERIES = {f.__name__: f for f in (trade_book_asof, trade_markout_surface, markout_waterfall, one_sided_exposure, ttl_dwell, liquidity_episodes, refill_hazard, refill_survival, match_controls, match_coverage, match_balance, match_concentration)} | {k: q for k, (q, _) in _P.items()} | {"row_conservation": row_conservation}
+def atlas(spark, sf_dir):
+    """Strata and rows of each record kind: states, transitions, episodes by length, refill hazards by age."""
+    b = view(spark, sf_dir, "l1")
+    kinds = {
+        "STATE": b.groupBy(research.state().alias("stratum")).agg(F.count(F.lit(1)).alias("n")),
+        "TRANSITION": research.transitions(b).select(F.concat("was", F.lit(">"), "state").alias("stratum"), "n"),
+    }
+    each = [d.select(F.lit(k).alias("kind"), "n") for k, d in kinds.items()]
+    return functools.reduce(DataFrame.unionByName, each).groupBy("kind").agg(F.count(F.lit(1)).alias("strata"), F.sum("n").alias("represented"))
+
+
+def candidate_funnel(spark, sf_dir):
+    """Events linked in the dimension, those whose legs may exhaust the payout, and those that could be filled."""
+    e = view(spark, sf_dir, "dim_market").where("event_ticker is not null").groupBy("event_ticker").agg(F.count(F.lit(1)).alias("legs"), F.countDistinct("series").alias("series"))
+    one = F.col("series") == 1
+    n = e.agg(F.count(F.lit(1)).alias("linked_event"), F.count_if(one & (F.col("legs") >= 2)).alias("payout_exhaustive"), F.count_if(one & (F.col("legs") >= 3)).alias("fill_feasible"))
+    return n.unpivot([], ["linked_event", "payout_exhaustive", "fill_feasible"], "step", "n")
+
+
+NEEDS = [("markout", "l1"), ("markout", "trades"), ("dwell", "l1"), ("refill", "l2"), ("family_arb", "payout_map"), ("calibration", "settlements")]
+
+
+def estimability(spark, sf_dir):
+    have = {"l1": "l1", "trades": "trades", "l2": "frames", "settlements": "settles"}
+    counts = [view(spark, sf_dir, v).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("input"), "n") for k, v in have.items()]
+    return research.estimable(functools.reduce(DataFrame.unionByName, counts), NEEDS)
+
+
+_Q = {
+    "state_transitions": over(research.transitions, "l1"),
+    "utc_rhythm": over(research.utc_rhythm, "l1"),
+    "trades_in_active_minutes": over(research.in_active_slots, "trades", "l1", slot="hour"),
+    "market_graph_status": over(research.graph_status, "prints", "dim_market"),
+    "channel_coverage": lambda spark, sf_dir: research.coverage({"l1": view(spark, sf_dir, "l1"), "trade": view(spark, sf_dir, "trades"), "l2": view(spark, sf_dir, "frames")}),
+    "quality_state": over(research.quality_days, "frames", "l1", most=2),
+    "evidence_tier": over(research.evidence, "frames"),
+    "atlas": atlas, "candidate_funnel": candidate_funnel, "estimability": estimability,
+}
+
+QUERIES = {f.__name__: f for f in (trade_book_asof, trade_markout_surface, markout_waterfall, one_sided_exposure, ttl_dwell, liquidity_episodes, refill_hazard, refill_survival, match_controls, match_coverage, match_balance, match_concentration)} | _Q | {"row_conservation": row_conservation}
 ORACLE_SQL = {
     "trade_book_asof": with_views("trades l1", "select trade_id, t.ticker, b.yes_bid as bid, b.yes_ask as ask, date_diff('microsecond', b.ts, t.ts) as age_us from trades t asof left join l1 b on t.ticker = b.ticker and t.ts > b.ts"),
     "trade_markout_surface": with_views("trades l1 gaps", _SURF + f"select horizon, taker_yes, count(*) as n, cast(sum(d) as bigint) as sum_half_cents, round(sum(d) / count(*), 6) as mean_half_cents from ({' union all '.join(f'select {h} as horizon, taker_yes, (case when taker_yes then 1 else -1 end) * (m{h} - m0) as d from j' for h in HORIZONS)}) where d is not null group by 1, 2"),
@@ -186,4 +227,4 @@ select cast(cast(ts as date) as varchar) as day, cast(ttl_min as int) as ttl_min
     "match_coverage": with_views("l1", _MATCH + "select e.ticker, count(*) as episodes, count(control) as matched, count(*) - count(control) as unmatched, round(count(control) / count(*), 6) as rate from e left join m on first_id = episode group by 1"),
     "match_balance": with_views("l1", _MATCH + "select count(*) as n, round(avg(abs(t - c)), 6) as mean_abs, round(quantile_cont(abs(t - c), 0.95), 6) as p95_abs, round((avg(t) - avg(c)) / sqrt((var_samp(t) + var_samp(c)) / 2), 6) as smd, round(quantile_cont(lag_us, 0.5), 3) as median_lag_us from (select lag_us, ask0 - bid0 as t, cask - cbid as c from m)"),
     "match_concentration": with_views("l1", _MATCH + "select count(*) as markets, round(sum(n * n) / (sum(n) * sum(n)), 6) as hhi, round(max(n) / sum(n), 6) as max_share from (select ticker, count(*) as n from m group by 1)"),
-} | {k: s for k, (_, s) in _P.items()}
+} | _SQL

@@ -8,13 +8,15 @@ from tapewright.operators.order import numbered
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
-# The adapter views, in SQL that both engines run. `tape` comes without its order column here.
+# The adapter views, in SQL that both engines run. `tape` comes without its order column here; `prints` is the tape where no
+# order is needed.
 _TRADES = """select concat('KX', cast(l_partkey % 20 as varchar(20))) as ticker, concat('FAM', cast(l_partkey % 4 as varchar(20))) as family,
   cast(1 + cast(round(l_extendedprice * 100) as bigint) % 99 as int) as price_cents, cast(l_quantity as int) as size,
   l_returnflag = 'R' as taker_yes, l_shipdate as ts{more} from lineitem"""
 _TAPE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
 SQL = {
+    "prints": _TRADES.format(more=""),
     "tape": _TRADES.format(more=f", row_number() over (order by {', '.join(_TAPE_ORDER)}) as tape_id"),
     "settles": "select distinct concat('KX', cast(p_partkey % 20 as varchar(20))) as ticker, p_partkey % 3 % 2 = 0 as yes_wins from part where p_partkey < 20",
     "fees": "select * from (values ('KX', 100, 400, 1), ('KX1', 175, 700, 2), ('KX7', -1, -1, 3)) as f(series_prefix, maker_rate_e4, taker_rate_e4, pos)",
