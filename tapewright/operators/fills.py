@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.orders import fee_cents
+from tapewright.sources.scratch import place, written
 
 TRACKS = ("strict", "queue", "optimistic")
 BUCKET_DAYS = 8
@@ -59,6 +60,68 @@ def fills(met: DataFrame, track: str) -> DataFrame:
     return met.withColumn("qty", qty).where("qty > 0").select("cid", "ticker", "tape_id", F.col("print_ts").alias("ts"), "price_cents", "buy_yes", "qty")
 
 
+ORDER = ("cid", "track", "latency_days")
+
+
+def orders(quotes: DataFrame, tracks: tuple[str, ...], latencies: tuple[int, ...] = (0,)) -> DataFrame:
+    """Each quote once for each track and latency. The queue track needs a known depth ahead."""
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("track"), F.lit(d).alias("latency_days")) for t in tracks for d in latencies)))
+    q = quotes.withColumn("of", each).select(*quotes.columns, "of.*")
+    return q.where((F.col("track") != "queue") | F.col("queue_ahead").isNotNull())
+
+
+def tracked(tape: DataFrame, orders: DataFrame) -> DataFrame:
+    """The fills of all orders, as `fills` of `eligible` gives them: cid, track, latency_days, ticker, tape_id, ts, price_cents, buy_yes, qty.
+
+    A quote is mostly filled by the first prints that cross it, so its interval is walked in spans of 1, 2, 4, ... days. In
+    each span only quotes that still have contracts left meet prints, by an equi-join on market, taker's side and bucket of
+    days; what is left of each, and of the depth ahead of it, is written and goes on to the next span. The number of spans
+    is the logarithm of the longest interval, and prints behind a quote's last fill are joined within one span at most.
+    """
+    spark = tape.sparkSession
+    last = tape.agg(F.max("ts").alias("end"))
+    wait = F.make_interval(days=F.col("latency_days"))
+    open_ = orders.crossJoin(F.broadcast(last)).select(  # one row
+        *ORDER, "ticker", "price_cents", "buy_yes", F.col("count").cast("bigint").alias("left"), F.coalesce("queue_ahead", F.lit(0)).cast("bigint").alias("ahead"),
+        (F.col("place_ts") + wait).alias("from_ts"), F.coalesce(F.col("cancel_ts") + wait, F.col("end") + F.expr("interval 1 second")).alias("until_ts"),
+    ).where("from_ts < until_ts and left > 0")
+    open_ = written(open_, "orders")
+    prints = tape.select("ticker", "taker_yes", "tape_id", F.col("price_cents").alias("q"), F.col("size").cast("bigint").alias("size"), F.col("ts").alias("print_ts"))
+    at = F.col("q") == F.col("price_cents")
+    filled, days = place(spark, "fills"), 1
+    while True:
+        width = max(1, days // 4)
+        to = F.least(F.col("until_ts"), F.col("from_ts") + F.expr(f"interval {days} day"))
+        o = open_.withColumn("to_ts", to)
+        q = o.withColumn("bucket", F.explode(F.sequence(F.floor(_day(F.col("from_ts")) / width), F.floor(_day(F.col("to_ts")) / width)))).withColumn("taker_yes", ~F.col("buy_yes"))
+        met = q.join(prints.withColumn("bucket", F.floor(_day(F.col("print_ts")) / width)), ["ticker", "taker_yes", "bucket"])
+        met = met.where((F.col("print_ts") >= F.col("from_ts")) & (F.col("print_ts") < F.col("to_ts")) & F.when(F.col("buy_yes"), F.col("q") <= F.col("price_cents")).otherwise(F.col("q") >= F.col("price_cents")))
+        by = Window.partitionBy(*ORDER).orderBy("tape_id")
+        drained = F.coalesce(F.sum(F.when(at, F.col("size")).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        met = met.withColumn("rest", F.greatest(F.lit(0), F.col("ahead") - drained))
+        queue = F.when(at, F.greatest(F.lit(0), F.col("size") - F.col("rest"))).otherwise(F.when(F.col("rest") == 0, F.col("size")).otherwise(0))
+        avail = F.when(F.col("track") == "strict", F.when(at, 0).otherwise(F.col("size"))).when(F.col("track") == "optimistic", F.col("size")).otherwise(queue)
+        met = met.withColumn("avail", avail.cast("bigint"))
+        sofar = F.sum("avail").over(by.rowsBetween(Window.unboundedPreceding, 0))
+        qty = F.least(sofar, F.col("left")) - F.least(sofar - F.col("avail"), F.col("left"))
+        met = met.withColumn("qty", qty).where(F.col("qty").cast("boolean") | (at & (F.col("track") == "queue")))
+        met = met.select(*ORDER, "ticker", "tape_id", F.col("print_ts").alias("ts"), "price_cents", "buy_yes", "qty", F.when(at, F.col("size")).otherwise(0).alias("at_size"))
+        met.write.mode("append").parquet(f"{filled}/{days}")
+        met = spark.read.schema(met.schema).parquet(f"{filled}/{days}")
+        done = met.groupBy(*ORDER).agg(F.sum("qty").alias("took"), F.sum("at_size").alias("drained"))
+        seen = Observation()
+        rest = o.join(done, list(ORDER), "left").select(
+            *ORDER, "ticker", "price_cents", "buy_yes", (F.col("left") - F.coalesce("took", F.lit(0))).alias("left"), F.greatest(F.lit(0).cast("bigint"), F.col("ahead") - F.coalesce("drained", F.lit(0))).alias("ahead"),
+            F.col("to_ts").alias("from_ts"), "until_ts",
+        ).where("left > 0 and from_ts < until_ts")
+        open_ = written(rest.observe(seen, F.count(F.lit(1)).alias("n")), "orders")
+        if not seen.get["n"]:
+            break
+        days *= 2
+    out = spark.read.schema(met.schema).parquet(*(f"{filled}/{1 << i}" for i in range(days.bit_length())))
+    return out.where("qty > 0").drop("at_size")
+
+
 def fee_rates(tickers: DataFrame, fees: DataFrame) -> DataFrame:
     """The maker rate of each ticker by the longest prefix (ties: the later entry); null where unknown. fees is a small file."""
     best = Window.partitionBy("ticker").orderBy(F.desc(F.length("series_prefix")), F.desc("pos"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.sources.scratch import written
@@ -18,11 +18,8 @@ def numbered(df: DataFrame, name: str, *by: str) -> DataFrame:
     dealt = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
     dealt = written(dealt, name)  # ranges come from samples: they must not be drawn twice
     part = F.shiftright("_at", 33)
-    counts = {r.p: r.n for r in dealt.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a task
-    if not counts:
-        return dealt.withColumn(name, F.col("_at")).drop("_at")
-    offsets, total = [], 0
-    for p in sorted(counts):
-        offsets += [F.lit(p).cast("bigint"), F.lit(total).cast("bigint")]
-        total += counts[p]
-    return dealt.withColumn(name, F.create_map(*offsets)[part] + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at")
+    counts = dealt.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # one row a task
+    out = dealt.withColumn("_p", part).join(F.broadcast(offsets), "_p")
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_p", "_before")

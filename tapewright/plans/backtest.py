@@ -86,12 +86,12 @@ def fees_longest_prefix(spark, sf_dir):
     return tape.join(F.broadcast(rates), "ticker").groupBy("ticker", "series_prefix", "maker_rate_e4").agg(F.sum(fee).alias("fee_cents"), F.count(F.lit(1)).alias("prints"))  # a rate for each market of a small file
 
 
-def _met(spark, sf_dir, latency=0):
-    return fills.eligible(view(spark, sf_dir, "tape"), view(spark, sf_dir, "quotes"), latency)
+def _filled(spark, sf_dir, tape, *tracks, latencies=(0,)):
+    return fills.tracked(tape, fills.orders(view(spark, sf_dir, "quotes"), tracks, latencies))
 
 
 def _fills(track):
-    return lambda spark, sf_dir: fills.fills(_met(spark, sf_dir), track)
+    return lambda spark, sf_dir: _filled(spark, sf_dir, view(spark, sf_dir, "tape"), track).drop("track", "latency_days")
 
 
 def fill_ineligible(spark, sf_dir):
@@ -102,7 +102,7 @@ def fill_ineligible(spark, sf_dir):
 def _ledger(spark, sf_dir, track="strict"):
     tape = view(spark, sf_dir, "tape")
     rates = fills.fee_rates(tape, view(spark, sf_dir, "fees"))
-    return tape, rates, fills.market_ledger(fills.fills(_met(spark, sf_dir), track), rates)
+    return tape, rates, fills.market_ledger(_filled(spark, sf_dir, tape, track), rates)
 
 
 def market_ledger(spark, sf_dir):
@@ -117,10 +117,8 @@ def family_report(spark, sf_dir):
 
 def fill_rate(spark, sf_dir):
     """Filled over quoted contracts on each track."""
-    met = _met(spark, sf_dir)
     quoted = view(spark, sf_dir, "quotes").agg(F.sum("count").alias("quoted"))
-    each = [fills.fills(met, t).select(F.lit(t).alias("track"), "qty") for t in fills.TRACKS]
-    all_ = each[0].union(each[1]).union(each[2]).groupBy("track").agg(F.sum("qty").alias("filled"), F.count(F.lit(1)).alias("fills"))
+    all_ = _filled(spark, sf_dir, view(spark, sf_dir, "tape"), *fills.TRACKS).groupBy("track").agg(F.sum("qty").alias("filled"), F.count(F.lit(1)).alias("fills"))
     return all_.crossJoin(F.broadcast(quoted)).select("track", "filled", "fills", "quoted", F.round(F.col("filled") / F.col("quoted"), 6).alias("fill_rate"))  # one row
 
 
@@ -128,22 +126,21 @@ def speed_curve(spark, sf_dir):
     """The family report of the strict track for each latency."""
     tape, settles = view(spark, sf_dir, "tape"), view(spark, sf_dir, "settles")
     rates = fills.fee_rates(tape, view(spark, sf_dir, "fees"))
-    filled = None
-    for s in SPEEDS:
-        one = fills.fills(_met(spark, sf_dir, s), "strict").withColumn("speed", F.lit(s))
-        filled = one if filled is None else filled.unionByName(one)
+    filled = _filled(spark, sf_dir, tape, "strict", latencies=SPEEDS).withColumnRenamed("latency_days", "speed")
     markets = tape.select("ticker", "family").distinct().crossJoin(spark.createDataFrame([(s,) for s in SPEEDS], "speed int"))
     report = fills.family_report(markets, fills.market_ledger(filled, rates, "speed"), settles, rates, "speed")
     return report.groupBy("speed").agg(*(F.sum(c).alias(c) for c in ("gross_pnl_cents", "net_pnl_cents", "fills", "filled_contracts")))
 
 
 def fill_markout(spark, sf_dir):
-    out = fills.markout(fills.fills(_met(spark, sf_dir), "optimistic"), view(spark, sf_dir, "tape"), HORIZON)
+    tape = view(spark, sf_dir, "tape")
+    out = fills.markout(_filled(spark, sf_dir, tape, "optimistic"), tape, HORIZON)
     return out.groupBy("ticker").agg(F.sum("markout_cents").alias("markout_sum"), F.sum("qty").alias("markout_n"), F.round(F.sum("markout_cents") / F.sum("qty"), 6).alias("avg_markout"))
 
 
 def fill_markout_any(spark, sf_dir):
-    out = fills.markout_any_market(fills.fills(_met(spark, sf_dir), "strict"), view(spark, sf_dir, "tape"), HORIZON)
+    tape = view(spark, sf_dir, "tape")
+    out = fills.markout_any_market(_filled(spark, sf_dir, tape, "strict"), tape, HORIZON)
     return out.groupBy("ticker").agg(F.sum("markout_cents").alias("markout_sum"), F.sum("qty").alias("markout_n"))
 
 
@@ -180,7 +177,7 @@ def quotes_with_cap(spark, sf_dir):
 def _lifecycle(spark, sf_dir):
     """Open at placement, fills by print, cancellation: the events of each quote in order."""
     q = view(spark, sf_dir, "quotes")
-    f = fills.fills(_met(spark, sf_dir), "strict")
+    f = _filled(spark, sf_dir, view(spark, sf_dir, "tape"), "strict")
     return exposure.lifecycle(q, f)
 
 

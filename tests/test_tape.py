@@ -92,6 +92,11 @@ def test_tracks_like_a_loop(spark):
     got = {t: sorted((r.cid, r.tape_id, r.qty) for r in fills.fills(met, t).collect()) for t in fills.TRACKS}
     for t in fills.TRACKS:
         assert got[t] == sorted((i, k, n) for i, x in enumerate(qs) for k, n in loop(prints, x, t))
+    walked = fills.tracked(tape(spark, prints), fills.orders(q, fills.TRACKS, (0, 2))).collect()
+    for t in fills.TRACKS:
+        assert sorted((r.cid, r.tape_id, r.qty) for r in walked if r.track == t and r.latency_days == 0) == got[t]
+        late = fills.fills(fills.eligible(tape(spark, prints), q, 2), t).collect()
+        assert sorted((r.cid, r.tape_id, r.qty) for r in walked if r.track == t and r.latency_days == 2) == sorted((r.cid, r.tape_id, r.qty) for r in late)
     again = fills.fills(fills.eligible(tape(spark, prints).repartition(5), q.repartition(3)), "queue").collect()
     assert sorted((r.cid, r.tape_id, r.qty) for r in again) == got["queue"]
 
