@@ -8,9 +8,10 @@ many times the input, so suffixes are put in order where equal ones can lie:
 2. Each anchor that occurs again has a context, the bytes that windows around it can cover, known by a 128-bit digest. Equal
    contexts form a class: its copies repeat each other wholly. Classes that share an anchor with no other class are done.
 3. The first context of each other class is fetched, and the classes of an anchor lie in one task. There the suffixes are put
-   in lexicographic order to the depth of LENGTH bytes, by prefix doubling; in that order the previous and the next smaller
-   position give each position's longest previous factor, and the larger ones the longest factor that comes later. Both are
-   lengths of common prefixes of the bytes themselves. A position repeats if either reaches LENGTH.
+   in lexicographic order to the depth of LENGTH bytes, by prefix tripling; in that order the previous and the next smaller
+   position give each position's longest previous factor, the length of a common prefix of the bytes themselves. A position
+   repeats if its factor reaches LENGTH or it is the source of one that does. Positions whose LENGTH bytes have a hash that no
+   other of the task has cannot reach it and are left out before the order is made.
 4. An anchor that more than SHARED_BY_MANY classes share is not one task's work: its windows are ordered by Spark, by a 128-bit
    digest and position, and dealt out by ranges of both, so that even one window that all of them hold is spread; a window's
    neighbours in that order are its previous and its next copy, and ends of tasks are matched afterwards.
@@ -38,9 +39,10 @@ from tapewright.llm.filters import key_filter, known, possibly, split_possibly
 LENGTH = 200  # a multiple of 8
 GRAM = 100
 REACH = LENGTH - GRAM  # bytes before an anchor that a window can cover
-PIECE = 1 << 20
+PIECE = 1 << 18
 BLOCK = 1 << 15
 SHARED_BY_MANY = 512  # classes
+TOGETHER = 1024  # contexts that a task works through at once, and what is left of an anchor's
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -173,32 +175,41 @@ def _ranked(x: np.ndarray) -> np.ndarray:
 
 
 class Suffixes:
-    """Ranks of the strings of 8, 16, 32, ... bytes and of `depth` bytes at each position of a buffer, by prefix doubling."""
+    """Ranks of the strings of 8, 24, 72, ... bytes at each position of a buffer: each level ranks triples of the one before."""
 
     def __init__(self, raw: np.ndarray, depth: int = LENGTH):
         self.depth, n = depth, len(raw)
         padded = np.concatenate([raw, np.zeros(8, np.uint8)])
         self.first = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(U64)  # order of numbers is order of bytes
         self.levels = [(8, _ranked(self.first))]
-        while 2 * self.levels[-1][0] <= depth:
-            size, r = self.levels[-1]
-            self.levels.append((2 * size, self._both(r, r, size)))
-        size, self.rank = self.levels[-1]
-        for step, r in reversed(self.levels):
-            while size + step <= depth:
-                self.rank, size = self._both(self.rank, r, size), size + step
-
-    def _both(self, r: np.ndarray, then: np.ndarray, size: int) -> np.ndarray:
-        behind = np.zeros(len(r), np.int64)
-        behind[: max(0, len(r) - size)] = then[size:] + 1
-        return _ranked(r * (len(r) + 1) + behind)
+        while 3 * self.levels[-1][0] <= depth:
+            size = self.levels[-1][0]
+            self.levels.append((3 * size, self._ranked(np.arange(n), (0, size, 2 * size))))
+
+    def _ranked(self, at: np.ndarray, shifts: tuple[int, ...]) -> np.ndarray:
+        """The ranks of the places `at` by the last level's ranks at these distances behind them."""
+        r, n = self.levels[-1][1], len(self.first)
+        key, top = np.zeros(len(at), np.int64), 1
+        for shift in shifts:
+            if top * (n + 1) >= 1 << 62:
+                key, top = _ranked(key), n + 1
+            i = at + shift
+            key = key * (n + 1) + np.where(i < n, r[np.minimum(i, n - 1)] + 1, 0)
+            top *= n + 1
+        return _ranked(key)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """The ranks of the depth bytes at each of the places. The last part may overlap the one before it."""
+        size = self.levels[-1][0]
+        return self._ranked(at, tuple(min(x, self.depth - size) for x in range(0, self.depth, size)))
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The length of the longest common prefix at positions x and y, at most depth; depth bytes must follow both."""
         out = np.zeros(len(x), np.int64)
         for size, r in reversed(self.levels):
-            fits = out + size <= self.depth
-            out[fits] += size * (r[x[fits] + out[fits]] == r[y[fits] + out[fits]])
+            for _ in range(2):
+                fits = out + size <= self.depth
+                out[fits] += size * (r[x[fits] + out[fits]] == r[y[fits] + out[fits]])
         rest = out < self.depth
         differs = self.first[x[rest] + out[rest]] ^ self.first[y[rest] + out[rest]]
         out[rest] += sum((differs < U64(1 << 64 - 8 * k)).astype(np.int64) for k in range(1, 8))
@@ -216,27 +227,37 @@ def nearest_smaller(p: np.ndarray) -> np.ndarray:
     return prev
 
 
-def _previous(s: Suffixes, at: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """For suffixes in order (places `at` of the buffer, positions p): the longest common prefix with one of smaller position."""
+def longest_previous(s: Suffixes, at: np.ndarray, position: np.ndarray, exact: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The longest previous factor at each of the places `at`, at most depth bytes, and which places are sources of one of depth bytes.
+
+    position: where each place lies in the corpus; places with the same one are the same text and no copies of each other.
+    Unless exact, factors shorter than depth bytes are given as 0."""
+    rank = s.rank(at)
+    order = np.argsort(rank)  # the order of equal strings does not matter
+    x, p, rank = at[order], position[order], rank[order]
     before, behind = nearest_smaller(p), len(p) - 1 - nearest_smaller(p[::-1])[::-1]
-    out = np.zeros(len(p), np.int64)
+    factor, source = np.zeros(len(p), np.int64), np.zeros(len(p), bool)
     for near, ok in ((before, before >= 0), (behind, behind < len(p))):
         i = np.flatnonzero(ok)
-        out[i] = np.maximum(out[i], s.common(at[i], at[near[i]]))
+        full = rank[i] == rank[near[i]]
+        source[near[i[full]]] = True
+        factor[i[full]] = s.depth
+        if exact:
+            i = i[~full]
+            factor[i] = np.maximum(factor[i], s.common(x[i], x[near[i]]))
+    out = np.empty(len(at), np.int64), np.empty(len(at), bool)
+    out[0][order], out[1][order] = factor, source
     return out
 
 
-def longest_factors(s: Suffixes, at: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The longest previous factor at each of the places `at`, and the longest that occurs later, at most depth bytes.
-
-    position: where each place lies in the corpus; places with the same one are the same text and no copies of each other."""
-    order = np.lexsort((position, s.rank[at]))
-    out = []
-    for p in (position, -position):
-        found = np.empty(len(at), np.int64)
-        found[order] = _previous(s, at[order], p[order])
-        out.append(found)
-    return out[0], out[1]
+def _shared(h: np.ndarray) -> np.ndarray:
+    """Which values occur more than once."""
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    out = np.zeros(len(h), bool)
+    out[order[1:]] = same
+    out[order[:-1]] |= same
+    return out
 
 
 def _windows(contexts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -253,13 +274,21 @@ def _solved(keep_first: bool):
 
     def solve(t: pa.RecordBatch) -> pa.RecordBatch:
         raw, at, of, off = _windows(t.column(6))
+        again = _shared(string_hashes(raw, LENGTH)[at]) if len(at) else np.zeros(0, bool)
+        at, of, off = at[again], of[again], off[again]
         if not len(at):
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int32())], ["class", "lo", "hi"])
+        # Only the bytes that these windows cover are put in order.
+        used = np.zeros(len(raw) + 1, np.int32)
+        np.add.at(used, at, 1)
+        np.add.at(used, at + LENGTH, -1)
+        used = np.cumsum(used[:-1]) > 0
+        place = np.cumsum(used) - 1
         file, row = (np.asarray(t.column(3).field(i)) for i in (0, 1))
         _, doc = np.unique(np.stack([file, row], axis=1), axis=0, return_inverse=True)
         position = doc.ravel().astype(np.int64)[of] << 34 | np.asarray(t.column(4)).astype(np.int64)[of] + off
-        earlier, later = longest_factors(Suffixes(raw), at, position)
-        hit = (earlier if keep_first else np.maximum(earlier, later)) >= LENGTH
+        factor, source = longest_previous(Suffixes(raw[used]), place[at], position, False)
+        hit = factor >= LENGTH if keep_first else (factor >= LENGTH) | source
         of, off = of[hit], off[hit]
         first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
         lo, hi = (np.minimum.reduceat(off, first), np.maximum.reduceat(off, first) + LENGTH) if len(of) else (off, off)
@@ -270,9 +299,9 @@ def _solved(keep_first: bool):
         held: list[pa.RecordBatch] = []
         rows = 0
         for whole in batches:
-            for x in range(0, whole.num_rows, 2 * SHARED_BY_MANY):
-                b = whole.slice(x, 2 * SHARED_BY_MANY)
-                if rows >= 2 * SHARED_BY_MANY:
+            for x in range(0, whole.num_rows, TOGETHER):
+                b = whole.slice(x, TOGETHER)
+                if rows >= TOGETHER:
                     other = np.asarray(b.column(1)) != held[-1].column(1)[-1].as_py()
                     if other.any():
                         cut = int(np.argmax(other))
@@ -287,19 +316,18 @@ def _solved(keep_first: bool):
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """class, h, members, place, start, left, context -> a row for each window: digest (k1, k2), place, position, class, offset.
+    """class, h, members, place, start, left, context -> a row for each window: digest (k1, k2), class, offset.
 
     Equal windows have the anchor in the same place, and one window can lie in the contexts of two anchors: the digest is of the
     anchor and its place too, so no window is its own copy."""
     for b in batches:
-        for x in range(0, b.num_rows, 1024):
-            part = b.slice(x, 1024)
+        for x in range(0, b.num_rows, TOGETHER):
+            part = b.slice(x, TOGETHER)
             raw, at, of, off = _windows(part.column(6))
             h = np.asarray(part.column(1)).view(np.uint64)[of]
             rel = (LENGTH + np.asarray(part.column(5)).astype(np.int64)[of] - off).astype(U64)
             keys = [mixed(string_hashes(raw, LENGTH, seed)[at] + mixed(h + rel + U64(seed))).view(np.int64) if len(at) else np.zeros(0, np.int64) for seed in (0x51ED270B, 0x2F72B421)]
-            i = pa.array(of)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), part.column(3).take(i), pa.array(np.asarray(part.column(4)).astype(np.int64)[of] + off), part.column(0).take(i), pa.array(off.astype(np.int32))], ["k1", "k2", "place", "pos", "class", "off"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), part.column(0).take(pa.array(of)), pa.array(off.astype(np.int32))], ["k1", "k2", "class", "off"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +365,9 @@ def covered(docs: DataFrame, keep_first: bool = False) -> DataFrame:
     again = spark.sparkContext.broadcast(key_filter(kept(narrow(counted.select("h")), "anchors")))
     found = kept(rows.select("place", text).mapInArrow(_contexts(again), f"place {place}, pos bigint, h bigint, c binary, left int, size int"), "contexts", "zstd")
     first = F.struct("place", "pos", "left")
-    classes = kept(narrow(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), F.first("size").alias("size"))).withColumn("class", F.monotonically_increasing_id()), "classes")
+    classes = found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), F.first("size").alias("size"))
+    classes = narrow(classes) if not keep_first else classes.repartitionByRange(n, "first").sortWithinPartitions("first")  # numbered in the order of places
+    classes = kept(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     shared = kept(narrow(classes.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("copies").alias("fewest")).where("members > 1")), "shared")
     if not keep_first:
         shared = shared.where("fewest = 1")  # where all have copies, all is known
@@ -347,10 +377,10 @@ def covered(docs: DataFrame, keep_first: bool = False) -> DataFrame:
     some = possibly(rows.select("place", text), key_filter(wanted.select(F.xxhash64("p"))), F.xxhash64("place")).join(wanted, F.col("place") == F.col("p"))
     texts = kept(narrow(some.select("text", "place", "wanted")).mapInArrow(_fetched, f"class bigint, h bigint, members bigint, place {place}, start bigint, left int, context binary"), "class_contexts", "zstd")
     few = texts.where(F.col("members") <= SHARED_BY_MANY).repartition(n, "h").sortWithinPartitions("h").mapInArrow(_solved(keep_first), "class bigint, lo int, hi int")
-    dealt = kept(texts.where(F.col("members") > SHARED_BY_MANY).mapInArrow(_dealt, f"k1 bigint, k2 bigint, place {place}, pos bigint, class bigint, off int"), "windows")
-    order = ("k1", "k2", "place", "pos")
-    marked = kept(dealt.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, f"k1 bigint, k2 bigint, place {place}, pos bigint, class bigint, off int, earlier boolean, later boolean, edge boolean"), "neighbours")
-    ends = Window.partitionBy("k1", "k2").orderBy("place", "pos")  # two rows a task at most
+    dealt = kept(texts.where(F.col("members") > SHARED_BY_MANY).mapInArrow(_dealt, "k1 bigint, k2 bigint, class bigint, off int"), "windows")
+    order = ("k1", "k2", "class")
+    marked = kept(dealt.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, "k1 bigint, k2 bigint, class bigint, off int, earlier boolean, later boolean, edge boolean"), "neighbours")
+    ends = Window.partitionBy("k1", "k2").orderBy("class")  # two rows a task at most
     edges = marked.where("edge").select("class", "off", (F.col("earlier") | (F.row_number().over(ends) > 1)).alias("earlier"), (F.col("later") | F.lead("off").over(ends).isNotNull()).alias("later"))
     many = marked.where("not edge").select("class", "off", "earlier", "later").union(edges).where("earlier" if keep_first else "earlier or later")
     many = many.groupBy("class").agg(F.min("off").alias("lo"), (F.max("off") + LENGTH).alias("hi"))

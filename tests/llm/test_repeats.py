@@ -85,22 +85,28 @@ def test_keep_first(spark, monkeypatch):
 
 
 def test_factor_arrays():
-    """The longest previous and later factors of every place against comparison with all others."""
+    """The longest previous factor of every place against comparison with all others."""
     rng = np.random.default_rng(5)
     for depth, letters, n in ((16, 2, 300), (40, 3, 260), (200, 1, 450), (8, 4, 120)):
         raw = rng.integers(97, 97 + letters, n, np.uint8)
         at = np.arange(n - depth + 1)
         position = rng.permutation(len(at)) // 2  # some places are the same text
         raw = raw if letters == 1 else np.concatenate([raw[: n // 2], raw[: n - n // 2]])
-        earlier, later = repeats.longest_factors(repeats.Suffixes(raw, depth), at, position)
+        factor, source = repeats.longest_previous(repeats.Suffixes(raw, depth), at, position)
+        full, again = repeats.longest_previous(repeats.Suffixes(raw, depth), at, position, False)
 
         def common(i, j):
             d = np.flatnonzero(raw[i : i + depth] != raw[j : j + depth])
             return int(d[0]) if len(d) else depth
 
         for i in at.tolist():
-            assert earlier[i] == max((common(i, j) for j in at.tolist() if position[j] < position[i]), default=0)
-            assert later[i] == max((common(i, j) for j in at.tolist() if position[j] > position[i]), default=0)
+            assert factor[i] == max((common(i, j) for j in at.tolist() if position[j] < position[i]), default=0)
+        assert (full == np.where(factor == depth, depth, 0)).all() and (source == again).all()
+        # A source has a later copy; of copies, one at each position is a source or has a previous factor.
+        copies = [{position[j] for j in at.tolist() if common(i, j) == depth} for i in at.tolist()]
+        assert all(max(copies[i]) > position[i] for i in np.flatnonzero(source).tolist())
+        known = {position[i] for i in at.tolist() if source[i] or factor[i] == depth}
+        assert known == {position[i] for i in at.tolist() if len(copies[i]) > 1}
 
 
 def test_nearest_smaller():
@@ -125,7 +131,7 @@ def test_ends_of_tasks():
     """Neighbours in one task, over batches of any size."""
     rng = np.random.default_rng(2)
     k = np.sort(rng.integers(0, 30, 60))
-    t = pa.RecordBatch.from_pydict({"k1": k, "k2": k % 3, "place": np.arange(60), "pos": np.arange(60), "class": np.arange(60), "off": np.arange(60, dtype=np.int32)})
+    t = pa.RecordBatch.from_pydict({"k1": k, "k2": k % 3, "class": np.arange(60), "off": np.arange(60, dtype=np.int32)})
     for step in (1, 7, 60):
         got = pa.Table.from_batches(list(repeats._neighbours(iter([t.slice(i, step) for i in range(0, 60, step)])))).to_pylist()
         found = {r["class"]: (r["earlier"], r["later"]) for r in got if r["earlier"] or r["later"]}
