@@ -143,16 +143,10 @@ def conserved(manifest: DataFrame, actual: DataFrame) -> DataFrame:
     return x.select("channel", "day", expected.alias("expected"), got.alias("actual"), state.alias("state"))
 
 
-def state() -> Column:
-    """Which sides of a book row are there."""
-    bid, ask = F.col("yes_bid"), F.col("yes_ask")
-    return F.when(bid.isNull() & ask.isNull(), "NONE").when(ask.isNull(), "BID_ONLY").when(bid.isNull(), "ASK_ONLY").when(bid >= ask, "CROSSED").otherwise("TWO_SIDED")
-
-
 def transitions(l1: DataFrame) -> DataFrame:
     """How often a state follows a state, in each market's order of time."""
     was = F.lag("state").over(Window.partitionBy("ticker").orderBy("ts", "event_id"))
-    return l1.withColumn("state", state()).withColumn("was", was).where("was is not null").groupBy("was", "state").agg(F.count(F.lit(1)).alias("n"))
+    return l1.withColumn("state", state(F.col("yes_bid"), F.col("yes_ask"))).withColumn("was", was).where("was is not null").groupBy("was", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 def utc_rhythm(l1: DataFrame) -> DataFrame:

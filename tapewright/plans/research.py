@@ -176,7 +176,7 @@ def atlas(spark, sf_dir):
     """Strata and rows of each record kind: states, transitions, episodes by length, refill hazards by age."""
     b = view(spark, sf_dir, "l1")
     kinds = {
-        "STATE": b.groupBy(research.state().alias("stratum")).agg(F.count(F.lit(1)).alias("n")),
+        "STATE": b.groupBy(research.state(F.col("yes_bid"), F.col("yes_ask")).alias("stratum")).agg(F.count(F.lit(1)).alias("n")),
         "TRANSITION": research.transitions(b).select(F.concat("was", F.lit(">"), "state").alias("stratum"), "n"),
     }
     each = [d.select(F.lit(k).alias("kind"), "n") for k, d in kinds.items()]

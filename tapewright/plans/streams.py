@@ -31,14 +31,38 @@ def stream_sessions(spark, sf_dir):
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events"), F.max("n").alias("longest"))
 
 
+DELAY = "40 days"  # files are read in no order of time, so the watermark waits for all of them
+LAGGING, STALE = 2 * 3600, 5 * 3600
+
+
+def _closed(df, key, last):
+    """df and a row of no key far behind it: the end of the log, which lets the watermark pass what was logged."""
+    end = df.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("interval 100 day")).alias("ts"))
+    row = end.select(*(F.col("ts") if c == "ts" else F.lit(-1).cast(t).alias(c) if c in (key, last) else F.lit(None).cast(t).alias(c) for c, t in df.dtypes))
+    return df.unionByName(row)
+
+
+def _ordered_frames(spark, sf_dir):
+    f = view(spark, sf_dir, "frames").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("epoch", F.col("epoch").cast("int"))
+    end = _closed(f, "sid", "arrival").withColumn("epoch", F.coalesce("epoch", F.lit(-1))).withColumn("seq", F.coalesce("seq", F.lit(0)))
+    return streams.replayed(end.fillna("", ["kind", "ticker", "side"]).fillna(0, ["price_cents", "qty"]), "arrival", "frames")
+
+
 def stream_sequence(spark, sf_dir):
-    out = streams.drained(streams.sequence_monitor(streams.source(view(spark, sf_dir, "frames").coalesce(1), "frames")), "append", "sequence")
-    return out.groupBy("sid", "seq_class").agg(F.count(F.lit(1)).alias("n"))
+    out = streams.drained(streams.sequence_monitor(_ordered_frames(spark, sf_dir), DELAY), "append", "sequence")
+    return out.where("sid >= 0").groupBy("sid", "seq_class").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stream_book(spark, sf_dir):
-    out = streams.drained(streams.book_monitor(streams.source(view(spark, sf_dir, "frames").coalesce(1), "frames")), "append", "books")
-    return out.groupBy("sid", "ticker").agg(F.count(F.lit(1)).alias("messages"), F.count_if("valid").alias("valid_messages"), F.max("levels").alias("most_levels"))
+    out = streams.drained(streams.book_monitor(_ordered_frames(spark, sf_dir), DELAY), "append", "books")
+    return out.where("sid >= 0").groupBy("sid", "ticker").agg(F.count(F.lit(1)).alias("messages"), F.count_if("valid").alias("valid_messages"), F.max("levels").alias("most_levels"))
+
+
+def stream_heartbeat(spark, sf_dir):
+    """How often each source turns ok, lagging and stale."""
+    e = load(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.col("event_id").alias("arrival"), F.col("ts").cast("timestamp").alias("ts"))
+    out = streams.drained(streams.heartbeat_monitor(streams.replayed(_closed(e, "source", "arrival"), "arrival", "beats"), LAGGING, STALE, DELAY), "append", "heartbeat")
+    return out.where("source >= 0").groupBy("source", "health").agg(F.count(F.lit(1)).alias("n"), F.max("at_us").alias("last_us"))
 
 
 def stream_latest(spark, sf_dir):
@@ -47,12 +71,27 @@ def stream_latest(spark, sf_dir):
     return streams.drained(e, "complete", "latest")
 
 
-QUERIES = {f.__name__: f for f in (stream_dedupe, stream_rates, stream_sessions, stream_sequence, stream_book, stream_latest)}
+QUERIES = {f.__name__: f for f in (stream_dedupe, stream_rates, stream_sessions, stream_sequence, stream_book, stream_heartbeat, stream_latest)}
 ORACLE_SQL = {
     "stream_dedupe": with_views("trades", "select ticker, count(*) as n, cast(sum(size) as bigint) as contracts from trades group by ticker"),
     "stream_rates": "select epoch_us(date_trunc('hour', ts)) // 1000000 as start_s, event_type, count(*) as n from events group by 1, 2",
     "stream_sessions": """with g as (select *, case when ts <= lag(ts) over (partition by user_id order by ts, event_id) + interval 12 hour then 0 else 1 end as edge from events), s as (select user_id, sum(edge) over (partition by user_id order by ts, event_id) as k from g),
 n as (select user_id, k, count(*) as n from s group by 1, 2) select user_id, count(*) as sessions, cast(sum(n) as bigint) as events, max(n) as longest from n group by user_id""",
     "stream_sequence": with_views("frames", ", pm as (select *, max(seq) over (partition by epoch, sid order by arrival rows between unbounded preceding and 1 preceding) as m from frames) select sid, case when m is null then 'First' when seq = m + 1 then 'Ok' when seq <= m then 'Stale' else 'Gap' end as seq_class, count(*) as n from pm group by 1, 2"),
+    "stream_heartbeat": f"""with g as (select user_id as source, epoch_us(ts) as t, epoch_us(lag(ts) over w) as p, epoch_us(lead(ts) over w) as n from events window w as (partition by user_id order by ts, event_id)),
+h as (select source, t as at_us, 'ok' as health from g where p is null or t - p > {LAGGING * 1000000} union all select source, t + {LAGGING * 1000000}, 'lagging' from g where n is null or n - t > {LAGGING * 1000000}
+  union all select source, t + {STALE * 1000000}, 'stale' from g where n is null or n - t > {STALE * 1000000}) select source, health, count(*) as n, max(at_us) as last_us from h group by 1, 2""",
+    "stream_book": with_views("frames", """, o as (select *, max(seq) over (partition by sid order by arrival rows between unbounded preceding and 1 preceding) as m from frames),
+g as (select *, sum(case when seq > m + 1 and kind <> 'snapshot' then 1 else 0 end) over (partition by sid order by arrival) as gaps from o),
+s as (select *, max(arrival) filter (kind = 'snapshot') over (partition by sid, ticker order by arrival) as seg from g),
+d as (select s.*, b.gaps as at_gaps from s left join s b on b.sid = s.sid and b.arrival = s.seg),
+e as (select *, case when kind = 'snapshot' then greatest(qty, 0) when kind = 'delta' and at_gaps = gaps and not coalesce(seq <= m, false) and not coalesce(seq > m + 1, false) then qty end as q from d),
+z as (select *, sum(q) over (partition by sid, ticker, seg, side, price_cents order by arrival) as size from e),
+n as (select *, min(arrival) filter (q is not null and size < 0) over (partition by sid, ticker, seg order by arrival) as neg from z),
+a as (select *, case when q is not null and (neg is null or arrival < neg) then q end as used from n),
+px as (select distinct sid, ticker, seg, side, price_cents from a where used is not null),
+lv as (select a.sid, a.ticker, a.seg, a.arrival, px.side, px.price_cents, sum(case when a.side = px.side and a.price_cents = px.price_cents then coalesce(a.used, 0) else 0 end) over (partition by a.sid, a.ticker, a.seg, px.side, px.price_cents order by a.arrival) as size from a join px on px.sid = a.sid and px.ticker = a.ticker and px.seg = a.seg),
+c as (select sid, ticker, arrival, count(*) filter (size > 0) as levels from lv group by 1, 2, 3)
+select a.sid, a.ticker, count(*) as messages, count(*) filter (seg is not null and at_gaps = gaps and (neg is null or a.arrival < neg)) as valid_messages, max(coalesce(levels, 0)) as most_levels from a left join c on c.sid = a.sid and c.ticker = a.ticker and c.arrival = a.arrival group by 1, 2"""),
     "stream_latest": "select user_id, arg_max(event_type, event_id) as event_type, max(event_id) as event_id from events group by user_id",
 }

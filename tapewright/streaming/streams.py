@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tapewright.sources.scratch import place
 
@@ -26,73 +26,175 @@ def sessions(events: DataFrame, gap: str, key: str, delay: str = "10 minutes") -
     return events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The largest number so far of one stream; frames at or below it are stale whatever their time."""
-    expected = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("arrival")
-    out = []
-    for arrival, seq in zip(rows.arrival.tolist(), rows.seq.tolist()):
-        if expected is None:
-            kind = "First"
-        elif seq == expected + 1:
-            kind = "Ok"
-        elif seq <= expected:
-            kind = "Stale"
-        else:
-            kind = "Gap"
-        expected = seq if expected is None else max(expected, seq)
-        out.append((*key, arrival, seq, kind))
-    state.update((expected,))
-    yield pd.DataFrame(out, columns=["epoch", "sid", "arrival", "seq", "seq_class"])
-
-
-def sequence_monitor(frames: DataFrame) -> DataFrame:
+class InOrder(StatefulProcessor):
+    """Steps through the rows of each key in order of arrival, however files and batches deal them out.
+
+    Rows wait in state until the watermark has passed their time: what can still come is later than they are. Then they
+    are stepped through by arrival. What waits is what the delay of the watermark spans, not the stream."""
+
+    FIELDS: tuple[str, ...] = ()  # of a row, beside arrival and ts
+    KINDS = ""  # their types
+    STATE = ""  # schema of the one value that is carried
+    OUT: tuple[str, ...] = ()
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "arrival bigint", f"ts_us bigint, {self.KINDS}")
+        self.carried = handle.getValueState("carried", self.STATE)
+
+    def step(self, key: tuple, state: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        """The new state and the rows that come out. row: arrival, time in microseconds, FIELDS."""
+        raise NotImplementedError
+
+    def silent(self, key: tuple, state: tuple, now_us: int) -> tuple[tuple, list[tuple], int | None]:
+        """As step, when the watermark is at now_us and nothing waits; and the time to be asked again."""
+        return state, [], None
+
+    def _flushed(self, key: tuple, watermark_ms: int) -> pd.DataFrame:
+        now = watermark_ms * 1000
+        ready, latest = [], None
+        for k, v in self.waiting.iterator():
+            if v[0] <= now:
+                ready.append((k[0], *v))
+            else:
+                latest = v[0] if latest is None else max(latest, v[0])
+        out: list[tuple] = []
+        state = tuple(self.carried.get()) if self.carried.exists() else None
+        for row in sorted(ready):
+            state, more = self.step(key, state, row)
+            out += more
+            self.waiting.removeKey((row[0],))
+        if state is not None:
+            due = None
+            if latest is None:
+                state, more, due = self.silent(key, state, now)
+                out += more
+            self.carried.update(state)
+            if due is not None:
+                self.handle.registerTimer(due // 1000)
+        if latest is not None:
+            self.handle.registerTimer(latest // 1000 + 1)
+        return pd.DataFrame([(*key, *x) for x in out], columns=list(self.OUT))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for arrival, ts, *rest in batch[["arrival", "ts_us", *self.FIELDS]].astype(object).itertuples(index=False):
+                self.waiting.updateValue((int(arrival),), (int(ts), *rest))
+        yield self._flushed(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._flushed(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(rows: DataFrame, keys: list[str], processor: InOrder, schema: str, delay: str) -> DataFrame:
+    timed = rows.withColumn("ts_us", F.unix_micros("ts")).withWatermark("ts", delay)
+    return timed.select(*keys, "arrival", "ts", "ts_us", *processor.FIELDS).groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
+
+
+class _Sequence(InOrder):
+    FIELDS, KINDS, STATE = ("seq",), "seq bigint", "expected bigint"
+    OUT = ("epoch", "sid", "arrival", "seq", "seq_class")
+
+    def step(self, key, state, row):
+        arrival, _, seq = row
+        if state is None:
+            return (seq,), [(arrival, seq, "First")]
+        kind = "Ok" if seq == state[0] + 1 else "Stale" if seq <= state[0] else "Gap"
+        return (max(state[0], seq),), [(arrival, seq, kind)]
+
+
+def sequence_monitor(frames: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Sequence class of each frame, from one number of state for each (epoch, sid)."""
-    return frames.select("epoch", "sid", "arrival", "seq").groupBy("epoch", "sid").applyInPandasWithState(_watch, "epoch int, sid bigint, arrival bigint, seq bigint, seq_class string", "expected bigint", "append", GroupStateTimeout.NoTimeout)
-
-
-def _book(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Levels of all books of one stream: a gap in it invalidates every member, so the key is the stream and not the market."""
-    last, held = (state.get[0], dict(zip(state.get[1], state.get[2]))) if state.exists else (None, {})
-    valid = {k[1:] for k in held if k.startswith("!")}
-    levels = {k: v for k, v in held.items() if not k.startswith("!")}
-    rows = pd.concat(list(batches)).sort_values("arrival")
-    out = []
-    for r in rows.itertuples(index=False):
-        gap = last is not None and r.seq > last + 1
-        stale = last is not None and r.seq <= last
-        last = r.seq if last is None else max(last, r.seq)
-        if r.kind == "snapshot":
-            levels = {k: v for k, v in levels.items() if not k.startswith(f"{r.ticker}|")}
-            valid.add(r.ticker)
-            if r.qty > 0:
-                levels[f"{r.ticker}|{r.side}|{r.price_cents}"] = int(r.qty)
-        elif gap:
-            valid.clear()
-        elif r.kind == "delta" and not stale and r.ticker in valid:
-            k = f"{r.ticker}|{r.side}|{r.price_cents}"
-            size = levels.get(k, 0) + int(r.qty)
+    return _in_order(frames, ["epoch", "sid"], _Sequence(), "epoch int, sid bigint, arrival bigint, seq bigint, seq_class string", delay)
+
+
+class _Books(InOrder):
+    """A gap in a stream invalidates all its books: a book is valid while the stream's count of gaps is that of its snapshot.
+
+    Each market's book is a value of its own in state; one step touches one of them."""
+
+    FIELDS, KINDS, STATE = ("seq", "kind", "ticker", "side", "price_cents", "qty"), "seq bigint, kind string, ticker string, side string, price_cents int, qty bigint", "last bigint, gaps bigint"
+    OUT = ("epoch", "sid", "arrival", "ticker", "valid", "levels")
+
+    def init(self, handle):
+        super().init(handle)
+        self.books = handle.getMapState("books", "ticker string", "gaps bigint, keys array<string>, sizes array<bigint>")
+
+    def step(self, key, state, row):
+        arrival, _, seq, kind, ticker, side, price, qty = row
+        last, gaps = state or (None, 0)
+        ahead, stale = last is not None and seq > last + 1, last is not None and seq <= last
+        last = seq if last is None else max(last, seq)
+        known, names, sizes = self.books.getValue((ticker,)) if self.books.containsKey((ticker,)) else (-1, [], [])
+        held = dict(zip(names, map(int, sizes), strict=True))
+        was = (known, dict(held))
+        if kind == "snapshot":
+            known, held = gaps, {f"{side}|{price}": int(qty)} if qty > 0 else {}
+        elif ahead:
+            gaps += 1
+        elif kind == "delta" and not stale and known == gaps:
+            size = held.pop(f"{side}|{price}", 0) + int(qty)
             if size < 0:
-                valid.discard(r.ticker)
+                known = -1
+                held = was[1]
             elif size:
-                levels[k] = size
-            else:
-                levels.pop(k, None)
-        out.append((*key, r.arrival, r.ticker, r.ticker in valid, sum(k.startswith(f"{r.ticker}|") for k in levels)))
-    held = levels | {"!" + v: 1 for v in valid}
-    state.update((last, list(held), list(held.values())))
-    yield pd.DataFrame(out, columns=["epoch", "sid", "arrival", "ticker", "valid", "levels"])
+                held[f"{side}|{price}"] = size
+        if (known, held) != was:
+            self.books.updateValue((ticker,), (known, list(held), list(held.values())))
+        return (last, gaps), [(arrival, ticker, known == gaps, len(held))]
 
 
-def book_monitor(frames: DataFrame) -> DataFrame:
+def book_monitor(frames: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Validity and number of levels of the message's market after each message."""
-    return frames.select("epoch", "sid", "arrival", "seq", "kind", "ticker", "side", "price_cents", "qty").groupBy("epoch", "sid").applyInPandasWithState(_book, "epoch int, sid bigint, arrival bigint, ticker string, valid boolean, levels int", "last bigint, keys array<string>, sizes array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return _in_order(frames, ["epoch", "sid"], _Books(), "epoch int, sid bigint, arrival bigint, ticker string, valid boolean, levels int", delay)
+
+
+class _Heartbeat(InOrder):
+    FIELDS, KINDS, STATE, OUT = (), "nothing int", "seen bigint, health string", ("source", "at_us", "health")
+
+    def __init__(self, lagging_us: int, stale_us: int):
+        self.after = (("lagging", lagging_us), ("stale", stale_us))
+
+    def _passed(self, seen: int, health: str, now: int) -> tuple[str, list[tuple]]:
+        out = []
+        for name, wait in self.after:
+            if now - seen > wait and health != "stale" and health != name:
+                health = name
+                out.append((seen + wait, name))
+        return health, out
+
+    def step(self, key, state, row):
+        ts = row[1]
+        if state is None:
+            return (ts, "ok"), [(ts, "ok")]
+        health, out = self._passed(*state, ts)
+        return (ts, "ok"), out + ([(ts, "ok")] if health != "ok" else [])
+
+    def silent(self, key, state, now_us):
+        seen = state[0]
+        health, out = self._passed(*state, now_us)
+        due = next((seen + wait + 1000 for name, wait in self.after if now_us - seen <= wait), None)
+        return (seen, health), out, due
+
+
+def heartbeat_monitor(events: DataFrame, lagging_s: int, stale_s: int, delay: str = "10 minutes") -> DataFrame:
+    """When each source turns ok, lagging and stale: by the next event that shows the silence, or by a timer while it lasts.
+
+    events: source, arrival, ts."""
+    rows = events.withColumn("nothing", F.lit(0))
+    processor = _Heartbeat(lagging_s * 1_000_000, stale_s * 1_000_000)
+    processor.FIELDS = ("nothing",)
+    return _in_order(rows, ["source"], processor, "source bigint, at_us bigint, health string", delay)
 
 
 def drained(df: DataFrame, mode: str, name: str) -> DataFrame:
     """Runs a stream over all that is there now and returns its table. In complete mode the last result stands."""
     spark = df.sparkSession
     path = place(spark, name)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # as processors need
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         q = writer.format("parquet").option("path", f"{path}/data").start()
@@ -109,6 +211,13 @@ def source(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
+def replayed(df: DataFrame, by: str, name: str, files: int = 8) -> DataFrame:
+    """A stream over df in files dealt out by ranges of a column, read a few at a time."""
+    path = place(df.sparkSession, name)
+    df.repartitionByRange(files, by).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path)
+
+
 def stream_of(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A stream over a folder of NDJSON files. A file is read once, when it appears: rotate logs in small files."""
     return spark.readStream.schema(schema).json(path)

@@ -76,10 +76,17 @@ def test_walked(spark):
 
 
 def test_streams_equal_batch(spark):
-    frames = spark.createDataFrame([(1, 0, i, "snapshot" if i == 1 else "delta", "M", "yes", 40, 1, s) for i, s in enumerate([1, 2, 3, 3, 6, 7], 1)], "epoch int, sid long, arrival long, kind string, ticker string, side string, price_cents int, qty long, seq long")
-    got = streams.drained(streams.sequence_monitor(streams.source(frames.coalesce(1), "t")), "append", "t").orderBy("arrival").collect()
+    """Files come in no order, and the last ones hold the first messages; the last row of all closes the log."""
+    kind = "epoch int, sid long, arrival long, kind string, ticker string, side string, price_cents int, qty long, seq long, ts timestamp"
+    rows = [(1, 0, i, "snapshot" if i == 1 else "delta", "M", "yes", 40, 1, s, hour(i)) for i, s in enumerate([1, 2, 3, 3, 6, 7], 1)]
+    frames = spark.createDataFrame([*rows, (-1, -1, -1, "", "", "", 0, 0, 0, hour(1000))], kind)
+    stream = lambda: streams.replayed(frames.withColumn("at", -F.col("arrival")), "at", "t", 7)
+    got = streams.drained(streams.sequence_monitor(stream(), "30 days"), "append", "t").where("sid = 0").orderBy("arrival").collect()
     assert [r.seq_class for r in got] == ["First", "Ok", "Ok", "Stale", "Gap", "Ok"]
-    book = streams.drained(streams.book_monitor(streams.source(frames.coalesce(1), "t")), "append", "t").orderBy("arrival").collect()
+    book = streams.drained(streams.book_monitor(stream(), "30 days"), "append", "t").where("sid = 0").orderBy("arrival").collect()
     assert [r.valid for r in book] == [True, True, True, True, False, False]
+    beats = spark.createDataFrame([(7, 1, hour(0)), (7, 2, hour(1)), (7, 3, hour(5)), (7, 4, hour(20)), (-1, -1, hour(1000))], "source long, arrival long, ts timestamp")
+    seen = streams.drained(streams.heartbeat_monitor(streams.replayed(beats, "ts", "t", 5), 2 * 3600, 6 * 3600, "1 hour"), "append", "t").where("source = 7").orderBy("at_us").collect()
+    assert [(r.health, (r.at_us - seen[0].at_us) // 3_600_000_000) for r in seen] == [("ok", 0), ("lagging", 3), ("ok", 5), ("lagging", 7), ("stale", 11), ("ok", 20), ("lagging", 22), ("stale", 26)]
     tr = spark.createDataFrame([(1, hour(0), "A"), (1, hour(0), "A"), (2, hour(1), "A")], "trade_id long, ts timestamp, ticker string")
     assert streams.drained(streams.deduped(streams.source(tr, "t"), "1 day"), "append", "t").count() == 2
