@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STRIKES = 3
@@ -27,23 +27,26 @@ def orphans(later: DataFrame, earlier: DataFrame) -> DataFrame:
     return later.join(earlier.select("trace_id").distinct(), "trace_id", "left_anti")
 
 
-def quarantined(rows: DataFrame, key: str, order: str, step: Callable[[pd.Series], float], value: str) -> DataFrame:
-    """Runs a user's function over the rows of each key in order. A key whose function fails STRIKES times in a row is shut off:
-    its later rows are marked and left alone, and other keys go on. value is the column that the function gets."""
+def quarantined(rows: DataFrame, key: str, order: str, step: Callable[[float], float], value: str) -> DataFrame:
+    """Runs a user's function over all rows: key, at, result, status. A key whose function fails STRIKES times in a row is shut off:
+    its later rows are marked and have no result, and other keys go on. value is the column that the function gets.
 
-    def run(k, g: pd.DataFrame) -> pd.DataFrame:
-        out, strikes = [], 0
-        for o, v in zip(*(g.sort_values(order)[c].tolist() for c in (order, value))):
-            if strikes >= STRIKES:
-                out.append((k[0], o, None, "quarantined"))
-                continue
+    Failures do not depend on order, so the function runs in batches of any rows; which key is shut off from where is a window."""
+
+    @F.pandas_udf("result double, status string")
+    def tried(values: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in values.tolist():
             try:
-                out.append((k[0], o, float(step(v)), "ok"))
-                strikes = 0
+                out.append((float(step(v)), "ok"))
             except Exception as e:  # noqa: BLE001  whatever the user's function raises
-                strikes += 1
-                out.append((k[0], o, None, type(e).__name__))
-        return pd.DataFrame(out, columns=["key", "at", "result", "status"]).astype({"result": "float64"})
-
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(key).applyInPandas(run, f"key {kinds[key]}, at {kinds[order]}, result double, status string")
+                out.append((None, type(e).__name__))
+        return pd.DataFrame(out, columns=["result", "status"]).astype({"result": "float64"})
+
+    by = Window.partitionBy("key").orderBy("at")
+    t = rows.select(F.col(key).alias("key"), F.col(order).alias("at"), tried(F.col(value)).alias("r")).select("key", "at", "r.*")
+    failures = F.count_if(F.col("status") != "ok").over(by.rowsBetween(1 - STRIKES, 0))
+    t = t.withColumn("struck", F.when(failures == STRIKES, F.col("at")))
+    off = F.col("at") > F.min("struck").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    off = F.coalesce(off, F.lit(False))
+    return t.select("key", "at", F.when(~off, F.col("result")).alias("result"), F.when(off, "quarantined").otherwise(F.col("status")).alias("status"))

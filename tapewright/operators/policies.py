@@ -19,7 +19,7 @@ def lead_lag(l1: DataFrame, links: DataFrame, hours: int) -> DataFrame:
     m = m.withColumn("d", F.col("mid2") - F.lag("mid2").over(by)).withColumn("since", F.first("ts").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     m = m.where("d <> 0").withColumn("since", F.coalesce(F.lag("ts").over(by), "since"))
     pair, none = ["event_ticker", "leader", "follower"], "struct<ts: timestamp_ntz, since: timestamp_ntz, d: int>"
-    seen, links = F.struct("ts", "since", F.col("d").cast("int").alias("d")), F.broadcast(links)
+    seen = F.struct("ts", "since", F.col("d").cast("int").alias("d"))
     lead = m.join(links, F.col("ticker") == F.col("leader")).select(*pair, F.col("ts").alias("at"), F.lit(1).alias("rank"), F.col("event_id").alias("id"), seen.alias("lead"), F.lit(None).cast(none).alias("move"))
     move = m.join(links, F.col("ticker") == F.col("follower")).select(*pair, F.col("ts").alias("at"), F.lit(0).alias("rank"), F.col("event_id").alias("id"), F.lit(None).cast(none).alias("lead"), seen.alias("move"))
     past = Window.partitionBy(*pair).orderBy("at", "rank", "id").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,7 +74,7 @@ def policy_days(prints: DataFrame, roots: DataFrame) -> DataFrame:
     span = prints.groupBy("ticker").agg(F.min("day").alias("first"), F.max("day").alias("last"))
     zero = {c: F.when(F.col("seen"), F.col(c)).otherwise(0).alias(c) for c in ("opportunities", "triggers", "contracts", "cap", "net", "base")}
     days = span.select("ticker", F.explode(F.sequence("first", "last")).alias("day")).join(done, ["ticker", "day"], "left").select("ticker", "day", *zero.values())
-    days = days.join(F.broadcast(roots), "ticker", "left").withColumn("market", F.when(F.col("event_ticker").isNull(), F.col("ticker")))
+    days = days.join(roots, "ticker", "left").withColumn("market", F.when(F.col("event_ticker").isNull(), F.col("ticker")))
     key = [F.coalesce("event_ticker", F.lit("")).alias("event_ticker"), F.coalesce("market", F.lit("")).alias("market")]
     days = days.select(*key, "ticker", F.col("day").alias("ts"), *zero)
     peak = running_capital(days, span.select("ticker", F.col("last").alias("ts")), "event_ticker", "market").where("step = 0").select("event_ticker", "market", "ts", F.col("capital").alias("peak_capital"))

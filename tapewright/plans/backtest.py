@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import fixedpoint, identity, orders
 from tapewright.operators import exposure, extension, fills, quotes
-from tapewright.plans.views import view, with_views
+from tapewright.plans.views import fnv_sql, view, with_views
 
 SPEEDS = (0, 1, 5)  # days: the reference's latency settings, scaled to a tape of whole days
 HORIZON = 3
@@ -83,7 +83,7 @@ def fees_longest_prefix(spark, sf_dir):
     tape = view(spark, sf_dir, "tape")
     rates = fills.fee_rates(tape, view(spark, sf_dir, "fees"))
     fee = orders.fee_cents(F.col("maker_rate_e4"), F.col("size"), F.col("price_cents"))
-    return tape.join(F.broadcast(rates), "ticker").groupBy("ticker", "series_prefix", "maker_rate_e4").agg(F.sum(fee).alias("fee_cents"), F.count(F.lit(1)).alias("prints"))  # a rate for each market of a small file
+    return tape.join(rates, "ticker").groupBy("ticker", "series_prefix", "maker_rate_e4").agg(F.sum(fee).alias("fee_cents"), F.count(F.lit(1)).alias("prints"))
 
 
 def _filled(spark, sf_dir, tape, *tracks, latencies=(0,)):
@@ -154,15 +154,14 @@ def strategy_signals(spark, sf_dir):
 
 
 def strategy_quarantine(spark, sf_dir):
-    """A strategy that fails on prices over 95: three failures in a row shut off its market, the others go on."""
+    """A strategy that fails on prices over 90: three failures in a row shut off its market, the others go on."""
 
     def step(price):
-        if price > 95:
+        if price > 90:
             raise ValueError(price)
         return price / 100
 
-    t = view(spark, sf_dir, "tape").where("price_cents >= 90")
-    out = extension.quarantined(t, "ticker", "tape_id", step, "price_cents")
+    out = extension.quarantined(view(spark, sf_dir, "tape"), "ticker", "tape_id", step, "price_cents")
     return out.groupBy("key", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -247,6 +246,10 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "entity_ids": with_views("tape", f"select ticker, {fnv_sql('1', 'ticker')} as entity_id from (select distinct ticker from tape)"),
+    "strategy_quarantine": with_views("tape", """, b as (select ticker, tape_id, price_cents > 90 as bad, count(*) filter (price_cents > 90) over (partition by ticker order by tape_id rows between 2 preceding and current row) as last3 from tape),
+o as (select ticker, min(tape_id) filter (last3 = 3) as off from b group by 1)
+select ticker as key, case when tape_id > coalesce(off, 1e18::bigint) then 'quarantined' when bad then 'ValueError' else 'ok' end as status, count(*) as n from b join o using (ticker) group by 1, 2"""),
     "entity_collisions": with_views("tape", "select 0 as collisions, 8 * count(distinct ticker) as keys from tape"),
     "fixed_point_parse": with_views("tape", _TEXTS + f"select tape_id, s, case when {_scaled_sql('s', 4)} <= 10000 then cast({_scaled_sql('s', 4)} as int) end as price_e4, {_scaled_sql('s', 2)} as count_fp, case when s[1] = '-' then -({_scaled_sql('s[2:]', 2)}) else {_scaled_sql('s', 2)} end as delta_fp from texts"),
     "fixed_point_format": with_views("tape", "select tape_id, printf('%d.%04d', e // 10000, e % 10000) as price, (case when fp < 0 then '-' else '' end) || printf('%d.%02d', abs(fp) // 100, abs(fp) % 100) as count, price_cents * 100 as e4, (e + 50) // 100 as cents from (select *, price_cents * 100 + cast(tape_id % 100 as int) as e, size * (case when taker_yes then 7 else -7 end) as fp from tape)"),

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapewright.operators import sequence
-from tapewright.plans.views import view, with_views
+from tapewright.plans.views import fnv_sql, view, with_views
 
 RUNG_SECONDS = 2 * 3600  # the reference's 2 s, scaled to the adapter's clock
 SILENCE_SECONDS = 4 * 3600
@@ -119,6 +119,9 @@ sz as (select msg.*, px.side, px.price_cents, sum(coalesce(d, 0)) over (partitio
 rk as (select *, row_number() over (partition by sid, ticker, segment, i, side order by case when size > 0 then 0 else 1 end, price_cents desc) as k from sz),
 top as (select sid, ticker, segment, i, side, price_cents, size from rk where k <= {K} and size > 0)"""
 ORACLE_SQL = {
+    "book_checksums": with_views("frames", LEVELS + f""", sq as (select sid, ticker, arg_max(seq, arrival) as last_seq from frames group by 1, 2),
+t as (select sid, ticker, valid, string_agg((case when side = 'yes' then '0' else '1' end) || ':' || lpad(cast(price_cents as varchar), 3, '0') || ':' || cast(size as varchar), ',' order by (case when side = 'yes' then '0' else '1' end) || ':' || lpad(cast(price_cents as varchar), 3, '0') || ':' || cast(size as varchar)) as l from lv group by 1, 2, 3)
+select sid, ticker, {fnv_sql('0', "(cast(valid as varchar) || '|' || cast(last_seq as varchar) || '|' || l)")} as checksum from t join sq using (sid, ticker)"""),
     "depth_baseline": with_views("frames", LEVELS.rstrip() + ", " + TOPS + f""", d as (select msg.*, coalesce(s, 0) as depth from msg left join (select sid, ticker, segment, i, sum(size) as s from top group by all) using (sid, ticker, segment, i)),
 b as (select *, avg(depth) over (partition by sid, ticker, segment order by arrival rows between {BACK} preceding and 1 preceding) as base from d)
 select ticker, count(*) as n, cast(sum(depth) as bigint) as depth, count(*) filter (depth < base) as under, count(*) filter (depth > base) as over, round(avg(base), 6) as mean_baseline from b group by ticker"""),

@@ -36,9 +36,9 @@ def capture_counts(spark, sf_dir):
 
 
 def capture_bytes(spark, sf_dir):
-    """Records by stream with the number of payload bytes; payloads that are not UTF-8 come back byte for byte."""
+    """Records by stream with a digest of their payloads; those that are not UTF-8 come back byte for byte too."""
     d = capture.data(capture.scan(spark, _log(spark, sf_dir)))
-    return d.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("raw_b64").isNotNull()).alias("not_text"), F.count_if(F.hex(F.substring("payload", 1, 1)) == "FF").alias("led_by_ff"))
+    return d.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("raw_b64").isNotNull()).alias("not_text"), F.count_if(F.hex(F.substring("payload", 1, 1)) == "FF").alias("led_by_ff"), F.sum(F.conv(F.substring(F.md5("payload"), 1, 8), 16, 10).cast("bigint")).alias("digest"))
 
 
 def capture_deltas(spark, sf_dir):
@@ -63,7 +63,11 @@ _D = ", d as (select * from frames where arrival % 40 <> 0), u as (select * from
 QUERIES = {f.__name__: f for f in (capture_counts, capture_bytes, capture_deltas, capture_snapshots, capture_sequence)}
 ORACLE_SQL = {
     "capture_counts": with_views("frames", "select count(*) filter (arrival % 40 <> 0) as recorded, count(*) filter (arrival % 40 = 0) as markers, 0 as corrupt, cast(sum(2) filter (arrival % 80 = 0) as bigint) as lost, 'LOSSY' as verdict from frames"),
-    "capture_bytes": with_views("frames", _D + "select sid, count(*) as n, count(*) filter (arrival % 50 = 7) as not_text, count(*) filter (arrival % 50 = 7) as led_by_ff from d group by sid"),
+    "capture_bytes": with_views("frames", _D + r""", j as (select *, printf('[["%d.%04d","%d.00"]]', price_cents // 100, price_cents % 100 * 100, greatest(qty, 0)) as lv from d),
+b as (select *, printf('{"type":"%s","sid":%d,"seq":%d,"msg":{"market_ticker":"%s","yes_dollars_fp":%s,"no_dollars_fp":%s,"price_dollars":"%d.%04d","delta_fp":"%s%d.00","side":"%s"}}', case kind when 'snapshot' then 'orderbook_snapshot' when 'delta' then 'orderbook_delta' else 'ok' end, sid, seq, ticker,
+  case when kind = 'snapshot' and side = 'yes' then lv else '[]' end, case when kind = 'snapshot' and side = 'no' then lv else '[]' end, price_cents // 100, price_cents % 100 * 100, case when qty < 0 then '-' else '' end, abs(qty), side) as body from j),
+p as (select sid, arrival, case when arrival % 50 = 7 then '\xFF'::blob || encode(body) else encode(body) end as payload from b)
+select sid, count(*) as n, count(*) filter (arrival % 50 = 7) as not_text, count(*) filter (arrival % 50 = 7) as led_by_ff, cast(sum(cast('0x' || substr(md5(payload), 1, 8) as bigint)) as bigint) as digest from p group by sid"""),
     "capture_deltas": with_views("frames", _D + "select ticker, side, count(*) as n, cast(sum(qty * 100) as bigint) as delta_fp, cast(sum(price_cents * 100) as bigint) as price_sum from u where kind = 'delta' group by 1, 2"),
     "capture_snapshots": with_views("frames", _D + "select ticker, count(*) as levels, cast(sum(qty * 100) as bigint) as size_fp from u where kind = 'snapshot' and qty > 0 group by 1"),
     "capture_sequence": with_views("frames", _D + ", pm as (select *, max(seq) over (partition by epoch, sid order by arrival rows between unbounded preceding and 1 preceding) as m from u) select case when m is null then 'First' when seq = m + 1 then 'Ok' when seq <= m then 'Stale' else 'Gap' end as seq_class, count(*) as n from pm group by 1"),

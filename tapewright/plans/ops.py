@@ -112,9 +112,10 @@ def limits_check(spark, sf_dir):
 
 
 def reserve_before_send(spark, sf_dir):
-    """Sent requests without a grant (none may be), and refused ones, by bucket."""
-    g = token_bucket_replay(spark, sf_dir)
-    return g.groupBy("bucket").agg(F.count(F.lit(1)).alias("requests"), F.count_if(~F.col("granted")).alias("refused"), F.count_if(F.col("granted") & (F.col("after") < -MAX_WAIT_NS // 10**6 * RATE)).alias("sent_beyond_grant"))
+    """Requests of the log that reached the server against the grants of the replay: those sent without one, and grants not used."""
+    sent = view(spark, sf_dir, "requests").select("req_id", (~F.col("transport_error")).alias("sent"))
+    g = token_bucket_replay(spark, sf_dir).join(sent, "req_id")
+    return g.groupBy("bucket").agg(F.count(F.lit(1)).alias("requests"), F.count_if(~F.col("granted")).alias("refused"), F.count_if(~F.col("granted") & F.col("sent")).alias("sent_without_grant"), F.count_if(F.col("granted") & ~F.col("sent")).alias("granted_not_sent"))
 
 
 def class_rollup(spark, sf_dir):

@@ -111,7 +111,7 @@ def sg_depth_imbalance(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    t = view(spark, sf_dir, "tape").join(F.broadcast(view(spark, sf_dir, "settles")), "ticker")  # a row for each of twenty markets
+    t = view(spark, sf_dir, "tape").join(view(spark, sf_dir, "settles"), "ticker")
     return t.select("tape_id", "ticker", "ts", F.col("price_cents").cast("double").alias("price"), F.col("size").cast("double").alias("size"), F.col("taker_yes").cast("double").alias("taker"), F.col("yes_wins").cast("double").alias("label"))
 
 
@@ -145,7 +145,7 @@ def _prints(spark, sf_dir):
     """Prints with the result of their market and the taker's rate; the policy buys what takers buy."""
     tape, fees = view(spark, sf_dir, "tape"), view(spark, sf_dir, "fees")
     rates = fills.fee_rates(tape, fees.withColumn("maker_rate_e4", F.col("taker_rate_e4"))).select("ticker", F.col("maker_rate_e4").alias("taker_rate_e4"))
-    t = tape.join(F.broadcast(rates), "ticker", "left").join(F.broadcast(view(spark, sf_dir, "settles")), "ticker", "left")  # a row for each of twenty markets
+    t = tape.join(rates, "ticker", "left").join(view(spark, sf_dir, "settles"), "ticker", "left")
     return t.select("ticker", F.col("ts").cast("date").alias("day"), "price_cents", "size", F.col("taker_yes").alias("taken"), "yes_wins", "taker_rate_e4")
 
 

@@ -75,3 +75,10 @@ def with_views(names: str, body: str) -> str:
     """SQL that defines the named views and any further common tables of body, which begins with SELECT or with a CTE list."""
     defs = ",\n".join(f"{n} as ({SQL[n]})" for n in names.split())
     return f"with {defs}{', ' + body[1:] if body.startswith(',') else chr(10) + body}"
+
+
+def fnv_sql(first_byte: str, text: str) -> str:
+    """DuckDB's FNV-1a over a leading byte and the letters of an ASCII text, as a signed 64-bit integer."""
+    octets = f"list_concat([14695981039346656037::uhugeint, {first_byte}::uhugeint], list_transform(string_split({text}, ''), lambda c: ascii(c)::uhugeint))"
+    h = f"list_reduce({octets}, lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)"
+    return f"cast(case when {h} >= 9223372036854775808::uhugeint then cast({h} as hugeint) - 18446744073709551616::hugeint else cast({h} as hugeint) end as bigint)"
