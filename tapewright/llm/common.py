@@ -30,8 +30,7 @@ def kept(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
 
 def narrow(df: DataFrame) -> DataFrame:
-    """df in at most four partitions a core, each made of whole ones that run one after another: what is held at once stays as it
-    is, and a table of ids and numbers does not become thousands of small files and tasks."""
+    """df, a table of bounded size, in at most four partitions a core."""
     return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 

@@ -59,7 +59,7 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     """The filter of a column of mixed 64-bit hashes without nulls; keys is read twice, so it should lie on disk."""
     bits = size_for(keys.count())
     out = np.zeros((bits // 8 // PART, PART), np.uint8)
-    for r in narrow(narrow(keys).mapInArrow(_filled(bits), _SCHEMA).repartition("k")).mapInArrow(_merge, _SCHEMA).collect():  # bits / 8 bytes
+    for r in narrow(keys.mapInArrow(_filled(bits), _SCHEMA).repartition("k")).mapInArrow(_merge, _SCHEMA).collect():  # bits / 8 bytes
         out[r.k] = np.frombuffer(bytes(r.bits), np.uint8)
     return out.ravel()
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import U64, kept, mixed, narrow, on_files, placed, table, text_batches, utf8
+from tapewright.llm.common import U64, kept, mixed, on_files, placed, table, text_batches, utf8
 from tapewright.llm.filters import key_filter, known, possibly, split_possibly
 
 LENGTH = 200  # a multiple of 8
@@ -362,20 +362,20 @@ def covered(docs: DataFrame, keep_first: bool = False) -> DataFrame:
     spark, n = docs.sparkSession, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.col("doc.text").alias("text")
     counted = rows.select(text).mapInArrow(_hashes, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = spark.sparkContext.broadcast(key_filter(kept(narrow(counted.select("h")), "anchors")))
+    again = spark.sparkContext.broadcast(key_filter(kept(counted.select("h"), "anchors")))
     found = kept(rows.select("place", text).mapInArrow(_contexts(again), f"place {place}, pos bigint, h bigint, c binary, left int, size int"), "contexts", "zstd")
     first = F.struct("place", "pos", "left")
     classes = found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), F.first("size").alias("size"))
-    classes = narrow(classes) if not keep_first else classes.repartitionByRange(n, "first").sortWithinPartitions("first")  # numbered in the order of places
+    classes = classes if not keep_first else classes.repartitionByRange(n, "first").sortWithinPartitions("first")  # numbered in the order of places
     classes = kept(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    shared = kept(narrow(classes.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("copies").alias("fewest")).where("members > 1")), "shared")
+    shared = kept(classes.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("copies").alias("fewest")).where("members > 1"), "shared")
     if not keep_first:
         shared = shared.where("fewest = 1")  # where all have copies, all is known
     start = (F.col("first.pos") - F.col("first.left")).alias("start")
     wanted = classes.where(F.col("size") >= LENGTH).join(shared, "h").select(F.col("first.place").alias("p"), F.struct("class", "h", "members", start, F.col("first.left").alias("left"), "size").alias("w"))
-    wanted = kept(narrow(wanted.groupBy("p").agg(F.collect_list("w").alias("wanted"))), "wanted")  # a list is as long as its document
+    wanted = kept(wanted.groupBy("p").agg(F.collect_list("w").alias("wanted")), "wanted")  # a list is as long as its document
     some = possibly(rows.select("place", text), key_filter(wanted.select(F.xxhash64("p"))), F.xxhash64("place")).join(wanted, F.col("place") == F.col("p"))
-    texts = kept(narrow(some.select("text", "place", "wanted")).mapInArrow(_fetched, f"class bigint, h bigint, members bigint, place {place}, start bigint, left int, context binary"), "class_contexts", "zstd")
+    texts = kept(some.select("text", "place", "wanted").mapInArrow(_fetched, f"class bigint, h bigint, members bigint, place {place}, start bigint, left int, context binary"), "class_contexts", "zstd")
     few = texts.where(F.col("members") <= SHARED_BY_MANY).repartition(n, "h").sortWithinPartitions("h").mapInArrow(_solved(keep_first), "class bigint, lo int, hi int")
     dealt = kept(texts.where(F.col("members") > SHARED_BY_MANY).mapInArrow(_dealt, "k1 bigint, k2 bigint, class bigint, off int"), "windows")
     order = ("k1", "k2", "class")
@@ -386,7 +386,7 @@ def covered(docs: DataFrame, keep_first: bool = False) -> DataFrame:
     many = many.groupBy("class").agg(F.min("off").alias("lo"), (F.max("off") + LENGTH).alias("hi"))
     whole = (F.col("copies") > 1) & (F.col("size") >= LENGTH)
     parts = classes.join(few.unionByName(many), "class", "left").where(whole | F.col("lo").isNotNull()).select("h", "c", "first", whole.alias("whole"), "lo", "hi")
-    own = found.join(kept(narrow(parts), "class_ranges"), ["h", "c"])
+    own = found.join(kept(parts, "class_ranges"), ["h", "c"])
     if keep_first:
         own = own.withColumn("whole", F.col("whole") & (first != F.col("first")))
     lo, hi = F.when(F.col("whole"), 0).otherwise(F.col("lo")), F.when(F.col("whole"), F.col("size")).otherwise(F.col("hi"))
@@ -431,7 +431,7 @@ def removed(docs: DataFrame, keep_first: bool = True, text: bool = True) -> Data
     Cuts may fall inside a character, so what stays is bytes. Without `text`, left is null."""
     docs = on_files(docs)
     ranges = covered(docs, keep_first).groupBy("place").agg(F.collect_list(F.struct("start", "end")).alias("ranges")).select(F.col("place").alias("p"), "ranges")
-    ranges = kept(narrow(ranges), "ranges")
+    ranges = kept(ranges, "ranges")
     hit, clear = split_possibly(placed(docs), key_filter(ranges.select(F.xxhash64("p"))), F.xxhash64("place"))
     schema = f"doc {placed(docs).schema['doc'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, left binary"
     none = F.lit(None).cast("array<struct<start: bigint, end: bigint>>").alias("ranges")
