@@ -35,6 +35,13 @@ def daily_total(events: DataFrame) -> DataFrame:
     return days.select(F.col("day").cast("string").alias("day"), F.sum("r").over(by).alias("at_risk_cents"), F.sum("o").over(by).alias("open_contracts"))
 
 
+def caps(events: DataFrame, market_cap: int, total_cap: int) -> DataFrame:
+    """By day: markets that were over the market cap after some event, exposure at the end of the day, and whether it is over the cap."""
+    day = F.col("ts").cast("date").cast("string").alias("day")
+    over = running(events).groupBy(day, "ticker").agg(F.max("at_risk_cents").alias("most")).groupBy("day").agg(F.count_if(F.col("most") > market_cap).alias("markets_over"))
+    return daily_total(events).join(over, "day").select("day", "at_risk_cents", "markets_over", (F.col("at_risk_cents") > total_cap).alias("total_over"))
+
+
 def audit(events: DataFrame) -> DataFrame:
     """How often each step of a lifecycle occurs, and whether it is legal."""
     by = Window.partitionBy("cid").orderBy("ts", "step", "tape_id")

@@ -74,6 +74,18 @@ def latest(rows: DataFrame, key: str, by: str, *columns: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*columns), by).alias("s")).select(key, "s.*")
 
 
+def merged_state(rows: DataFrame, key: str, by: str, *columns: str) -> DataFrame:
+    """The newest value of each field of each key that is there: later rows that lack a field leave it as it was."""
+    return rows.groupBy(key).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(by))).alias(c) for c in columns))
+
+
+def telemetry(requests: DataFrame) -> DataFrame:
+    """Requests, tokens and refusals by outcome, bucket and path; ids in paths are folded."""
+    outcome = F.when(F.col("transport_error"), "transport").when(F.col("http_status") >= 400, "error").otherwise("ok")
+    path = F.regexp_replace("wire_path", "[0-9]+", ":id")
+    return requests.groupBy(outcome.alias("outcome"), "bucket", path.alias("path")).agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("tokens"), F.count_if(F.col("http_status") == 429).alias("drift"))
+
+
 def order_rate(ts: str, key: str, seconds: int) -> Column:
     by = Window.partitionBy(key).orderBy(F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})")).rangeBetween(-seconds, 0)
     return F.count(F.lit(1)).over(by)

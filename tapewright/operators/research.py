@@ -112,19 +112,36 @@ def survival(h: DataFrame, *strata: str) -> DataFrame:
     return h.withColumn("refilled", F.round(1 - stay, 6))
 
 
-def matched(eps: DataFrame, controls: DataFrame, hours: int, lag_hours: int) -> DataFrame:
+def matched(eps: DataFrame, controls: DataFrame, hours: int, lag_hours: int, spreads: tuple[int, ...] = (1, 2)) -> DataFrame:
     """Episodes with their control (chosen): same bid, nearest spread, at most lag_hours earlier. One to one without a second
     round: the nearest control of each episode, then the nearest episode of each control; losers stay unmatched.
 
-    Time is cut into buckets of `hours`, and a control is met from its own and the next bucket."""
+    Controls have one of a few spreads, and of those with one bid and spread the latest before an episode is its nearest: an
+    as-of join for each spread, so no pairs are made. Time is cut into buckets of `hours`; a control is seen from its own and
+    the next one, so a hot bid is many windows."""
     cut = lambda c: F.floor(F.expr(f"timestampdiff(HOUR, timestamp_ntz'1970-01-01 00:00:00', {c})") / hours)
-    e = eps.select("ticker", F.col("first_id").alias("episode"), "start_ts", F.col("bid0"), F.col("ask0")).withColumn("b", cut("start_ts"))
-    c = controls.select(F.col("ticker").alias("ct"), F.col("event_id").alias("control"), F.col("ts").alias("cts"), F.col("yes_bid").alias("cbid"), F.col("yes_ask").alias("cask")).withColumn("cb", F.explode(F.array(cut("cts"), cut("cts") + 1)))
-    spread, cspread = F.col("ask0") - F.col("bid0"), F.col("cask") - F.col("cbid")
-    lag = micros("cts", "start_ts")
-    pairs = e.join(c, (F.col("bid0") == F.col("cbid")) & (F.col("b") == F.col("cb"))).where((lag > 0) & (lag <= lag_hours * 3_600_000_000)).withColumn("lag_us", lag).withColumn("d_spread", F.abs(spread - cspread))
-    first = pairs.withColumn("k", F.row_number().over(Window.partitionBy("episode").orderBy("d_spread", "lag_us", "control"))).where("k = 1")
-    return first.withColumn("k", F.row_number().over(Window.partitionBy("control").orderBy("d_spread", "lag_us", "episode"))).where("k = 1").select("ticker", "episode", "control", "lag_us", "bid0", "ask0", "cbid", "cask")
+    e = eps.select("ticker", F.col("first_id").alias("episode"), "start_ts", "bid0", "ask0")
+    e = e.select(F.col("bid0").alias("bid"), F.explode(F.array(*map(F.lit, spreads))).alias("spread"), cut("start_ts").alias("b"), F.col("start_ts").alias("at"), F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("tie"), F.struct("*").alias("e"))
+    c = controls.select("event_id", "ts", F.col("yes_bid").alias("bid"), (F.col("yes_ask") - F.col("yes_bid")).alias("spread"), F.col("yes_ask").alias("cask"))
+    c = c.select("bid", "spread", F.explode(F.array(cut("ts"), cut("ts") + 1)).alias("b"), F.col("ts").alias("at"), F.lit(1).alias("rank"), (-F.col("event_id")).alias("tie"), F.struct(F.col("event_id").alias("control"), F.col("ts").alias("cts"), F.col("bid").alias("cbid"), "cask").alias("c"))
+    past = Window.partitionBy("bid", "spread", "b").orderBy("at", "rank", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    met = e.unionByName(c, allowMissingColumns=True).withColumn("c", F.last("c", ignorenulls=True).over(past)).where("e is not null and c is not null")
+    met = met.select("e.*", "c.*").withColumn("lag_us", micros("cts", "start_ts")).where(F.col("lag_us") <= lag_hours * 3_600_000_000)
+    near = F.abs((F.col("ask0") - F.col("bid0")) - (F.col("cask") - F.col("cbid"))).alias("near")
+    first = met.groupBy("episode").agg(F.min(F.struct(near, "lag_us", "control", "ticker", "bid0", "ask0", "cbid", "cask")).alias("m")).select("episode", "m.*")
+    last = first.groupBy("control").agg(F.min(F.struct("near", "lag_us", "episode", "ticker", "bid0", "ask0", "cbid", "cask")).alias("m"))
+    return last.select("m.ticker", "m.episode", "control", "m.lag_us", "m.bid0", "m.ask0", "m.cbid", "m.cask")
+
+
+def kaplan_meier(rows: DataFrame, key: str, duration: str, censored: str) -> DataFrame:
+    """For each key and whole duration: at risk, ended, and the share that lasts longer; rows that are censored only leave the risk set."""
+    n = rows.groupBy(key, duration).agg(F.count_if(~F.col(censored)).alias("ended"), F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy(key).orderBy(F.desc(duration)).rowsBetween(Window.unboundedPreceding, 0)
+    n = n.withColumn("at_risk", F.sum("n").over(ahead))
+    past = Window.partitionBy(key).orderBy(duration).rowsBetween(Window.unboundedPreceding, 0)
+    left = 1 - F.col("ended") / F.col("at_risk")
+    gone = F.max((left <= 0).cast("int")).over(past) == 1
+    return n.select(key, duration, "at_risk", "ended", F.round(F.when(gone, 0.0).otherwise(F.exp(F.sum(F.ln(F.when(left > 0, left))).over(past))), 6).alias("lasting"))
 
 
 def tally(rows: DataFrame, channel: str, id: str) -> DataFrame:

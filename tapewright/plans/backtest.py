@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapewright.functions import fixedpoint, identity, orders
 from tapewright.operators import exposure, extension, fills, quotes
 from tapewright.plans.views import fnv_sql, view, with_views
+from tapewright.sources.scratch import written
 
 SPEEDS = (0, 1, 5)  # days: the reference's latency settings, scaled to a tape of whole days
 HORIZON = 3
@@ -188,6 +189,10 @@ def exposure_total(spark, sf_dir):
     return exposure.daily_total(_lifecycle(spark, sf_dir))
 
 
+def exposure_caps(spark, sf_dir):
+    return exposure.caps(written(_lifecycle(spark, sf_dir), "lifecycle"), 50_000, 1_000_000)
+
+
 def lifecycle_audit(spark, sf_dir):
     return exposure.audit(_lifecycle(spark, sf_dir))
 
@@ -242,7 +247,7 @@ QUERIES = {
     "entity_ids": entity_ids, "entity_collisions": entity_collisions, "fixed_point_parse": fixed_point_parse, "fixed_point_format": fixed_point_format, "intent_validation": intent_validation,
     "order_normalize": order_normalize, "client_order_ids": client_order_ids, "fees_longest_prefix": fees_longest_prefix, **{f"fills_{t}": _fills(t) for t in fills.TRACKS}, "fill_ineligible": fill_ineligible,
     "market_ledger": market_ledger, "family_report": family_report, "fill_rate": fill_rate, "speed_curve": speed_curve, "fill_markout": fill_markout, "fill_markout_any": fill_markout_any, "strategy_signals": strategy_signals, "strategy_quarantine": strategy_quarantine, "quotes_from_tape": quotes_from_tape, "quotes_with_cap": quotes_with_cap,
-    "exposure_running": exposure_running, "exposure_total": exposure_total, "lifecycle_audit": lifecycle_audit,
+    "exposure_running": exposure_running, "exposure_total": exposure_total, "exposure_caps": exposure_caps, "lifecycle_audit": lifecycle_audit,
 }
 
 ORACLE_SQL = {
@@ -275,6 +280,8 @@ select ticker, cast(sum(x * qty) as bigint) as markout_sum, cast(sum(qty) as big
     "exposure_running": with_views("tape quotes", _LIFE + """select ticker, max(at_risk)::bigint as peak_at_risk, max(open)::bigint as peak_open, sum(d_risk)::bigint as end_risk, count(*) filter (at_risk > 100000) as over_cap
 from (select *, sum(d_risk) over w as at_risk, sum(d) over w as open from rk window w as (partition by ticker order by ts, step, tape_id, cid)) group by ticker"""),
     "exposure_total": with_views("tape quotes", _LIFE + "select cast(day as varchar) as day, cast(sum(r) over (order by day) as bigint) as at_risk_cents, cast(sum(o) over (order by day) as bigint) as open_contracts from (select cast(ts as date) as day, sum(d_risk) as r, sum(d) as o from rk group by 1)"),
+    "exposure_caps": with_views("tape quotes", _LIFE + """, m as (select cast(ts as date) as day, ticker, sum(d_risk) over (partition by ticker order by ts, step, tape_id, cid) as r from rk), o as (select day, count(distinct ticker) filter (r > 50000) as markets_over from m group by day),
+t as (select day, sum(r) over (order by day) as r from (select cast(ts as date) as day, sum(d_risk) as r from rk group by 1)) select cast(day as varchar) as day, cast(r as bigint) as at_risk_cents, markets_over, r > 1000000 as total_over from t join o using (day)"""),
     "lifecycle_audit": with_views("tape quotes", _LIFE + """select previous || '>' || event as step, count(*) as n, previous || '>' || event not in ('none>open', 'open>fill', 'fill>fill', 'open>cancel', 'fill>cancel') as illegal
 from (select *, coalesce(lag(event) over (partition by cid order by ts, step, tape_id), 'none') as previous from ev) group by all"""),
     "quotes_from_tape": with_views("tape", """, t as (select *, side, case when side = 'ask' then price_cents + 2 else price_cents - 2 end as target from tape, (values ('ask'), ('bid')) s(side)),

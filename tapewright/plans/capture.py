@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapewright.functions.fixedpoint import format_count_fp, format_price_e4
+from tapewright.functions.identity import entity_id
 from tapewright.operators import sequence
 from tapewright.plans.views import view, with_views
-from tapewright.sources import capture, messages
+from tapewright.sources import capture, messages, sinks
 from tapewright.sources.scratch import place
 
 
@@ -59,9 +60,19 @@ def capture_sequence(spark, sf_dir):
     return sequence.classified(f).groupBy("seq_class").agg(F.count(F.lit(1)).alias("n"))
 
 
+def event_sink(spark, sf_dir):
+    """Frames as normalised events, written by date and read back."""
+    f = view(spark, sf_dir, "frames")
+    path = place(spark, "events")
+    sinks.write_events(f.select(F.col("arrival").alias("trace_id"), F.lit("ws").alias("source"), entity_id(F.lit(1), F.col("ticker")).alias("entity_id"), "kind", (F.col("arrival") * 1000).alias("mono_ns"), F.when(F.col("kind") != "control", F.col("seq")).alias("seq"), "sid", "epoch", "ts"), path)
+    e = sinks.read_events(spark, path)
+    return e.groupBy(F.col("date").cast("string").alias("day"), "kind").agg(F.count(F.lit(1)).alias("n"), F.count("seq").alias("numbered"), F.sum("mono_ns").alias("mono_sum"), F.count_distinct("entity_id").alias("entities"))
+
+
 _D = ", d as (select * from frames where arrival % 40 <> 0), u as (select * from d where arrival % 50 <> 7)\n"
-QUERIES = {f.__name__: f for f in (capture_counts, capture_bytes, capture_deltas, capture_snapshots, capture_sequence)}
+QUERIES = {f.__name__: f for f in (capture_counts, capture_bytes, capture_deltas, capture_snapshots, capture_sequence, event_sink)}
 ORACLE_SQL = {
+    "event_sink": with_views("frames", "select cast(cast(ts as date) as varchar) as day, kind, count(*) as n, count(*) filter (kind <> 'control') as numbered, cast(sum(arrival * 1000) as bigint) as mono_sum, count(distinct ticker) as entities from frames group by 1, 2"),
     "capture_counts": with_views("frames", "select count(*) filter (arrival % 40 <> 0) as recorded, count(*) filter (arrival % 40 = 0) as markers, 0 as corrupt, cast(sum(2) filter (arrival % 80 = 0) as bigint) as lost, 'LOSSY' as verdict from frames"),
     "capture_bytes": with_views("frames", _D + r""", j as (select *, printf('[["%d.%04d","%d.00"]]', price_cents // 100, price_cents % 100 * 100, greatest(qty, 0)) as lv from d),
 b as (select *, printf('{"type":"%s","sid":%d,"seq":%d,"msg":{"market_ticker":"%s","yes_dollars_fp":%s,"no_dollars_fp":%s,"price_dollars":"%d.%04d","delta_fp":"%s%d.00","side":"%s"}}', case kind when 'snapshot' then 'orderbook_snapshot' when 'delta' then 'orderbook_delta' else 'ok' end, sid, seq, ticker,

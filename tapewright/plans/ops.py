@@ -40,6 +40,15 @@ def request_rollup(spark, sf_dir):
     return r.cube("bucket", "outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("http_status") == 429).alias("drift")).select(F.coalesce("bucket", F.lit("all")).alias("bucket"), F.coalesce("outcome", F.lit("all")).alias("outcome"), "n", "drift")
 
 
+def request_telemetry(spark, sf_dir):
+    return ops.telemetry(ops.costs(_classified(spark, sf_dir), COSTS))
+
+
+def book_state(spark, sf_dir):
+    """The last known bid and ask of each market, each from the newest row that has it."""
+    return ops.merged_state(view(spark, sf_dir, "l1"), "ticker", "event_id", "yes_bid", "yes_ask")
+
+
 def token_bucket_replay(spark, sf_dir):
     r = ops.costs(_classified(spark, sf_dir), COSTS).select("req_id", "account", "bucket", F.col("cost").cast("bigint").alias("cost"), (F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") * 1000).alias("now_ns"))
     return ops.token_bucket(r, RATE, CAPACITY, MAX_WAIT_NS)
@@ -169,7 +178,7 @@ _Q = {
     "kind_counts": over(ops.kind_counts, "frames"),
 }
 
-QUERIES = {f.__name__: f for f in (request_classify, endpoint_cost, retry_decision, request_rollup, token_bucket_replay, latency_report, latency_floor_percentile, rtt_budget, regression_gate, ops_latest_state, risk_summary, order_telemetry, feed_health, event_rate, limits_check, reserve_before_send)} | _Q | {"class_rollup": class_rollup}
+QUERIES = {f.__name__: f for f in (request_telemetry, book_state, request_classify, endpoint_cost, retry_decision, request_rollup, token_bucket_replay, latency_report, latency_floor_percentile, rtt_budget, regression_gate, ops_latest_state, risk_summary, order_telemetry, feed_health, event_rate, limits_check, reserve_before_send)} | _Q | {"class_rollup": class_rollup}
 
 _CL = """, w as (select *, '/trade-api/v2' || split_part(path, '?', 1) as wire_path from requests), sg as (select *, string_split(wire_path, '/') as s from w),
 cl as (select *, case when list_has_any(s, ['order_groups', 'rfqs', 'quotes']) then 'write' when list_contains(s, 'orders') then case when list_contains(s, 'batched') or method <> 'GET' then 'write' else 'read' end else 'read' end as bucket,
@@ -179,6 +188,8 @@ _SP = """, u as (select trace_id, unnest(['parse_us', 'wait_us', 'sign_us']) as
   case when data_parsed = 0 or sign_start = 0 or sign_start < data_parsed then -1 else (sign_start - data_parsed) / 1000 end, case when sign_start = 0 or sign_done = 0 or sign_done < sign_start then -1 else (sign_done - sign_start) / 1000 end]) as us from spans), x as (select * from u where us >= 0)
 """
 ORACLE_SQL = {
+    "book_state": with_views("l1", "select ticker, arg_max(yes_bid, event_id) filter (yes_bid is not null) as yes_bid, arg_max(yes_ask, event_id) filter (yes_ask is not null) as yes_ask from l1 group by ticker"),
+    "request_telemetry": with_views("requests", _CL + "select case when transport_error then 'transport' when http_status >= 400 then 'error' else 'ok' end as outcome, bucket, regexp_replace(wire_path, '[0-9]+', ':id', 'g') as path, count(*) as n, cast(sum(case when method = 'POST' and wire_path = '/trade-api/v2/portfolio/events/orders' then 10 when method = 'DELETE' and regexp_full_match(wire_path, '/trade-api/v2/portfolio/events/orders/[^/]+') then 2 when method = 'POST' and wire_path like '/trade-api/v2/portfolio/_%' then 20 when method = 'GET' and regexp_full_match(wire_path, '/trade-api/v2/[^/]+') then 5 else 10 end) as bigint) as tokens, count(*) filter (http_status = 429) as drift from cl group by 1, 2, 3"),
     "reconcile_queue": with_views("requests", _CL + "select account, count(*) as n from cl where http_status <> 429 and (transport_error or http_status in (502, 503, 504)) and mutation in ('create_order', 'amend_order', 'order_group', 'quote') group by account"),
     "request_classify": with_views("requests", _CL + "select req_id, method, wire_path, bucket, mutation from cl"),
     "endpoint_cost": with_views("requests", _CL + "select method, cast(case when method = 'POST' and wire_path = '/trade-api/v2/portfolio/events/orders' then 10 when method = 'DELETE' and regexp_full_match(wire_path, '/trade-api/v2/portfolio/events/orders/[^/]+') then 2 when method = 'POST' and wire_path like '/trade-api/v2/portfolio/_%' then 20 when method = 'GET' and regexp_full_match(wire_path, '/trade-api/v2/[^/]+') then 5 else 10 end as int) as cost, count(*) as n from cl group by 1, 2"),

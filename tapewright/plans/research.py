@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.operators import research
@@ -160,9 +160,6 @@ cal as (select distinct cast(cast(ts as date) as varchar(10)) as day from {l1})
 select cal.day, coalesce(n_rows, 0) as n_rows, case when n_rows is null then 'NOT_APPLICABLE' when gap_events > 2 or regressions > 2 then 'REFUSED' else 'PASS' end as state,
   case when n_rows is null then 'ABSENT_NOT_CAPTURED' when gap_events > 2 or regressions > 2 then 'EXCLUDED_DATA_QUALITY' else 'INCLUDED_CLEAN_DATE' end as disposition,
   concat(case when gap_events > 2 then 'sequence_gaps;' else '' end, case when regressions > 2 then 'regressions;' else '' end) as blockers from cal left join d on cal.day = d.day"""),
-    "atlas": oracle("""with s as (select ticker, ts, event_id, """ + _STATE + """ as state from {l1}), t as (select state, lag(state) over (partition by ticker order by ts, event_id) as was from s),
-u as (select 'STATE' as kind, state as stratum, count(*) as n from s group by state union all select 'TRANSITION', concat(was, '>', state), count(*) from t where was is not null group by 1, 2)
-select kind, count(*) as strata, cast(sum(n) as bigint) as represented from u group by kind"""),
     "candidate_funnel": oracle("""with e as (select event_ticker, count(*) as legs, count(distinct series) as series from {dim_market} where event_ticker is not null group by event_ticker)
 select 'linked_event' as step, count(*) as n from e union all select 'payout_exhaustive', count(*) from e where legs >= 2 and series = 1 union all select 'fill_feasible', count(*) from e where legs >= 3 and series = 1"""),
     "estimability": oracle("""with have as (select 'l1' as input, count(*) as n from {l1} union all select 'trades', count(*) from {trades} union all select 'l2', count(*) from {frames} union all select 'settlements', count(*) from {settles}),
@@ -172,12 +169,22 @@ select method, min(coalesce(n, 0)) as eligible, case when min(coalesce(n, 0)) >
 select sid, case when gaps = 0 then 'A' when gaps * 100 <= n then 'B' else 'C' end as tier, case when gaps = 0 then '' else 'sequence_gaps' end as downgrade from g"""),
 }
 
+def one_sided_survival(spark, sf_dir):
+    """How long a book stays in a one-sided state, by hours. A market's last row is censored at its state's longest hour (chosen)."""
+    x = research.intervals(view(spark, sf_dir, "l1")).where("state in ('BID_ONLY', 'ASK_ONLY')").select("state", F.floor(F.col("dur_us") / 3_600_000_000).alias("h"))
+    longest = F.max("h").over(Window.partitionBy("state"))
+    x = x.select("state", F.coalesce("h", longest).alias("hours"), F.col("h").isNull().alias("open"))
+    return research.kaplan_meier(x, "state", "hours", "open")
+
+
 def atlas(spark, sf_dir):
     """Strata and rows of each record kind: states, transitions, episodes by length, refill hazards by age."""
     b = view(spark, sf_dir, "l1")
     kinds = {
         "STATE": b.groupBy(research.state(F.col("yes_bid"), F.col("yes_ask")).alias("stratum")).agg(F.count(F.lit(1)).alias("n")),
         "TRANSITION": research.transitions(b).select(F.concat("was", F.lit(">"), "state").alias("stratum"), "n"),
+        "EPISODE": _eps(spark, sf_dir).groupBy(F.col("ticker").alias("stratum")).agg(F.count(F.lit(1)).alias("n")),
+        "REFILL_HAZARD": refill_hazard(spark, sf_dir).select(F.col("bin").cast("string").alias("stratum"), F.col("at_risk").alias("n")),
     }
     each = [d.select(F.lit(k).alias("kind"), "n") for k, d in kinds.items()]
     return functools.reduce(DataFrame.unionByName, each).groupBy("kind").agg(F.count(F.lit(1)).alias("strata"), F.sum("n").alias("represented"))
@@ -208,7 +215,7 @@ _Q = {
     "channel_coverage": lambda spark, sf_dir: research.coverage({"l1": view(spark, sf_dir, "l1"), "trade": view(spark, sf_dir, "trades"), "l2": view(spark, sf_dir, "frames")}),
     "quality_state": over(research.quality_days, "frames", "l1", most=2),
     "evidence_tier": over(research.evidence, "frames"),
-    "atlas": atlas, "candidate_funnel": candidate_funnel, "estimability": estimability,
+    "atlas": atlas, "one_sided_survival": one_sided_survival, "candidate_funnel": candidate_funnel, "estimability": estimability,
 }
 
 QUERIES = {f.__name__: f for f in (trade_book_asof, trade_markout_surface, markout_waterfall, one_sided_exposure, ttl_dwell, liquidity_episodes, refill_hazard, refill_survival, match_controls, match_coverage, match_balance, match_concentration)} | _Q | {"row_conservation": row_conservation}
@@ -220,6 +227,13 @@ select 'all_trades' as step, 'none' as base_step, a as n, 0 as excluded from n u
     "one_sided_exposure": with_views("l1", f", i as (select {_STATE} as state, date_diff('microsecond', ts, lead(ts) over (partition by ticker order by ts, event_id)) as d from l1) select state, count(*) as n, cast(sum(d) as bigint) as exposure_us, count(*) - count(d) as censored, round(quantile_cont(d, 0.5), 3) as p50_us, round(quantile_cont(d, 0.95), 3) as p95_us from i group by state"),
     "ttl_dwell": with_views("l1", f""", i as (select ts, {_STATE} as state, date_diff('microsecond', ts, lead(ts) over (partition by ticker order by ts, event_id)) as d from l1), t as (select *, unnest({list(TTLS)}) as ttl_min from i where state <> 'NONE')
 select cast(cast(ts as date) as varchar) as day, cast(ttl_min as int) as ttl_min, case when d is null then '{research.LAST}' when d > ttl_min::bigint * 60000000 then '{research.STALE}' else '{research.OBSERVED}' end as reason, count(*) as n, cast(sum(case when d is null then 0 else least(d, ttl_min::bigint * 60000000) end) as bigint) as dwell_us from t group by 1, 2, 3"""),
+    "atlas": with_views("l1", _HAZ + f""", s0 as (select ticker, ts, event_id, {_STATE} as state from l1), t0 as (select state, lag(state) over (partition by ticker order by ts, event_id) as was from s0),
+u as (select 'STATE' as kind, state as stratum, count(*) as n from s0 group by state union all select 'TRANSITION', concat(was, '>', state), count(*) from t0 where was is not null group by 1, 2
+  union all select 'EPISODE', ticker, count(*) from e group by ticker union all select 'REFILL_HAZARD', cast(bin as varchar), count(*) from h group by bin)
+select kind, count(*) as strata, cast(sum(n) as bigint) as represented from u group by kind"""),
+    "one_sided_survival": with_views("l1", f""", i as (select {_STATE} as state, date_diff('microsecond', ts, lead(ts) over (partition by ticker order by ts, event_id)) // 3600000000 as h from l1), o as (select state, coalesce(h, max(h) over (partition by state)) as hours, h is null as open from i where state in ('BID_ONLY', 'ASK_ONLY')),
+r as (select a.state, a.hours, count(*) as at_risk from (select distinct state, hours from o) a join o b on b.state = a.state and b.hours >= a.hours group by 1, 2), e as (select state, hours, count(*) filter (not open) as ended from o group by 1, 2), x as (select * from r join e using (state, hours))
+select state, hours, at_risk, ended, round(product(1 - ended / at_risk) over (partition by state order by hours), 6) as lasting from x"""),
     "liquidity_episodes": with_views("l1", _EPS + "select ticker, first_id, n, date_diff('microsecond', start_ts, last_ts) as length_us, date_diff('microsecond', start_ts, refill_ts) as refill_us from e"),
     "refill_hazard": with_views("l1", _HAZ + "select bin, count(*) as at_risk, count(*) filter (age = bin) as events, round(count(*) filter (age = bin) / count(*), 6) as hazard from h group by bin"),
     "refill_survival": with_views("l1", _HAZ + ", g as (select ticker, bin, count(*) as at_risk, 1 - count(*) filter (age = bin) / count(*) as s from h group by 1, 2) select ticker, bin, at_risk, round(1 - product(s) over (partition by ticker order by bin), 6) as refilled from g"),
