@@ -6,11 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_placed: list[str] = []
+
 
 def place(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir; in a local folder only where that is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _placed.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -18,3 +22,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this session has placed. Results that read them must have been written by then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _placed:
+        path = jvm.org.apache.hadoop.fs.Path(_placed.pop())
+        path.getFileSystem(conf).delete(path, True)
