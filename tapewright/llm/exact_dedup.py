@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType, BooleanType
 
-from tapewright.llm.common import LOWERED, kept, narrow, on_files, placed, scratch, table
+from tapewright.llm.common import LOWERED, kept, narrow, on_files, placed, table
 from tapewright.llm.filters import key_filter, split_possibly
+from tapewright.sources.scratch import place
 
 HASHES = 4
 BITS_A_ROW = 16
@@ -132,7 +133,7 @@ def _tested(rows: DataFrame) -> DataFrame:
         digested = kept(digested, "digests")
         return digested.withColumn("again", _tester(spark, *repeated_filter(digested))("digest"))
     part = F.shiftright(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("bigint") * n, 32).cast("int")
-    path, out = scratch(spark, "digests"), scratch(spark, "tested")
+    path, out = place(spark, "digests"), place(spark, "tested")
     with_part = digested.withColumn("part", part)
     with_part.repartition(8 * n, "part", F.crc32(F.substring("digest", 5, 4)) % 8).write.partitionBy("part").parquet(path)
     for i in range(n):

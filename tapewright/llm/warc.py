@@ -34,7 +34,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import kept, scratch, table
+from tapewright.llm.common import kept, table
+from tapewright.sources.scratch import place
 
 REVISIT_BYTES = 1000
 BLOCK = 300
@@ -271,7 +272,7 @@ QUERY = "op2_warc"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the archives and their index, then looks up every URL key and reads the records back."""
-    folder = scratch(spark, "warc")
+    folder = place(spark, "warc")
     manifest = write_archives(table(spark, sf_dir, "pages"), folder)
     files = build_index(manifest, f"{folder}/index")
     captures = lookup(manifest.select("key").distinct(), f"{folder}/index", files)

@@ -151,7 +151,8 @@ def test_warc(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4000)
     big = "é" * 600
     rows = [(i, f"http://www.h{i % 3}.example.com:8080/p?q={i % 5}", big if i % 4 == 0 else f"page {i}\r\n\r\n") for i in range(40)] + [(50, None, None), (51, "", ""), (52, "http://h/\n", big), (None, "::bad::[", "x" * 1200), (53, "u", "x" * 1200), (53, "u", "x" * 1200)]
-    pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, payload string")
+    rows.append((60, "http://long.example/", "<p>é</p>\n" * 400_000))  # over 3 MB
+    pages = spark.createDataFrame([(*r, "c", "k", "a") for r in rows], "page_id long, url string, html string, payload string, key string, archive string")
     folder = f"file://{tmp_path}/w"
     manifest = warc.write_archives(pages, folder)
     files = warc.build_index(manifest, f"{folder}/index")
