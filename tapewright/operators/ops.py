@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions import requests as rq
+from tapewright.operators.order import carried
 
 
 def floor_percentile(values: DataFrame, key: str, value: str, p: float) -> DataFrame:
@@ -38,35 +38,27 @@ def costs(requests: DataFrame, table: list[tuple[str, str, int]], default: int =
     return requests.withColumn("cost", F.coalesce(cost, F.lit(default)))
 
 
-def _replay(rows: pd.DataFrame, rate: int, capacity: int, max_wait_ns: int) -> pd.DataFrame:
-    """Milli-token bucket: refills exactly (the remainder is carried), starts full, may go into debt within the longest wait."""
+def token_bucket(requests: DataFrame, rate: int, capacity: int, max_wait_ns: int) -> DataFrame:
+    """Replays the milli-token bucket of each (account, bucket): refills exactly (the remainder is carried), starts full, may go into
+    debt within the longest wait. Each grant depends on all before it."""
     full = capacity * 1000
-    tokens, last, carry, out = full, None, 0, []
-    for req_id, now, cost in rows.sort_values(["now_ns", "req_id"])[["req_id", "now_ns", "cost"]].itertuples(index=False):
+
+    def step(state, req_id, now, cost):
+        tokens, carry, last = state or (full, 0, None)
         if last is not None and tokens < full:
             earned = (now - last) * rate * 1000 + carry
             tokens, carry = tokens + earned // 10**9, earned % 10**9
             if tokens >= full:
                 tokens, carry = full, 0
-        last = now
-        need = cost * 1000
-        before = tokens
+        need, before = cost * 1000, tokens
         short = need - tokens
         wait = 0 if short <= 0 else -(-(short * 10**9 - carry) // (rate * 1000))
         granted = wait <= max_wait_ns
         if granted:
             tokens -= need
-        out.append((req_id, granted, wait if granted else 0, before, tokens))
-    return pd.DataFrame(out, columns=["req_id", "granted", "wait_ns", "before", "after"])
-
-
-def token_bucket(requests: DataFrame, rate: int, capacity: int, max_wait_ns: int) -> DataFrame:
-    """Replays the bucket of each (account, bucket): each grant depends on all before it, so one bucket is one ordered group."""
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return _replay(rows, rate, capacity, max_wait_ns).assign(account=key[0], bucket=key[1])
+        return (tokens, carry, now), (req_id, granted, wait if granted else 0, before, tokens)
 
-    return requests.groupBy("account", "bucket").applyInPandas(run, "account bigint, bucket string, req_id bigint, granted boolean, wait_ns bigint, before bigint, after bigint")
+    return carried(requests, ("account", "bucket"), ("now_ns", "req_id"), ("req_id", "now_ns", "cost"), step, "account bigint, bucket string, req_id bigint, granted boolean, wait_ns bigint, before bigint, after bigint")
 
 
 def latest(rows: DataFrame, key: str, by: str, *columns: str) -> DataFrame:

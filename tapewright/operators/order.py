@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,3 +26,30 @@ def numbered(df: DataFrame, name: str, *by: str) -> DataFrame:
     offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # one row a task
     out = dealt.withColumn("_p", part).join(F.broadcast(offsets), "_p")
     return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_p", "_before")
+
+
+def carried(rows: DataFrame, keys: tuple[str, ...], by: tuple[str, ...], columns: tuple[str, ...], step: Callable, schema: str, last: bool = False) -> DataFrame:
+    """Steps through the rows of each key in order with a carried state: step(state, *columns) -> (state, values); state begins as None.
+
+    For recursions that no window can express. Rows stream through a task, which holds the state of one key at a time and no
+    more rows than a batch. Out come the key and the values of each row, or, if `last`, of the last row of each key."""
+    names, k = [f.split(" ")[0] for f in schema.split(", ")], len(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state, value = None, None, None
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                if row[:k] != at:
+                    if last and at is not None:
+                        out.append((*at, *value))
+                    at, state = row[:k], None
+                state, value = step(state, *row[k:])
+                if not last:
+                    out.append((*at, *value))
+            yield pd.DataFrame(out, columns=names)
+        if last and at is not None:
+            yield pd.DataFrame([(*at, *value)], columns=names)
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *by)
+    return dealt.select(*keys, *columns).mapInPandas(run, schema)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.operators.order import carried
+
 
 def from_tape(tape: DataFrame, off: int) -> DataFrame:
     """Quotes without an inventory limit: ticker, side, tape_id of the placement, price, and the tape_id that replaces it.
@@ -20,12 +21,12 @@ def from_tape(tape: DataFrame, off: int) -> DataFrame:
     return placed.withColumn("until_tape_id", F.lead("tape_id").over(by))
 
 
-def _quoted(rows: pd.DataFrame, off: int, size: int, cap: int) -> dict:
-    """One market's tape in order: quotes on both sides under an inventory cap, filled when prints go through them."""
-    bought = sold = placed = refused = 0
-    ask = bid = None
-    ask_px = bid_px = -1
-    for last, n, yes in zip(rows.price_cents.tolist(), rows["size"].tolist(), rows.taker_yes.tolist()):
+def with_cap(tape: DataFrame, off: int, size: int, cap: int) -> DataFrame:
+    """Each market's tape in order: quotes on both sides under an inventory cap, filled when prints go through them. Placement
+    depends on the inventory that fills leave, so the state is carried from print to print."""
+
+    def step(state, last, n, yes):
+        bought, sold, placed, refused, ask, bid, ask_px, bid_px = state or (0, 0, 0, 0, None, None, -1, -1)
         if yes and ask and last > ask[0]:
             q = min(n, ask[1])
             sold += q
@@ -47,13 +48,6 @@ def _quoted(rows: pd.DataFrame, off: int, size: int, cap: int) -> dict:
                 bid, bid_px, placed = (b, size), b, placed + 1
             else:
                 refused += 1
-    return {"bought": bought, "sold": sold, "placed": placed, "refused": refused}
-
-
-def with_cap(tape: DataFrame, off: int, size: int, cap: int) -> DataFrame:
-    """Quotes whose placement depends on the inventory their fills leave: a feedback loop, so one market is one ordered group."""
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"ticker": key[0], **_quoted(rows.sort_values("tape_id"), off, size, cap)}])
+        return (bought, sold, placed, refused, ask, bid, ask_px, bid_px), (bought, sold, placed, refused)
 
-    return tape.groupBy("ticker").applyInPandas(run, "ticker string, bought bigint, sold bigint, placed bigint, refused bigint")
+    return carried(tape, ("ticker",), ("tape_id",), ("price_cents", "size", "taker_yes"), step, "ticker string, bought bigint, sold bigint, placed bigint, refused bigint", last=True)

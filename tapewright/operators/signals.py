@@ -2,35 +2,29 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.operators.order import carried
+
 
 def cusum(rows: DataFrame, threshold: float, drift: float, alpha: float) -> DataFrame:
     """Two-sided CUSUM and EWMA variance of the mid's moves in each market, causal: each row uses itself and the past only.
 
-    rows: ticker, event_id, ts, mid. The recursion feeds on itself, so a market is one ordered group."""
-
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts", "event_id"])
-        up = down = var = 0.0
-        last, out = None, []
-        for i, m in zip(g.event_id.tolist(), g.mid.tolist()):
-            d = 0.0 if last is None else m - last
-            last = m
-            up, down = max(0.0, up + d - drift), max(0.0, down - d - drift)
-            var = alpha * d * d + (1 - alpha) * var
-            hit = up > threshold or down > threshold
-            if hit:
-                up = down = 0.0
-            out.append((key[0], i, hit, var))
-        return pd.DataFrame(out, columns=["ticker", "event_id", "change_point", "ewma_var"])
-
-    return rows.groupBy("ticker").applyInPandas(run, "ticker string, event_id bigint, change_point boolean, ewma_var double")
+    rows: ticker, event_id, ts, mid."""
+
+    def step(state, event_id, mid):
+        up, down, var, last = state or (0.0, 0.0, 0.0, None)
+        d = 0.0 if last is None else mid - last
+        up, down = max(0.0, up + d - drift), max(0.0, down - d - drift)
+        var = alpha * d * d + (1 - alpha) * var
+        hit = up > threshold or down > threshold
+        return (0.0 if hit else up, 0.0 if hit else down, var, mid), (event_id, hit, var)
+
+    return carried(rows, ("ticker",), ("ts", "event_id"), ("event_id", "mid"), step, "ticker string, event_id bigint, change_point boolean, ewma_var double")
 
 
 def walked(levels: DataFrame, size: int) -> DataFrame:

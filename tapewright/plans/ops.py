@@ -180,6 +180,10 @@ _Q = {
 
 QUERIES = {f.__name__: f for f in (request_telemetry, book_state, request_classify, endpoint_cost, retry_decision, request_rollup, token_bucket_replay, latency_report, latency_floor_percentile, rtt_budget, regression_gate, ops_latest_state, risk_summary, order_telemetry, feed_health, event_rate, limits_check, reserve_before_send)} | _Q | {"class_rollup": class_rollup}
 
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
 _CL = """, w as (select *, '/trade-api/v2' || split_part(path, '?', 1) as wire_path from requests), sg as (select *, string_split(wire_path, '/') as s from w),
 cl as (select *, case when list_has_any(s, ['order_groups', 'rfqs', 'quotes']) then 'write' when list_contains(s, 'orders') then case when list_contains(s, 'batched') or method <> 'GET' then 'write' else 'read' end else 'read' end as bucket,
   case when list_contains(s, 'order_groups') then 'order_group' when list_contains(s, 'orders') then case when list_contains(s, 'batched') then 'order_group' when method = 'DELETE' then 'cancel_order' when method = 'POST' then 'create_order' else 'none' end else 'none' end as mutation from sg)
@@ -187,7 +191,17 @@ cl as (select *, case when list_has_any(s, ['order_groups', 'rfqs', 'quotes']) t
 _SP = """, u as (select trace_id, unnest(['parse_us', 'wait_us', 'sign_us']) as span, unnest([case when data_received = 0 or data_parsed = 0 or data_parsed < data_received then -1 else (data_parsed - data_received) / 1000 end,
   case when data_parsed = 0 or sign_start = 0 or sign_start < data_parsed then -1 else (sign_start - data_parsed) / 1000 end, case when sign_start = 0 or sign_done = 0 or sign_done < sign_start then -1 else (sign_done - sign_start) / 1000 end]) as us from spans), x as (select * from u where us >= 0)
 """
+_REPLAY = _CL + f""", rq as (select account, bucket, req_id, transport_error, epoch_us(ts) * 1000 as now, cast(case when method = 'POST' and wire_path = '/trade-api/v2/portfolio/events/orders' then 10 when method = 'DELETE' and regexp_full_match(wire_path, '/trade-api/v2/portfolio/events/orders/[^/]+') then 2 when method = 'POST' and wire_path like '/trade-api/v2/portfolio/_%' then 20 when method = 'GET' and regexp_full_match(wire_path, '/trade-api/v2/[^/]+') then 5 else 10 end as bigint) as cost, row_number() over (partition by account, bucket order by ts, req_id) as k from cl),
+bk as (select account, bucket, req_id, k, now, {CAPACITY * 1000}::bigint as before, 0::hugeint as carry, cost * 1000 as need, 0::hugeint as wait, case when cost <= {CAPACITY} then {CAPACITY * 1000} - cost * 1000 else {CAPACITY * 1000} end::bigint as after, cost <= {CAPACITY} as granted from rq where k = 1
+union all select account, bucket, req_id, k, now, tokens, c, need, wt, case when wt <= {MAX_WAIT_NS} then tokens - need else tokens end, wt <= {MAX_WAIT_NS} from (
+  select *, case when need <= tokens then 0 else ((need - tokens)::hugeint * 1000000000 - c + {RATE * 1000} - 1) // {RATE * 1000} end as wt from (
+    select account, bucket, req_id, k, now, need, least({CAPACITY * 1000}, t)::bigint as tokens, case when t >= {CAPACITY * 1000} and was < {CAPACITY * 1000} then 0 else c0 end as c from (
+      select r.account, r.bucket, r.req_id, r.k, r.now, r.cost * 1000 as need, bk.after as was, case when bk.after < {CAPACITY * 1000} then bk.after + e // 1000000000 else bk.after end as t, case when bk.after < {CAPACITY * 1000} then e % 1000000000 else bk.carry end as c0
+      from bk join rq r on r.account = bk.account and r.bucket = bk.bucket and r.k = bk.k + 1, lateral (select (r.now - bk.now)::hugeint * {RATE * 1000} + bk.carry as e)))))
+"""
 ORACLE_SQL = {
+    "token_bucket_replay": _recursive(with_views("requests", _REPLAY + "select account, bucket, req_id, granted, cast(case when granted then wait else 0 end as bigint) as wait_ns, before, after from bk")),
+    "reserve_before_send": _recursive(with_views("requests", _REPLAY + "select bk.bucket, count(*) as requests, count(*) filter (not granted) as refused, count(*) filter (not granted and not transport_error) as sent_without_grant, count(*) filter (granted and transport_error) as granted_not_sent from bk join rq using (req_id) group by 1")),
     "book_state": with_views("l1", "select ticker, arg_max(yes_bid, event_id) filter (yes_bid is not null) as yes_bid, arg_max(yes_ask, event_id) filter (yes_ask is not null) as yes_ask from l1 group by ticker"),
     "request_telemetry": with_views("requests", _CL + "select case when transport_error then 'transport' when http_status >= 400 then 'error' else 'ok' end as outcome, bucket, regexp_replace(wire_path, '[0-9]+', ':id', 'g') as path, count(*) as n, cast(sum(case when method = 'POST' and wire_path = '/trade-api/v2/portfolio/events/orders' then 10 when method = 'DELETE' and regexp_full_match(wire_path, '/trade-api/v2/portfolio/events/orders/[^/]+') then 2 when method = 'POST' and wire_path like '/trade-api/v2/portfolio/_%' then 20 when method = 'GET' and regexp_full_match(wire_path, '/trade-api/v2/[^/]+') then 5 else 10 end) as bigint) as tokens, count(*) filter (http_status = 429) as drift from cl group by 1, 2, 3"),
     "reconcile_queue": with_views("requests", _CL + "select account, count(*) as n from cl where http_status <> 429 and (transport_error or http_status in (502, 503, 504)) and mutation in ('create_order', 'amend_order', 'order_group', 'quote') group by account"),

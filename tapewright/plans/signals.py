@@ -184,6 +184,11 @@ ch as (select cmp.sid, cmp.ticker, coalesce(a.y, 0) - coalesce(b.y, 0) as yc, co
   left join los on los.sid = cmp.sid and los.ticker = cmp.ticker and los.segment = cmp.segment and los.i = cmp.i)
 """
 ORACLE_SQL |= {
+    "sg_cusum": with_views("l1", """, m as (select ticker, event_id, cast(yes_bid + yes_ask as double) as mid, row_number() over (partition by ticker order by ts, event_id) as k from l1 where yes_bid is not null and yes_ask is not null),
+w as (select ticker, event_id, k, mid, 0::double as up, 0::double as down, 0::double as var, false as hit from m where k = 1
+union all select ticker, event_id, k, mid, case when h then 0 else u end, case when h then 0 else d end, v, h from (select *, u > 120 or d > 120 as h from (
+  select m.ticker, m.event_id, m.k, m.mid, greatest(0, w.up + (m.mid - w.mid) - 5) as u, greatest(0, w.down - (m.mid - w.mid) - 5) as d, 0.1::double * (m.mid - w.mid) * (m.mid - w.mid) + 0.9::double * w.var as v from w join m on m.ticker = w.ticker and m.k = w.k + 1)))
+select ticker, event_id, hit as change_point, var as ewma_var from w""").replace("with ", "with recursive ", 1),
     "sg_microprice": with_views("frames", LEVELS + """, b as (select sid, ticker, max(price_cents) filter (side = 'yes') as bid, arg_max(size, price_cents) filter (side = 'yes') as bq, 100 - max(price_cents) filter (side = 'no') as ask, arg_max(size, price_cents) filter (side = 'no') as aq from lv group by 1, 2)
 select ticker, count(*) as n, round(avg((bid * aq + ask * bq) / (bq + aq) - (bid + ask) / 2), 6) as displacement from b where bid is not null and ask is not null group by ticker"""),
     "sg_lead_lag": with_views("l1 dim_market", f""", q as (select ticker, event_id, ts, yes_bid + yes_ask as m from l1 where yes_bid is not null and yes_ask is not null),
