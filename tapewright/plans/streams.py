@@ -33,6 +33,7 @@ def stream_sessions(spark, sf_dir):
 
 DELAY = "40 days"  # files are read in no order of time, so the watermark waits for all of them
 LAGGING, STALE = 2 * 3600, 5 * 3600
+RUNG = 2 * 3600  # the reference's 2 s, scaled to the adapter's clock
 
 
 def _closed(df, key, last):
@@ -58,6 +59,12 @@ def stream_book(spark, sf_dir):
     return out.where("sid >= 0").groupBy("sid", "ticker").agg(F.count(F.lit(1)).alias("messages"), F.count_if("valid").alias("valid_messages"), F.max("levels").alias("most_levels"))
 
 
+def stream_recovery(spark, sf_dir):
+    """How many waits after gaps reach each rung."""
+    out = streams.drained(streams.recovery_monitor(_ordered_frames(spark, sf_dir), RUNG, delay=DELAY), "append", "recovery")
+    return out.where("sid >= 0").groupBy("sid", "rung").agg(F.count(F.lit(1)).alias("n"), F.sum("gap").alias("gap_sum"))
+
+
 def stream_heartbeat(spark, sf_dir):
     """How often each source turns ok, lagging and stale."""
     e = load(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.col("event_id").alias("arrival"), F.col("ts").cast("timestamp").alias("ts"))
@@ -71,7 +78,7 @@ def stream_latest(spark, sf_dir):
     return streams.drained(e, "complete", "latest")
 
 
-QUERIES = {f.__name__: f for f in (stream_dedupe, stream_rates, stream_sessions, stream_sequence, stream_book, stream_heartbeat, stream_latest)}
+QUERIES = {f.__name__: f for f in (stream_dedupe, stream_rates, stream_sessions, stream_sequence, stream_book, stream_recovery, stream_heartbeat, stream_latest)}
 ORACLE_SQL = {
     "stream_dedupe": with_views("trades", "select ticker, count(*) as n, cast(sum(size) as bigint) as contracts from trades group by ticker"),
     "stream_rates": "select epoch_us(date_trunc('hour', ts)) // 1000000 as start_s, event_type, count(*) as n from events group by 1, 2",
@@ -81,6 +88,11 @@ n as (select user_id, k, count(*) as n from s group by 1, 2) select user_id, cou
     "stream_heartbeat": f"""with g as (select user_id as source, epoch_us(ts) as t, epoch_us(lag(ts) over w) as p, epoch_us(lead(ts) over w) as n from events window w as (partition by user_id order by ts, event_id)),
 h as (select source, t as at_us, 'ok' as health from g where p is null or t - p > {LAGGING * 1000000} union all select source, t + {LAGGING * 1000000}, 'lagging' from g where n is null or n - t > {LAGGING * 1000000}
   union all select source, t + {STALE * 1000000}, 'stale' from g where n is null or n - t > {STALE * 1000000}) select source, health, count(*) as n, max(at_us) as last_us from h group by 1, 2""",
+    "stream_recovery": with_views("frames", f""", o as (select *, max(seq) over (partition by sid order by arrival rows between unbounded preceding and 1 preceding) as m from frames), g as (select * from o where seq > m + 1 and kind <> 'snapshot'),
+b as (select sid, ticker, min(arrival) as first from frames where kind = 'snapshot' group by 1, 2), s as (select sid, ticker, arrival, ts from frames where kind = 'snapshot'),
+x as (select g.sid, g.arrival, b.ticker, g.ts, (select min(s.arrival) from s where s.sid = g.sid and s.ticker = b.ticker and s.arrival > g.arrival) as nxt from g join b on b.sid = g.sid and b.first < g.arrival),
+y as (select x.*, date_diff('microsecond', x.ts, s.ts) as wait from x left join s on s.sid = x.sid and s.ticker = x.ticker and s.arrival = x.nxt)
+select sid, cast(rung as int) as rung, count(*) as n, cast(sum(arrival) as bigint) as gap_sum from y, range(1, 4) r(rung) where wait is null or wait >= rung * {RUNG * 1000000} group by 1, 2"""),
     "stream_book": with_views("frames", """, o as (select *, max(seq) over (partition by sid order by arrival rows between unbounded preceding and 1 preceding) as m from frames),
 g as (select *, sum(case when seq > m + 1 and kind <> 'snapshot' then 1 else 0 end) over (partition by sid order by arrival) as gaps from o),
 s as (select *, max(arrival) filter (kind = 'snapshot') over (partition by sid, ticker order by arrival) as seg from g),

@@ -190,6 +190,50 @@ def heartbeat_monitor(events: DataFrame, lagging_s: int, stale_s: int, delay: st
     return _in_order(rows, ["source"], processor, "source bigint, at_us bigint, health string", delay)
 
 
+class _Recovery(InOrder):
+    """After a gap each market that has a book waits for its next snapshot; each `rung` of time that passes is a step of its ladder."""
+
+    FIELDS, KINDS = ("seq", "kind", "ticker"), "seq bigint, kind string, ticker string"
+    STATE = "last bigint, members array<string>, tickers array<string>, gaps array<bigint>, since array<bigint>, rungs array<int>"
+    OUT = ("epoch", "sid", "gap", "ticker", "rung", "at_us")
+
+    def __init__(self, rung_us: int, rungs: int):
+        self.rung_us, self.rungs = rung_us, rungs
+
+    def _climbed(self, waits: list, now: int) -> tuple[list, list[tuple]]:
+        kept, out = [], []
+        for ticker, gap, since, rung in waits:
+            while rung < self.rungs and now >= since + (rung + 1) * self.rung_us:
+                rung += 1
+                out.append((gap, ticker, rung, since + rung * self.rung_us))
+            if rung < self.rungs:
+                kept.append((ticker, gap, since, rung))
+        return kept, out
+
+    def step(self, key, state, row):
+        arrival, ts, seq, kind, ticker = row
+        last, members, *waits = state or (None, [], [], [], [], [])
+        waits, out = self._climbed(list(zip(*waits, strict=True)), ts)
+        members = list(members)
+        if kind == "snapshot":
+            waits = [w for w in waits if w[0] != ticker]
+            members += [ticker] if ticker not in members else []
+        elif last is not None and seq > last + 1:
+            waits += [(m, arrival, ts, 0) for m in members]
+        return (seq if last is None else max(last, seq), members, *(list(x) for x in (zip(*waits, strict=True) if waits else ([],) * 4))), out
+
+    def silent(self, key, state, now_us):
+        last, members, *waits = state
+        waits, out = self._climbed(list(zip(*waits, strict=True)), now_us)
+        due = min((since + (rung + 1) * self.rung_us + 1000 for _, _, since, rung in waits), default=None)
+        return (last, members, *(list(x) for x in (zip(*waits, strict=True) if waits else ([],) * 4))), out, due
+
+
+def recovery_monitor(frames: DataFrame, rung_s: int, rungs: int = 3, delay: str = "10 minutes") -> DataFrame:
+    """The steps of the ladder that each market of a stream climbs after each gap while no snapshot comes, by timers if nothing comes."""
+    return _in_order(frames, ["epoch", "sid"], _Recovery(rung_s * 1_000_000, rungs), "epoch int, sid bigint, gap bigint, ticker string, rung int, at_us bigint", delay)
+
+
 def drained(df: DataFrame, mode: str, name: str) -> DataFrame:
     """Runs a stream over all that is there now and returns its table. In complete mode the last result stands."""
     spark = df.sparkSession
