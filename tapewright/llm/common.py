@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tapewright.sources.scratch import place
 
 U64 = np.uint64
+TOGETHER = 1 << 18  # bytes of text that a task works through at once
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,7 +77,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 20):
+def slices(offsets: np.ndarray, most: int = TOGETHER):
     """Row ranges [a, b) whose texts have about `most` bytes together; a longer text has a range of its own."""
     a, n = 0, len(offsets) - 1
     while a < n:
@@ -127,7 +128,7 @@ class Roller:
 
 
 NEAR = 64  # bytes of a word whose values come from a table
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _placed_values(place: np.ndarray, raw: np.ndarray, seed: int) -> np.ndarray:
@@ -211,7 +212,7 @@ def shingled(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     return h[at], out
 
 
-SAMPLE_BYTES = 24 << 20  # of text that a fitted sample may have
+SAMPLE_BYTES = 12 << 20  # of text that a fitted sample may have
 SAMPLE_TEXT = 256 << 10  # bytes of the longest text in a sample
 
 
@@ -226,15 +227,21 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple
     order = ("by", "doc_id", "label", "of_text")
     rows = rows.select(F.xxhash64("doc_id").alias("by"), "doc_id", "label", F.xxhash64("text").alias("of_text"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), "text").where(F.col("size") <= SAMPLE_TEXT)
     rows = kept(rows, "sample")
-    sizes = rows.select(*order, "size").orderBy(*order).limit(most).toPandas()["size"].cumsum()  # `most` rows of numbers
-    rows = rows.orderBy(*order).limit(int((sizes <= SAMPLE_BYTES).sum())).collect()
+    sizes = np.cumsum([r.size for r in rows.select(*order, "size").orderBy(*order).limit(most).collect()])  # `most` rows of numbers
+    rows = rows.orderBy(*order).limit(int((sizes <= SAMPLE_BYTES).sum())).select("text", "label").collect()
     return [r.text or "" for r in rows], np.array([r.label for r in rows], np.int64)
 
 
-def text_batches(batches, at: int, most: int = 1 << 20):
-    """The batches, cut so that each has about `most` bytes of text in column `at`."""
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch whose first column is doc, a struct of all columns of the documents."""
+    doc = batch.column(0)
+    return doc.field(doc.type.get_field_index("text"))
+
+
+def text_batches(batches, at, most: int = TOGETHER):
+    """The batches, cut so that each has about `most` bytes of text in column `at`, or in what `at` takes from a batch."""
     for whole in batches:
-        _, sizes = utf8(whole.column(at))
+        _, sizes = utf8(at(whole) if callable(at) else whole.column(at))
         for x, y in slices(sizes, most):
             yield whole.slice(x, y - x)
 

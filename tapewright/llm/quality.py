@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import LOWERED, U64, held_out, labelled, mixed, runs, slices, table, text_batches, utf8, word_hashes
+from tapewright.llm.common import LOWERED, U64, held_out, labelled, mixed, runs, slices, table, text_batches, text_of, utf8, word_hashes
 
 SAMPLE = 6000
 BINS = 10
@@ -254,8 +254,8 @@ def score_texts(texts: list[str], model: Chain) -> np.ndarray:
 
 def _scored(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_batches(batches, 1):
-            lines = Lines(b.column(1))
+        for b in text_batches(batches, text_of):
+            lines = Lines(text_of(b))
             score = sent.value.score(lines)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(np.bincount(lines.row, minlength=b.num_rows), pa.int64())], ["doc", "score", "n_lines"])
 
@@ -265,7 +265,7 @@ def _scored(sent):
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc (all columns of docs), score, n_lines."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(*labelled(docs, labels, "quality", SAMPLE)))
-    some = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text")
+    some = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     return some.mapInArrow(_scored(sent), f"doc {some.schema['doc'].dataType.simpleString()}, score double, n_lines bigint")
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import LOWERED, U64, Roller, code_points, held_out, labelled, mixed, runs, slices, table, text_batches, utf8
+from tapewright.llm.common import LOWERED, U64, Roller, code_points, held_out, labelled, mixed, runs, slices, table, text_batches, text_of, utf8
 
 SAMPLE = 8000
 BUCKETS = 1 << 20
@@ -147,15 +147,15 @@ def _parts(column: pa.Array) -> Iterator[tuple[pa.Array, int]]:
         a = b
 
 
-def _scored(sent, columns: list[str], at_least: float):
+def _scored(sent, at_least: float):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value
-        for b in text_batches(batches, len(columns)):
+        for b in text_batches(batches, text_of):
             found: list[list[dict]] = [[] for _ in range(b.num_rows)]
             none = np.zeros(b.num_rows)  # minus the logarithm of the probability that no sentence is
-            for part, before in _parts(b.column(len(columns))):
+            for part, before in _parts(text_of(b)):
                 bags = Bags(part)
                 z = bags.logits(weights, bias)
                 none += np.bincount(bags.row, _softplus(z), minlength=b.num_rows)
@@ -164,7 +164,7 @@ def _scored(sent, columns: list[str], at_least: float):
                     for i in bad.tolist():
                         base = points[bags.offsets[bags.row[i]]] - before
                         found[bags.row[i]].append({"start": int(points[bags.start[i]] - base), "end": int(points[bags.end[i]] - base), "score": float(_sigmoid(z[i]))})
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(np.clip(-np.expm1(-none), 0, 1)), pa.array(found, kind)], [*columns, "score", "offending"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(-np.expm1(-none), 0, 1)), pa.array(found, kind)], ["doc", "score", "offending"])
 
     return run
 
@@ -172,8 +172,8 @@ def _scored(sent, columns: list[str], at_least: float):
 def scored(docs: DataFrame, labels: DataFrame, at_least: float = 0.5) -> DataFrame:
     """doc (all columns of docs), score, and offending: code-point spans of sentences that score at_least."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(*labelled(docs, labels, "toxic", SAMPLE)))
-    some = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text")
-    return some.mapInArrow(_scored(sent, ["doc"], at_least), f"doc {some.schema['doc'].dataType.simpleString()}, score double, offending array<struct<start: bigint, end: bigint, score: double>>")
+    some = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    return some.mapInArrow(_scored(sent, at_least), f"doc {some.schema['doc'].dataType.simpleString()}, score double, offending array<struct<start: bigint, end: bigint, score: double>>")
 
 
 def clean(docs: DataFrame, labels: DataFrame, reject: float = 0.5) -> DataFrame:

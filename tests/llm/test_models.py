@@ -127,8 +127,8 @@ def test_memory_of_very_long_texts():
     class Sent:
         value = (np.zeros(toxicity.BUCKETS, np.float32), -5.0)
 
-    b = pa.RecordBatch.from_arrays([pa.array([1]), column], ["doc", "text"])
-    assert peak(lambda: list(toxicity._scored(Sent, ["doc"], 0.5)(iter([b])))) < 8
+    b = pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([column], ["text"])], ["doc"])
+    assert peak(lambda: list(toxicity._scored(Sent, 0.5)(iter([b])))) < 8
     assert sum(map(len, bpe.stretches(LONG))) == len(LONG) and max(map(len, bpe.stretches(LONG))) < 3 * bpe.LONG
 
 
@@ -141,13 +141,13 @@ def test_long_texts_in_parts_are_as_whole_ones(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"text": [text], "doc_id": [1]})
     whole = next(bpe.encoded(iter([batch]), raw))
     sent = type("Sent", (), {"value": (rng.normal(0, 1, toxicity.BUCKETS).astype(np.float32), -2.0)})
-    docs = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text], pa.large_string())], ["doc", "text"])
-    scored = next(toxicity._scored(sent, ["doc"], 0.5)(iter([docs])))
+    docs = pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([pa.array([text], pa.large_string())], ["text"])], ["doc"])
+    scored = next(toxicity._scored(sent, 0.5)(iter([docs])))
     monkeypatch.setattr(bpe, "LONG", 40)
     monkeypatch.setattr(toxicity, "LONG", 60)
     assert len(list(bpe.stretches(text))) > 20
     parts = next(bpe.encoded(iter([batch]), raw))
     assert parts.to_pydict() == whole.to_pydict()
-    again = next(toxicity._scored(sent, ["doc"], 0.5)(iter([docs]))).to_pylist()[0]
+    again = next(toxicity._scored(sent, 0.5)(iter([docs]))).to_pylist()[0]
     assert again["score"] == pytest.approx(scored.to_pylist()[0]["score"])
     assert [(x["start"], x["end"]) for x in again["offending"]] == [(x["start"], x["end"]) for x in scored.to_pylist()[0]["offending"]]
