@@ -38,9 +38,13 @@ def walked(levels: DataFrame, size: int) -> DataFrame:
 
 def logistic(rows: DataFrame, features: list[str], label: str, train: str) -> DataFrame:
     """rows with the probability of a regularised logistic model fit on the earlier rows (`train`, a condition)."""
-    v = VectorAssembler(inputCols=features, outputCol="v", handleInvalid="skip").transform(rows)
-    model = LogisticRegression(featuresCol="v", labelCol=label, regParam=0.01, maxIter=20).fit(v.where(train).select("v", label))
-    return model.transform(v).withColumn("p", F.round(vector_to_array("probability")[1], 6)).drop("v", "rawPrediction", "probability", "prediction")
+    known = rows.dropna(subset=features)
+    v = VectorAssembler(inputCols=features, outputCol="v").transform(known.where(train)).select("v", label)
+    model = LogisticRegression(featuresCol="v", labelCol=label, regParam=0.01, maxIter=20).fit(v)
+    z = F.lit(float(model.intercept))
+    for name, w in zip(features, model.coefficients.toArray().tolist(), strict=True):
+        z = z + F.col(name) * w
+    return known.withColumn("p", F.round(1 / (1 + F.exp(-z)), 6))
 
 
 def components(rows: DataFrame, features: list[str], k: int) -> DataFrame:
