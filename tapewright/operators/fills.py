@@ -73,7 +73,7 @@ def orders(quotes: DataFrame, tracks: tuple[str, ...], latencies: tuple[int, ...
 def tracked(tape: DataFrame, orders: DataFrame) -> DataFrame:
     """The fills of all orders, as `fills` of `eligible` gives them: cid, track, latency_days, ticker, tape_id, ts, price_cents, buy_yes, qty.
 
-    A quote is mostly filled by the first prints that cross it, so its interval is walked in spans of 1, 2, 4, ... days. In
+    A quote is mostly filled by the first prints that cross it, so its interval is walked in spans of 2, 8, 32, ... days. In
     each span only quotes that still have contracts left meet prints, by an equi-join on market, taker's side and bucket of
     days; what is left of each, and of the depth ahead of it, is written and goes on to the next span. The number of spans
     is the logarithm of the longest interval, and prints behind a quote's last fill are joined within one span at most.
@@ -88,7 +88,7 @@ def tracked(tape: DataFrame, orders: DataFrame) -> DataFrame:
     open_ = written(open_, "orders")
     prints = tape.select("ticker", "taker_yes", "tape_id", F.col("price_cents").alias("q"), F.col("size").cast("bigint").alias("size"), F.col("ts").alias("print_ts"))
     at = F.col("q") == F.col("price_cents")
-    filled, days = place(spark, "fills"), 1
+    filled, spans, days = place(spark, "fills"), [], 2
     while True:
         width = max(1, days // 4)
         to = F.least(F.col("until_ts"), F.col("from_ts") + F.expr(f"interval {days} day"))
@@ -106,8 +106,9 @@ def tracked(tape: DataFrame, orders: DataFrame) -> DataFrame:
         qty = F.least(sofar, F.col("left")) - F.least(sofar - F.col("avail"), F.col("left"))
         met = met.withColumn("qty", qty).where(F.col("qty").cast("boolean") | (at & (F.col("track") == "queue")))
         met = met.select(*ORDER, "ticker", "tape_id", F.col("print_ts").alias("ts"), "price_cents", "buy_yes", "qty", F.when(at, F.col("size")).otherwise(0).alias("at_size"))
-        met.write.mode("append").parquet(f"{filled}/{days}")
-        met = spark.read.schema(met.schema).parquet(f"{filled}/{days}")
+        spans.append(f"{filled}/{days}")
+        met.write.parquet(spans[-1])
+        met = spark.read.schema(met.schema).parquet(spans[-1])
         done = met.groupBy(*ORDER).agg(F.sum("qty").alias("took"), F.sum("at_size").alias("drained"))
         seen = Observation()
         rest = o.join(done, list(ORDER), "left").select(
@@ -117,8 +118,8 @@ def tracked(tape: DataFrame, orders: DataFrame) -> DataFrame:
         open_ = written(rest.observe(seen, F.count(F.lit(1)).alias("n")), "orders")
         if not seen.get["n"]:
             break
-        days *= 2
-    out = spark.read.schema(met.schema).parquet(*(f"{filled}/{1 << i}" for i in range(days.bit_length())))
+        days *= 4
+    out = spark.read.schema(met.schema).parquet(*spans)
     return out.where("qty > 0").drop("at_size")
 
 
