@@ -25,8 +25,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
-from itertools import count
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from tapewright.llm.bpe import stretches
 from tapewright.llm.common import kept, table, text_batches
 
-BLOCK = 4 << 20  # bytes of text whose pairs are counted together
+BLOCK = 1 << 20  # bytes of text whose pairs are counted together
 
 
 def _byte_of() -> dict[str, int]:
@@ -102,8 +103,9 @@ class Groups:
         if self.text is not None:
             self.text.append(x)
 
-    def add(self, ends_a: list[int], ends_b: list[int], names_a: list[str], names_b: list[str]) -> tuple[list[int], list[int]]:
-        """Aligns a part, whose last ends agree; the indices of its linked tokens."""
+    def add(self, ends: tuple[list[int], list[int]], ids: tuple[list[int], list[int]], names: tuple[list[str], list[str]]) -> tuple[list[int], list[int]]:
+        """Aligns a part, given by where its tokens end and by their ids (the last ends agree); the ids of its links."""
+        (ends_a, ends_b), (ids_a, ids_b), (names_a, names_b) = ends, ids, names
         i = j = 0
         n, m = len(ends_a), len(ends_b)
         links_a: list[int] = []
@@ -111,24 +113,23 @@ class Groups:
         said = [] if not self.n else [""]
         while i < n:
             if ends_a[i] == ends_b[j]:
-                run, step, most = 1, 1, min(n - i, m - j)
-                while run + step <= most and ends_a[i + run : i + run + step] == ends_b[j + run : j + run + step]:
-                    run += step
-                    step *= 2
+                x, y, step = i + 1, j + 1, 1
+                while x + step <= n and y + step <= m and ends_a[x : x + step] == ends_b[y : y + step]:
+                    x, y, step = x + step, y + step, 2 * step
                 while step > 1:
-                    step //= 2
-                    if run + step <= most and ends_a[i + run : i + run + step] == ends_b[j + run : j + run + step]:
-                        run += step
-                links_a += range(i, i + run)
-                links_b += range(j, j + run)
-                said += map("|".join, zip(names_a[i : i + run], names_b[j : j + run], strict=True))
-                i, j = i + run, j + run
-                self.n += run
+                    step >>= 1
+                    if x + step <= n and y + step <= m and ends_a[x : x + step] == ends_b[y : y + step]:
+                        x, y = x + step, y + step
+                links_a += ids_a[i:x]
+                links_b += ids_b[j:y]
+                said += map("|".join, zip([names_a[k] for k in ids_a[i:x]], [names_b[k] for k in ids_b[j:y]], strict=True))
+                self.n += x - i
+                i, j = x, y
             else:
                 x, y = i, j
                 while True:
-                    links_a.append(x)
-                    links_b.append(y)
+                    links_a.append(ids_a[x])
+                    links_b.append(ids_b[y])
                     ahead = ends_a[x] - ends_b[y]
                     if not ahead:
                         break
@@ -136,8 +137,8 @@ class Groups:
                         x += 1
                     else:
                         y += 1
-                said.append(",".join(names_a[i : x + 1]) + "|" + ",".join(names_b[j : y + 1]))
-                i, j = x + 1, y + 1
+                i, x, j, y = x + 1, i, y + 1, j
+                said.append(",".join([names_a[k] for k in ids_a[x:i]]) + "|" + ",".join([names_b[k] for k in ids_b[y:j]]))
                 self.n += 1
         self._say(";".join(said))
         return links_a, links_b
@@ -148,8 +149,8 @@ class Aligner:
 
     def __init__(self, a: bytes, b: bytes):
         self.a, self.b = _tokenizers(a, b)
-        self.sizes = [np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b)]
-        self.names = [[str(i) for i in range(len(t.bytes))] for t in (self.a, self.b)]
+        self.sizes = [[len(x) for x in t.bytes] for t in (self.a, self.b)]
+        self.names = tuple([str(i) for i in range(len(t.bytes))] for t in (self.a, self.b))
         if len(self.a.bytes) * len(self.b.bytes) >= 1 << 31:
             raise ValueError("vocabularies too large for pairs of 31 bits")
 
@@ -161,9 +162,9 @@ class Aligner:
             a, b = self.a.encode(part), self.b.encode(part[1:])
             if b"".join(map(self.a.bytes.__getitem__, a)) != raw or b"".join(map(self.b.bytes.__getitem__, b)) != raw:
                 return 0, 0, 0, "", "" if groups else None, np.zeros(0, np.int32)
-            ia, ib = np.array(a, np.int64), np.array(b, np.int64)
-            x, y = found.add(self.sizes[0][ia].cumsum().tolist(), self.sizes[1][ib].cumsum().tolist(), list(map(self.names[0].__getitem__, a)), list(map(self.names[1].__getitem__, b)))
-            pairs.append((ia[x] * len(self.b.bytes) + ib[y]).astype(np.int32))
+            ends = tuple(list(accumulate(map(size.__getitem__, ids))) for size, ids in zip(self.sizes, (a, b), strict=True))
+            x, y = (np.frombuffer(array("i", ids), np.int32) for ids in found.add(ends, (a, b), self.names))
+            pairs.append(x * np.int32(len(self.b.bytes)) + y)
             n_a, n_b = n_a + len(a), n_b + len(b)
         if not pairs:
             return 0, 0, 0, "", "" if groups else None, np.zeros(0, np.int32)
@@ -175,23 +176,26 @@ def _lists(parts: list[np.ndarray], kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts) if parts else np.zeros(0), kind))
 
 
-def _aligned(sent_a, sent_b, groups: bool):
+def _aligned(sent_a, sent_b, groups: bool, block: int):
     """doc, text -> for each block of texts a row for each text and one row, without doc, of the distinct pairs of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, number = Aligner(sent_a.value, sent_b.value), count()
-        for b in text_batches(batches, 1, BLOCK):
-            rows = [aligner.of(t.as_py(), groups) for t in b.column(1)]
-            own = [np.unique(r[5], return_counts=True) for r in rows]
-            rows.append((0, 0, 0, "", None, np.zeros(0, np.int32)))
-            pairs = np.concatenate([p for p, _ in own]) if own else np.zeros(0, np.int32)
+        for b in text_batches(batches, 1, block):
+            rows, own = [], []
+            for t in b.column(1):
+                *row, pairs = aligner.of(t.as_py(), groups)
+                rows.append((*row, len(pairs)))
+                own.append(np.unique(pairs, return_counts=True))
+            rows.append((0, 0, 0, "", None, 0))
+            pairs = np.concatenate([p for p, _ in own])
             all_pairs, at = np.unique(pairs, return_inverse=True)
             total = np.bincount(at, np.concatenate([c for _, c in own]), len(all_pairs)).astype(np.int64)
             n = len(rows)
             doc = pa.concat_arrays([b.column(0), pa.nulls(1, b.column(0).type)])
             yield pa.RecordBatch.from_arrays([
                 pa.array([TaskContext.get().partitionId() << 32 | next(number)] * n, pa.int64()), pa.array([True] * (n - 1) + [False]), doc,
-                *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array([len(r[5]) for r in rows], pa.int64()),
+                *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array([r[5] for r in rows], pa.int64()),
                 pa.array([r[3] for r in rows]), pa.array([r[4] for r in rows], pa.string()),
                 _lists([*(p for p, _ in own), all_pairs], pa.int32()), _lists([*(c for _, c in own), total], pa.int64()),
             ], ["block", "is_doc", "doc", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups", "pairs", "times"])
@@ -216,7 +220,7 @@ def _weighed(docs: pa.Table, counts: pa.Table) -> pa.Table:
     return out.append_column("groups_sha256", docs.column("groups_sha256")).append_column("groups", docs.column("groups"))
 
 
-def align(docs: DataFrame, a: bytes, b: bytes, groups: bool = False) -> DataFrame:
+def align(docs: DataFrame, a: bytes, b: bytes, groups: bool = False, block: int = BLOCK) -> DataFrame:
     """For each row of docs: doc (its columns but the text), n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, groups.
 
     a, b: the contents of the two vocabulary files (a few MB, sent to the tasks). groups is null unless asked for."""
@@ -224,7 +228,7 @@ def align(docs: DataFrame, a: bytes, b: bytes, groups: bool = False) -> DataFram
     doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
     rows = docs.select(doc.alias("doc"), F.col("text"))
     schema = f"block long, is_doc boolean, doc {rows.schema['doc'].dataType.simpleString()}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, pairs array<int>, times array<long>"
-    found = kept(rows.mapInArrow(_aligned(sc.broadcast(a), sc.broadcast(b), groups), schema), "aligned", "zstd")
+    found = kept(rows.mapInArrow(_aligned(sc.broadcast(a), sc.broadcast(b), groups, block), schema), "aligned", "zstd")
     size = len(_tokenizers(a, b)[1].bytes)
     blocks = found.where("not is_doc").select(F.col("block").alias("of"), F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("of", F.col("x.pairs").alias("pair"), F.col("x.times").alias("n"))
     totals = blocks.groupBy("pair").agg(F.sum("n").alias("total"))

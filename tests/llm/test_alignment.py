@@ -62,14 +62,12 @@ def hostile(n, seed):
     return ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(n)]
 
 
-def test_like_all_pairs(spark, libraries, monkeypatch):
-    monkeypatch.setattr(alignment, "BLOCK", 500)
-    monkeypatch.setattr(bpe, "LONG", 40)
+def test_like_all_pairs(spark, libraries):
     prose = ["The quick brown fox doesn't jump over 12345 lazy dogs; información sobre el año.", "It's over. " * 30, "unbelievablyLongIdentifierWithoutBlanks_" * 20, "x" * 3000, " " * 500 + "a", "a b " * 400]
     texts = [None, "", " ", "\n", *prose, *prose[:2], *hostile(150, 3)]
     rows = [(None if k % 11 == 5 else k // 2, t) for k, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = alignment.align(docs, *alignment.files(), groups=True)
+    got = alignment.align(docs, *alignment.files(), groups=True, block=500)
     names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups")
     want = plain(rows, libraries)
     assert sorted(((r.doc.doc_id, *(r[k] for k in names)) for r in got.collect()), key=str) == want
@@ -95,13 +93,13 @@ def test_long_runs_are_skipped():
 
     n = 1 << 16
     groups = alignment.Groups()
-    a, b = groups.add(Seen(range(1, n + 1)), list(range(1, n + 1)), ["1"] * n, ["2"] * n)
+    a, b = groups.add((Seen(range(1, n + 1)), list(range(1, n + 1))), ([1] * n, [2] * n), (["0", "1"], ["0", "1", "2"]))
     assert groups.n == n == len(a) == len(b) and Seen.n < 80
 
 
 def test_a_text_of_megabytes_in_parts(libraries):
     aligner = alignment.Aligner(*alignment.files())
-    text = "Die Straße führt over the hills, and 1024 words aren't enough. " * 20000
+    text = "Die Straße führt over the hills, and 1024 words aren't enough. " * 40000
     n_a, n_b, n_groups, _, _, pairs = aligner.of(text, False)
     assert (n_a, n_b) == (len(libraries[0].encode(" " + text, add_special_tokens=False).ids), len(libraries[1].encode(text)))
-    assert len(pairs) == n_a + n_b - n_groups
+    assert len(pairs) == n_a + n_b - n_groups and len(text) > 2 * bpe.LONG
