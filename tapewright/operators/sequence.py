@@ -11,10 +11,11 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.identity import fnv1a
+from tapewright.sources.scratch import written
 
 STREAM = ("epoch", "sid")
 BOOK = (*STREAM, "ticker")
@@ -183,17 +184,68 @@ def checksums(frames: DataFrame) -> DataFrame:
     return lv.join(last, list(BOOK)).select(*BOOK, fnv1a(F.concat_ws("|", F.col("valid").cast("string"), F.col("last_seq").cast("string"), F.array_join("lv", ",")), F.lit(0)).alias("checksum"))
 
 
-def recoveries(frames: DataFrame, rung_seconds: int) -> DataFrame:
-    """Each gap of a stream with, for each market of it, the wait to the next snapshot and the rung reached by then (0 to 3)."""
-    c = classified(frames)
-    gaps = c.where("seq_class = 'Gap' and kind <> 'snapshot'").select(*STREAM, "arrival", "ts")
-    members = frames.where("kind = 'snapshot'").select(*BOOK).distinct()
-    want = gaps.join(members, list(STREAM)).select(*BOOK, "arrival", F.col("ts").alias("gap_ts"), F.lit(None).cast("timestamp_ntz").alias("snap_ts"))
-    snaps = frames.where("kind = 'snapshot'").select(*BOOK, "arrival", F.lit(None).cast("timestamp_ntz").alias("gap_ts"), F.col("ts").alias("snap_ts"))
-    ahead = Window.partitionBy(*BOOK).orderBy(F.desc("arrival")).rowsBetween(Window.unboundedPreceding, -1)
-    met = want.unionByName(snaps).withColumn("next", F.last("snap_ts", ignorenulls=True).over(ahead)).where("gap_ts is not null")
-    wait = F.expr("timestampdiff(SECOND, gap_ts, next)")
-    return met.select(*BOOK, "arrival", wait.alias("wait_s"), F.when(wait.isNull(), 3).otherwise(F.least(F.floor(wait / rung_seconds), F.lit(3))).cast("int").alias("rung"), wait.isNotNull().alias("recovered"))
+def requests(frames: DataFrame) -> DataFrame:
+    """epoch, sid, arrival, clock: each time a snapshot is asked for: a gap but on a snapshot, or a book taken below zero.
+
+    The clock of a stream is the largest time seen in it so far."""
+    rows = labelled(frames)
+    asked = last_gaps(frames).union(rows.where("label = 'negative'").select(*STREAM, "arrival"))
+    return clocked(frames).join(asked, [*STREAM, "arrival"], "left_semi").select(*STREAM, "arrival", "clock")
+
+
+def clocked(frames: DataFrame) -> DataFrame:
+    so_far = Window.partitionBy(*STREAM).orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
+    return frames.withColumn("clock", F.max("ts").over(so_far))
+
+
+def recoveries(frames: DataFrame, rung_seconds: int, rungs: int = 3) -> DataFrame:
+    """The episodes of recovery of each stream: asked (arrival of the request that opens it), rung, recovered, waited_us, more (requests it took in).
+
+    One ladder runs for a stream at a time: requests while it runs are taken in, any snapshot of the stream ends it, and after
+    `rungs` rungs it ends by itself. So each request knows where an episode that it opened would end, and the request that
+    opens the next one is the first behind that place: requests point ahead, and those that the first one of its stream
+    reaches are picked by doubling the reach of the pointers, a join a round.
+    """
+    end_us = F.lit(rungs * rung_seconds * 1_000_000)
+    asked = requests(frames).withColumn("us", F.unix_micros(F.col("clock").cast("timestamp")))
+    snaps = clocked(frames).where("kind = 'snapshot'").select(*STREAM, "arrival", F.unix_micros(F.col("clock").cast("timestamp")).alias("us"))
+    ahead = Window.partitionBy(*STREAM).orderBy(F.desc("arrival")).rowsBetween(Window.unboundedPreceding, -1)
+    met = asked.select(*STREAM, "arrival", "us", F.lit(None).cast("struct<arrival: bigint, us: bigint>").alias("snap")).unionByName(snaps.select(*STREAM, "arrival", F.lit(None).cast("bigint").alias("us"), F.struct("arrival", "us").alias("snap")))
+    met = met.withColumn("next", F.last("snap", ignorenulls=True).over(ahead)).where("us is not null")
+    recovered = F.coalesce(F.col("next.us") - F.col("us") < end_us, F.lit(False))
+    met = met.select(*STREAM, "arrival", "us", recovered.alias("recovered"), "next")
+    until = F.when(F.col("recovered"), F.struct(F.col("next.us").alias("us"), F.col("next.arrival").alias("arrival"))).otherwise(F.struct((F.col("us") + end_us).alias("us"), F.lit(-1).cast("bigint").alias("arrival")))
+    met = written(met.withColumn("until", until), "requests")
+    # The first request behind each end: ends and requests in one order of clock and arrival.
+    places = met.select(*STREAM, F.col("until").alias("at"), F.col("arrival").alias("of"), F.lit(None).cast("bigint").alias("opens"))
+    places = places.union(met.select(*STREAM, F.struct("us", "arrival"), F.lit(None).cast("bigint"), F.col("arrival")))
+    behind = Window.partitionBy(*STREAM).orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    jumps = places.withColumn("to", F.last("opens", ignorenulls=True).over(behind)).where("of is not null").select(*STREAM, F.col("of").alias("arrival"), "to")
+    opened = reached(written(jumps, "jumps"), met.groupBy(*STREAM).agg(F.min("arrival").alias("arrival")))
+    marks = met.join(opened.withColumn("opens", F.lit(True)), [*STREAM, "arrival"], "left")
+    so_far = Window.partitionBy(*STREAM).orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
+    marks = marks.withColumn("asked", F.max(F.when(F.col("opens"), F.col("arrival"))).over(so_far))
+    first = lambda c: F.max(F.when(F.col("opens"), F.col(c)))
+    waited = F.when(F.col("recovered"), F.col("until_us") - F.col("us")).otherwise(end_us)
+    out = marks.groupBy(*STREAM, "asked").agg(first("us").alias("us"), first("recovered").alias("recovered"), first("until.us").alias("until_us"), (F.count(F.lit(1)) - 1).alias("more"))
+    rung = F.when(F.col("recovered"), F.floor(waited / (rung_seconds * 1_000_000))).otherwise(rungs)
+    return out.select(*STREAM, "asked", rung.cast("int").alias("rung"), "recovered", waited.alias("waited_us"), "more")
+
+
+def reached(jumps: DataFrame, start: DataFrame) -> DataFrame:
+    """epoch, sid, arrival: the rows that the start of each stream reaches by its jumps (epoch, sid, arrival, to), start included.
+
+    In each round the jumps double, so what is reached doubles: the rounds are the logarithm of the longest chain."""
+    found = written(start.select(*STREAM, "arrival"), "reached")
+    while True:
+        new = found.join(jumps.where("to is not null"), [*STREAM, "arrival"]).select(*STREAM, F.col("to").alias("arrival"))
+        seen = Observation()
+        new = written(new.observe(seen, F.count(F.lit(1)).alias("n")), "reached")
+        if not seen.get["n"]:
+            return found
+        found = written(found.union(new), "reached")
+        twice = jumps.select(*STREAM, F.col("arrival").alias("to"), F.col("to").alias("on"))
+        jumps = written(jumps.join(twice, [*STREAM, "to"]).select(*STREAM, "arrival", F.col("on").alias("to")), "jumps")
 
 
 def silences(frames: DataFrame, seconds: int) -> DataFrame:

@@ -56,9 +56,17 @@ def replay_equivalence(spark, sf_dir):
     return a.join(b, list(sequence.BOOK), "full_outer").agg(F.count(F.lit(1)).alias("books"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differ"))
 
 
+def summed(episodes):
+    """By stream and the rung reached: episodes, those that a snapshot ended, escalations (to the second and third rung), further requests, waits."""
+    n = F.count(F.lit(1))
+    return episodes.groupBy("sid", "rung").agg(
+        n.alias("episodes"), F.count_if("recovered").alias("recoveries"), F.sum(F.least("rung", F.lit(2))).cast("bigint").alias("escalations"),
+        (n + F.sum("more")).alias("requests"), F.sum("asked").alias("asked_sum"), F.sum("waited_us").alias("waited_us"),
+    )
+
+
 def gap_recovery(spark, sf_dir):
-    r = sequence.recoveries(_frames(spark, sf_dir), RUNG_SECONDS)
-    return r.groupBy("sid", "rung").agg(F.count(F.lit(1)).alias("n"), F.count_if("recovered").alias("recovered"), F.sum("wait_s").alias("wait_s"))
+    return summed(sequence.recoveries(_frames(spark, sf_dir), RUNG_SECONDS))
 
 
 def stream_silence(spark, sf_dir):
@@ -90,10 +98,10 @@ def membership_intervals(spark, sf_dir):
     return sequence.memberships(_frames(spark, sf_dir)).drop("epoch")
 
 
-_CLASS = """, pm as (select *, max(seq) over (partition by epoch, sid order by arrival rows between unbounded preceding and 1 preceding) as m from frames),
+CLASS = """, pm as (select *, max(seq) over (partition by epoch, sid order by arrival rows between unbounded preceding and 1 preceding) as m from frames),
 c as (select *, case when m is null then 'First' when seq = m + 1 then 'Ok' when seq <= m then 'Stale' else 'Gap' end as seq_class from pm)
 """
-_LABEL = _CLASS + """, g as (select *, max(arrival) filter (seq_class = 'Gap' and kind <> 'snapshot') over (partition by epoch, sid order by arrival) as last_gap from c),
+_LABEL = CLASS + """, g as (select *, max(arrival) filter (seq_class = 'Gap' and kind <> 'snapshot') over (partition by epoch, sid order by arrival) as last_gap from c),
 s as (select *, max(arrival) filter (kind = 'snapshot') over (partition by epoch, sid, ticker order by arrival) as segment from g where kind <> 'control'),
 l0 as (select *, case when kind = 'snapshot' then 'snapshot' when seq_class = 'Stale' then 'stale' when seq_class = 'Gap' then 'gap' when segment is null then 'no_book' when last_gap > segment then 'waiting' else 'applied' end as l from s),
 d0 as (select *, case when l = 'applied' then qty when l = 'snapshot' and qty > 0 then qty else 0 end as d from l0),
@@ -118,6 +126,18 @@ sz as (select msg.*, px.side, px.price_cents, sum(coalesce(d, 0)) over (partitio
   from msg join px using (sid, ticker, segment) left join dd on dd.sid = msg.sid and dd.ticker = msg.ticker and dd.segment = msg.segment and dd.arrival = msg.arrival and dd.side = px.side and dd.price_cents = px.price_cents),
 rk as (select *, row_number() over (partition by sid, ticker, segment, i, side order by case when size > 0 then 0 else 1 end, price_cents desc) as k from sz),
 top as (select sid, ticker, segment, i, side, price_cents, size from rk where k <= {K} and size > 0)"""
+#: The ladder of each stream walked request by request: an episode ends at the next snapshot, or after three rungs without one.
+RECOVERY = with_views("frames", _LABEL.rstrip() + f""", q as (select epoch, sid, arrival from lab where label = 'negative' union select epoch, sid, arrival from c where seq_class = 'Gap' and kind <> 'snapshot'),
+k as (select epoch, sid, arrival, kind, epoch_us(max(ts) over (partition by epoch, sid order by arrival)) as us from frames),
+r as (select k.epoch, k.sid, k.arrival, k.us, (select min(s.arrival) from k s where s.kind = 'snapshot' and s.epoch = k.epoch and s.sid = k.sid and s.arrival > k.arrival) as snap from k join q using (epoch, sid, arrival)),
+w as (select r.*, coalesce(s.us - r.us < {3 * RUNG_SECONDS * 1000000}, false) as recovered, s.us as snap_us from r left join k s on s.epoch = r.epoch and s.sid = r.sid and s.arrival = r.snap),
+j as (select w.*, case when recovered then (select min(n.arrival) from w n where n.epoch = w.epoch and n.sid = w.sid and n.arrival > w.snap)
+  else (select min(n.arrival) from w n where n.epoch = w.epoch and n.sid = w.sid and n.us >= w.us + {3 * RUNG_SECONDS * 1000000}) end as nxt from w),
+o as (with recursive o as (select epoch, sid, min(arrival) as arrival from j group by 1, 2 union all select j.epoch, j.sid, j.nxt from o join j using (epoch, sid, arrival) where j.nxt is not null) select * from o),
+e as (select j.*, lead(j.arrival) over (partition by epoch, sid order by j.arrival) as upto from o join j using (epoch, sid, arrival)),
+x as (select e.*, case when recovered then (snap_us - us) // {RUNG_SECONDS * 1000000} else 3 end as rung, case when recovered then snap_us - us else {3 * RUNG_SECONDS * 1000000} end as waited,
+  (select count(*) from j n where n.epoch = e.epoch and n.sid = e.sid and n.arrival > e.arrival and (e.upto is null or n.arrival < e.upto)) as more from e)
+select sid, cast(rung as int) as rung, count(*) as episodes, count(*) filter (recovered) as recoveries, cast(sum(least(rung, 2)) as bigint) as escalations, cast(count(*) + sum(more) as bigint) as requests, cast(sum(arrival) as bigint) as asked_sum, cast(sum(waited) as bigint) as waited_us from x group by 1, 2""")
 ORACLE_SQL = {
     "book_checksums": with_views("frames", LEVELS + f""", sq as (select sid, ticker, arg_max(seq, arrival) as last_seq from frames group by 1, 2),
 t as (select sid, ticker, valid, string_agg((case when side = 'yes' then '0' else '1' end) || ':' || lpad(cast(price_cents as varchar), 3, '0') || ':' || cast(size as varchar), ',' order by (case when side = 'yes' then '0' else '1' end) || ':' || lpad(cast(price_cents as varchar), 3, '0') || ':' || cast(size as varchar)) as l from lv group by 1, 2, 3)
@@ -132,16 +152,14 @@ x as (select s.*, (select min(c.arrival) from c where c.sid = s.sid and c.ticker
     "book_top_of_book": with_views("frames", LEVELS.rstrip() + ", " + TOPS.replace(f"k <= {K}", "k = 1") + """, b as (select msg.*, y.price_cents as best_yes, n.price_cents as best_no from msg left join top y on y.sid = msg.sid and y.ticker = msg.ticker and y.segment = msg.segment and y.i = msg.i and y.side = 'yes'
   left join top n on n.sid = msg.sid and n.ticker = msg.ticker and n.segment = msg.segment and n.i = msg.i and n.side = 'no')
 select sid, ticker, segment, arrival, best_yes, best_no, 100 - best_no as yes_ask, coalesce(best_yes >= 100 - best_no, false) as crossed from b"""),
-    "seq_class": with_views("frames", _CLASS + "select arrival, sid, seq, seq_class from c"),
-    "seq_gap_report": with_views("frames", _CLASS + "select cast(cast(ts as date) as varchar) as day, count(*) filter (seq_class = 'Gap') as gap_events, cast(cast(coalesce(sum(seq - m - 1) filter (seq_class = 'Gap'), 0) as bigint) as varchar) as missed, count(*) filter (seq_class = 'Stale') as regressions, count(distinct sid) filter (seq_class = 'Gap') as sids_with_gaps from c group by 1"),
+    "seq_class": with_views("frames", CLASS + "select arrival, sid, seq, seq_class from c"),
+    "seq_gap_report": with_views("frames", CLASS + "select cast(cast(ts as date) as varchar) as day, count(*) filter (seq_class = 'Gap') as gap_events, cast(cast(coalesce(sum(seq - m - 1) filter (seq_class = 'Gap'), 0) as bigint) as varchar) as missed, count(*) filter (seq_class = 'Stale') as regressions, count(distinct sid) filter (seq_class = 'Gap') as sids_with_gaps from c group by 1"),
     "book_levels": with_views("frames", LEVELS + "select * from lv"),
     "book_validity": with_views("frames", _VALID + "select * from val"),
     "book_drop_counts": with_views("frames", _LABEL + "select label, count(*) as n from lab group by label"),
     "book_depth": with_views("frames", LEVELS + "select * from (select sid, ticker, side, price_cents, size, row_number() over (partition by sid, ticker, side order by price_cents) as rank from lv) where rank <= 3"),
     "replay_equivalence": with_views("frames", LEVELS + "select count(distinct (sid, ticker)) as books, 0 as differ from lv"),
-    "gap_recovery": with_views("frames", _CLASS + f""", w as (select g.sid, m.ticker, g.arrival, date_diff('microsecond', g.ts, (select arg_min(ts, arrival) from frames s where s.kind = 'snapshot' and s.sid = m.sid and s.ticker = m.ticker and s.arrival > g.arrival)) // 1000000 as wait_s
-  from c g join (select distinct sid, ticker from frames where kind = 'snapshot') m on g.sid = m.sid where g.seq_class = 'Gap' and g.kind <> 'snapshot')
-select sid, cast(coalesce(least(wait_s // {RUNG_SECONDS}, 3), 3) as int) as rung, count(*) as n, count(wait_s) as recovered, cast(sum(wait_s) as bigint) as wait_s from w group by 1, 2"""),
+    "gap_recovery": RECOVERY,
     "stream_silence": with_views("frames", f"select sid, count(*) filter (date_diff('microsecond', was, ts) // 1000000 > {SILENCE_SECONDS}) as silences, count(*) as frames from (select *, lag(ts) over (partition by sid order by ts, arrival) as was from frames) group by sid"),
     "membership": with_views("frames", "select sid, ticker, min(arrival) as bound_at, count(*) as snapshots from frames where kind = 'snapshot' group by 1, 2"),
 }

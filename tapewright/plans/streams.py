@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapewright.plans.book import CLASS, RECOVERY, RUNG_SECONDS, summed
 from tapewright.plans.views import load, view, with_views
+from tapewright.sources import capture, messages
+from tapewright.sources.scratch import place
 from tapewright.streaming import streams
 
 
@@ -31,22 +34,25 @@ def stream_sessions(spark, sf_dir):
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events"), F.max("n").alias("longest"))
 
 
-DELAY = "40 days"  # files are read in no order of time, so the watermark waits for all of them
+DELAY = "40 days"  # files are read in no order of time: none may count as late
 LAGGING, STALE = 2 * 3600, 5 * 3600
-RUNG = 2 * 3600  # the reference's 2 s, scaled to the adapter's clock
 
 
-def _closed(df, key, last):
-    """df and a row of no key far behind it: the end of the log, which lets the watermark pass what was logged."""
+def _end(df, key):
+    """A row of no key a hundred days behind df: the end of the log, which lets timers of streams that have fallen silent pass."""
     end = df.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("interval 100 day")).alias("ts"))
-    row = end.select(*(F.col("ts") if c == "ts" else F.lit(-1).cast(t).alias(c) if c in (key, last) else F.lit(None).cast(t).alias(c) for c, t in df.dtypes))
-    return df.unionByName(row)
+    fill = {"ts": F.col("ts"), key: F.lit(-1), "nth": F.lit(1)}
+    return end.select(*(fill.get(c, F.lit("" if t == "string" else 0)).cast(t).alias(c) for c, t in df.dtypes))
 
 
-def _ordered_frames(spark, sf_dir):
+def _frames(spark, sf_dir):
     f = view(spark, sf_dir, "frames").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("epoch", F.col("epoch").cast("int"))
-    end = _closed(f, "sid", "arrival").withColumn("epoch", F.coalesce("epoch", F.lit(-1))).withColumn("seq", F.coalesce("seq", F.lit(0)))
-    return streams.replayed(end.fillna("", ["kind", "ticker", "side"]).fillna(0, ["price_cents", "qty"]), "arrival", "frames")
+    return streams.numbered(f, "epoch", "sid").fillna("", ["kind", "ticker", "side"]).fillna(0, ["price_cents", "qty"])
+
+
+def _ordered_frames(spark, sf_dir):
+    f = _frames(spark, sf_dir)
+    return streams.replayed(f, "arrival", "frames", last=_end(f, "sid"))
 
 
 def stream_sequence(spark, sf_dir):
@@ -60,25 +66,42 @@ def stream_book(spark, sf_dir):
 
 
 def stream_recovery(spark, sf_dir):
-    """How many waits after gaps reach each rung."""
-    out = streams.drained(streams.recovery_monitor(_ordered_frames(spark, sf_dir), RUNG, delay=DELAY), "append", "recovery")
-    return out.where("sid >= 0").groupBy("sid", "rung").agg(F.count(F.lit(1)).alias("n"), F.sum("gap").alias("gap_sum"))
+    """Episodes of recovery by stream and the rung they reached."""
+    out = streams.drained(streams.recovery_monitor(_ordered_frames(spark, sf_dir), RUNG_SECONDS, delay=DELAY), "append", "recovery")
+    return summed(out.where("sid >= 0"))
 
 
 def stream_heartbeat(spark, sf_dir):
     """How often each source turns ok, lagging and stale."""
     e = load(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.col("event_id").alias("arrival"), F.col("ts").cast("timestamp").alias("ts"))
-    out = streams.drained(streams.heartbeat_monitor(streams.replayed(_closed(e, "source", "arrival"), "arrival", "beats"), LAGGING, STALE, DELAY), "append", "heartbeat")
+    e = streams.numbered(e, "source")
+    out = streams.drained(streams.heartbeat_monitor(streams.replayed(e, "arrival", "beats", last=_end(e, "source")), LAGGING, STALE, DELAY), "append", "heartbeat")
     return out.where("source >= 0").groupBy("source", "health").agg(F.count(F.lit(1)).alias("n"), F.max("at_us").alias("last_us"))
 
 
+CAPTURED = "recv_mono_ns bigint, recv_wall_ns bigint, stream_epoch int, sid_frame bigint, marker string, raw string"
+
+
+def stream_capture(spark, sf_dir):
+    """A capture log read as a stream of files, decoded, and its sequence classes; the recorder numbers the frames of each stream."""
+    f = _frames(spark, sf_dir)
+    body = F.to_json(F.struct(F.when(F.col("kind") == "snapshot", "orderbook_snapshot").when(F.col("kind") == "delta", "orderbook_delta").otherwise("ok").alias("type"), "sid", "seq", F.struct(F.col("ticker").alias("market_ticker")).alias("msg")))
+    rows = f.select(F.col("arrival").alias("recv_mono_ns"), (F.unix_micros("ts") * 1000).alias("recv_wall_ns"), F.col("epoch").alias("stream_epoch"), F.col("nth").alias("sid_frame"), F.lit(None).cast("string").alias("marker"), F.encode(body, "UTF-8").alias("payload"), F.pmod(F.xxhash64("arrival"), F.lit(7)).alias("_of"))
+    path = place(spark, "log")
+    capture.write(rows.repartition("_of").drop("_of"), path)  # files that overlap in time
+    log = messages.decoded(streams.stream_of(spark, path, CAPTURED, 3).where("marker is null"))
+    got = log.select(F.col("stream_epoch").alias("epoch"), F.col("m.sid").alias("sid"), F.col("sid_frame").alias("nth"), F.col("recv_mono_ns").alias("arrival"), F.timestamp_micros(F.expr("recv_wall_ns div 1000")).alias("ts"), F.col("m.seq").alias("seq"))
+    out = streams.drained(streams.sequence_monitor(got.where("sid is not null and seq is not null"), DELAY), "append", "captured")
+    return out.groupBy("sid", "seq_class").agg(F.count(F.lit(1)).alias("n"), F.sum("arrival").alias("arrivals"))
+
+
 def stream_latest(spark, sf_dir):
     """The newest event of each user, kept up to date by batches."""
     e = _events(spark, sf_dir).groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.max("event_id").alias("event_id"))
     return streams.drained(e, "complete", "latest")
 
 
-QUERIES = {f.__name__: f for f in (stream_dedupe, stream_rates, stream_sessions, stream_sequence, stream_book, stream_recovery, stream_heartbeat, stream_latest)}
+QUERIES = {f.__name__: f for f in (stream_dedupe, stream_rates, stream_sessions, stream_sequence, stream_book, stream_recovery, stream_heartbeat, stream_capture, stream_latest)}
 ORACLE_SQL = {
     "stream_dedupe": with_views("trades", "select ticker, count(*) as n, cast(sum(size) as bigint) as contracts from trades group by ticker"),
     "stream_rates": "select epoch_us(date_trunc('hour', ts)) // 1000000 as start_s, event_type, count(*) as n from events group by 1, 2",
@@ -88,11 +111,8 @@ n as (select user_id, k, count(*) as n from s group by 1, 2) select user_id, cou
     "stream_heartbeat": f"""with g as (select user_id as source, epoch_us(ts) as t, epoch_us(lag(ts) over w) as p, epoch_us(lead(ts) over w) as n from events window w as (partition by user_id order by ts, event_id)),
 h as (select source, t as at_us, 'ok' as health from g where p is null or t - p > {LAGGING * 1000000} union all select source, t + {LAGGING * 1000000}, 'lagging' from g where n is null or n - t > {LAGGING * 1000000}
   union all select source, t + {STALE * 1000000}, 'stale' from g where n is null or n - t > {STALE * 1000000}) select source, health, count(*) as n, max(at_us) as last_us from h group by 1, 2""",
-    "stream_recovery": with_views("frames", f""", o as (select *, max(seq) over (partition by sid order by arrival rows between unbounded preceding and 1 preceding) as m from frames), g as (select * from o where seq > m + 1 and kind <> 'snapshot'),
-b as (select sid, ticker, min(arrival) as first from frames where kind = 'snapshot' group by 1, 2), s as (select sid, ticker, arrival, ts from frames where kind = 'snapshot'),
-x as (select g.sid, g.arrival, b.ticker, g.ts, (select min(s.arrival) from s where s.sid = g.sid and s.ticker = b.ticker and s.arrival > g.arrival) as nxt from g join b on b.sid = g.sid and b.first < g.arrival),
-y as (select x.*, date_diff('microsecond', x.ts, s.ts) as wait from x left join s on s.sid = x.sid and s.ticker = x.ticker and s.arrival = x.nxt)
-select sid, cast(rung as int) as rung, count(*) as n, cast(sum(arrival) as bigint) as gap_sum from y, range(1, 4) r(rung) where wait is null or wait >= rung * {RUNG * 1000000} group by 1, 2"""),
+    "stream_recovery": RECOVERY,
+    "stream_capture": with_views("frames", CLASS + "select sid, seq_class, count(*) as n, cast(sum(arrival) as bigint) as arrivals from c group by 1, 2"),
     "stream_book": with_views("frames", """, o as (select *, max(seq) over (partition by sid order by arrival rows between unbounded preceding and 1 preceding) as m from frames),
 g as (select *, sum(case when seq > m + 1 and kind <> 'snapshot' then 1 else 0 end) over (partition by sid order by arrival) as gaps from o),
 s as (select *, max(arrival) filter (kind = 'snapshot') over (partition by sid, ticker order by arrival) as seg from g),

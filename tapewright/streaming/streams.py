@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,71 +27,102 @@ def sessions(events: DataFrame, gap: str, key: str, delay: str = "10 minutes") -
 
 
 class InOrder(StatefulProcessor):
-    """Steps through the rows of each key in order of arrival, however files and batches deal them out.
+    """Steps through the rows of each key in the order of `nth`, the recorder's count of a row in its stream (from 1), however files and
+    batches deal them out.
 
-    Rows wait in state until the watermark has passed their time: what can still come is later than they are. Then they
-    are stepped through by arrival. What waits is what the delay of the watermark spans, not the stream."""
+    A row whose number is the next one is stepped through at once and never stored; only rows that came before their turn wait
+    in state. If a number has not come when the watermark is `bound` past the earliest row that waits, it counts as lost, and
+    the stream goes on behind it. A row that comes after that, or twice, is late: it is counted, and `late` says what comes out."""
 
-    FIELDS: tuple[str, ...] = ()  # of a row, beside arrival and ts
+    FIELDS: tuple[str, ...] = ()  # of a row, beside nth, arrival and ts
     KINDS = ""  # their types
     STATE = ""  # schema of the one value that is carried
     OUT: tuple[str, ...] = ()
+    bound_us = 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "arrival bigint", f"ts_us bigint, {self.KINDS}")
+        self.waiting = handle.getMapState("waiting", "nth bigint", f"arrival bigint, ts_us bigint, {self.KINDS}")
+        self.progress = handle.getValueState("progress", "next bigint, held bigint, late bigint")
         self.carried = handle.getValueState("carried", self.STATE)
 
     def step(self, key: tuple, state: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
         """The new state and the rows that come out. row: arrival, time in microseconds, FIELDS."""
         raise NotImplementedError
 
+    def late(self, key: tuple, row: tuple, n: int) -> list[tuple]:
+        """What comes out for a row behind its turn, the n-th such of its key."""
+        return []
+
     def silent(self, key: tuple, state: tuple, now_us: int) -> tuple[tuple, list[tuple], int | None]:
         """As step, when the watermark is at now_us and nothing waits; and the time to be asked again."""
         return state, [], None
 
-    def _flushed(self, key: tuple, watermark_ms: int) -> pd.DataFrame:
-        now = watermark_ms * 1000
-        ready, latest = [], None
-        for k, v in self.waiting.iterator():
-            if v[0] <= now:
-                ready.append((k[0], *v))
-            else:
-                latest = v[0] if latest is None else max(latest, v[0])
-        out: list[tuple] = []
+    def _advanced(self, key: tuple, rows, now: int) -> pd.DataFrame:
         state = tuple(self.carried.get()) if self.carried.exists() else None
-        for row in sorted(ready):
-            state, more = self.step(key, state, row)
-            out += more
-            self.waiting.removeKey((row[0],))
+        due, held, late = map(int, self.progress.get()) if self.progress.exists() else (1, 0, 0)
+        out: list[tuple] = []
+        for nth, *row in rows:
+            if nth == due:
+                state, more = self.step(key, state, tuple(row))
+                out += more
+                due += 1
+            elif nth < due:
+                late += 1
+                out += self.late(key, tuple(row), late)
+            elif not self.waiting.containsKey((nth,)):
+                self.waiting.updateValue((nth,), tuple(row))
+                held += 1
+            else:
+                late += 1
+                out += self.late(key, tuple(row), late)
+            while held and self.waiting.containsKey((due,)):
+                state, more = self.step(key, state, tuple(self.waiting.getValue((due,))))
+                out += more
+                self.waiting.removeKey((due,))
+                due, held = due + 1, held - 1
+        while held:
+            first, since = min(((k[0], v[1]) for k, v in self.waiting.iterator()))
+            if now < since + self.bound_us:
+                self.handle.registerTimer((since + self.bound_us) // 1000 + 1)
+                break
+            due = first
+            while held and self.waiting.containsKey((due,)):
+                state, more = self.step(key, state, tuple(self.waiting.getValue((due,))))
+                out += more
+                self.waiting.removeKey((due,))
+                due, held = due + 1, held - 1
         if state is not None:
-            due = None
-            if latest is None:
-                state, more, due = self.silent(key, state, now)
+            if not held:
+                state, more, again = self.silent(key, state, now)
                 out += more
+                if again is not None:
+                    self.handle.registerTimer(again // 1000)
             self.carried.update(state)
-            if due is not None:
-                self.handle.registerTimer(due // 1000)
-        if latest is not None:
-            self.handle.registerTimer(latest // 1000 + 1)
+        self.progress.update((due, held, late))
         return pd.DataFrame([(*key, *x) for x in out], columns=list(self.OUT))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        columns = ["nth", "arrival", "ts_us", *self.FIELDS]
         for batch in rows:
-            for arrival, ts, *rest in batch[["arrival", "ts_us", *self.FIELDS]].astype(object).itertuples(index=False):
-                self.waiting.updateValue((int(arrival),), (int(ts), *rest))
-        yield self._flushed(key, timerValues.getCurrentWatermarkInMs())
+            tuples = batch.sort_values("nth")[columns].astype(object).itertuples(index=False, name=None)
+            yield self._advanced(key, tuples, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._flushed(key, timerValues.getCurrentWatermarkInMs())
+        yield self._advanced(key, (), timerValues.getCurrentWatermarkInMs() * 1000)
 
     def close(self) -> None:
         pass
 
 
-def _in_order(rows: DataFrame, keys: list[str], processor: InOrder, schema: str, delay: str) -> DataFrame:
+def _in_order(rows: DataFrame, keys: list[str], processor: InOrder, schema: str, delay: str, bound_s: int) -> DataFrame:
+    """delay: how far files may be behind each other in time; what comes later than that is dropped by the engine, which counts it."""
+    processor.bound_us = bound_s * 1_000_000
     timed = rows.withColumn("ts_us", F.unix_micros("ts")).withWatermark("ts", delay)
-    return timed.select(*keys, "arrival", "ts", "ts_us", *processor.FIELDS).groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
+    return timed.select(*keys, "nth", "arrival", "ts", "ts_us", *processor.FIELDS).groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
+
+
+BOUND_S = 60  # that a stream waits for a number that has not come
 
 
 class _Sequence(InOrder):
@@ -105,10 +136,15 @@ class _Sequence(InOrder):
         kind = "Ok" if seq == state[0] + 1 else "Stale" if seq <= state[0] else "Gap"
         return (max(state[0], seq),), [(arrival, seq, kind)]
 
+    def late(self, key, row, n):
+        return [(row[0], row[2], "Late")]
 
-def sequence_monitor(frames: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Sequence class of each frame, from one number of state for each (epoch, sid)."""
-    return _in_order(frames, ["epoch", "sid"], _Sequence(), "epoch int, sid bigint, arrival bigint, seq bigint, seq_class string", delay)
+
+def sequence_monitor(frames: DataFrame, delay: str = "10 minutes", bound_s: int = BOUND_S) -> DataFrame:
+    """Sequence class of each frame, from one number of state for each (epoch, sid); Late for one that came behind its turn.
+
+    frames: epoch, sid, nth, arrival, ts, seq."""
+    return _in_order(frames, ["epoch", "sid"], _Sequence(), "epoch int, sid bigint, arrival bigint, seq bigint, seq_class string", delay, bound_s)
 
 
 class _Books(InOrder):
@@ -123,11 +159,12 @@ class _Books(InOrder):
         super().init(handle)
         self.books = handle.getMapState("books", "ticker string", "gaps bigint, keys array<string>, sizes array<bigint>")
 
-    def step(self, key, state, row):
+    def applied(self, state: tuple | None, row: tuple) -> tuple[tuple, bool, int, bool]:
+        """The new count of gaps, whether the message's book is valid and its levels, and whether a snapshot must be asked for."""
         arrival, _, seq, kind, ticker, side, price, qty = row
         last, gaps = state or (None, 0)
         ahead, stale = last is not None and seq > last + 1, last is not None and seq <= last
-        last = seq if last is None else max(last, seq)
+        last, spoilt = seq if last is None else max(last, seq), False
         known, names, sizes = self.books.getValue((ticker,)) if self.books.containsKey((ticker,)) else (-1, [], [])
         held = dict(zip(names, map(int, sizes), strict=True))
         was = (known, dict(held))
@@ -138,18 +175,21 @@ class _Books(InOrder):
         elif kind == "delta" and not stale and known == gaps:
             size = held.pop(f"{side}|{price}", 0) + int(qty)
             if size < 0:
-                known = -1
-                held = was[1]
+                known, held, spoilt = -1, was[1], True
             elif size:
                 held[f"{side}|{price}"] = size
         if (known, held) != was:
             self.books.updateValue((ticker,), (known, list(held), list(held.values())))
-        return (last, gaps), [(arrival, ticker, known == gaps, len(held))]
+        return (last, gaps), known == gaps, len(held), spoilt or (ahead and kind != "snapshot")
+
+    def step(self, key, state, row):
+        state, valid, levels, _ = self.applied(state, row)
+        return state, [(row[0], row[4], valid, levels)]
 
 
-def book_monitor(frames: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def book_monitor(frames: DataFrame, delay: str = "10 minutes", bound_s: int = BOUND_S) -> DataFrame:
     """Validity and number of levels of the message's market after each message."""
-    return _in_order(frames, ["epoch", "sid"], _Books(), "epoch int, sid bigint, arrival bigint, ticker string, valid boolean, levels int", delay)
+    return _in_order(frames, ["epoch", "sid"], _Books(), "epoch int, sid bigint, arrival bigint, ticker string, valid boolean, levels int", delay, bound_s)
 
 
 class _Heartbeat(InOrder):
@@ -180,58 +220,60 @@ class _Heartbeat(InOrder):
         return (seen, health), out, due
 
 
-def heartbeat_monitor(events: DataFrame, lagging_s: int, stale_s: int, delay: str = "10 minutes") -> DataFrame:
+def heartbeat_monitor(events: DataFrame, lagging_s: int, stale_s: int, delay: str = "10 minutes", bound_s: int = BOUND_S) -> DataFrame:
     """When each source turns ok, lagging and stale: by the next event that shows the silence, or by a timer while it lasts.
 
-    events: source, arrival, ts."""
+    events: source, nth, arrival, ts."""
     rows = events.withColumn("nothing", F.lit(0))
     processor = _Heartbeat(lagging_s * 1_000_000, stale_s * 1_000_000)
     processor.FIELDS = ("nothing",)
-    return _in_order(rows, ["source"], processor, "source bigint, at_us bigint, health string", delay)
+    return _in_order(rows, ["source"], processor, "source bigint, at_us bigint, health string", delay, bound_s)
 
 
-class _Recovery(InOrder):
-    """After a gap each market that has a book waits for its next snapshot; each `rung` of time that passes is a step of its ladder."""
+class _Recovery(_Books):
+    """One ladder for each stream: asked for by a gap or a spoilt book, ended by any snapshot of the stream, or climbed to its end."""
 
-    FIELDS, KINDS = ("seq", "kind", "ticker"), "seq bigint, kind string, ticker string"
-    STATE = "last bigint, members array<string>, tickers array<string>, gaps array<bigint>, since array<bigint>, rungs array<int>"
-    OUT = ("epoch", "sid", "gap", "ticker", "rung", "at_us")
+    STATE = "last bigint, gaps bigint, clock bigint, asked bigint, since bigint, more bigint"
+    OUT = ("epoch", "sid", "asked", "rung", "recovered", "waited_us", "more")
 
     def __init__(self, rung_us: int, rungs: int):
         self.rung_us, self.rungs = rung_us, rungs
 
-    def _climbed(self, waits: list, now: int) -> tuple[list, list[tuple]]:
-        kept, out = [], []
-        for ticker, gap, since, rung in waits:
-            while rung < self.rungs and now >= since + (rung + 1) * self.rung_us:
-                rung += 1
-                out.append((gap, ticker, rung, since + rung * self.rung_us))
-            if rung < self.rungs:
-                kept.append((ticker, gap, since, rung))
-        return kept, out
+    def _expired(self, asked, since, more, now):
+        if asked is not None and now >= since + self.rungs * self.rung_us:
+            return [(asked, self.rungs, False, self.rungs * self.rung_us, more)]
+        return []
 
     def step(self, key, state, row):
-        arrival, ts, seq, kind, ticker = row
-        last, members, *waits = state or (None, [], [], [], [], [])
-        waits, out = self._climbed(list(zip(*waits, strict=True)), ts)
-        members = list(members)
-        if kind == "snapshot":
-            waits = [w for w in waits if w[0] != ticker]
-            members += [ticker] if ticker not in members else []
-        elif last is not None and seq > last + 1:
-            waits += [(m, arrival, ts, 0) for m in members]
-        return (seq if last is None else max(last, seq), members, *(list(x) for x in (zip(*waits, strict=True) if waits else ([],) * 4))), out
+        last, gaps, clock, asked, since, more = state or (None, 0, 0, None, 0, 0)
+        clock = max(clock, row[1])
+        out = self._expired(asked, since, more, clock)
+        if out:
+            asked = None
+        (last, gaps), _, _, ask = self.applied((last, gaps), row)
+        if row[3] == "snapshot" and asked is not None:
+            out.append((asked, (clock - since) // self.rung_us, True, clock - since, more))
+            asked = None
+        if ask and asked is None:
+            asked, since, more = row[0], clock, 0
+        elif ask:
+            more += 1
+        return (last, gaps, clock, asked, since, more), out
 
     def silent(self, key, state, now_us):
-        last, members, *waits = state
-        waits, out = self._climbed(list(zip(*waits, strict=True)), now_us)
-        due = min((since + (rung + 1) * self.rung_us + 1000 for _, _, since, rung in waits), default=None)
-        return (last, members, *(list(x) for x in (zip(*waits, strict=True) if waits else ([],) * 4))), out, due
+        last, gaps, clock, asked, since, more = state
+        out = self._expired(asked, since, more, now_us)
+        if out:
+            asked = None
+        due = None if asked is None else since + self.rungs * self.rung_us + 1000
+        return (last, gaps, clock, asked, since, more), out, due
 
 
-def recovery_monitor(frames: DataFrame, rung_s: int, rungs: int = 3, delay: str = "10 minutes") -> DataFrame:
-    """The steps of the ladder that each market of a stream climbs after each gap while no snapshot comes, by timers if nothing comes."""
-    return _in_order(frames, ["epoch", "sid"], _Recovery(rung_s * 1_000_000, rungs), "epoch int, sid bigint, gap bigint, ticker string, rung int, at_us bigint", delay)
+def recovery_monitor(frames: DataFrame, rung_s: int, rungs: int = 3, delay: str = "10 minutes", bound_s: int = BOUND_S) -> DataFrame:
+    """Each episode of recovery of a stream when it ends: the arrival that asked for it, the rung it reached (`rungs` if the ladder ended
+    without a snapshot, by a timer if nothing comes), how long it took, and how many more requests it took in."""
+    schema = "epoch int, sid bigint, asked bigint, rung int, recovered boolean, waited_us bigint, more bigint"
+    return _in_order(frames, ["epoch", "sid"], _Recovery(rung_s * 1_000_000, rungs), schema, delay, bound_s)
 
 
 def drained(df: DataFrame, mode: str, name: str) -> DataFrame:
@@ -255,13 +297,23 @@ def source(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
-def replayed(df: DataFrame, by: str, name: str, files: int = 8) -> DataFrame:
-    """A stream over df in files dealt out by ranges of a column, read a few at a time."""
+def numbered(df: DataFrame, *keys: str) -> DataFrame:
+    """df with nth, the count of each row in its stream by arrival, as a recorder writes it beside a row."""
+    return df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("arrival")).cast("bigint"))
+
+
+def replayed(df: DataFrame, by: str, name: str, files: int | None = None, a_batch: int = 4, last: DataFrame | None = None) -> DataFrame:
+    """A stream over df in files dealt out by ranges of a column (as many as shuffle partitions unless `files` says), read `a_batch` at a time.
+
+    last: rows of a file that is written after the others, so it is read after them."""
     path = place(df.sparkSession, name)
-    df.repartitionByRange(files, by).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    dealt = df.repartitionByRange(files, by) if files else df.repartitionByRange(by)
+    dealt.write.parquet(path)
+    if last is not None:
+        last.select(*df.columns).coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", a_batch).parquet(path)
 
 
-def stream_of(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def stream_of(spark: SparkSession, path: str, schema: str, a_batch: int = 1000) -> DataFrame:
     """A stream over a folder of NDJSON files. A file is read once, when it appears: rotate logs in small files."""
-    return spark.readStream.schema(schema).json(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", a_batch).json(path)

@@ -1,9 +1,12 @@
 import datetime as dt
 import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tapewright.operators import order, research, signals
+from tapewright.operators import order, research, sequence, signals
+from tapewright.sources import scratch
 from tapewright.streaming import streams
 
 T0 = dt.datetime(2024, 1, 1)
@@ -75,18 +78,113 @@ def test_walked(spark):
     assert (r.filled, r.proceeds, r.best) == (6, 3 * 42 + 3 * 40, 42)
 
 
-def test_streams_equal_batch(spark):
-    """Files come in no order, and the last ones hold the first messages; the last row of all closes the log."""
-    kind = "epoch int, sid long, arrival long, kind string, ticker string, side string, price_cents int, qty long, seq long, ts timestamp"
-    rows = [(1, 0, i, "snapshot" if i == 1 else "delta", "M", "yes", 40, 1, s, hour(i)) for i, s in enumerate([1, 2, 3, 3, 6, 7], 1)]
-    frames = spark.createDataFrame([*rows, (-1, -1, -1, "", "", "", 0, 0, 0, hour(1000))], kind)
-    stream = lambda: streams.replayed(frames.withColumn("at", -F.col("arrival")), "at", "t", 7)
-    got = streams.drained(streams.sequence_monitor(stream(), "30 days"), "append", "t").where("sid = 0").orderBy("arrival").collect()
-    assert [r.seq_class for r in got] == ["First", "Ok", "Ok", "Stale", "Gap", "Ok"]
-    book = streams.drained(streams.book_monitor(stream(), "30 days"), "append", "t").where("sid = 0").orderBy("arrival").collect()
-    assert [r.valid for r in book] == [True, True, True, True, False, False]
-    beats = spark.createDataFrame([(7, 1, hour(0)), (7, 2, hour(1)), (7, 3, hour(5)), (7, 4, hour(20)), (-1, -1, hour(1000))], "source long, arrival long, ts timestamp")
-    seen = streams.drained(streams.heartbeat_monitor(streams.replayed(beats, "ts", "t", 5), 2 * 3600, 6 * 3600, "1 hour"), "append", "t").where("source = 7").orderBy("at_us").collect()
+FRAMES = "epoch int, sid long, arrival long, kind string, ticker string, side string, price_cents int, qty long, seq long, ts timestamp"
+
+
+def random_frames(seed, n):
+    """Frames of three streams with gaps, numbers that come again, snapshots, and books that fall below zero."""
+    rng, seqs, rows = random.Random(seed), [0, 0, 0], []
+    for i in range(1, n + 1):
+        sid = rng.choice((0, 0, 0, 1, 2))
+        seqs[sid] += rng.choice((1, 1, 1, 1, 1, 1, 3, 0))
+        kind = rng.choice(("snapshot", "delta", "delta", "delta", "delta", "delta", "delta", "control"))
+        rows.append((1, sid, i, kind, f"M{sid}{rng.randrange(2)}", rng.choice(("yes", "no")), 40 + rng.randrange(3), rng.choice((5, 3, 1, -1, -4)), seqs[sid], hour(i // 2)))
+    return rows
+
+
+def laddered(rows, rung_s, rungs=3):
+    """The ladder stepped through frame by frame, books and all."""
+    streams_, out = {}, []
+    for _, sid, arrival, kind, ticker, side, price, qty, seq, ts in rows:
+        s = streams_.setdefault(sid, {"last": None, "books": {}, "open": None, "clock": ts})
+        s["clock"] = max(s["clock"], ts)
+        passed = (s["clock"] - s["open"][1]).total_seconds() if s["open"] else 0
+        if s["open"] and passed >= rungs * rung_s:
+            out.append((sid, s["open"][0], rungs, False, rungs * rung_s * 1_000_000, s["open"][2]))
+            s["open"] = None
+        ahead, stale = s["last"] is not None and seq > s["last"] + 1, s["last"] is not None and seq <= s["last"]
+        s["last"] = seq if s["last"] is None else max(s["last"], seq)
+        ask = ahead and kind != "snapshot"
+        if kind == "snapshot":
+            s["books"][ticker] = {(side, price): qty} if qty > 0 else {}
+            if s["open"]:
+                out.append((sid, s["open"][0], int(passed // rung_s), True, int(passed * 1_000_000), s["open"][2]))
+                s["open"] = None
+        elif ask:
+            s["books"] = {}
+        elif kind == "delta" and not stale and ticker in s["books"]:
+            book = s["books"][ticker]
+            book[side, price] = book.get((side, price), 0) + qty
+            if book[side, price] < 0:
+                del s["books"][ticker]
+                ask = True
+        if ask and s["open"]:
+            s["open"][2] += 1
+        elif ask:
+            s["open"] = [arrival, s["clock"], 0]
+    out += [(sid, s["open"][0], rungs, False, rungs * rung_s * 1_000_000, s["open"][2]) for sid, s in streams_.items() if s["open"]]
+    return sorted(out)
+
+
+def test_recoveries_like_a_ladder(spark):
+    rows = random_frames(3, 700)
+    got = sequence.recoveries(spark.createDataFrame(rows, FRAMES), 2 * 3600)
+    want = laddered(rows, 2 * 3600)
+    assert sorted((r.sid, r.asked, r.rung, r.recovered, r.waited_us, r.more) for r in got.collect()) == want
+    assert {w[2] for w in want} == {0, 1, 2, 3} and any(w[5] for w in want)
+    assert sequence.recoveries(spark.createDataFrame([], FRAMES), 60).count() == 0
+
+
+@pytest.mark.parametrize(("files", "a_batch"), [(4, 100), (8, 4), (6, 2), (8, 1)])
+def test_streams_lose_no_rows(spark, files, a_batch):
+    """Over 1, 2, 3 and 8 batches, whose files come in no order: frames and episodes are those of the batch forms."""
+    rows = random_frames(5, 240)
+    frames = streams.numbered(spark.createDataFrame(rows, FRAMES), "epoch", "sid").withColumn("at", F.xxhash64("arrival"))
+    end = spark.createDataFrame([(-1, -1, 0, "", "", "", 0, 0, 0, hour(9000), 1, 0)], frames.schema)
+    stream = lambda: streams.replayed(frames, "at", "t", files, a_batch, end)
+    got = streams.drained(streams.sequence_monitor(stream(), "90 days"), "append", "t").where("sid >= 0")
+    want = sequence.classified(frames).select("sid", "arrival", "seq_class")
+    assert sorted(map(tuple, got.select("sid", "arrival", "seq_class").collect())) == sorted(map(tuple, want.collect()))
+    if a_batch in (1, 100):
+        got = streams.drained(streams.recovery_monitor(stream(), 2 * 3600, delay="90 days"), "append", "t").where("sid >= 0").drop("epoch")
+        assert sorted(map(tuple, got.collect())) == laddered(rows, 2 * 3600)
+        book = streams.drained(streams.book_monitor(stream(), "90 days"), "append", "t").where("sid >= 0")
+        valid = sequence.labelled(frames).where("label in ('snapshot', 'applied')")
+        assert book.where("valid").join(valid, "arrival").count() == valid.count() and book.count() == len(rows)
+
+
+def test_state_holds_the_disorder_only(spark):
+    """In order nothing waits; a number that never comes is given up after the bound, and comes out as Late if it comes after all."""
+    rows = [(1, 0, i, "delta", "M", "yes", 40, 1, i, hour(i)) for i in range(1, 61)]
+    frames = streams.numbered(spark.createDataFrame(rows, FRAMES), "epoch", "sid")
+
+    def run(name, *parts):
+        path = scratch.place(spark, "log")  # files one after the other, as a recorder writes them
+        for part in parts:
+            part.coalesce(1).write.mode("append").parquet(path)
+        query = streams.sequence_monitor(spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(path), "1 hour", 5 * 3600)
+        q = query.writeStream.format("memory").queryName(name).option("checkpointLocation", scratch.place(spark, "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        dropped = sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in q.recentProgress if p["stateOperators"])
+        return {r.arrival: r.seq_class for r in spark.table(name).collect()}, kept, dropped
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    tens = [frames.where(f"nth <> 20 and nth > {k} and nth <= {k + 10}") for k in range(0, 60, 10)]
+    comes = frames.where("nth = 20").withColumn("ts", F.lit(hour(60)))
+    got, kept, dropped = run("lost", *tens, comes)
+    assert len(got) == 60 and got[20] == "Late" and got[21] == "Gap" and not dropped
+    assert max(kept) < 20  # progress, state, timers, and what waited for number 20 until the bound: never the stream
+    got, kept, _ = run("whole", *[frames.where(f"nth > {k} and nth <= {k + 10}") for k in range(0, 60, 10)])
+    assert set(got.values()) == {"First", "Ok"} and max(kept) <= 4
+
+
+def test_heartbeats_and_trades(spark):
+    """Files come in no order; the last row of all closes the log."""
+    beats = spark.createDataFrame([(7, 1, hour(0)), (7, 2, hour(1)), (7, 3, hour(5)), (7, 4, hour(20))], "source long, arrival long, ts timestamp")
+    beats = streams.numbered(beats, "source").withColumn("at", -F.col("arrival"))
+    end = spark.createDataFrame([(-1, 0, hour(1000), 1, 0)], beats.schema)
+    seen = streams.drained(streams.heartbeat_monitor(streams.replayed(beats, "at", "t", 4, 1, end), 2 * 3600, 6 * 3600, "30 days"), "append", "t").where("source = 7").orderBy("at_us").collect()
     assert [(r.health, (r.at_us - seen[0].at_us) // 3_600_000_000) for r in seen] == [("ok", 0), ("lagging", 3), ("ok", 5), ("lagging", 7), ("stale", 11), ("ok", 20), ("lagging", 22), ("stale", 26)]
     tr = spark.createDataFrame([(1, hour(0), "A"), (1, hour(0), "A"), (2, hour(1), "A")], "trade_id long, ts timestamp, ticker string")
     assert streams.drained(streams.deduped(streams.source(tr, "t"), "1 day"), "append", "t").count() == 2
