@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.orders import risk_cents
+from tapewright.operators.slices import over
 
 # The legal steps of an order's life.
 LEGAL = ("none>open", "open>fill", "fill>fill", "open>cancel", "fill>cancel")
@@ -22,10 +23,9 @@ def lifecycle(quotes: DataFrame, fills: DataFrame) -> DataFrame:
     return opened.unionByName(filled).unionByName(ended).withColumn("d_risk", risk_cents(F.col("d"), F.col("price_cents"), F.col("buy_yes")))
 
 
-def running(events: DataFrame) -> DataFrame:
+def running(events: DataFrame, slices: int | None = None) -> DataFrame:
     """at_risk_cents and open_contracts of the market after each event."""
-    by = Window.partitionBy("ticker").orderBy("ts", "step", "tape_id", "cid").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("at_risk_cents", F.sum("d_risk").over(by)).withColumn("open_contracts", F.sum("d").over(by))
+    return over(events, ("ticker",), ("ts", "step", "tape_id", "cid"), slices, sums={"at_risk_cents": F.col("d_risk"), "open_contracts": F.col("d")})
 
 
 def daily_total(events: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.operators.slices import over
+
 QUOTE_ORDER = ("ts", "event_id")
 TRADE_ORDER = ("ts", "trade_id")
 
@@ -25,11 +27,11 @@ def two_sided(quotes: DataFrame) -> DataFrame:
     return quotes.where(F.col("yes_bid").isNotNull() & F.col("yes_ask").isNotNull())
 
 
-def stepped(quotes: DataFrame) -> DataFrame:
+def stepped(quotes: DataFrame, slices: int | None = None) -> DataFrame:
     """Two-sided quotes with twice the mid, and the quote before and the mid after: bid0, ask0, mid0, ts0, mid1."""
-    w = _in_order(*QUOTE_ORDER)
     q = two_sided(quotes).select("event_id", "ts", "ticker", F.col("yes_bid").alias("bid"), F.col("yes_ask").alias("ask"), (F.col("yes_bid") + F.col("yes_ask")).alias("mid2"))
-    return q.select("*", F.lag("bid").over(w).alias("bid0"), F.lag("ask").over(w).alias("ask0"), F.lag("mid2").over(w).alias("mid0"), F.lead("mid2").over(w).alias("mid1"), F.lag("ts").over(w).alias("ts0"))
+    q = over(q, ("ticker",), QUOTE_ORDER, slices, before={"was": F.struct("bid", "ask", "mid2", "ts")}, after={"mid1": F.col("mid2")})
+    return q.select(*(c for c in q.columns if c != "was"), F.col("was.bid").alias("bid0"), F.col("was.ask").alias("ask0"), F.col("was.mid2").alias("mid0"), F.col("was.ts").alias("ts0"))
 
 
 def move() -> Column:

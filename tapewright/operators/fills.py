@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.orders import fee_cents
+from tapewright.operators.slices import over
 from tapewright.sources.scratch import place, written
 
 TRACKS = ("strict", "queue", "optimistic")
@@ -161,15 +162,14 @@ def family_report(markets: DataFrame, ledger: DataFrame, settles: DataFrame, rat
     )
 
 
-def markout(filled: DataFrame, tape: DataFrame, horizon_days: int) -> DataFrame:
+def markout(filled: DataFrame, tape: DataFrame, horizon_days: int, slices: int | None = None) -> DataFrame:
     """Drift after each fill: the last price of its market as of the first print of that market at fill time plus horizon.
 
-    Fills without such a print are dropped. One union and one sort by market; no range join.
+    Fills without such a print are dropped. One union and one order of time, in slices; no range join.
     """
     due = filled.select("ticker", (F.col("ts") + F.expr(f"interval {horizon_days} day")).alias("at"), F.lit(0).alias("rank"), F.lit(None).cast("bigint").alias("tape_id"), F.lit(None).cast("int").alias("ref"), F.struct("cid", "tape_id", "price_cents", "buy_yes", "qty").alias("fill"))
     prints = tape.select("ticker", F.col("ts").alias("at"), F.lit(1).alias("rank"), "tape_id", F.col("price_cents").alias("ref"))
-    after = Window.partitionBy("ticker").orderBy(F.desc("at"), F.desc("rank"), F.desc("tape_id")).rowsBetween(Window.unboundedPreceding, -1)  # backwards: a frame that only grows
-    met = due.unionByName(prints, allowMissingColumns=True).withColumn("trigger", F.last("ref", ignorenulls=True).over(after)).where("fill is not null and trigger is not null")
+    met = over(due.unionByName(prints, allowMissingColumns=True), ("ticker",), ("at", "rank", "tape_id"), slices, after={"trigger": F.col("ref")}).where("fill is not null and trigger is not null")
     drift = F.when(F.col("fill.buy_yes"), F.col("trigger") - F.col("fill.price_cents")).otherwise(F.col("fill.price_cents") - F.col("trigger"))
     return met.select("ticker", "fill.cid", F.col("fill.tape_id").alias("tape_id"), F.col("fill.qty").alias("qty"), F.col("trigger").alias("ref_cents"), (drift * F.col("fill.qty")).alias("markout_cents"))
 

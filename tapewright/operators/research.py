@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.operators.slices import looked, over, sliced
+from tapewright.sources.scratch import written
+
 # Why a dwell interval ends.
 OBSERVED, STALE, LAST = "OBSERVED_NEXT_VALID_STATE", "RIGHT_CENSORED_STALE_TTL", "RIGHT_CENSORED_LAST_MARKET_OBSERVATION"
 
@@ -23,24 +26,36 @@ def _both(trades: DataFrame, book: DataFrame, at: Column, rank: int) -> DataFram
     return t.unionByName(b)
 
 
-def as_of(trades: DataFrame, book: DataFrame, at: Column, strict: bool, name: str) -> DataFrame:
+_PROBED = ("at", "rank", "id")
+
+
+def as_of(trades: DataFrame, book: DataFrame, at: Column, strict: bool, name: str, slices: int | None = None) -> DataFrame:
     """trades with the last book row of their market before `at` (at or before it unless strict), in column `name`."""
-    by = Window.partitionBy("ticker").orderBy("at", "rank", "id").rowsBetween(Window.unboundedPreceding, -1)
-    out = _both(trades, book, at, 0 if strict else 2).withColumn(name, F.last("book", ignorenulls=True).over(by))
+    out = over(_both(trades, book, at, 0 if strict else 2), ("ticker",), _PROBED, slices, before={name: F.col("book")})
     return out.where("trade is not null").select("trade.*", name)
 
 
-def past_and_future(trades: DataFrame, book: DataFrame, horizons_h: tuple[int, ...], pick: str = "last") -> DataFrame:
-    """trades with the strictly past book and, for each horizon, the book row in (t, t + horizon]: the last (chosen) or first."""
-    out = as_of(trades, book, F.col("ts"), True, "past")
+def past_and_future(trades: DataFrame, book: DataFrame, horizons_h: tuple[int, ...], pick: str = "last", slices: int | None = None) -> DataFrame:
+    """trades with the strictly past book and, for each horizon, the book row in (t, t + horizon]: the last (chosen) or first.
+
+    All lookups are probes in one order of market and time: each trade has one strictly before its time, and one behind it
+    for each horizon. What the probes find is brought together by the trade's number."""
+    numbered = written(trades.withColumn("_n", F.monotonically_increasing_id()), "trades")
+    hours = lambda h: F.col("ts") + F.expr(f"interval {h} hour")
+    wanted = [F.struct(F.lit("past").alias("kind"), F.col("ts").alias("at"), F.lit(0).alias("rank"))]
+    if pick == "last":
+        wanted += [F.struct(F.lit(f"f{h}").alias("kind"), hours(h).alias("at"), F.lit(2).alias("rank")) for h in horizons_h]
+    else:
+        wanted += [F.struct(F.lit("first").alias("kind"), F.col("ts").alias("at"), F.lit(2).alias("rank"))]
+    probes = numbered.select("ticker", "_n", F.explode(F.array(*wanted)).alias("p")).select("ticker", "p.at", "p.rank", F.lit(None).cast("bigint").alias("id"), "_n", "p.kind")
+    books = book.select("ticker", F.col("ts").alias("at"), F.lit(1).alias("rank"), F.col("event_id").alias("id"), F.struct("ts", F.col("yes_bid").alias("bid"), F.col("yes_ask").alias("ask")).alias("book"))
+    met = over(probes.unionByName(books, allowMissingColumns=True), ("ticker",), _PROBED, slices, before={"was": F.col("book")}, after={"next": F.col("book")}).where("_n is not null")
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    cols = [of("past", "was").alias("past")]
+    cols += [of(f"f{h}", "was").alias(f"f{h}") for h in horizons_h] if pick == "last" else [of("first", "next").alias(f"f{h}") for h in horizons_h]
+    out = numbered.join(met.groupBy("_n").agg(*cols), "_n").drop("_n")
     for h in horizons_h:
-        if pick == "last":
-            out = as_of(out, book, F.col("ts") + F.expr(f"interval {h} hour"), False, f"f{h}")
-            later = F.col(f"f{h}.ts") > F.col("ts")
-        else:
-            by = Window.partitionBy("ticker").orderBy(F.desc("at"), F.desc("rank"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
-            out = _both(out, book, F.col("ts"), 2).withColumn(f"f{h}", F.last("book", ignorenulls=True).over(by)).where("trade is not null").select("trade.*", f"f{h}")
-            later = F.col(f"f{h}.ts") <= F.col("ts") + F.expr(f"interval {h} hour")
+        later = F.col(f"f{h}.ts") > F.col("ts") if pick == "last" else F.col(f"f{h}.ts") <= hours(h)
         out = out.withColumn(f"f{h}", F.when(later, F.col(f"f{h}")))
     return out
 
@@ -63,10 +78,13 @@ def state(bid: Column, ask: Column) -> Column:
     return F.when(bid.isNotNull() & ask.isNotNull(), F.when(bid >= ask, "CROSSED").otherwise("TWO_SIDED")).when(bid.isNotNull(), "BID_ONLY").when(ask.isNotNull(), "ASK_ONLY").otherwise("NONE")
 
 
-def intervals(l1: DataFrame) -> DataFrame:
+_L1 = ("ts", "event_id")
+
+
+def intervals(l1: DataFrame, slices: int | None = None) -> DataFrame:
     """Each top-of-book row with its state and the time to the market's next row; the last one is right-censored."""
-    by = Window.partitionBy("ticker").orderBy("ts", "event_id")
-    return l1.withColumn("state", state(F.col("yes_bid"), F.col("yes_ask"))).withColumn("next_ts", F.lead("ts").over(by)).withColumn("dur_us", micros("ts", "next_ts"))
+    x = over(l1.withColumn("state", state(F.col("yes_bid"), F.col("yes_ask"))), ("ticker",), _L1, slices, after={"next_ts": F.col("ts")})
+    return x.withColumn("dur_us", micros("ts", "next_ts"))
 
 
 def dwell(l1: DataFrame, ttl_minutes: tuple[int, ...]) -> DataFrame:
@@ -79,15 +97,14 @@ def dwell(l1: DataFrame, ttl_minutes: tuple[int, ...]) -> DataFrame:
     return x.groupBy(F.col("ts").cast("date").cast("string").alias("day"), "ttl_min", why.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum(us).alias("dwell_us"))
 
 
-def episodes(l1: DataFrame, wide_cents: int) -> DataFrame:
+def episodes(l1: DataFrame, wide_cents: int, slices: int | None = None) -> DataFrame:
     """Runs of rows with a spread of at least wide_cents (chosen): episode number in the market, first and last time, rows, refill.
 
     An episode is refilled at the market's first row after it; one that the market's last row ends is censored.
     """
-    by = Window.partitionBy("ticker").orderBy("ts", "event_id")
     flag = F.coalesce(F.col("yes_ask") - F.col("yes_bid") >= wide_cents, F.lit(False))
-    x = l1.withColumn("wide", flag).withColumn("edge", (F.col("wide") != F.coalesce(F.lag("wide").over(by), F.lit(False))).cast("int"))
-    x = x.withColumn("run", F.sum("edge").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next_ts", F.lead("ts").over(by)).where("wide")
+    x = looked(sliced(l1.withColumn("wide", flag), _L1, slices), ("ticker",), _L1, before={"was": F.col("wide")}, after={"next_ts": F.col("ts")})
+    x = looked(x.withColumn("edge", (F.col("wide") != F.coalesce("was", F.lit(False))).cast("int")), ("ticker",), _L1, sums={"run": F.col("edge")}).where("wide")
     return x.groupBy("ticker", "run").agg(
         F.min("ts").alias("start_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"), F.max_by("next_ts", "event_id").alias("refill_ts"),
         F.min_by("yes_bid", "event_id").alias("bid0"), F.min_by("yes_ask", "event_id").alias("ask0"), F.min("event_id").alias("first_id"),
@@ -160,10 +177,10 @@ def conserved(manifest: DataFrame, actual: DataFrame) -> DataFrame:
     return x.select("channel", "day", expected.alias("expected"), got.alias("actual"), state.alias("state"))
 
 
-def transitions(l1: DataFrame) -> DataFrame:
+def transitions(l1: DataFrame, slices: int | None = None) -> DataFrame:
     """How often a state follows a state, in each market's order of time."""
-    was = F.lag("state").over(Window.partitionBy("ticker").orderBy("ts", "event_id"))
-    return l1.withColumn("state", state(F.col("yes_bid"), F.col("yes_ask"))).withColumn("was", was).where("was is not null").groupBy("was", "state").agg(F.count(F.lit(1)).alias("n"))
+    x = over(l1.withColumn("state", state(F.col("yes_bid"), F.col("yes_ask"))), ("ticker",), _L1, slices, before={"was": F.col("state")})
+    return x.where("was is not null").groupBy("was", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 def utc_rhythm(l1: DataFrame) -> DataFrame:
