@@ -5,7 +5,7 @@ deleted or replaced code point makes one of the other. The variant's form is its
 times as frequent or more; its root is where forms lead in the end.
 
 1. Trie. A node is a prefix that two words share or more; it has an edge for each code point (or end) that follows, and an edge
-   which one word alone takes carries that word. An edit in the second half of a word leaves its first half, and one in the
+   which one word alone takes carries the rest of that word. An edit in the second half of a word leaves its first half, and one in the
    first half leaves the second half of the reversed word, so there are two tries, and only nodes below the halves exist.
 2. Frontier. States (word, position, node, edits) begin with each word at its half. At each level they join the nodes of that
    depth, each of which is read once: a state without edits goes on along its own code point, or takes an edit where it leaves
@@ -89,20 +89,6 @@ def _levelled(df: DataFrame, name: str, spark: SparkSession) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_NEXT = """
-filter(flatten(transform(edges, e -> array(
-  CASE WHEN edits = 0 AND own <> '' AND e.c = own AND e.only IS NULL
-    THEN named_struct('position', position + 1, 'c', e.c, 'edits', 0, 'only', e.only) END,
-  CASE WHEN edits = 0 AND own <> '' AND e.c > own AND (e.only IS NULL OR substring(e.only.word, position + 2) = substring(word, position + 2))
-    THEN named_struct('position', position + 1, 'c', e.c, 'edits', 1, 'only', e.only) END,
-  CASE WHEN edits = 0 AND own <> '' AND e.c <> own AND e.c = after AND (e.only IS NULL OR substring(e.only.word, position + 1) = substring(word, position + 2))
-    THEN named_struct('position', position + 2, 'c', e.c, 'edits', 1, 'only', e.only) END,
-  CASE WHEN edits = 1 AND e.c = own AND (e.only IS NULL OR substring(e.only.word, depth + 1) = substring(word, position + 1))
-    THEN named_struct('position', position + 1, 'c', e.c, 'edits', 1, 'only', e.only) END
-))), x -> x IS NOT NULL)
-"""
-
-
 def _walked(words: DataFrame) -> DataFrame:
     """a, n_a, b, n_b: near words of at most LONG code points, each pair once or twice in one order."""
     spark = words.sparkSession
@@ -112,9 +98,10 @@ def _walked(words: DataFrame) -> DataFrame:
     both = both.union(words.where(size <= LONG).select(F.reverse("word"), "n", F.lit(True), size - half))
     passed = both.select("back", "word", "n", F.explode(F.sequence("start", size)).alias("depth"))
     node, c = F.substring("word", F.lit(1), F.col("depth")), F.substring("word", F.col("depth") + 1, F.lit(1))
-    edges = passed.select("back", "depth", node.alias("node"), c.alias("c"), F.struct("word", "n").alias("only"))
-    edges = edges.groupBy("back", "depth", "node", "c").agg(F.count(F.lit(1)).alias("words"), F.min("only").alias("only"))
-    edge = F.struct("c", F.when(F.col("words") == 1, F.col("only")).alias("only"))
+    rest = F.substring("word", F.col("depth") + 2, size)
+    edges = passed.select("back", "depth", node.alias("node"), c.alias("c"), rest.alias("rest"), "n")
+    edges = edges.groupBy("back", "depth", "node", "c").agg(F.count(F.lit(1)).alias("words"), F.min("rest").alias("rest"), F.min("n").alias("n"))
+    edge = F.struct("c", F.when(F.col("words") == 1, F.col("rest")).alias("rest"), F.col("n").alias("n_b"))
     nodes = edges.groupBy("back", "depth", "node").agg(F.sum("words").alias("words"), F.collect_list(edge).alias("edges"))  # 97 edges at most
     nodes = _levelled(nodes.where("words > 1").drop("words"), "nodes", spark)
     begun = both.select("back", "word", "n", F.col("start").alias("position"), F.substring("word", F.lit(1), F.col("start")).alias("node"), F.lit(0).alias("edits"), F.col("start").alias("depth"))
@@ -125,12 +112,22 @@ def _walked(words: DataFrame) -> DataFrame:
     for depth in range(depths[0], depths[-1] + 1) if depths else ():
         states = frontier.unionByName(begun.where(F.col("depth") == depth))
         met = states.join(nodes.where(F.col("depth") == depth).drop("depth"), ["back", "node"])
-        own, after = F.substring("word", F.col("position") + 1, F.lit(1)), F.substring("word", F.col("position") + 2, F.lit(1))
-        met = met.withColumn("own", own).withColumn("after", after).withColumn("x", F.explode(F.expr(_NEXT)))
-        met = met.select("back", "word", "n", "x.position", F.concat("node", "x.c").alias("node"), "x.edits", F.lit(depth + 1).alias("depth"), "x.only")
+        letter = lambda k: F.substring("word", F.col("position") + k, F.lit(1))
+        tail = lambda k: F.substring("word", F.col("position") + k, F.char_length("word"))
+        met = met.select("back", "word", "n", "position", "node", "edits", letter(1).alias("own"), letter(2).alias("after"), tail(2).alias("tail"), tail(3).alias("tail2"), F.explode("edges").alias("e"))
+        own, c, only = F.col("own"), F.col("e.c"), F.col("e.rest").isNotNull()
+        fresh = (F.col("edits") == 0) & (own != "")
+        fits = lambda t: ~only | (F.col("e.rest") == F.col(t))
+        stays = fresh & (c == own) & ~only
+        other, less = fresh & (c > own) & fits("tail"), fresh & (c == F.col("after")) & (c != own) & fits("tail2")
+        goes_on = (F.col("edits") == 1) & (c == own) & fits("tail")
+        taken = lambda k, edits: F.struct((F.col("position") + k).alias("position"), edits.cast("int").alias("edits"))
+        steps = F.array(F.when(stays | other | goes_on, taken(1, F.when(stays, 0).otherwise(1))), F.when(less, taken(2, F.lit(1))))
+        met = met.where(stays | other | less | goes_on).withColumn("x", F.explode(steps)).where("x IS NOT NULL")
+        met = met.select("back", "word", "n", "x.position", F.concat("node", "e.c").alias("node"), "x.edits", F.lit(depth + 1).alias("depth"), "e.rest", "e.n_b")
         met = kept(met, "level")
-        pairs.append(met.where("only IS NOT NULL").select("back", "word", "n", F.col("only.word").alias("b"), F.col("only.n").alias("n_b")))
-        frontier = met.where("only IS NULL").drop("only")
+        pairs.append(met.where("rest IS NOT NULL").select("back", "word", "n", F.concat("node", "rest").alias("b"), "n_b"))
+        frontier = met.where("rest IS NULL").drop("rest", "n_b")
     if not pairs:
         return words.select(F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("word").alias("b"), F.col("n").alias("n_b")).limit(0)
     found = pairs[0]
