@@ -6,12 +6,7 @@ Frames: arrival (total order), epoch, sid, ticker, kind (snapshot, delta, contro
 
 from __future__ import annotations
 
-import heapq
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tapewright.functions.identity import fnv1a
@@ -99,57 +94,79 @@ def best_sizes(lv: DataFrame) -> DataFrame:
     return b.where("bid is not null and ask is not null")
 
 
+SEGMENT = (*BOOK, "segment")
+
+
+def _messages() -> WindowSpec:
+    return Window.partitionBy(*SEGMENT).orderBy("arrival")
+
+
+def live(frames: DataFrame) -> DataFrame:
+    """Each message of a segment that changed the book, with the size of its level after it, and the set of live levels of each side as bits.
+
+    A message that fills or empties a level toggles the bit of its price, and the exclusive or of all toggles so far is the set
+    of prices that have contracts: two numbers a side (yes_0, yes_64, no_0, no_64), for prices of 0 to 127 cents."""
+    rows = labelled(frames).where("label in ('snapshot', 'applied')").select(*SEGMENT, "arrival", "side", "price_cents", F.col("size").cast("bigint").alias("size"))
+    was = F.lag("size").over(Window.partitionBy(*SEGMENT, "side", "price_cents").orderBy("arrival"))
+    rows = rows.withColumn("bit", F.when((F.col("size") > 0) != F.coalesce(was > 0, F.lit(False)), F.expr("shiftleft(1L, price_cents % 64)")).otherwise(F.lit(0).cast("bigint")))
+    so_far = _messages().rowsBetween(Window.unboundedPreceding, 0)
+    sets = {f"{s}_{w}": F.bit_xor(F.when((F.col("side") == s) & (F.floor(F.col("price_cents") / 64) * 64 == w), F.col("bit")).otherwise(0)).over(so_far) for s in ("yes", "no") for w in (0, 64)}
+    return rows.withColumns(sets).drop("bit")
+
+
+def highest(low: str, high: str) -> Column:
+    """The highest price in a set of levels; null for none."""
+    top = lambda c: F.length(F.bin(c)) - 1
+    return F.when(F.col(high) != 0, top(high) + 64).when(F.col(low) != 0, top(low))
+
+
 def top_of_book(frames: DataFrame) -> DataFrame:
-    """Best bids of both sides after each applied message. States are maxima over an ordered history, so the messages of a
-    segment stream through one task in order; segments are dealt out, and a task holds the levels of one at a time."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, sides = None, {}
-        for rows in batches:
-            out = []
-            for epoch, sid, ticker, segment, arrival, side, price, d in rows.itertuples(index=False):
-                key = (epoch, sid, ticker, segment)
-                if key != last:
-                    last, sides = key, {"yes": {}, "no": {}}
-                book = sides[side]
-                size = book.get(price, 0) + d
-                if size > 0:
-                    book[price] = size
-                else:
-                    book.pop(price, None)
-                yes, no = (max(sides[s], default=None) for s in ("yes", "no"))
-                ask = None if no is None else 100 - no
-                out.append((*key, arrival, yes, no, ask, yes is not None and ask is not None and yes >= ask))
-            yield pd.DataFrame(out, columns=["epoch", "sid", "ticker", "segment", "arrival", "best_yes", "best_no", "yes_ask", "crossed"]).astype({"best_yes": "Int64", "best_no": "Int64", "yes_ask": "Int64"})
-
-    rows = labelled(frames).where("label in ('snapshot', 'applied')").select(*BOOK, "segment", "arrival", "side", "price_cents", F.col("d").cast("bigint").alias("d"))
-    dealt = rows.repartition(*BOOK, "segment").sortWithinPartitions(*BOOK, "segment", "arrival")
-    return dealt.mapInPandas(run, "epoch int, sid bigint, ticker string, segment bigint, arrival bigint, best_yes bigint, best_no bigint, yes_ask bigint, crossed boolean")
+    """Best bids of both sides after each applied message: the highest bits of the sets of live levels."""
+    rows = live(frames).withColumn("best_yes", highest("yes_0", "yes_64").cast("bigint")).withColumn("best_no", highest("no_0", "no_64").cast("bigint"))
+    ask = 100 - F.col("best_no")
+    return rows.select(*SEGMENT, "arrival", "best_yes", "best_no", ask.alias("yes_ask"), F.coalesce(F.col("best_yes") >= ask, F.lit(False)).alias("crossed"))
+
+
+def _tops(rows: DataFrame, k: int) -> DataFrame:
+    """rows of `live` with `tops`, the k highest live levels of each side (structs of side and price): the highest bit is taken k times."""
+    found = []
+    for side in ("yes", "no"):
+        for i in range(k):
+            p = f"{side}_p{i}"
+            rows = rows.withColumn(p, highest(f"{side}_0", f"{side}_64"))
+            for w in (0, 64):
+                taken = F.expr(f"shiftleft(1L, {p} - {w})")
+                rows = rows.withColumn(f"{side}_{w}", F.when(F.floor(F.col(p) / 64) * 64 == w, F.col(f"{side}_{w}").bitwiseXOR(taken)).otherwise(F.col(f"{side}_{w}")))
+            found.append(F.struct(F.lit(side).alias("side"), F.col(p).alias("price_cents")))
+    return rows.withColumn("tops", F.filter(F.array(*found), lambda x: x["price_cents"].isNotNull()))
+
+
+def _sized(rows: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes (segment, side, price_cents, arrival and more) with `size`, that of the level after the message `arrival`: an as-of by level."""
+    level = (*SEGMENT, "side", "price_cents")
+    updates = rows.select(*level, "arrival", F.lit(0).alias("rank"), "size")
+    both = updates.unionByName(probes.withColumn("rank", F.lit(1)), allowMissingColumns=True)
+    past = Window.partitionBy(*level).orderBy("arrival", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("size", F.coalesce(F.last("size", ignorenulls=True).over(past), F.lit(0))).where("rank = 1").drop("rank")
+
+
+def _by_side(value: Column) -> list[Column]:
+    return [F.coalesce(F.sum(F.when(F.col("side") == s, value)), F.lit(0)).alias(f"{s}_depth") for s in ("yes", "no")]
+
+
+def _top_levels(frames: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The messages of `live`, and for each message its k best levels of each side with their sizes (levels), and yes_depth, no_depth."""
+    rows = live(frames)
+    messages = rows.select(*SEGMENT, "arrival")
+    sized = _sized(rows, _tops(rows, k).select(*SEGMENT, "arrival", F.explode("tops").alias("x")).select(*SEGMENT, "arrival", "x.*"))
+    tops = sized.groupBy(*SEGMENT, "arrival").agg(F.collect_list(F.struct("side", "price_cents", "size")).alias("levels"), *_by_side(F.col("size")))  # 2 k levels
+    zero = F.lit(0).cast("bigint")
+    return rows, messages.join(tops, [*SEGMENT, "arrival"], "left").withColumns({c: F.coalesce(c, zero) for c in ("yes_depth", "no_depth")})
 
 
 def top_depths(frames: DataFrame, k: int) -> DataFrame:
-    """Depth of the k best levels of each side after each applied message. Tasks and state are as in top_of_book."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, sides = None, {}
-        for rows in batches:
-            out = []
-            for epoch, sid, ticker, segment, arrival, side, price, d in rows.itertuples(index=False):
-                key = (epoch, sid, ticker, segment)
-                if key != last:
-                    last, sides = key, {"yes": {}, "no": {}}
-                book = sides[side]
-                size = book.get(price, 0) + d
-                if size > 0:
-                    book[price] = size
-                else:
-                    book.pop(price, None)
-                out.append((*key, arrival, *(sum(b[p] for p in heapq.nlargest(k, b)) for b in sides.values())))
-            yield pd.DataFrame(out, columns=["epoch", "sid", "ticker", "segment", "arrival", "yes_depth", "no_depth"])
-
-    rows = labelled(frames).where("label in ('snapshot', 'applied')").select(*BOOK, "segment", "arrival", "side", "price_cents", F.col("d").cast("bigint").alias("d"))
-    dealt = rows.repartition(*BOOK, "segment").sortWithinPartitions(*BOOK, "segment", "arrival")
-    return dealt.mapInPandas(run, "epoch int, sid bigint, ticker string, segment bigint, arrival bigint, yes_depth bigint, no_depth bigint")
+    """Depth of the k best levels of each side after each applied message."""
+    return _top_levels(frames, k)[1].drop("levels")
 
 
 def depth_baseline(frames: DataFrame, k: int, back: int) -> DataFrame:
@@ -256,30 +273,14 @@ def silences(frames: DataFrame, seconds: int) -> DataFrame:
 
 def retreats(frames: DataFrame, k: int, back: int) -> DataFrame:
     """After each applied message but a segment's first, against the book `back` messages (or all there are) before (chosen): the change of the depth of the k
-    best levels of each side, and how many of the k levels of then have lost depth. Tasks and state are as in top_of_book."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, sides, was = None, {}, deque(maxlen=back)
-        for rows in batches:
-            out = []
-            for epoch, sid, ticker, segment, arrival, side, price, d in rows.itertuples(index=False):
-                key = (epoch, sid, ticker, segment)
-                if key != last:
-                    last, sides, was = key, {"yes": {}, "no": {}}, deque(maxlen=back)
-                book = sides[side]
-                size = book.get(price, 0) + d
-                if size > 0:
-                    book[price] = size
-                else:
-                    book.pop(price, None)
-                top = {s: [(p, b[p]) for p in sorted(b, reverse=True)[:k]] for s, b in sides.items()}
-                if was:
-                    change = [sum(x[1] for x in top[s]) - sum(x[1] for x in was[0][s]) for s in ("yes", "no")]
-                    lost = [sum(sides[s].get(p, 0) < x for p, x in was[0][s]) for s in ("yes", "no")]
-                    out.append((*key, arrival, *change, *lost))
-                was.append(top)
-            yield pd.DataFrame(out, columns=["epoch", "sid", "ticker", "segment", "arrival", "yes_change", "no_change", "yes_lost", "no_lost"])
-
-    rows = labelled(frames).where("label in ('snapshot', 'applied')").select(*BOOK, "segment", "arrival", "side", "price_cents", F.col("d").cast("bigint").alias("d"))
-    dealt = rows.repartition(*BOOK, "segment").sortWithinPartitions(*BOOK, "segment", "arrival")
-    return dealt.mapInPandas(run, "epoch int, sid bigint, ticker string, segment bigint, arrival bigint, yes_change bigint, no_change bigint, yes_lost int, no_lost int")
+    best levels of each side, and how many of the k levels of then have lost depth."""
+    rows, tops = _top_levels(frames, k)
+    now = F.struct("levels", "yes_depth", "no_depth")
+    then = F.coalesce(F.lag(now, back).over(_messages()), F.first(now).over(_messages().rowsBetween(Window.unboundedPreceding, 0)))
+    x = tops.withColumn("then", then).withColumn("i", F.row_number().over(_messages())).where("i > 1")
+    key = [*SEGMENT, "arrival"]
+    changes = x.select(*key, *((F.col(f"{s}_depth") - F.col(f"then.{s}_depth")).alias(f"{s}_change") for s in ("yes", "no")))
+    probes = x.select(*key, F.explode("then.levels").alias("l")).select(*key, "l.side", "l.price_cents", F.col("l.size").alias("then_size"))
+    fell = F.col("size") < F.col("then_size")
+    lost = _sized(rows, probes).groupBy(*key).agg(*(F.count_if(fell & (F.col("side") == s)).cast("int").alias(f"{s}_lost") for s in ("yes", "no")))
+    return changes.join(lost, key, "left").fillna(0, ["yes_lost", "no_lost"])
