@@ -322,7 +322,7 @@ def removed(docs: DataFrame, text: bool = True, shape: Shape = SHAPE) -> DataFra
     graph = Graph(docs, shape)
     spans = _pieces(graph.spans().withColumnsRenamed({"place": "p", "start": "word"}), shape.block)
     source = F.array_join(F.slice(F.split("words", " "), F.col("inner").cast("int") + 1, F.col("n")), " ").alias("source")
-    pieces = spans.join(graph.blocks(), ["path", "block"]).select("p", F.struct("word", "n", source).alias("piece"))
+    pieces = spans.join(kept(graph.blocks(), "blocks", "zstd"), ["path", "block"]).select("p", F.struct("word", "n", source).alias("piece"))
     pieces = kept(pieces.groupBy("p").agg(F.collect_list("piece").alias("pieces")), "pieces", "zstd")  # as long as the document
     hit, clear = split_possibly(placed(docs), key_filter(pieces.select(F.xxhash64("p"))), F.xxhash64("place"))
     body, kind = F.col("doc.text").alias("body"), pieces.schema["pieces"].dataType
