@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.orders import fee_cents
 from tapewright.operators.slices import over
-from tapewright.sources.scratch import place, written
+from tapewright.sources.scratch import written
 
 TRACKS = ("strict", "queue", "optimistic")
 BUCKET_DAYS = 8
@@ -71,57 +71,115 @@ def orders(quotes: DataFrame, tracks: tuple[str, ...], latencies: tuple[int, ...
     return q.where((F.col("track") != "queue") | F.col("queue_ahead").isNotNull())
 
 
-def tracked(tape: DataFrame, orders: DataFrame) -> DataFrame:
+SIDE = ("ticker", "taker_yes")
+BLOCK = 64  # prints of a market's side whose volume by price is summed up
+
+
+def numbered_prints(tape: DataFrame, block: int = BLOCK, slices: int | None = None) -> DataFrame:
+    """The prints of each side of each market in order of time, with their number (pos, from 1) and block.
+
+    v is the price as a buyer meets it: a quote of level p is crossed by prints with v <= p. Sells are mirrored."""
+    v = F.when(F.col("taker_yes"), 100 - F.col("price_cents")).otherwise(F.col("price_cents"))
+    rows = tape.select(*SIDE, "tape_id", v.alias("v"), F.col("size").cast("bigint").alias("size"), "ts")
+    rows = over(rows, SIDE, ("ts", "tape_id"), slices, sums={"pos": F.lit(1)})
+    return written(rows.withColumn("block", F.floor((F.col("pos") - 1) / block)), "prints")
+
+
+def curves(prints: DataFrame) -> DataFrame:
+    """Running volume of each market, side and level p by blocks: kind, ticker, taker_yes, p, block, vol, cum, k.
+
+    kind `at`: prints at p; `cross`: prints at or below it, which is `through` for p + 1. Only blocks in which the volume grows are
+    there; k counts them. A level has at most one row for a block of prints."""
+    at = prints.groupBy(*SIDE, "block", "v").agg(F.sum("size").alias("vol"))
+    up = Window.partitionBy(*SIDE, "block").orderBy("v")  # the prices in one block
+    steps = at.withColumn("below", F.sum("vol").over(up)).withColumn("next", F.coalesce(F.lead("v").over(up), F.lit(100)))
+    cross = steps.where("next > v").select(*SIDE, "block", F.explode(F.sequence("v", F.col("next") - 1)).alias("p"), F.col("below").alias("vol"))
+    rows = at.select(F.lit("at").alias("kind"), *SIDE, F.col("v").alias("p"), "block", "vol").unionByName(cross.withColumn("kind", F.lit("cross")))
+    so_far = Window.partitionBy(*LEVEL).orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    return written(rows.withColumn("cum", F.sum("vol").over(so_far)).withColumn("k", F.row_number().over(so_far).cast("bigint")), "curves")
+
+
+LEVEL = ("kind", *SIDE, "p")
+
+
+def reached(curve: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (kind, ticker, taker_yes, p, start, need, last) with `was`, the last row of its curve up to block `start`, `until`, the first row
+    whose volume is `need` more than that, and `stop`, the last row up to block `last`. Structs of block, vol, cum, k; null for none.
+
+    Two orders of one partition: by block for what was, by volume for what is reached."""
+    point = F.struct("block", "vol", "cum", "k")
+    rows = curve.select(*LEVEL, "block", F.lit(0).alias("rank"), point.alias("point"), "cum")
+    asked = wanted.select(*LEVEL, F.struct("*").alias("of"), F.explode(F.array(F.struct(F.col("start").alias("block"), F.lit(1).alias("rank")), F.struct(F.col("last").alias("block"), F.lit(2).alias("rank")))).alias("x")).select(*LEVEL, "x.*", "of")
+    by_block = Window.partitionBy(*LEVEL).orderBy("block", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    both = rows.unionByName(asked, allowMissingColumns=True).withColumn("was", F.last("point", ignorenulls=True).over(by_block))
+    target = F.when(F.col("rank") == 1, F.coalesce("was.cum", F.lit(0)) + F.col("of.need")).otherwise(F.col("cum"))
+    by_volume = Window.partitionBy(*LEVEL).orderBy(F.desc("target"), F.asc("rank")).rowsBetween(Window.unboundedPreceding, -1)  # backwards; rows before probes of the same volume
+    both = both.withColumn("target", target).withColumn("until", F.last("point", ignorenulls=True).over(by_volume)).where("of is not null")
+    mine = lambda r, c: F.max(F.when(F.col("rank") == r, F.col(c))).alias("stop" if r == 2 else c)
+    return both.groupBy("of").agg(mine(1, "was"), mine(1, "until"), mine(2, "was")).select("of.*", "was", "until", "stop")
+
+
+def tracked(tape: DataFrame, orders: DataFrame, block: int = BLOCK, slices: int | None = None) -> DataFrame:
     """The fills of all orders, as `fills` of `eligible` gives them: cid, track, latency_days, ticker, tape_id, ts, price_cents, buy_yes, qty.
 
-    A quote is mostly filled by the first prints that cross it, so its interval is walked in spans of 2, 8, 32, ... days. In
-    each span only quotes that still have contracts left meet prints, by an equi-join on market, taker's side and bucket of
-    days; what is left of each, and of the depth ahead of it, is written and goes on to the next span. The number of spans
-    is the logarithm of the longest interval, and prints behind a quote's last fill are joined within one span at most.
+    Orders and prints are not joined by market and time. Prints are numbered by side and summed up in blocks; volumes that run
+    through and at each price give, by lookups, the block in which the depth ahead of an order has drained, the block in which
+    it is full, and the blocks between that hold a print which crosses it. Only those blocks are met, so an order meets at
+    most `block` prints for each print that fills it, and two blocks more, however dense its market is.
     """
-    spark = tape.sparkSession
     last = tape.agg(F.max("ts").alias("end"))
     wait = F.make_interval(days=F.col("latency_days"))
+    until = F.coalesce(F.col("cancel_ts") + wait, F.col("end") + F.expr("interval 1 second"))
+    p = F.when(F.col("buy_yes"), F.col("price_cents")).otherwise(100 - F.col("price_cents"))
     open_ = orders.crossJoin(F.broadcast(last)).select(  # one row
-        *ORDER, "ticker", "price_cents", "buy_yes", F.col("count").cast("bigint").alias("left"), F.coalesce("queue_ahead", F.lit(0)).cast("bigint").alias("ahead"),
-        (F.col("place_ts") + wait).alias("from_ts"), F.coalesce(F.col("cancel_ts") + wait, F.col("end") + F.expr("interval 1 second")).alias("until_ts"),
+        *ORDER, "ticker", (~F.col("buy_yes")).alias("taker_yes"), "price_cents", "buy_yes", p.alias("level"), F.col("count").cast("bigint").alias("left"), F.coalesce("queue_ahead", F.lit(0)).cast("bigint").alias("ahead"),
+        (F.col("place_ts") + wait).alias("from_ts"), until.alias("until_ts"),
     ).where("from_ts < until_ts and left > 0")
     open_ = written(open_, "orders")
-    prints = tape.select("ticker", "taker_yes", "tape_id", F.col("price_cents").alias("q"), F.col("size").cast("bigint").alias("size"), F.col("ts").alias("print_ts"))
-    at = F.col("q") == F.col("price_cents")
-    filled, spans, days = place(spark, "fills"), [], 2
-    while True:
-        width = max(1, days // 4)
-        to = F.least(F.col("until_ts"), F.col("from_ts") + F.expr(f"interval {days} day"))
-        o = open_.withColumn("to_ts", to)
-        q = o.withColumn("bucket", F.explode(F.sequence(F.floor(_day(F.col("from_ts")) / width), F.floor(_day(F.col("to_ts")) / width)))).withColumn("taker_yes", ~F.col("buy_yes"))
-        met = q.join(prints.withColumn("bucket", F.floor(_day(F.col("print_ts")) / width)), ["ticker", "taker_yes", "bucket"])
-        met = met.where((F.col("print_ts") >= F.col("from_ts")) & (F.col("print_ts") < F.col("to_ts")) & F.when(F.col("buy_yes"), F.col("q") <= F.col("price_cents")).otherwise(F.col("q") >= F.col("price_cents")))
-        by = Window.partitionBy(*ORDER).orderBy("tape_id")
-        drained = F.coalesce(F.sum(F.when(at, F.col("size")).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        met = met.withColumn("rest", F.greatest(F.lit(0), F.col("ahead") - drained))
-        queue = F.when(at, F.greatest(F.lit(0), F.col("size") - F.col("rest"))).otherwise(F.when(F.col("rest") == 0, F.col("size")).otherwise(0))
-        avail = F.when(F.col("track") == "strict", F.when(at, 0).otherwise(F.col("size"))).when(F.col("track") == "optimistic", F.col("size")).otherwise(queue)
-        met = met.withColumn("avail", avail.cast("bigint"))
-        sofar = F.sum("avail").over(by.rowsBetween(Window.unboundedPreceding, 0))
-        qty = F.least(sofar, F.col("left")) - F.least(sofar - F.col("avail"), F.col("left"))
-        met = met.withColumn("qty", qty).where(F.col("qty").cast("boolean") | (at & (F.col("track") == "queue")))
-        met = met.select(*ORDER, "ticker", "tape_id", F.col("print_ts").alias("ts"), "price_cents", "buy_yes", "qty", F.when(at, F.col("size")).otherwise(0).alias("at_size"))
-        spans.append(f"{filled}/{days}")
-        met.write.parquet(spans[-1])
-        met = spark.read.schema(met.schema).parquet(spans[-1])
-        done = met.groupBy(*ORDER).agg(F.sum("qty").alias("took"), F.sum("at_size").alias("drained"))
-        seen = Observation()
-        rest = o.join(done, list(ORDER), "left").select(
-            *ORDER, "ticker", "price_cents", "buy_yes", (F.col("left") - F.coalesce("took", F.lit(0))).alias("left"), F.greatest(F.lit(0).cast("bigint"), F.col("ahead") - F.coalesce("drained", F.lit(0))).alias("ahead"),
-            F.col("to_ts").alias("from_ts"), "until_ts",
-        ).where("left > 0 and from_ts < until_ts")
-        open_ = written(rest.observe(seen, F.count(F.lit(1)).alias("n")), "orders")
-        if not seen.get["n"]:
-            break
-        days *= 4
-    out = spark.read.schema(met.schema).parquet(*spans)
-    return out.where("qty > 0").drop("at_size")
+    prints = numbered_prints(tape, block, slices)
+    curve = curves(prints)
+    # Which prints of its side an order's life spans: (lo, hi].
+    ends = F.explode(F.array(*(F.struct(F.lit(n).alias("end"), F.col(c).alias("ts")) for n, c in (("lo", "from_ts"), ("hi", "until_ts"))))).alias("x")
+    probes = open_.select(*ORDER, *SIDE, ends).select(*ORDER, *SIDE, "x.*", F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("tape_id"))
+    both = prints.select(*SIDE, "ts", F.lit(1).alias("rank"), "tape_id", "pos").unionByName(probes, allowMissingColumns=True)
+    met = over(both, SIDE, ("ts", "rank", "tape_id"), slices, before={"n": F.col("pos")}).where("end is not null")
+    lives = met.groupBy(*ORDER).agg(*(F.coalesce(F.max(F.when(F.col("end") == n, F.col("n"))), F.lit(0).cast("bigint")).alias(n) for n in ("lo", "hi"))).where("lo < hi")
+    o = open_.drop("from_ts", "until_ts").join(lives, list(ORDER)).withColumn("first", F.floor(F.col("lo") / block)).withColumn("last", F.floor((F.col("hi") - 1) / block))
+    o = written(o, "lives")
+    # What the rest of its first block holds for each order.
+    inside = (F.col("pos") > F.col("lo")) & (F.col("pos") <= F.col("hi"))
+    begun = o.join(prints.select(*SIDE, F.col("block").alias("first"), "pos", "v", "size"), [*SIDE, "first"]).where(inside & (F.col("v") <= F.col("level")))
+    begun = begun.groupBy(*ORDER).agg(F.sum(F.when(F.col("v") == F.col("level"), F.col("size"))).alias("at"), F.sum(F.when(F.col("v") < F.col("level"), F.col("size"))).alias("through"))
+    zero = F.lit(0).cast("bigint")
+    o = o.join(begun, list(ORDER), "left").withColumns({c: F.coalesce(c, zero) for c in ("at", "through")})
+    strict, queue = F.col("track") == "strict", F.col("track") == "queue"
+    kind = F.when(queue, "at").otherwise("cross").alias("kind")
+    need = F.when(queue, F.col("ahead") - F.col("at")).when(strict, F.col("left") - F.col("through")).otherwise(F.col("left") - F.col("at") - F.col("through"))
+    o = o.select("*", kind, F.when(strict, F.col("level") - 1).otherwise(F.col("level")).alias("p"), F.col("first").alias("start"), need.alias("need"))
+    found = written(reached(curve, o), "reached")
+    # Orders of the queue track: what is left ahead of them when the block begins in which it drains; from there all that crosses counts.
+    drained, here = found.where(queue), F.col("need") <= 0
+    drained = drained.where(here | (F.col("until.block") <= F.col("last")))
+    rest = F.when(here, F.col("ahead")).otherwise(F.col("need") - (F.col("until.cum") - F.col("until.vol") - F.coalesce("was.cum", zero)))
+    lo = F.when(here, F.col("lo")).otherwise(F.greatest(F.col("lo"), F.col("until.block") * block))
+    drained = drained.select(*(c for c in o.columns if c not in ("kind", "ahead", "lo", "start", "need")), F.lit("cross").alias("kind"), rest.alias("ahead"), lo.alias("lo"), F.when(here, F.col("first")).otherwise(F.col("until.block")).alias("start"), F.col("left").alias("need"))
+    found = found.where(~queue).unionByName(reached(curve, drained))
+    # The blocks of its curve from `start` on, up to where it is full or its life ends.
+    k0 = F.when(F.col("was.block") == F.col("start"), F.col("was.k")).otherwise(F.coalesce("was.k", zero) + 1)
+    k1 = F.when((F.col("need") <= 0) & ~queue, k0).otherwise(F.least(F.coalesce("until.k", "stop.k"), "stop.k"))
+    found = found.withColumn("k0", k0).withColumn("k1", k1).where("k0 <= k1").withColumn("k", F.explode(F.sequence("k0", "k1")))
+    blocks = found.join(curve.select(*LEVEL, "k", "block"), [*LEVEL, "k"]).select(*ORDER, *SIDE, "price_cents", "buy_yes", "level", "p", "left", "ahead", "lo", "hi", "block")
+    met = blocks.join(prints, [*SIDE, "block"]).where(inside & (F.col("v") <= F.col("p")))
+    at = F.col("v") == F.col("level")
+    by = Window.partitionBy(*ORDER).orderBy("pos")
+    drain = F.coalesce(F.sum(F.when(at, F.col("size")).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    waits = F.greatest(F.lit(0), F.col("ahead") - drain)
+    met = met.withColumn("rest", F.when(queue, waits).otherwise(0))
+    avail = F.when(~queue, F.col("size")).when(at, F.greatest(F.lit(0), F.col("size") - F.col("rest"))).otherwise(F.when(F.col("rest") == 0, F.col("size")).otherwise(0))
+    met = met.withColumn("avail", avail.cast("bigint"))
+    sofar = F.sum("avail").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    qty = F.least(sofar, F.col("left")) - F.least(sofar - F.col("avail"), F.col("left"))
+    return met.withColumn("qty", qty).where("qty > 0").select(*ORDER, "ticker", "tape_id", "ts", "price_cents", "buy_yes", "qty")
 
 
 def fee_rates(tickers: DataFrame, fees: DataFrame) -> DataFrame:

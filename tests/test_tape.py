@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from tapewright.operators import exposure, fills, quotes
@@ -92,15 +94,54 @@ def test_tracks_like_a_loop(spark):
     got = {t: sorted((r.cid, r.tape_id, r.qty) for r in fills.fills(met, t).collect()) for t in fills.TRACKS}
     for t in fills.TRACKS:
         assert got[t] == sorted((i, k, n) for i, x in enumerate(qs) for k, n in loop(prints, x, t))
-    walked = fills.tracked(tape(spark, prints), fills.orders(q, fills.TRACKS, (0, 2))).collect()
+    for block, slices in ((1, 1), (5, 3), (64, None)):
+        walked = fills.tracked(tape(spark, prints), fills.orders(q, fills.TRACKS, (0, 2)), block, slices).collect()
+        for t in fills.TRACKS:
+            assert sorted((r.cid, r.tape_id, r.qty) for r in walked if r.track == t and r.latency_days == 0) == got[t]
     for t in fills.TRACKS:
-        assert sorted((r.cid, r.tape_id, r.qty) for r in walked if r.track == t and r.latency_days == 0) == got[t]
         late = fills.fills(fills.eligible(tape(spark, prints), q, 2), t).collect()
         assert sorted((r.cid, r.tape_id, r.qty) for r in walked if r.track == t and r.latency_days == 2) == sorted((r.cid, r.tape_id, r.qty) for r in late)
     again = fills.fills(fills.eligible(tape(spark, prints).repartition(5), q.repartition(3)), "queue").collect()
     assert sorted((r.cid, r.tape_id, r.qty) for r in again) == got["queue"]
 
 
+def sequential(price, size, yes, at_s, q, track):
+    """The fills of one quote against all prints, by running sums."""
+    inside = (at_s >= q["place"]) & ((q["cancel"] is None) | (at_s < (q["cancel"] or 0)))
+    met = np.flatnonzero(inside & ((~yes & (price <= q["price"])) if q["buy"] else (yes & (price >= q["price"]))))
+    n, at = size[met], price[met] == q["price"]
+    if track == "strict":
+        n = np.where(at, 0, n)
+    if track == "queue":
+        if q["ahead"] is None:
+            return []
+        rest = np.maximum(0, q["ahead"] - (np.cumsum(n * at) - n * at))
+        n = np.where(at, np.maximum(0, n - rest), np.where(rest == 0, n, 0))
+    so_far = np.cumsum(n)
+    qty = np.minimum(so_far, q["count"]) - np.minimum(so_far - n, q["count"])
+    return [(int(met[i]) + 1, int(qty[i])) for i in np.flatnonzero(qty)]
+
+
+def test_a_dense_market_day(spark):
+    """100000 prints and 10000 quotes in one market and day: no order meets more than its blocks."""
+    rng = np.random.default_rng(4)
+    n, m = 100_000, 10_000
+    at_s = np.sort(rng.integers(0, 86_400, n))
+    price, size, yes = 50 + rng.integers(-6, 7, n), rng.integers(1, 9, n), rng.random(n) < 0.5
+    t = spark.createDataFrame(pd.DataFrame({"ticker": "KA-1", "tape_id": np.arange(1, n + 1), "price_cents": price.astype("int32"), "size": size.astype("int32"), "taker_yes": yes, "ts": pd.Timestamp(DAY) + pd.to_timedelta(at_s, unit="s")}), TAPE)
+    qs = [{"price": int(rng.integers(42, 59)), "count": int(rng.integers(1, 60)), "buy": bool(rng.random() < 0.5), "place": int(rng.integers(0, 80_000)), "ahead": None if rng.random() < 0.1 else int(rng.integers(0, 400)), "cancel": None} for _ in range(m)]
+    for q in qs[::3]:
+        q["cancel"] = q["place"] + int(rng.integers(1, 20_000))
+    second = lambda x: DAY + dt.timedelta(seconds=x)
+    quotes_ = spark.createDataFrame([(i, "KA-1", q["price"], q["count"], q["buy"], second(q["place"]), q["ahead"], None if q["cancel"] is None else second(q["cancel"])) for i, q in enumerate(qs)], QUOTES)
+    got = fills.tracked(t, fills.orders(quotes_, fills.TRACKS)).select("cid", "track", "tape_id", "qty").toPandas()
+    by = {k: sorted(zip(g["tape_id"].tolist(), g["qty"].tolist(), strict=True)) for k, g in got.groupby(["cid", "track"])}
+    for i in range(0, m, 29):
+        for track in fills.TRACKS:
+            assert by.get((i, track), []) == sequential(price, size, yes, at_s, qs[i], track), (i, track)
+    assert len(got) > 3 * m
+
+
 def test_convergence_loses(spark):
     t = tape(spark, [(i, 90 + i * 9 // 29, 20, True) for i in range(30)])
     q = spark.createDataFrame([(i, "KA-1", 92 + i % 5, 10, False, day(0), 0, None) for i in range(10)], QUOTES)
