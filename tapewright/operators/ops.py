@@ -9,13 +9,6 @@ from tapewright.functions import requests as rq
 from tapewright.operators.order import carried
 
 
-def floor_percentile(values: DataFrame, key: str, value: str, p: float) -> DataFrame:
-    """The element at index min(n - 1, trunc(p n)) of each group's sorted values, by rank rather than by collecting the group."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    k = F.row_number().over(Window.partitionBy(key).orderBy(value))
-    return values.withColumn("n", n).withColumn("k", k).where(F.col("k") == F.least(F.col("n"), F.floor(F.col("n") * p) + 1)).select(key, value)
-
-
 def template_regex(path: str) -> str:
     """A cost template as a regular expression: :x and {x} are one segment, *x is all the rest."""
     out = []

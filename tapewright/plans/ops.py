@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import requests as rq
 from tapewright.operators import ops
+from tapewright.operators.quantiles import quantiles
 from tapewright.plans.portable import oracle, over
 from tapewright.plans.views import load, view, with_views
 
@@ -60,12 +61,14 @@ def _spans(spark, sf_dir):
 
 
 def latency_report(spark, sf_dir):
-    p = lambda q: F.round(F.percentile("us", q), 3)
-    return _spans(spark, sf_dir).groupBy("span").agg(F.count(F.lit(1)).alias("n"), p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"), F.max("us").alias("max_us"), F.min("us").alias("min_us"), F.round(F.avg("us"), 3).alias("mean_us"))
+    rows = _spans(spark, sf_dir)
+    q = quantiles(rows, ("span",), "us", {"p50": 0.5, "p90": 0.9, "p99": 0.99}).drop("n")
+    sums = rows.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.max("us").alias("max_us"), F.min("us").alias("min_us"), F.round(F.avg("us"), 3).alias("mean_us"))
+    return sums.join(q, "span").select("span", "n", *(F.round(p, 3).alias(p) for p in ("p50", "p90", "p99")), "max_us", "min_us", "mean_us")
 
 
 def latency_floor_percentile(spark, sf_dir):
-    return ops.floor_percentile(_spans(spark, sf_dir).select("span", "us"), "span", "us", 0.99).withColumnRenamed("us", "p99_us")
+    return quantiles(_spans(spark, sf_dir), ("span",), "us", {"p99_us": 0.99}, whole=True).drop("n")
 
 
 def rtt_budget(spark, sf_dir):
@@ -76,8 +79,9 @@ def rtt_budget(spark, sf_dir):
 def regression_gate(spark, sf_dir):
     """Three runs before and after; the median of each percentile may not be over a tenth worse."""
     s = _spans(spark, sf_dir).withColumn("run", (F.col("trace_id") % 6).cast("int"))
-    by_run = s.groupBy("span", "run").agg(F.percentile("us", 0.5).alias("p50"), F.percentile("us", 0.99).alias("p99"))
-    side = by_run.groupBy("span").agg(*(F.percentile(F.when(F.col("run") < 3, F.col(c)) if w == "before" else F.when(F.col("run") >= 3, F.col(c)), 0.5).alias(f"{c}_{w}") for c in ("p50", "p99") for w in ("before", "after")))
+    by_run = quantiles(s, ("span", "run"), "us", {"p50": 0.5, "p99": 0.99}).unpivot(["span", "run"], ["p50", "p99"], "which", "us")
+    sides = quantiles(by_run.withColumn("side", F.when(F.col("run") < 3, "before").otherwise("after")), ("span", "which", "side"), "us", {"mid": 0.5})
+    side = sides.groupBy("span").agg(*(F.max(F.when((F.col("which") == c) & (F.col("side") == w), F.col("mid"))).alias(f"{c}_{w}") for c in ("p50", "p99") for w in ("before", "after")))
     return side.select("span", *(F.round(c, 3).alias(c) for c in ("p50_before", "p50_after", "p99_before", "p99_after")), ((F.col("p50_after") > 1.1 * F.col("p50_before")) | (F.col("p99_after") > 1.1 * F.col("p99_before"))).alias("fails"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.operators import research
+from tapewright.operators.quantiles import quantiles
 from tapewright.plans.portable import oracle, over
 from tapewright.plans.views import load, view, with_views
 from tapewright.sources.scratch import written
@@ -56,8 +57,10 @@ def markout_waterfall(spark, sf_dir):
 
 
 def one_sided_exposure(spark, sf_dir):
-    x = research.intervals(view(spark, sf_dir, "l1"))
-    return x.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("dur_us").alias("exposure_us"), F.count_if(F.col("dur_us").isNull()).alias("censored"), F.round(F.percentile("dur_us", 0.5), 3).alias("p50_us"), F.round(F.percentile("dur_us", 0.95), 3).alias("p95_us"))
+    x = written(research.intervals(view(spark, sf_dir, "l1")).select("state", "dur_us"), "intervals")
+    sums = x.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("dur_us").alias("exposure_us"), F.count_if(F.col("dur_us").isNull()).alias("censored"))
+    q = quantiles(x, ("state",), "dur_us", {"p50_us": 0.5, "p95_us": 0.95}).drop("n")
+    return sums.join(q, "state", "left").select("state", "n", "exposure_us", "censored", F.round("p50_us", 3).alias("p50_us"), F.round("p95_us", 3).alias("p95_us"))
 
 
 def ttl_dwell(spark, sf_dir):
@@ -97,10 +100,13 @@ def match_coverage(spark, sf_dir):
 
 def match_balance(spark, sf_dir):
     """Mean and 95th percentile of absolute differences, and the standardised mean difference (chosen: pooled by halves)."""
-    m = _matched(spark, sf_dir).select("lag_us", (F.col("ask0") - F.col("bid0")).alias("t"), (F.col("cask") - F.col("cbid")).alias("c"))
-    d = F.abs(F.col("t") - F.col("c"))
+    t, c = F.col("ask0") - F.col("bid0"), F.col("cask") - F.col("cbid")
+    m = written(_matched(spark, sf_dir).select("lag_us", t.alias("t"), c.alias("c"), F.abs(t - c).alias("d")), "balance")
     smd = (F.avg("t") - F.avg("c")) / F.sqrt((F.var_samp("t") + F.var_samp("c")) / 2)
-    return m.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(d), 6).alias("mean_abs"), F.round(F.percentile(d, 0.95), 6).alias("p95_abs"), F.round(smd, 6).alias("smd"), F.round(F.percentile("lag_us", 0.5), 3).alias("median_lag_us"))
+    means = m.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 6).alias("mean_abs"), F.round(smd, 6).alias("smd"))
+    far, late = quantiles(m, (), "d", {"p95_abs": 0.95}).drop("n"), quantiles(m, (), "lag_us", {"median_lag_us": 0.5, "p95_lag_us": 0.95}).drop("n")
+    out = means.join(far, F.lit(True), "left").join(late, F.lit(True), "left")  # one row each
+    return out.select("n", "mean_abs", F.round("p95_abs", 6).alias("p95_abs"), "smd", F.round("median_lag_us", 3).alias("median_lag_us"), F.round("p95_lag_us", 3).alias("p95_lag_us"))
 
 
 def match_concentration(spark, sf_dir):
@@ -239,6 +245,6 @@ select state, hours, at_risk, ended, round(product(1 - ended / at_risk) over (pa
     "refill_survival": with_views("l1", _HAZ + ", g as (select ticker, bin, count(*) as at_risk, 1 - count(*) filter (age = bin) / count(*) as s from h group by 1, 2) select ticker, bin, at_risk, round(1 - product(s) over (partition by ticker order by bin), 6) as refilled from g"),
     "match_controls": with_views("l1", _MATCH + "select ticker, episode, control, lag_us from m"),
     "match_coverage": with_views("l1", _MATCH + "select e.ticker, count(*) as episodes, count(control) as matched, count(*) - count(control) as unmatched, round(count(control) / count(*), 6) as rate from e left join m on first_id = episode group by 1"),
-    "match_balance": with_views("l1", _MATCH + "select count(*) as n, round(avg(abs(t - c)), 6) as mean_abs, round(quantile_cont(abs(t - c), 0.95), 6) as p95_abs, round((avg(t) - avg(c)) / sqrt((var_samp(t) + var_samp(c)) / 2), 6) as smd, round(quantile_cont(lag_us, 0.5), 3) as median_lag_us from (select lag_us, ask0 - bid0 as t, cask - cbid as c from m)"),
+    "match_balance": with_views("l1", _MATCH + "select count(*) as n, round(avg(abs(t - c)), 6) as mean_abs, round(quantile_cont(abs(t - c), 0.95), 6) as p95_abs, round((avg(t) - avg(c)) / sqrt((var_samp(t) + var_samp(c)) / 2), 6) as smd, round(quantile_cont(lag_us, 0.5), 3) as median_lag_us, round(quantile_cont(lag_us, 0.95), 3) as p95_lag_us from (select lag_us, ask0 - bid0 as t, cask - cbid as c from m)"),
     "match_concentration": with_views("l1", _MATCH + "select count(*) as markets, round(sum(n * n) / (sum(n) * sum(n)), 6) as hhi, round(max(n) / sum(n), 6) as max_share from (select ticker, count(*) as n from m group by 1)"),
 } | _SQL

@@ -5,6 +5,7 @@ from tapewright.functions import fixedpoint as fp
 from tapewright.functions import identity, orders
 from tapewright.functions import requests as rq
 from tapewright.operators import ops
+from tapewright.operators.quantiles import quantiles
 
 
 def one(spark, column):
@@ -87,7 +88,7 @@ def test_costs(spark):
 def test_latency(spark):
     assert one(spark, rq.us_between(F.lit(0), F.lit(5))) == -1 and one(spark, rq.us_between(F.lit(9), F.lit(5))) == -1 and one(spark, rq.us_between(F.lit(1000), F.lit(3500))) == 2.5
     d = spark.createDataFrame([("a", float(i)) for i in range(1, 11)], "k string, v double")
-    assert ops.floor_percentile(d, "k", "v", 0.99).first().v == 10 and ops.floor_percentile(d, "k", "v", 0.5).first().v == 6
+    assert quantiles(d, ("k",), "v", {"p": 0.99}, True).first().p == 10 and quantiles(d, ("k",), "v", {"p": 0.5}, True).first().p == 6
 
 
 def test_limits(spark):
