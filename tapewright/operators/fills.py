@@ -75,14 +75,19 @@ SIDE = ("ticker", "taker_yes")
 BLOCK = 64  # prints of a market's side whose volume by price is summed up
 
 
-def numbered_prints(tape: DataFrame, block: int = BLOCK, slices: int | None = None) -> DataFrame:
-    """The prints of each side of each market in order of time, with their number (pos, from 1) and block.
+def numbered_lives(tape: DataFrame, lives: DataFrame, block: int = BLOCK, slices: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The prints of each side of each market in order of time, with their number (pos, from 1) and block; and for each row of lives (ORDER,
+    ticker, taker_yes, from_ts, until_ts) the numbers lo and hi of the last prints before both times. One order of both.
 
     v is the price as a buyer meets it: a quote of level p is crossed by prints with v <= p. Sells are mirrored."""
     v = F.when(F.col("taker_yes"), 100 - F.col("price_cents")).otherwise(F.col("price_cents"))
-    rows = tape.select(*SIDE, "tape_id", v.alias("v"), F.col("size").cast("bigint").alias("size"), "ts")
-    rows = over(rows, SIDE, ("ts", "tape_id"), slices, sums={"pos": F.lit(1)})
-    return written(rows.withColumn("block", F.floor((F.col("pos") - 1) / block)), "prints")
+    prints = tape.select(*SIDE, "ts", F.lit(1).alias("rank"), "tape_id", v.alias("v"), F.col("size").cast("bigint").alias("size"))
+    ends = F.explode(F.array(*(F.struct(F.lit(n).alias("end"), F.col(c).alias("ts")) for n, c in (("lo", "from_ts"), ("hi", "until_ts"))))).alias("x")
+    probes = lives.select(*ORDER, *SIDE, ends).select(*SIDE, "x.ts", F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("tape_id"), *ORDER, "x.end")
+    rows = over(prints.unionByName(probes, allowMissingColumns=True), SIDE, ("ts", "rank", "tape_id"), slices, sums={"pos": F.col("rank")})
+    rows = written(rows.withColumn("block", F.floor((F.col("pos") - 1) / block)), "prints")
+    at = lambda n: F.max(F.when(F.col("end") == n, F.col("pos"))).alias(n)
+    return rows.where("rank = 1").select(*SIDE, "ts", "tape_id", "v", "size", "pos", "block"), rows.where("rank = 0").groupBy(*ORDER).agg(at("lo"), at("hi")).where("lo < hi")
 
 
 def curves(prints: DataFrame) -> DataFrame:
@@ -103,20 +108,20 @@ LEVEL = ("kind", *SIDE, "p")
 
 
 def reached(curve: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (kind, ticker, taker_yes, p, start, need, last) with `was`, the last row of its curve up to block `start`, `until`, the first row
-    whose volume is `need` more than that, and `stop`, the last row up to block `last`. Structs of block, vol, cum, k; null for none.
+    """wanted (ORDER, kind, ticker, taker_yes, p, start, need, last) with `was`, the last row of its curve before block `start`, `until`, the first
+    row whose volume is `need` more than that, and `stop`, the last row up to block `last`. Structs of block, vol, cum, k; null for none.
 
     Two orders of one partition: by block for what was, by volume for what is reached."""
     point = F.struct("block", "vol", "cum", "k")
     rows = curve.select(*LEVEL, "block", F.lit(0).alias("rank"), point.alias("point"), "cum")
-    asked = wanted.select(*LEVEL, F.struct("*").alias("of"), F.explode(F.array(F.struct(F.col("start").alias("block"), F.lit(1).alias("rank")), F.struct(F.col("last").alias("block"), F.lit(2).alias("rank")))).alias("x")).select(*LEVEL, "x.*", "of")
+    asked = wanted.select(*LEVEL, F.struct("*").alias("of"), F.explode(F.array(F.struct((F.col("start") - 1).alias("block"), F.lit(1).alias("rank")), F.struct(F.col("last").alias("block"), F.lit(2).alias("rank")))).alias("x")).select(*LEVEL, "x.*", "of")
     by_block = Window.partitionBy(*LEVEL).orderBy("block", "rank").rowsBetween(Window.unboundedPreceding, -1)
     both = rows.unionByName(asked, allowMissingColumns=True).withColumn("was", F.last("point", ignorenulls=True).over(by_block))
     target = F.when(F.col("rank") == 1, F.coalesce("was.cum", F.lit(0)) + F.col("of.need")).otherwise(F.col("cum"))
     by_volume = Window.partitionBy(*LEVEL).orderBy(F.desc("target"), F.asc("rank")).rowsBetween(Window.unboundedPreceding, -1)  # backwards; rows before probes of the same volume
     both = both.withColumn("target", target).withColumn("until", F.last("point", ignorenulls=True).over(by_volume)).where("of is not null")
     mine = lambda r, c: F.max(F.when(F.col("rank") == r, F.col(c))).alias("stop" if r == 2 else c)
-    return both.groupBy("of").agg(mine(1, "was"), mine(1, "until"), mine(2, "was")).select("of.*", "was", "until", "stop")
+    return both.groupBy(*(F.col(f"of.{c}").alias(f"_{c}") for c in ORDER)).agg(F.first("of").alias("of"), mine(1, "was"), mine(1, "until"), mine(2, "was")).select("of.*", "was", "until", "stop")
 
 
 def tracked(tape: DataFrame, orders: DataFrame, block: int = BLOCK, slices: int | None = None) -> DataFrame:
@@ -136,50 +141,48 @@ def tracked(tape: DataFrame, orders: DataFrame, block: int = BLOCK, slices: int
         (F.col("place_ts") + wait).alias("from_ts"), until.alias("until_ts"),
     ).where("from_ts < until_ts and left > 0")
     open_ = written(open_, "orders")
-    prints = numbered_prints(tape, block, slices)
+    prints, lives = numbered_lives(tape, open_, block, slices)
     curve = curves(prints)
-    # Which prints of its side an order's life spans: (lo, hi].
-    ends = F.explode(F.array(*(F.struct(F.lit(n).alias("end"), F.col(c).alias("ts")) for n, c in (("lo", "from_ts"), ("hi", "until_ts"))))).alias("x")
-    probes = open_.select(*ORDER, *SIDE, ends).select(*ORDER, *SIDE, "x.*", F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("tape_id"))
-    both = prints.select(*SIDE, "ts", F.lit(1).alias("rank"), "tape_id", "pos").unionByName(probes, allowMissingColumns=True)
-    met = over(both, SIDE, ("ts", "rank", "tape_id"), slices, before={"n": F.col("pos")}).where("end is not null")
-    lives = met.groupBy(*ORDER).agg(*(F.coalesce(F.max(F.when(F.col("end") == n, F.col("n"))), F.lit(0).cast("bigint")).alias(n) for n in ("lo", "hi"))).where("lo < hi")
     o = open_.drop("from_ts", "until_ts").join(lives, list(ORDER)).withColumn("first", F.floor(F.col("lo") / block)).withColumn("last", F.floor((F.col("hi") - 1) / block))
-    o = written(o, "lives")
-    # What the rest of its first block holds for each order.
-    inside = (F.col("pos") > F.col("lo")) & (F.col("pos") <= F.col("hi"))
-    begun = o.join(prints.select(*SIDE, F.col("block").alias("first"), "pos", "v", "size"), [*SIDE, "first"]).where(inside & (F.col("v") <= F.col("level")))
-    begun = begun.groupBy(*ORDER).agg(F.sum(F.when(F.col("v") == F.col("level"), F.col("size"))).alias("at"), F.sum(F.when(F.col("v") < F.col("level"), F.col("size"))).alias("through"))
-    zero = F.lit(0).cast("bigint")
-    o = o.join(begun, list(ORDER), "left").withColumns({c: F.coalesce(c, zero) for c in ("at", "through")})
-    strict, queue = F.col("track") == "strict", F.col("track") == "queue"
-    kind = F.when(queue, "at").otherwise("cross").alias("kind")
-    need = F.when(queue, F.col("ahead") - F.col("at")).when(strict, F.col("left") - F.col("through")).otherwise(F.col("left") - F.col("at") - F.col("through"))
-    o = o.select("*", kind, F.when(strict, F.col("level") - 1).otherwise(F.col("level")).alias("p"), F.col("first").alias("start"), need.alias("need"))
-    found = written(reached(curve, o), "reached")
-    # Orders of the queue track: what is left ahead of them when the block begins in which it drains; from there all that crosses counts.
-    drained, here = found.where(queue), F.col("need") <= 0
-    drained = drained.where(here | (F.col("until.block") <= F.col("last")))
-    rest = F.when(here, F.col("ahead")).otherwise(F.col("need") - (F.col("until.cum") - F.col("until.vol") - F.coalesce("was.cum", zero)))
-    lo = F.when(here, F.col("lo")).otherwise(F.greatest(F.col("lo"), F.col("until.block") * block))
-    drained = drained.select(*(c for c in o.columns if c not in ("kind", "ahead", "lo", "start", "need")), F.lit("cross").alias("kind"), rest.alias("ahead"), lo.alias("lo"), F.when(here, F.col("first")).otherwise(F.col("until.block")).alias("start"), F.col("left").alias("need"))
-    found = found.where(~queue).unionByName(reached(curve, drained))
+    o = written(o.where("first <= last"), "lives")
+    # What the rest of its first block holds for each order; most are full by then.
+    begun = written(_met(o.withColumn("block", F.col("first")), prints), "begun")
+    done = begun.groupBy(*ORDER).agg(F.sum("qty").alias("took"), F.sum("at_size").alias("drained"))
+    zero, queue = F.lit(0).cast("bigint"), F.col("track") == "queue"
+    rest = o.where("last > first").join(done, list(ORDER), "left").withColumn("left", F.col("left") - F.coalesce("took", zero)).withColumn("ahead", F.greatest(zero, F.col("ahead") - F.coalesce("drained", zero))).where("left > 0")
+    level = F.when(F.col("track") == "strict", F.col("level") - 1).otherwise(F.col("level")).alias("p")
+    rest = written(rest.drop("took", "drained").select("*", level, (F.col("first") + 1).alias("start")), "rest")
+    waits = queue & (F.col("ahead") > 0)
+    kind, need = F.when(waits, "at").otherwise("cross"), F.when(waits, F.col("ahead")).otherwise(F.col("left"))
+    found = written(reached(curve, rest.withColumn("kind", kind).withColumn("need", need).withColumn("back", F.lit(0))), "reached")
+    # Orders that waited: what is left ahead of them when the block begins in which the last of it drains. That block is met too
+    # (back), and from the next one on all that crosses counts.
+    drained = found.where(F.col("kind") == "at").where(F.col("until.block") <= F.col("last"))
+    ahead = F.col("need") - (F.col("until.cum") - F.col("until.vol") - F.coalesce("was.cum", zero))
+    drained = drained.withColumn("ahead", ahead).withColumn("back", F.lit(1)).withColumn("start", F.col("until.block") + 1).withColumn("kind", F.lit("cross")).withColumn("need", F.col("left")).drop("was", "until", "stop")
+    found = found.where("kind = 'cross'").unionByName(reached(curve, drained))
     # The blocks of its curve from `start` on, up to where it is full or its life ends.
-    k0 = F.when(F.col("was.block") == F.col("start"), F.col("was.k")).otherwise(F.coalesce("was.k", zero) + 1)
-    k1 = F.when((F.col("need") <= 0) & ~queue, k0).otherwise(F.least(F.coalesce("until.k", "stop.k"), "stop.k"))
+    k0, k1 = F.coalesce("was.k", zero) + 1 - F.col("back"), F.least(F.coalesce("until.k", "stop.k"), "stop.k")
     found = found.withColumn("k0", k0).withColumn("k1", k1).where("k0 <= k1").withColumn("k", F.explode(F.sequence("k0", "k1")))
-    blocks = found.join(curve.select(*LEVEL, "k", "block"), [*LEVEL, "k"]).select(*ORDER, *SIDE, "price_cents", "buy_yes", "level", "p", "left", "ahead", "lo", "hi", "block")
-    met = blocks.join(prints, [*SIDE, "block"]).where(inside & (F.col("v") <= F.col("p")))
-    at = F.col("v") == F.col("level")
-    by = Window.partitionBy(*ORDER).orderBy("pos")
+    blocks = found.drop("was", "until", "stop").join(curve.select(*LEVEL, "k", "block"), [*LEVEL, "k"])
+    return begun.unionByName(_met(blocks, prints)).where("qty > 0").drop("at_size")
+
+
+def _met(blocks: DataFrame, prints: DataFrame) -> DataFrame:
+    """The prints that orders meet in the blocks given for each (block, and what is left and ahead when the first of them begins): those
+    that fill contracts or, on the queue track, drain what is ahead."""
+    of = prints.select(*SIDE, "block", "tape_id", "ts", "pos", "v", "size")
+    met = blocks.join(of, [*SIDE, "block"]).where((F.col("pos") > F.col("lo")) & (F.col("pos") <= F.col("hi")) & (F.col("v") <= F.col("level")))
+    at, by = F.col("v") == F.col("level"), Window.partitionBy(*ORDER).orderBy("pos")
     drain = F.coalesce(F.sum(F.when(at, F.col("size")).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    waits = F.greatest(F.lit(0), F.col("ahead") - drain)
-    met = met.withColumn("rest", F.when(queue, waits).otherwise(0))
-    avail = F.when(~queue, F.col("size")).when(at, F.greatest(F.lit(0), F.col("size") - F.col("rest"))).otherwise(F.when(F.col("rest") == 0, F.col("size")).otherwise(0))
+    met = met.withColumn("wait", F.greatest(F.lit(0), F.col("ahead") - drain))
+    queue = F.when(at, F.greatest(F.lit(0), F.col("size") - F.col("wait"))).otherwise(F.when(F.col("wait") == 0, F.col("size")).otherwise(0))
+    avail = F.when(F.col("track") == "strict", F.when(at, 0).otherwise(F.col("size"))).when(F.col("track") == "optimistic", F.col("size")).otherwise(queue)
     met = met.withColumn("avail", avail.cast("bigint"))
     sofar = F.sum("avail").over(by.rowsBetween(Window.unboundedPreceding, 0))
     qty = F.least(sofar, F.col("left")) - F.least(sofar - F.col("avail"), F.col("left"))
-    return met.withColumn("qty", qty).where("qty > 0").select(*ORDER, "ticker", "tape_id", "ts", "price_cents", "buy_yes", "qty")
+    met = met.withColumn("qty", qty).where((F.col("qty") > 0) | (at & (F.col("track") == "queue")))
+    return met.select(*ORDER, "ticker", "tape_id", "ts", "price_cents", "buy_yes", "qty", F.when(at, F.col("size")).otherwise(0).alias("at_size"))
 
 
 def fee_rates(tickers: DataFrame, fees: DataFrame) -> DataFrame:
