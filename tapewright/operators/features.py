@@ -145,11 +145,48 @@ def high_ask(prints: DataFrame, low: int, high: int) -> DataFrame:
     return prints.where(F.col("price_cents").between(low, high)).groupBy("ticker").agg(_n(), F.count_if("yes_wins").alias("wins"))
 
 
+def aligned(quotes: DataFrame, dim: DataFrame, slices: int | None = None) -> DataFrame:
+    """All legs of an event at each update of one of them: event_ticker, event_id, ts, quoted (legs with an ask), legs, sum_ask.
+
+    The last asks of all legs change by one leg's step at a time, so their sum at each update is the running sum of steps: each
+    leg's ask less its ask before, an empty side counting as nothing. No map of legs is held, and no leg is joined with another."""
+    d = dim.where("event_ticker is not null").select("ticker", "event_ticker").distinct()
+    legs = d.groupBy("event_ticker").agg(F.count(F.lit(1)).alias("legs"))
+    q = quotes.select("ticker", "event_id", "ts", F.struct("yes_ask").alias("now"))
+    q = over(q, ("ticker",), QUOTE_ORDER, slices, before={"was": F.col("now")}).join(d, "ticker")
+    ask, was = F.col("now.yes_ask"), F.col("was.yes_ask")
+    steps = q.select("event_ticker", "event_id", "ts", (F.coalesce(ask, F.lit(0)) - F.coalesce(was, F.lit(0))).alias("d_ask"), (ask.isNotNull().cast("int") - F.coalesce(was.isNotNull(), F.lit(False)).cast("int")).alias("d_legs"))
+    sums = over(steps, ("event_ticker",), QUOTE_ORDER, slices, sums={"sum_ask": F.col("d_ask"), "quoted": F.col("d_legs")})
+    return sums.join(legs, "event_ticker").select("event_ticker", "event_id", "ts", "quoted", "legs", "sum_ask")
+
+
 def overround(quotes: DataFrame, dim: DataFrame) -> DataFrame:
-    """Sum of the last asks of a day over the legs of an event, and how far it is from 100."""
-    last = quotes.where("yes_ask is not null").groupBy("ticker", F.to_date("ts").alias("day")).agg(F.max_by("yes_ask", "event_id").alias("ask"))
-    legs = last.join(dim.where("event_ticker is not null").select("ticker", "event_ticker"), "ticker")
-    return legs.groupBy("event_ticker", F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("legs"), F.sum("ask").alias("sum_ask"), (F.sum("ask") - 100).alias("overround"))
+    """By event and day, over the updates at which all its legs have an ask: how many, and how far the sum of the asks is from 100.
+
+    Whether the legs exhaust the payout is not known without a payout map, so the state is NOT_ESTIMABLE: these are sums, no residuals."""
+    full = aligned(quotes, dim).where("legs > 1 and quoted = legs").withColumn("over", F.col("sum_ask") - 100)
+    return full.groupBy("event_ticker", F.to_date("ts").cast("string").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("legs").alias("legs"), F.min("over").alias("least"), F.max("over").alias("most"), F.sum("over").alias("total"), F.lit("NOT_ESTIMABLE").alias("state"),
+    )
+
+
+def funnel(quotes: DataFrame, dim: DataFrame, payouts: DataFrame | None = None, trades: DataFrame | None = None) -> DataFrame:
+    """Candidates of a family trade: event-days with all legs quoted at one time, those whose legs exhaust the payout (payouts: event_ticker), and
+    those of which every leg traded that day. A step without its input has no candidates and is NOT_ESTIMABLE."""
+    linked = overround(quotes, dim).select("event_ticker", "day", "legs")
+    steps, known = [("linked_event", linked)], payouts is not None
+    paid = linked.join(payouts.select("event_ticker").distinct(), "event_ticker", "left_semi") if known else linked.limit(0)
+    steps.append(("payout_exhaustive", paid))
+    traded = paid.limit(0)
+    if known and trades is not None:
+        t = trades.join(dim.select("ticker", "event_ticker"), "ticker").groupBy("event_ticker", F.to_date("ts").cast("string").alias("day")).agg(F.count_distinct("ticker").alias("traded"))
+        traded = paid.join(t, ["event_ticker", "day"]).where("traded = legs")
+    steps.append(("fill_feasible", traded))
+    out = None
+    for i, (name, rows) in enumerate(steps):
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("step"), "n", F.lit("EXECUTED" if i == 0 or (known and (i == 1 or trades is not None)) else "NOT_ESTIMABLE").alias("state"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def monotonicity(trades: DataFrame, dim: DataFrame, strike: str) -> DataFrame:

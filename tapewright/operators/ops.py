@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import requests as rq
 from tapewright.operators.order import carried
+from tapewright.operators.slices import over
 
 
 def template_regex(path: str) -> str:
@@ -34,6 +35,8 @@ def costs(requests: DataFrame, table: list[tuple[str, str, int]], default: int =
 def token_bucket(requests: DataFrame, rate: int, capacity: int, max_wait_ns: int) -> DataFrame:
     """Replays the milli-token bucket of each (account, bucket): refills exactly (the remainder is carried), starts full, may go into
     debt within the longest wait. Each grant depends on all before it."""
+    if rate <= 0 or capacity <= 0:
+        raise ValueError("a bucket needs a rate and a capacity above 0")
     full = capacity * 1000
 
     def step(state, req_id, now, cost):
@@ -109,12 +112,17 @@ def top_blockers(requests: DataFrame, most: int) -> DataFrame:
     return tallied(failed.withColumn("blocker", F.concat_ws(" ", "method", F.col("http_status").cast("string"))), "blocker").orderBy(F.desc("n"), "blocker").limit(most)
 
 
-def gates_and_modes(requests: DataFrame) -> DataFrame:
-    """Orders by the first gate that stops them and by mode. Ages and modes stand in for fields that the log lacks."""
-    age, queued = F.col("req_id") % 5 * 40, F.col("req_id") % 7 * 30
-    gate = F.when(age > 150, "expired_ttl").when(queued > 150, "expired_queue").otherwise("sent")
-    mode = F.element_at(F.array(*map(F.lit, ("data_collect", "shadow", "live"))), (F.col("req_id") % 3 + 1).cast("int"))
-    return tallied(requests.select(gate.alias("gate"), mode.alias("mode")), "gate", "mode")
+def gates_and_modes(requests: DataFrame, ttl: dict[str, int], most_s: int, modes: tuple[str, ...]) -> DataFrame:
+    """Orders by the first gate that stops them and by mode.
+
+    An order's age is the time since its account's row before it, on which it acts. ttl: seconds by method, 0 or none for no bound; most_s: seconds
+    that any order may have waited. The ttl comes first. Accounts are dealt out over the modes."""
+    x = over(requests, ("account",), ("ts", "req_id"), before={"seen": F.col("ts")})
+    age = F.expr("timestampdiff(MICROSECOND, seen, ts)")
+    own = F.coalesce(F.element_at(F.create_map(*(F.lit(v) for kv in ttl.items() for v in kv)), F.col("method")), F.lit(0)).cast("bigint")
+    gate = F.when((own != 0) & (age > own * 1_000_000), "expired_ttl").when(age > most_s * 1_000_000, "expired_queue").otherwise("sent")
+    mode = F.element_at(F.array(*map(F.lit, modes)), (F.col("account") % len(modes) + 1).cast("int"))
+    return tallied(x.select(gate.alias("gate"), mode.alias("mode")), "gate", "mode")
 
 
 def recent(requests: DataFrame, word: str, most: int) -> DataFrame:

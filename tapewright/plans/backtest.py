@@ -146,11 +146,11 @@ def fill_markout_any(spark, sf_dir):
 
 
 def strategy_signals(spark, sf_dir):
-    """Events to features to signals to intents, by side; the trace of every intent leads back to an event."""
+    """Events to features to signals to intents, by side, and the signals whose trace leads to no event of a log that lost every 97th."""
     e = view(spark, sf_dir, "tape").withColumn("trace_id", F.col("tape_id"))
     f = extension.features(e, price=F.col("price_cents") - 50, size=F.col("size"), taker=F.when(F.col("taker_yes"), 1).otherwise(-1))
     s = extension.linear_model(f, [0.02, 0.01, 0.3], 0.9)
-    lost = extension.orphans(s, e).agg(F.count(F.lit(1)).alias("orphans"))
+    lost = extension.orphans(s, e.where("trace_id % 97 <> 0")).agg(F.count(F.lit(1)).alias("orphans"))
     return s.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("strength"), 3).alias("strength")).crossJoin(F.broadcast(lost))  # one row
 
 
@@ -276,7 +276,8 @@ select ticker, cast(sum(d * qty) as bigint) as markout_sum, cast(sum(qty) as big
     "fill_markout_any": with_views("tape quotes", f""", {_met_sql()}, {_fills_sql('strict')}, firsts as (select ts, min(tape_id) as id from tape group by ts),
 d as (select f.*, p.id from f asof join firsts p on f.ts + interval {HORIZON} day <= p.ts)
 select ticker, cast(sum(x * qty) as bigint) as markout_sum, cast(sum(qty) as bigint) as markout_n from (select d.ticker, qty, case when buy_yes then t.price_cents - d.price_cents else d.price_cents - t.price_cents end as x from d asof join tape t on d.ticker = t.ticker and d.id >= t.tape_id) group by ticker"""),
-    "strategy_signals": with_views("tape", "select case when s > 0 then 'buy' else 'sell' end as side, count(*) as n, round(sum(abs(s)), 3) as strength, 0 as orphans from (select 0.02::double * (price_cents - 50) + 0.01::double * size + case when taker_yes then 0.3::double else -0.3::double end as s from tape) where abs(s) >= 0.9 group by 1"),
+    "strategy_signals": with_views("tape", """, x as (select tape_id, 0.02::double * (price_cents - 50) + 0.01::double * size + case when taker_yes then 0.3::double else -0.3::double end as s from tape)
+select case when s > 0 then 'buy' else 'sell' end as side, count(*) as n, round(sum(abs(s)), 3) as strength, (select count(*) from x where abs(s) >= 0.9 and tape_id % 97 = 0) as orphans from x where abs(s) >= 0.9 group by 1"""),
     "exposure_running": with_views("tape quotes", _LIFE + """select ticker, max(at_risk)::bigint as peak_at_risk, max(open)::bigint as peak_open, sum(d_risk)::bigint as end_risk, count(*) filter (at_risk > 100000) as over_cap
 from (select *, sum(d_risk) over w as at_risk, sum(d) over w as open from rk window w as (partition by ticker order by ts, step, tape_id, cid)) group by ticker"""),
     "exposure_total": with_views("tape quotes", _LIFE + "select cast(day as varchar) as day, cast(sum(r) over (order by day) as bigint) as at_risk_cents, cast(sum(o) over (order by day) as bigint) as open_contracts from (select cast(ts as date) as day, sum(d_risk) as r, sum(d) as o from rk group by 1)"),

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapewright.operators import sequence
-from tapewright.plans.views import fnv_sql, view, with_views
+from tapewright.plans.views import SQL, fnv_sql, view, with_views
 
 RUNG_SECONDS = 2 * 3600  # the reference's 2 s, scaled to the adapter's clock
 SILENCE_SECONDS = 4 * 3600
@@ -51,9 +51,12 @@ def book_checksums(spark, sf_dir):
 
 
 def replay_equivalence(spark, sf_dir):
-    """Checksums of two replays, one over frames dealt out in another way; none may differ."""
-    a, b = (sequence.checksums(f).withColumnRenamed("checksum", n) for f, n in ((_frames(spark, sf_dir), "a"), (_frames(spark, sf_dir).repartition(7, "arrival"), "b")))
-    return a.join(b, list(sequence.BOOK), "full_outer").agg(F.count(F.lit(1)).alias("books"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differ"))
+    """Checksums of the books of three replays: frames dealt out in another way change none, a log that lost frames changes some (planted)."""
+    f = _frames(spark, sf_dir)
+    logs = (("a", f), ("b", f.repartition(7, "arrival")), ("c", f.where(f"arrival % {LOST_EVERY} <> 3")))
+    a, b, c = (sequence.checksums(x).withColumnRenamed("checksum", n) for n, x in logs)
+    differ = lambda n: F.count_if(~F.col("a").eqNullSafe(F.col(n)))
+    return a.join(b, list(sequence.BOOK), "full_outer").join(c, list(sequence.BOOK), "full_outer").agg(F.count(F.lit(1)).alias("books"), differ("b").alias("differ"), differ("c").alias("differ_by_loss"))
 
 
 def summed(episodes):
@@ -78,6 +81,7 @@ def membership(spark, sf_dir):
 
 
 K, BACK = 3, 20
+LOST_EVERY = 613
 
 
 def depth_baseline(spark, sf_dir):
@@ -158,8 +162,11 @@ select sid, ticker, segment, arrival, best_yes, best_no, 100 - best_no as yes_as
     "book_validity": with_views("frames", _VALID + "select * from val"),
     "book_drop_counts": with_views("frames", _LABEL + "select label, count(*) as n from lab group by label"),
     "book_depth": with_views("frames", LEVELS + "select * from (select sid, ticker, side, price_cents, size, row_number() over (partition by sid, ticker, side order by price_cents) as rank from lv) where rank <= 3"),
-    "replay_equivalence": with_views("frames", LEVELS + "select count(distinct (sid, ticker)) as books, 0 as differ from lv"),
     "gap_recovery": RECOVERY,
     "stream_silence": with_views("frames", f"select sid, count(*) filter (date_diff('microsecond', was, ts) // 1000000 > {SILENCE_SECONDS}) as silences, count(*) as frames from (select *, lag(ts) over (partition by sid order by ts, arrival) as was from frames) group by sid"),
     "membership": with_views("frames", "select sid, ticker, min(arrival) as bound_at, count(*) as snapshots from frames where kind = 'snapshot' group by 1, 2"),
 }
+_SUMS = ORACLE_SQL["book_checksums"]
+_LOSSY = _SUMS.replace(SQL["frames"], f"select * from ({SQL['frames']}) where arrival % {LOST_EVERY} <> 3")
+ORACLE_SQL["replay_equivalence"] = f"""select count(*) as books, 0 as differ, count(*) filter (a.checksum is distinct from c.checksum) as differ_by_loss
+from ({_SUMS}) a full join ({_LOSSY}) c using (sid, ticker)"""

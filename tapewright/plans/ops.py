@@ -143,7 +143,8 @@ _SQL = {
     "status_tally": oracle("select http_status, count(*) as n, sum(case when method = 'GET' then 1 else 0 end) as reads from {requests} group by http_status"),
     "call_cost": oracle("select method, count(*) as calls, round(200.0e0 * count(distinct date_trunc('hour', ts)) / sum(case when http_status = 200 then 1 else 0 end), 6) as inferred_cost from {requests} group by method"),
     "blocker_top10": oracle("select concat(method, ' ', cast(http_status as varchar(5))) as blocker, count(*) as n from {requests} where http_status <> 200 or transport_error group by 1 order by n desc, blocker limit 10"),
-    "stale_orders": oracle("select case when req_id % 5 * 40 > 150 then 'expired_ttl' when req_id % 7 * 30 > 150 then 'expired_queue' else 'sent' end as gate, case when req_id % 3 = 0 then 'data_collect' when req_id % 3 = 1 then 'shadow' else 'live' end as mode, count(*) as n from {requests} group by 1, 2"),
+    "stale_orders": oracle("""with a as (select *, date_diff('microsecond', lag(ts) over (partition by account order by ts, req_id), ts) as age, case method when 'POST' then 7200000000 when 'DELETE' then 3600000000 else 0 end as ttl from {requests})
+select case when ttl <> 0 and age > ttl then 'expired_ttl' when age > 18000000000 then 'expired_queue' else 'sent' end as gate, case account % 3 when 0 then 'data_collect' when 1 then 'shadow' else 'live' end as mode, count(*) as n from a group by 1, 2"""),
     "recent_requests": oracle("select req_id, method, http_status from {requests} where lower(concat(method, path)) like '%orders%' order by req_id desc limit 200"),
     "retained_per_account": oracle("select account, req_id from (select account, req_id, row_number() over (partition by account order by req_id desc) as k from {requests}) x where k <= 100"),
     "win_loss_bands": oracle("select t.ticker, cast(floor(price_cents / 10.0e0) as int) as band, sum(case when yes_wins then 1 else 0 end) as wins, count(*) as n, cast(sum(size * (case when yes_wins then 100 else 0 end - price_cents)) as bigint) as pnl_cents from {tape} t join {settles} s on t.ticker = s.ticker group by 1, 2"),
@@ -172,7 +173,7 @@ _Q = {
     "status_tally": over(ops.status_tally, "requests"),
     "call_cost": over(ops.call_cost, "requests", tokens=200),
     "blocker_top10": over(ops.top_blockers, "requests", most=10),
-    "stale_orders": over(ops.gates_and_modes, "requests"),
+    "stale_orders": over(ops.gates_and_modes, "requests", ttl={"POST": 7200, "DELETE": 3600}, most_s=18000, modes=("data_collect", "shadow", "live")),
     "recent_requests": over(ops.recent, "requests", word="orders", most=200),
     "retained_per_account": over(ops.retained, "requests", most=100),
     "win_loss_bands": lambda spark, sf_dir: ops.win_loss(_settled(spark, sf_dir), 10),

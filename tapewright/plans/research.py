@@ -7,9 +7,10 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.operators import research
+from tapewright.operators import features, research
 from tapewright.operators.quantiles import quantiles
 from tapewright.plans.portable import oracle, over
+from tapewright.plans.signals import ALIGNED
 from tapewright.plans.views import load, view, with_views
 from tapewright.sources.scratch import written
 
@@ -166,8 +167,8 @@ cal as (select distinct cast(cast(ts as date) as varchar(10)) as day from {l1})
 select cal.day, coalesce(n_rows, 0) as n_rows, case when n_rows is null then 'NOT_APPLICABLE' when gap_events > 2 or regressions > 2 then 'REFUSED' else 'PASS' end as state,
   case when n_rows is null then 'ABSENT_NOT_CAPTURED' when gap_events > 2 or regressions > 2 then 'EXCLUDED_DATA_QUALITY' else 'INCLUDED_CLEAN_DATE' end as disposition,
   concat(case when gap_events > 2 then 'sequence_gaps;' else '' end, case when regressions > 2 then 'regressions;' else '' end) as blockers from cal left join d on cal.day = d.day"""),
-    "candidate_funnel": oracle("""with e as (select event_ticker, count(*) as legs, count(distinct series) as series from {dim_market} where event_ticker is not null group by event_ticker)
-select 'linked_event' as step, count(*) as n from e union all select 'payout_exhaustive', count(*) from e where legs >= 2 and series = 1 union all select 'fill_feasible', count(*) from e where legs >= 3 and series = 1"""),
+    "candidate_funnel": oracle(ALIGNED + """select 'linked_event' as step, count(distinct (event_ticker, cast(ts as date))) as n, 'EXECUTED' as state from f where legs > 1 and quoted = legs
+union all select 'payout_exhaustive', 0, 'NOT_ESTIMABLE' union all select 'fill_feasible', 0, 'NOT_ESTIMABLE'"""),
     "estimability": oracle("""with have as (select 'l1' as input, count(*) as n from {l1} union all select 'trades', count(*) from {trades} union all select 'l2', count(*) from {frames} union all select 'settlements', count(*) from {settles}),
 need as (select * from (values ('markout', 'l1'), ('markout', 'trades'), ('dwell', 'l1'), ('refill', 'l2'), ('family_arb', 'payout_map'), ('calibration', 'settlements')) as v(method, input))
 select method, min(coalesce(n, 0)) as eligible, case when min(coalesce(n, 0)) > 0 then 'EXECUTED' else 'NOT_ESTIMABLE' end as state, cast(sum(case when coalesce(n, 0) = 0 then 1 else 0 end) as bigint) as missing_inputs from need left join have on need.input = have.input group by method"""),
@@ -197,11 +198,8 @@ def atlas(spark, sf_dir):
 
 
 def candidate_funnel(spark, sf_dir):
-    """Events linked in the dimension, those whose legs may exhaust the payout, and those that could be filled."""
-    e = view(spark, sf_dir, "dim_market").where("event_ticker is not null").groupBy("event_ticker").agg(F.count(F.lit(1)).alias("legs"), F.countDistinct("series").alias("series"))
-    one = F.col("series") == 1
-    n = e.agg(F.count(F.lit(1)).alias("linked_event"), F.count_if(one & (F.col("legs") >= 2)).alias("payout_exhaustive"), F.count_if(one & (F.col("legs") >= 3)).alias("fill_feasible"))
-    return n.unpivot([], ["linked_event", "payout_exhaustive", "fill_feasible"], "step", "n")
+    """The tables bring no payout map, so the funnel ends where it is needed."""
+    return features.funnel(view(spark, sf_dir, "l1"), view(spark, sf_dir, "dim_market"))
 
 
 NEEDS = [("markout", "l1"), ("markout", "trades"), ("dwell", "l1"), ("refill", "l2"), ("family_arb", "payout_map"), ("calibration", "settlements")]

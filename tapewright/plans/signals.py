@@ -17,6 +17,11 @@ K, BACK = 3, 5
 _MID = "select event_id, ts, ticker, yes_bid as bid, yes_ask as ask, yes_bid + yes_ask as mid2 from {l1} where yes_bid is not null and yes_ask is not null"
 _LAG = f"with m as ({_MID}), g as (select *, lag(bid) over w as bid0, lag(ask) over w as ask0, lag(mid2) over w as mid0, lead(mid2) over w as mid1, lag(ts) over w as ts0 from m window w as (partition by ticker order by ts, event_id)) "
 
+#: The last ask of every leg at each update of its event, leg by leg.
+ALIGNED = """with d as (select distinct ticker, event_ticker from {dim_market} where event_ticker is not null), u as (select d.event_ticker, l.event_id, l.ts from {l1} l join d using (ticker)),
+x as (select u.*, d.ticker, q.yes_ask from u join d on d.event_ticker = u.event_ticker asof left join {l1} q on q.ticker = d.ticker and q.event_id <= u.event_id),
+f as (select event_ticker, event_id, ts, count(*) as legs, count(yes_ask) as quoted, sum(yes_ask) as s from x group by 1, 2, 3)
+"""
 _SQL = {
     "sg_spread_net": oracle("select ticker, count(*) as n, cast(sum(yes_ask - yes_bid) as bigint) as spread_sum, sum(case when yes_ask - yes_bid - 2 > 0 then 1 else 0 end) as above_buffer from {l1} where yes_bid is not null and yes_ask is not null group by ticker"),
     "sg_flow_toxicity": oracle("with f as (select trade_id, ticker, case when taker_yes then size else -size end as s, size, ts from {trades}), w as (select ticker, sum(s) over (partition by ticker order by ts, trade_id rows between 9 preceding and current row) as flow, sum(size) over (partition by ticker order by ts, trade_id rows between 9 preceding and current row) as vol from f) select ticker, count(*) as n, round(avg(abs(cast(flow as double)) / vol), 6) as toxicity from w group by ticker"),
@@ -33,7 +38,8 @@ _SQL = {
     "sg_realized_vol": oracle(_LAG + "select ticker, extract(hour from ts) < 12 as morning, count(*) as n, cast(sum((mid2 - mid0) * (mid2 - mid0)) as bigint) as sum_sq from g where mid0 is not null group by 1, 2"),
     "sg_jump_hazard": oracle(_LAG + ", r as (select ticker, event_id, ts, sum(case when abs(mid2 - mid0) >= 80 then 1 else 0 end) over (partition by ticker order by ts, event_id rows between 10 preceding and 1 preceding) as recent, case when abs(mid2 - mid0) >= 80 then 1 else 0 end as jump from g where mid0 is not null) select recent, count(*) as at_risk, sum(jump) as jumps, round(cast(sum(jump) as double) / count(*), 6) as hazard from r where recent is not null group by recent"),
     "sg_high_ask": oracle("select t.ticker, count(*) as n, sum(case when yes_wins then 1 else 0 end) as wins from {tape} t join {settles} s on t.ticker = s.ticker where price_cents between 97 and 98 group by t.ticker"),
-    "sg_overround": oracle("with d as (select ticker, date_trunc('day', ts) as day, max(event_id) as e from {l1} where yes_ask is not null group by 1, 2), a as (select d.day, d.ticker, l.yes_ask from d join {l1} l on l.event_id = d.e) select m.event_ticker, cast(cast(day as date) as varchar(10)) as day, count(*) as legs, cast(sum(yes_ask) as bigint) as sum_ask, cast(sum(yes_ask) - 100 as bigint) as overround from a join {dim_market} m on m.ticker = a.ticker where m.event_ticker is not null group by 1, 2"),
+    "sg_overround": oracle(ALIGNED + """select event_ticker, cast(cast(ts as date) as varchar(10)) as day, count(*) as n, max(legs) as legs, cast(min(s - 100) as bigint) as least, cast(max(s - 100) as bigint) as most, cast(sum(s - 100) as bigint) as total, 'NOT_ESTIMABLE' as state
+from f where legs > 1 and quoted = legs group by 1, 2"""),
     "sg_monotonicity": oracle("with a as (select m.event_ticker, t.ticker, cast(substr(t.ticker, 3) as int) as strike, avg(cast(price_cents as double)) as p from {trades} t join {dim_market} m on m.ticker = t.ticker where m.event_ticker is not null group by 1, 2, 3), b as (select *, lag(p) over (partition by event_ticker order by strike) as below from a) select event_ticker, count(*) as legs, sum(case when p > below then 1 else 0 end) as breaches from b group by event_ticker"),
     "sg_calibration": oracle("select cast(floor(price_cents / 10.0e0) as int) as band, count(*) as n, round(avg(case when yes_wins then 1.0e0 else 0.0e0 end), 6) as win_rate, round(avg((price_cents / 100.0e0 - case when yes_wins then 1.0e0 else 0.0e0 end) * (price_cents / 100.0e0 - case when yes_wins then 1.0e0 else 0.0e0 end)), 6) as brier from {tape} t join {settles} s on t.ticker = s.ticker group by 1"),
     "sg_rfq_census": oracle("select account, count(*) as rfqs, case when count(*) < 60 then 'small' when count(*) < 75 then 'medium' else 'large' end as bucket, min(req_id) as first_id from {requests} where method = 'POST' group by account"),

@@ -97,6 +97,13 @@ def test_limits(spark):
     assert one(spark, rq.limits_error("read", F.lit(100), F.lit(50))) is None
 
 
+def test_token_bucket_needs_a_rate(spark):
+    d = spark.createDataFrame([(1, "b", 1, 0, 1)], "account long, bucket string, req_id long, now_ns long, cost long")
+    for rate, capacity in ((0, 5), (5, 0)):
+        with pytest.raises(ValueError):
+            ops.token_bucket(d, rate, capacity, 1)
+
+
 def test_token_bucket(spark):
     rows = [(1, 0, 100), (2, 0, 50), (3, 10**9, 10)]  # rate 100 a second, 100 at most, half a second of debt
     d = spark.createDataFrame([(1, "write", i, t, c) for i, t, c in rows], "account long, bucket string, req_id long, now_ns long, cost long")

@@ -73,3 +73,26 @@ def test_past_and_future_like_plain(spark):
         later = [b for b in own if r.ts < b[0] <= r.ts + dt.timedelta(hours=1)]
         assert (tuple(r.past) if r.past else None) == ((past[-1][0], past[-1][2], past[-1][3]) if past else None)
         assert (tuple(r.f1) if r.f1 else None) == ((later[-1][0], later[-1][2], later[-1][3]) if later else None)
+
+
+def test_legs_at_aligned_times(spark):
+    """Sums of the last asks of all legs, against a dictionary of legs stepped through update by update."""
+    rng = random.Random(9)
+    dim = [("A", "E1"), ("B", "E1"), ("HOT", "E1"), ("M1", "E2"), ("M2", "E2"), ("M3", None), ("M4", "E3")]
+    quotes = [(i, T0 + dt.timedelta(minutes=i // 3), rng.choice([d[0] for d in dim] + ["HOT"] * 4), 1, rng.choice((None, 30, 35, 61))) for i in range(400)]
+    of, last, want = dict(dim), {}, []
+    for i, _, ticker, _, ask in quotes:
+        event = of[ticker]
+        if event:
+            last.setdefault(event, {})[ticker] = ask
+            asks = [a for a in last[event].values() if a is not None]
+            want.append((event, i, len(asks), sum(asks)))
+    frame, legs = spark.createDataFrame(quotes, SCHEMA), spark.createDataFrame(dim, "ticker string, event_ticker string")
+    for n in (1, 7):
+        got = features.aligned(frame, legs, n).select("event_ticker", "event_id", "quoted", "sum_ask").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    payouts = spark.createDataFrame([("E1",)], "event_ticker string")
+    trades = spark.createDataFrame([(t, T0) for t in ("A", "B", "HOT", "M1")], "ticker string, ts timestamp_ntz")
+    assert [(r.n > 0, r.state) for r in features.funnel(frame, legs).collect()] == [(True, "EXECUTED"), (False, "NOT_ESTIMABLE"), (False, "NOT_ESTIMABLE")]
+    steps = [(r.n, r.state) for r in features.funnel(frame, legs, payouts, trades).collect()]
+    assert steps == [(2, "EXECUTED"), (1, "EXECUTED"), (1, "EXECUTED")]
