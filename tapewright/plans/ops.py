@@ -85,6 +85,13 @@ def regression_gate(spark, sf_dir):
     return side.select("span", *(F.round(c, 3).alias(c) for c in ("p50_before", "p50_after", "p99_before", "p99_after")), ((F.col("p50_after") > 1.1 * F.col("p50_before")) | (F.col("p99_after") > 1.1 * F.col("p99_before"))).alias("fails"))
 
 
+def batch_costs(spark, sf_dir):
+    """What the orders of each account and hour would cost in batches, at ten tokens an order; rows without orders cost nothing."""
+    r = view(spark, sf_dir, "requests").groupBy("account", F.date_trunc("hour", "ts").alias("hour")).agg(F.count_if(F.col("method") == "POST").alias("items"))
+    cost = rq.batch_cost(F.col("items"), F.lit(10))
+    return r.groupBy("account").agg(F.count(F.lit(1)).alias("hours"), F.sum(cost).alias("tokens"), F.max(cost).alias("most"))
+
+
 def ops_latest_state(spark, sf_dir):
     e = load(spark, sf_dir, "events")
     return ops.latest(e, "event_type", "event_id", "event_id", "user_id", "value")
@@ -183,7 +190,7 @@ _Q = {
     "kind_counts": over(ops.kind_counts, "frames"),
 }
 
-QUERIES = {f.__name__: f for f in (request_telemetry, book_state, request_classify, endpoint_cost, retry_decision, request_rollup, token_bucket_replay, latency_report, latency_floor_percentile, rtt_budget, regression_gate, ops_latest_state, risk_summary, order_telemetry, feed_health, event_rate, limits_check, reserve_before_send)} | _Q | {"class_rollup": class_rollup}
+QUERIES = {f.__name__: f for f in (request_telemetry, book_state, request_classify, endpoint_cost, retry_decision, request_rollup, token_bucket_replay, latency_report, latency_floor_percentile, rtt_budget, regression_gate, batch_costs, ops_latest_state, risk_summary, order_telemetry, feed_health, event_rate, limits_check, reserve_before_send)} | _Q | {"class_rollup": class_rollup}
 
 def _recursive(sql: str) -> str:
     return sql.replace("with ", "with recursive ", 1)
@@ -216,6 +223,8 @@ ORACLE_SQL = {
 select req_id, case when http_status = 429 then a + 1 < 3 when amb then not once and a + 1 < 3 else false end as retry, http_status <> 429 and amb and once as needs_reconcile, http_status = 429 as accounting_drift, least(1500, 250 * (1 << a)) // 2 as wait_low_ms, least(1500, 250 * (1 << a)) as wait_high_ms from d"""),
     "request_rollup": with_views("requests", _CL + "select coalesce(bucket, 'all') as bucket, coalesce(outcome, 'all') as outcome, count(*) as n, count(*) filter (http_status = 429) as drift from (select *, case when transport_error then 'transport' when http_status >= 400 then 'error' else 'ok' end as outcome from cl) group by cube (bucket, outcome)"),
     "latency_report": with_views("spans", _SP + "select span, count(*) as n, round(quantile_cont(us, 0.5), 3) as p50, round(quantile_cont(us, 0.9), 3) as p90, round(quantile_cont(us, 0.99), 3) as p99, max(us) as max_us, min(us) as min_us, round(avg(us), 3) as mean_us from x group by span"),
+    "batch_costs": with_views("requests", """, h as (select account, date_trunc('hour', ts) as hour, count(*) filter (method = 'POST') as items from requests group by 1, 2)
+select account, count(*) as hours, cast(sum(items * 10) as bigint) as tokens, max(items * 10) as most from h group by 1"""),
     "latency_floor_percentile": with_views("spans", _SP + "select span, us as p99_us from (select *, row_number() over (partition by span order by us) as k, count(*) over (partition by span) as n from x) where k = least(n, floor(n * 0.99::double) + 1)"),
     "rtt_budget": with_views("spans", _SP + "select round(max(p) * 1.25, 3) as budget_us from (select round(quantile_cont(us, 0.99), 3) as p from x group by span)"),
     "regression_gate": with_views("spans", _SP + """, r as (select span, trace_id % 6 as run, quantile_cont(us, 0.5) as p50, quantile_cont(us, 0.99) as p99 from x group by 1, 2),
