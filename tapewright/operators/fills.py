@@ -64,10 +64,14 @@ def fills(met: DataFrame, track: str) -> DataFrame:
 ORDER = ("cid", "track", "latency_days")
 
 
-def orders(quotes: DataFrame, tracks: tuple[str, ...], latencies: tuple[int, ...] = (0,)) -> DataFrame:
-    """Each quote once for each track and latency. The queue track needs a known depth ahead."""
+def orders(quotes: DataFrame, tracks: tuple[str, ...], latencies: tuple[int, ...] = (0,), settles: DataFrame | None = None) -> DataFrame:
+    """Each quote once for each track and latency. The queue track needs a known depth ahead.
+
+    settles (ticker, settle_ts): a quote that is active when its market settles ends there."""
     each = F.explode(F.array(*(F.struct(F.lit(t).alias("track"), F.lit(d).alias("latency_days")) for t in tracks for d in latencies)))
     q = quotes.withColumn("of", each).select(*quotes.columns, "of.*")
+    if settles is not None:
+        q = q.join(settles.select("ticker", "settle_ts"), "ticker", "left")
     return q.where((F.col("track") != "queue") | F.col("queue_ahead").isNotNull())
 
 
@@ -135,6 +139,8 @@ def tracked(tape: DataFrame, orders: DataFrame, block: int = BLOCK, slices: int
     last = tape.agg(F.max("ts").alias("end"))
     wait = F.make_interval(days=F.col("latency_days"))
     until = F.coalesce(F.col("cancel_ts") + wait, F.col("end") + F.expr("interval 1 second"))
+    if "settle_ts" in orders.columns:
+        until = F.least(until, F.when(F.col("place_ts") + wait <= F.col("settle_ts"), F.col("settle_ts")))
     p = F.when(F.col("buy_yes"), F.col("price_cents")).otherwise(100 - F.col("price_cents"))
     open_ = orders.crossJoin(F.broadcast(last)).select(  # one row
         *ORDER, "ticker", (~F.col("buy_yes")).alias("taker_yes"), "price_cents", "buy_yes", p.alias("level"), F.col("count").cast("bigint").alias("left"), F.coalesce("queue_ahead", F.lit(0)).cast("bigint").alias("ahead"),

@@ -193,8 +193,19 @@ def exposure_caps(spark, sf_dir):
     return exposure.caps(written(_lifecycle(spark, sf_dir), "lifecycle"), 50_000, 1_000_000)
 
 
+LATE = 2  # days of latency
+
+
 def lifecycle_audit(spark, sf_dir):
-    return exposure.audit(_lifecycle(spark, sf_dir))
+    """Steps between the seven states of orders on the queue track, with settlements, and with a fill behind the end of every 997th order (planted)."""
+    q = view(spark, sf_dir, "quotes")
+    day = F.timestamp_add("DAY", F.expr("cast(substr(ticker, 3) as int) * 20"), F.expr("timestamp_ntz'1997-01-01 00:00:00'"))
+    settles = view(spark, sf_dir, "settles").withColumn("settle_ts", day)
+    filled = fills.tracked(view(spark, sf_dir, "tape"), fills.orders(q, ("queue",), (LATE,), settles))
+    own = q.join(settles.select("ticker", "settle_ts"), "ticker", "left").withColumn("latency_days", F.lit(LATE)).withColumn("ineligible", F.col("queue_ahead").isNull())
+    log = exposure.states(own, filled)
+    fault = q.where("cid % 997 = 5").select("cid", (F.col("place_ts") + F.expr("interval 10000 day")).alias("at"), F.lit(9).alias("rank"), F.lit("Filled").alias("state"))
+    return exposure.audit(log.unionByName(fault))
 
 
 # SQL ----------------------------------------------------------------------------------------------------------------------
@@ -283,8 +294,19 @@ from (select *, sum(d_risk) over w as at_risk, sum(d) over w as open from rk win
     "exposure_total": with_views("tape quotes", _LIFE + "select cast(day as varchar) as day, cast(sum(r) over (order by day) as bigint) as at_risk_cents, cast(sum(o) over (order by day) as bigint) as open_contracts from (select cast(ts as date) as day, sum(d_risk) as r, sum(d) as o from rk group by 1)"),
     "exposure_caps": with_views("tape quotes", _LIFE + """, m as (select cast(ts as date) as day, ticker, sum(d_risk) over (partition by ticker order by ts, step, tape_id, cid) as r from rk), o as (select day, count(distinct ticker) filter (r > 50000) as markets_over from m group by day),
 t as (select day, sum(r) over (order by day) as r from (select cast(ts as date) as day, sum(d_risk) as r from rk group by 1)) select cast(day as varchar) as day, cast(r as bigint) as at_risk_cents, markets_over, r > 1000000 as total_over from t join o using (day)"""),
-    "lifecycle_audit": with_views("tape quotes", _LIFE + """select previous || '>' || event as step, count(*) as n, previous || '>' || event not in ('none>open', 'open>fill', 'fill>fill', 'open>cancel', 'fill>cancel') as illegal
-from (select *, coalesce(lag(event) over (partition by cid order by ts, step, tape_id), 'none') as previous from ev) group by all"""),
+    "lifecycle_audit": with_views("tape quotes settles", f""", z as (select ticker, timestamp '1997-01-01' + to_days(cast(substr(ticker, 3) as int) * 20) as settle_ts from settles),
+o as (select quotes.*, settle_ts, place_ts + interval {LATE} day as active from quotes left join z using (ticker)),
+q2 as (select * replace (case when settle_ts >= active and (cancel_ts is null or settle_ts - interval {LATE} day < cancel_ts) then settle_ts - interval {LATE} day else cancel_ts end as cancel_ts) from o),
+{_met_sql("met", LATE).replace("from quotes q", "from q2 q")}, {_fills_sql("queue")},
+full_ as (select cid, arg_max(ts, tape_id) as tm, sum(qty) as done from f group by cid),
+ev as (select cid, place_ts as tm, 0 as rk, 'PendingNew' as st from o union all select cid, active, 1, 'Open' from o union all select cid, active, 2, 'Expired' from o where queue_ahead is null
+  union all select cid, greatest(cancel_ts, active), 2, 'PendingCancel' from o where cancel_ts is not null union all select cid, cancel_ts + interval {LATE} day, 3, 'Canceled' from o where cancel_ts is not null
+  union all select cid, settle_ts, 4, case when cancel_ts is not null and greatest(cancel_ts, active) <= settle_ts then 'Canceled' else 'Expired' end from o where active <= settle_ts
+  union all select o.cid, full_.tm, 5, 'Filled' from o join full_ using (cid) where done >= count),
+dead as (select *, min(case when st in ('Filled', 'Canceled', 'Expired') then epoch_us(tm)::hugeint * 10 + rk end) over (partition by cid) as stop from ev),
+log as (select cid, tm, rk, st from dead where stop is null or epoch_us(tm)::hugeint * 10 + rk <= stop union all select cid, place_ts + interval 10000 day, 9, 'Filled' from quotes where cid % 997 = 5),
+step as (select coalesce(lag(st) over (partition by cid order by tm, rk), 'Free') as was, st as state from log)
+select was, state, count(*) as n, was || '>' || state not in ('Free>PendingNew', 'PendingNew>Open', 'Open>PendingCancel', 'Open>Filled', 'Open>Expired', 'PendingCancel>Canceled', 'PendingCancel>Filled') as illegal from step group by 1, 2"""),
     "quotes_from_tape": with_views("tape", """, t as (select *, side, case when side = 'ask' then price_cents + 2 else price_cents - 2 end as target from tape, (values ('ask'), ('bid')) s(side)),
 v as (select * from t where case when side = 'ask' then target between 2 and 99 else target between 1 and 98 end),
 c as (select * from (select *, lag(target) over (partition by ticker, side order by tape_id) as was from v) where was is null or was <> target),

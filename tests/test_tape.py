@@ -164,8 +164,41 @@ def test_exposure(spark):
     q, t = quote(spark, cancel=9), tape(spark, [(1, 39, 4, False), (2, 39, 50, False)])
     e = exposure.running(exposure.lifecycle(q, fills.fills(fills.eligible(t, q), "strict"))).orderBy("ts", "step").collect()
     assert [(x.event, x.at_risk_cents) for x in e] == [("open", 400), ("fill", 240), ("fill", 0)]
-    bad = spark.createDataFrame([(1, "KA-1", 40, True, day(0), 0, 0, "fill", 1, 1)], "cid long, ticker string, price_cents int, buy_yes boolean, ts timestamp_ntz, step int, tape_id long, event string, d long, d_risk long")
-    assert exposure.audit(bad).first().illegal
+
+
+STEPS = "cid long, at timestamp_ntz, rank int, state string"
+
+
+def test_seven_states(spark):
+    """Latency of two days: filled, canceled while the fill is pending, canceled before it opened, expired by settlement before and after it opened, ineligible."""
+    orders = [
+        (1, 4, day(0), None, 2, False, None), (2, 9, day(0), day(5), 2, False, None), (3, 9, day(0), day(1), 2, False, None), (4, 9, day(0), None, 2, False, day(6)),
+        (5, 9, day(5), None, 2, False, day(6)), (6, 9, day(0), None, 2, True, None), (7, 9, day(0), day(5), 2, False, day(6)), (8, 4, day(0), day(5), 2, False, None),
+    ]
+    o = spark.createDataFrame(orders, "cid long, count int, place_ts timestamp_ntz, cancel_ts timestamp_ntz, latency_days int, ineligible boolean, settle_ts timestamp_ntz")
+    done = [(1, 3, day(3), 1), (1, 1, day(4), 2), (2, 5, day(3), 1), (8, 4, day(6), 5)]
+    log = exposure.states(o, spark.createDataFrame(done, "cid long, qty long, ts timestamp_ntz, tape_id long"))
+    got = {}
+    for r in log.orderBy("cid", "at", "rank").collect():
+        got.setdefault(r.cid, []).append(((r["at"] - DAY).days, r.state))
+    new = [(0, "PendingNew"), (2, "Open")]
+    assert got == {
+        1: [*new, (4, "Filled")], 2: [*new, (5, "PendingCancel"), (7, "Canceled")], 3: [*new, (2, "PendingCancel"), (3, "Canceled")], 4: [*new, (6, "Expired")],
+        5: [(5, "PendingNew"), (7, "Open")], 6: [*new, (2, "Expired")], 7: [*new, (5, "PendingCancel"), (6, "Canceled")], 8: [*new, (5, "PendingCancel"), (6, "Filled")],
+    }
+    assert not exposure.audit(log).where("illegal").count()
+    bad = [(1, day(9), 0, "Filled"), (5, day(8), 0, "Canceled"), (9, day(0), 0, "Open")]
+    found = exposure.audit(log.union(spark.createDataFrame(bad, STEPS))).where("illegal").select("was", "state", "n").collect()
+    assert sorted(map(tuple, found)) == [("Filled", "Filled", 1), ("Free", "Open", 1), ("Open", "Canceled", 1)]
+
+
+def test_settlement_ends_quotes(spark):
+    """A settlement ends a quote that is active, and leaves one that is not."""
+    t = tape(spark, [(d, 39, 1, False) for d in range(8)])
+    settles = spark.createDataFrame([("KA-1", day(3))], "ticker string, settle_ts timestamp_ntz")
+    for latency, want in ((0, [1, 2, 3]), (2, [3]), (4, [5, 6, 7, 8])):
+        got = fills.tracked(t, fills.orders(quote(spark), ("strict",), (latency,), settles)).collect()
+        assert sorted(r.tape_id for r in got) == want
 
 
 def test_quotes(spark):
