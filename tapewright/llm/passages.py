@@ -236,7 +236,7 @@ class Graph:
         classes = self.found.groupBy("c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("place", "start")).alias("first"), F.first("n").alias("n"), F.first("h").alias("h"))
         classes = kept(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
         shared = classes.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("copies").alias("fewest")).where("members > 1 and fewest = 1")  # else all is known
-        wanted = classes.join(shared.select("h"), "h", "left_semi").select(F.col("first.place").alias("p"), F.struct(F.col("first.start").alias("start"), "n", F.struct("class", F.col("copies").alias("copies")).alias("class")).alias("w"))
+        wanted = classes.join(kept(shared.select("h"), "branching"), "h", "left_semi").select(F.col("first.place").alias("p"), F.struct(F.col("first.start").alias("start"), "n", F.struct("class", F.col("copies").alias("copies")).alias("class")).alias("w"))
         edges = kept(_fetched(self.rows, wanted, _edges(self.shape), "class struct<class: bigint, copies: bigint>, off int, k binary"), "edges", "zstd")
         again = edges.groupBy("k").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
         hit = edges.where("class.copies = 1").join(again.select("k"), "k", "left_semi").select("class.class", "off")
