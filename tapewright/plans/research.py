@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapewright.operators import features, research
 from tapewright.operators.quantiles import quantiles
+from tapewright.plans import book
 from tapewright.plans.portable import oracle, over
 from tapewright.plans.signals import ALIGNED
 from tapewright.plans.views import load, view, with_views
@@ -185,13 +186,15 @@ def one_sided_survival(spark, sf_dir):
 
 
 def atlas(spark, sf_dir):
-    """Strata and rows of each record kind: states, transitions, episodes by length, refill hazards by age."""
+    """Strata and rows of each record kind: states, transitions, episodes by market, refill hazards by age, and messages by market at
+    which the depth of the three best levels is below its baseline."""
     b = view(spark, sf_dir, "l1")
     kinds = {
         "STATE": b.groupBy(research.state(F.col("yes_bid"), F.col("yes_ask")).alias("stratum")).agg(F.count(F.lit(1)).alias("n")),
         "TRANSITION": research.transitions(b).select(F.concat("was", F.lit(">"), "state").alias("stratum"), "n"),
         "EPISODE": _eps(spark, sf_dir).groupBy(F.col("ticker").alias("stratum")).agg(F.count(F.lit(1)).alias("n")),
         "REFILL_HAZARD": refill_hazard(spark, sf_dir).select(F.col("bin").cast("string").alias("stratum"), F.col("at_risk").alias("n")),
+        "RETREAT_TOP3_BASELINE": book.depth_baseline(spark, sf_dir).where("under > 0").select(F.col("ticker").alias("stratum"), F.col("under").alias("n")),
     }
     each = [d.select(F.lit(k).alias("kind"), "n") for k, d in kinds.items()]
     return functools.reduce(DataFrame.unionByName, each).groupBy("kind").agg(F.count(F.lit(1)).alias("strata"), F.sum("n").alias("represented"))
@@ -233,7 +236,8 @@ select 'all_trades' as step, 'none' as base_step, a as n, 0 as excluded from n u
 select cast(cast(ts as date) as varchar) as day, cast(ttl_min as int) as ttl_min, case when d is null then '{research.LAST}' when d > ttl_min::bigint * 60000000 then '{research.STALE}' else '{research.OBSERVED}' end as reason, count(*) as n, cast(sum(case when d is null then 0 else least(d, ttl_min::bigint * 60000000) end) as bigint) as dwell_us from t group by 1, 2, 3"""),
     "atlas": with_views("l1", _HAZ + f""", s0 as (select ticker, ts, event_id, {_STATE} as state from l1), t0 as (select state, lag(state) over (partition by ticker order by ts, event_id) as was from s0),
 u as (select 'STATE' as kind, state as stratum, count(*) as n from s0 group by state union all select 'TRANSITION', concat(was, '>', state), count(*) from t0 where was is not null group by 1, 2
-  union all select 'EPISODE', ticker, count(*) from e group by ticker union all select 'REFILL_HAZARD', cast(bin as varchar), count(*) from h group by bin)
+  union all select 'EPISODE', ticker, count(*) from e group by ticker union all select 'REFILL_HAZARD', cast(bin as varchar), count(*) from h group by bin
+  union all select 'RETREAT_TOP3_BASELINE', ticker, under from ({book.ORACLE_SQL["depth_baseline"]}) where under > 0)
 select kind, count(*) as strata, cast(sum(n) as bigint) as represented from u group by kind"""),
     "one_sided_survival": with_views("l1", f""", i as (select {_STATE} as state, date_diff('microsecond', ts, lead(ts) over (partition by ticker order by ts, event_id)) // 3600000000 as h from l1), o as (select state, coalesce(h, max(h) over (partition by state)) as hours, h is null as open from i where state in ('BID_ONLY', 'ASK_ONLY')),
 r as (select a.state, a.hours, count(*) as at_risk from (select distinct state, hours from o) a join o b on b.state = a.state and b.hours >= a.hours group by 1, 2), e as (select state, hours, count(*) filter (not open) as ended from o group by 1, 2), x as (select * from r join e using (state, hours))
