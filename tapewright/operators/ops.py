@@ -145,6 +145,20 @@ def win_loss(settled: DataFrame, width: int) -> DataFrame:
     return settled.groupBy("ticker", band).agg(F.count_if("yes_wins").alias("wins"), F.count(F.lit(1)).alias("n"), F.sum(_payoff()).alias("pnl_cents"))
 
 
+def win_loss_by_close(settled: DataFrame, days: int) -> DataFrame:
+    """Wins, rows and payoff by the time from a print to its market's last one, in bands of `days` days."""
+    close = settled.groupBy("ticker").agg(F.max("ts").alias("close_ts"))
+    band = F.floor(F.datediff("close_ts", "ts") / days).cast("int").alias("band")
+    x = settled.join(close, "ticker")
+    return x.groupBy(band).agg(F.count_if("yes_wins").alias("wins"), F.count(F.lit(1)).alias("n"), F.round(F.count_if("yes_wins") / F.count(F.lit(1)), 6).alias("rate"), F.sum(_payoff()).alias("pnl_cents"))
+
+
+def positions(tape: DataFrame, settles: DataFrame) -> DataFrame:
+    """By book (family), over its markets without a settlement: how many, contracts held, their cost, and what they would gain at the last price."""
+    held = tape.join(settles, "ticker", "left_anti").groupBy("family", "ticker").agg(F.sum("size").alias("n"), F.sum(F.col("size") * F.col("price_cents")).alias("cost"), F.max_by("price_cents", "tape_id").alias("mark"))
+    return held.groupBy(F.col("family").alias("book")).agg(F.count(F.lit(1)).alias("open_markets"), F.sum("n").alias("contracts"), F.sum("cost").alias("collateral_cents"), F.sum(F.col("n") * F.col("mark") - F.col("cost")).alias("floating_cents"))
+
+
 def books(settled: DataFrame) -> DataFrame:
     """Markets, result, wins and losses of each book, from one row for each of its markets."""
     m = settled.groupBy("family", "ticker").agg(F.sum(_payoff()).alias("pnl"), F.count_if("yes_wins").alias("wins"), F.count_if(~F.col("yes_wins")).alias("losses"))

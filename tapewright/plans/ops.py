@@ -155,6 +155,10 @@ select case when ttl <> 0 and age > ttl then 'expired_ttl' when age > 1800000000
     "recent_requests": oracle("select req_id, method, http_status from {requests} where lower(concat(method, path)) like '%orders%' order by req_id desc limit 200"),
     "retained_per_account": oracle("select account, req_id from (select account, req_id, row_number() over (partition by account order by req_id desc) as k from {requests}) x where k <= 100"),
     "win_loss_bands": oracle("select t.ticker, cast(floor(price_cents / 10.0e0) as int) as band, sum(case when yes_wins then 1 else 0 end) as wins, count(*) as n, cast(sum(size * (case when yes_wins then 100 else 0 end - price_cents)) as bigint) as pnl_cents from {tape} t join {settles} s on t.ticker = s.ticker group by 1, 2"),
+    "win_loss_by_close": oracle("""with s as (select t.*, s.yes_wins, max(t.ts) over (partition by t.ticker) as close_ts from {tape} t join {settles} s on t.ticker = s.ticker)
+select cast(floor(date_diff('day', ts, close_ts) / 180.0e0) as int) as band, count(*) filter (yes_wins) as wins, count(*) as n, round(count(*) filter (yes_wins) / count(*), 6) as rate, cast(sum(size * (case when yes_wins then 100 else 0 end - price_cents)) as bigint) as pnl_cents from s group by 1"""),
+    "strategy_positions": oracle("""with o as (select family, ticker, sum(size) as n, sum(size * price_cents) as cost, arg_max(price_cents, tape_id) as mark from {tape} where ticker not in (select ticker from {settles} where cast(substr(ticker, 3) as int) % 3 <> 0) group by 1, 2)
+select family as book, count(*) as open_markets, cast(sum(n) as bigint) as contracts, cast(sum(cost) as bigint) as collateral_cents, cast(sum(n * mark - cost) as bigint) as floating_cents from o group by 1"""),
     "strategy_books": oracle("select family as book, count(distinct t.ticker) as markets, cast(sum(case when yes_wins then size * (100 - price_cents) else -size * price_cents end) as bigint) as realized_cents, sum(case when yes_wins then 1 else 0 end) as wins, sum(case when yes_wins then 0 else 1 end) as losses from {tape} t join {settles} s on t.ticker = s.ticker group by family"),
     "daily_edge": oracle("with p as (select cast(cast(ts as date) as varchar(10)) as day, size * (case when yes_wins then 100 else 0 end - price_cents) as pnl from {tape} t join {settles} s on t.ticker = s.ticker) select day, cast(sum(case when pnl between 0 and 500 then pnl else 0 end) as bigint) as freq_edge, cast(sum(case when pnl < -500 then pnl else 0 end) as bigint) as mag_edge, cast(sum(pnl) as bigint) as net from p group by day"),
     "set_differences": oracle("with a as (select distinct ticker from {tape}), b as (select ticker from {dim_market}) select 'missing' as side, count(*) as n from (select ticker from a except select ticker from b) x union all select 'extra', count(*) from (select ticker from b except select ticker from a) y"),
@@ -183,6 +187,8 @@ _Q = {
     "stale_orders": over(ops.gates_and_modes, "requests", ttl={"POST": 7200, "DELETE": 3600}, most_s=18000, modes=("data_collect", "shadow", "live")),
     "recent_requests": over(ops.recent, "requests", word="orders", most=200),
     "retained_per_account": over(ops.retained, "requests", most=100),
+    "win_loss_by_close": lambda spark, sf_dir: ops.win_loss_by_close(_settled(spark, sf_dir), 180),
+    "strategy_positions": lambda spark, sf_dir: ops.positions(view(spark, sf_dir, "tape"), view(spark, sf_dir, "settles").where("cast(substr(ticker, 3) as int) % 3 <> 0")),  # every third is still open
     "win_loss_bands": lambda spark, sf_dir: ops.win_loss(_settled(spark, sf_dir), 10),
     "strategy_books": lambda spark, sf_dir: ops.books(_settled(spark, sf_dir)),
     "daily_edge": lambda spark, sf_dir: ops.daily_edge(_settled(spark, sf_dir), 500),
