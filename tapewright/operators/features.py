@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.operators.slices import over
+from tapewright.operators.slices import looked, over, sliced
 
 QUOTE_ORDER = ("ts", "event_id")
 TRADE_ORDER = ("ts", "trade_id")
@@ -207,6 +207,20 @@ def rfq_census(requests: DataFrame, small: int, medium: int) -> DataFrame:
     return r.withColumn("bucket", F.when(n < small, "small").when(n < medium, "medium").otherwise("large"))
 
 
+def lifetimes(requests: DataFrame, slices: int | None = None) -> DataFrame:
+    """When each creation ends, first in, first out: account, req_id, ts, end_ts (null while open). requests: account, req_id, ts, d (1 or -1).
+
+    A deletion is void if it takes the account's balance below all before and below 0: nothing was open. The k-th of the others
+    ends the k-th creation, as what is open is never negative, so running counts pair them."""
+    by = ("ts", "req_id")
+    x = looked(sliced(requests, by, slices), ("account",), by, sums={"balance": F.col("d"), "born": F.when(F.col("d") > 0, 1)})
+    x = looked(x, ("account",), by, lows={"low": F.col("balance")})
+    real = (F.col("d") < 0) & (F.col("balance") >= F.least(F.lit(0), F.coalesce("low", F.lit(0))))
+    x = looked(x.withColumn("ends", real.cast("int")), ("account",), by, sums={"ended": F.col("ends")})
+    ends = x.where("ends = 1").select("account", F.col("ended").alias("born"), F.col("ts").alias("end_ts"))
+    return x.where("d > 0").select("account", "req_id", "ts", "born").join(ends, ["account", "born"], "left").drop("born")
+
+
 def readiness(quotes: DataFrame, least_days: int, share: float) -> DataFrame:
     both = F.count_if(F.col("yes_bid").isNotNull() & F.col("yes_ask").isNotNull())
     a = quotes.groupBy("ticker").agg(_n(), F.countDistinct(F.to_date("ts")).alias("days"), both.alias("two_sided"))

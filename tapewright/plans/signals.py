@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tapewright.operators import features, fills, policies, sequence, signals
+from tapewright.operators import features, fills, policies, research, sequence, signals
 from tapewright.plans.book import LEVELS, TOPS
 from tapewright.plans.portable import oracle, over
 from tapewright.plans.views import view, with_views
@@ -42,6 +42,13 @@ _SQL = {
 from f where legs > 1 and quoted = legs group by 1, 2"""),
     "sg_monotonicity": oracle("with a as (select m.event_ticker, t.ticker, cast(substr(t.ticker, 3) as int) as strike, avg(cast(price_cents as double)) as p from {trades} t join {dim_market} m on m.ticker = t.ticker where m.event_ticker is not null group by 1, 2, 3), b as (select *, lag(p) over (partition by event_ticker order by strike) as below from a) select event_ticker, count(*) as legs, sum(case when p > below then 1 else 0 end) as breaches from b group by event_ticker"),
     "sg_calibration": oracle("select cast(floor(price_cents / 10.0e0) as int) as band, count(*) as n, round(avg(case when yes_wins then 1.0e0 else 0.0e0 end), 6) as win_rate, round(avg((price_cents / 100.0e0 - case when yes_wins then 1.0e0 else 0.0e0 end) * (price_cents / 100.0e0 - case when yes_wins then 1.0e0 else 0.0e0 end)), 6) as brier from {tape} t join {settles} s on t.ticker = s.ticker group by 1"),
+    "sg_rfq_survival": oracle("""with o as (select req_id, account, ts, case method when 'POST' then 1 else -1 end as d from {requests} where method in ('POST', 'DELETE')),
+b as (select *, sum(d) over w as balance, count(*) filter (d > 0) over w as born from o window w as (partition by account order by ts, req_id rows between unbounded preceding and current row)),
+m as (select *, min(balance) over (partition by account order by ts, req_id rows between unbounded preceding and 1 preceding) as low from b),
+e as (select *, row_number() over (partition by account order by ts, req_id) as k from m where d < 0 and balance >= least(0, coalesce(low, 0))),
+l as (select case when b.account % 2 = 0 then 'even' else 'odd' end as side, date_diff('microsecond', b.ts, coalesce(e.ts, (select max(ts) from o))) // 43200000000 as half_days, e.ts is null as open from b left join e on e.account = b.account and e.k = b.born where b.d > 0),
+n as (select side, half_days, count(*) filter (not open) as ended, count(*) as n from l group by 1, 2), r as (select *, sum(n) over (partition by side order by half_days desc) as at_risk from n)
+select side, half_days, cast(at_risk as bigint) as at_risk, ended, round(case when max(case when ended >= at_risk then 1 else 0 end) over w = 1 then 0.0 else exp(sum(case when ended < at_risk then ln(1 - ended / at_risk) end) over w) end, 6) as lasting from r window w as (partition by side order by half_days)"""),
     "sg_rfq_census": oracle("select account, count(*) as rfqs, case when count(*) < 60 then 'small' when count(*) < 75 then 'medium' else 'large' end as bucket, min(req_id) as first_id from {requests} where method = 'POST' group by account"),
     "sg_readiness": oracle("with a as (select ticker, count(*) as n_rows, count(distinct cast(ts as date)) as days, sum(case when yes_bid is not null and yes_ask is not null then 1 else 0 end) as two_sided from {l1} group by ticker) select ticker, days >= 10 and two_sided * 10 >= n_rows * 8 as ready, days, two_sided from a"),
     "sg_composite_rank": oracle("with a as (select ticker, count(*) as n, cast(sum(size) as bigint) as v from {trades} group by ticker) select ticker, round(percent_rank() over (order by n) * 0.5e0 + percent_rank() over (order by v) * 0.5e0, 6) as score from a"),
@@ -54,6 +61,17 @@ from f where legs > 1 and quoted = legs group by 1, 2"""),
 
 
 # Jumps and moves are of twice the mid, in cents.
+
+def _survival(spark, sf_dir):
+    """How long requests stay open, in half days, by account parity: a deletion ends the oldest open one, the log's end censors the rest."""
+    r = view(spark, sf_dir, "requests").where("method in ('POST', 'DELETE')").select("req_id", "account", "ts", F.when(F.col("method") == "POST", 1).otherwise(-1).alias("d"))
+    end = r.agg(F.max("ts").alias("last"))
+    x = features.lifetimes(r).crossJoin(F.broadcast(end))  # one row
+    us = F.timestamp_diff("MICROSECOND", "ts", F.coalesce("end_ts", "last"))
+    x = x.select(F.when(F.col("account") % 2 == 0, "even").otherwise("odd").alias("side"), F.floor(us / 43_200_000_000).alias("half_days"), F.col("end_ts").isNull().alias("open"))
+    return research.kaplan_meier(x, "side", "half_days", "open")
+
+
 _Q = {
     "sg_spread_net": over(features.spread_net, "l1", buffer=2),
     "sg_flow_toxicity": over(features.flow_toxicity, "trades", length=10),
@@ -73,6 +91,7 @@ _Q = {
     "sg_overround": over(features.overround, "l1", "dim_market"),
     "sg_monotonicity": over(features.monotonicity, "trades", "dim_market", strike="cast(substr(ticker, 3) as int)"),
     "sg_calibration": lambda spark, sf_dir: features.calibration(_settled(spark, sf_dir), 10),
+    "sg_rfq_survival": _survival,
     "sg_rfq_census": over(features.rfq_census, "requests", small=60, medium=75),
     "sg_readiness": over(features.readiness, "l1", least_days=10, share=0.8),
     "sg_composite_rank": over(features.composite_rank, "trades"),

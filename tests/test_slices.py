@@ -26,8 +26,8 @@ def test_like_windows(spark, n):
     by = ("ts", "event_id")
     w = Window.partitionBy("ticker").orderBy(*by)
     past, ahead, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, 0)
-    want = df.select("*", F.last("yes_bid", True).over(past).alias("was"), F.lag("ts").over(w).alias("ts0"), F.first("yes_ask", True).over(ahead).alias("next"), F.lead("event_id").over(w).alias("id1"), F.coalesce(F.sum("yes_bid").over(upto), F.lit(0)).alias("total"))
-    got = slices.over(df, ("ticker",), by, n, before={"was": F.col("yes_bid"), "ts0": F.col("ts")}, after={"next": F.col("yes_ask"), "id1": F.col("event_id")}, sums={"total": F.col("yes_bid")})
+    want = df.select("*", F.last("yes_bid", True).over(past).alias("was"), F.lag("ts").over(w).alias("ts0"), F.first("yes_ask", True).over(ahead).alias("next"), F.lead("event_id").over(w).alias("id1"), F.coalesce(F.sum("yes_bid").over(upto), F.lit(0)).alias("total"), F.min("yes_ask").over(past).alias("low"))
+    got = slices.over(df, ("ticker",), by, n, before={"was": F.col("yes_bid"), "ts0": F.col("ts")}, after={"next": F.col("yes_ask"), "id1": F.col("event_id")}, sums={"total": F.col("yes_bid")}, lows={"low": F.col("yes_ask")})
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     assert slices.over(df.limit(0), ("ticker",), by, n, before={"was": F.col("yes_bid")}).count() == 0
@@ -96,3 +96,21 @@ def test_legs_at_aligned_times(spark):
     assert [(r.n > 0, r.state) for r in features.funnel(frame, legs).collect()] == [(True, "EXECUTED"), (False, "NOT_ESTIMABLE"), (False, "NOT_ESTIMABLE")]
     steps = [(r.n, r.state) for r in features.funnel(frame, legs, payouts, trades).collect()]
     assert steps == [(2, "EXECUTED"), (1, "EXECUTED"), (1, "EXECUTED")]
+
+
+def test_first_in_first_out(spark):
+    """Deletions end the oldest open creation of their account; those without one are void; what is open at the end is censored."""
+    rng = random.Random(3)
+    log = [(i, rng.choice((1, 1, 1, 2, 3)), T0 + dt.timedelta(minutes=i // 2), rng.choice(("create", "delete", "delete", "other"))) for i in range(500)]
+    queues, want = {}, {}
+    for i, account, ts, what in log:
+        q = queues.setdefault(account, [])
+        if what == "create":
+            q.append(i)
+            want[i] = None
+        elif what == "delete" and q:
+            want[q.pop(0)] = ts
+    rows = spark.createDataFrame(log, "req_id long, account long, ts timestamp_ntz, what string").selectExpr("*", "case what when 'create' then 1 when 'delete' then -1 end as d")
+    for n in (1, 9):
+        got = features.lifetimes(rows.where("d is not null"), n).collect()
+        assert {r.req_id: r.end_ts for r in got} == want
