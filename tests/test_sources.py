@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -75,3 +76,15 @@ def test_small_files(spark, tmp_path):
     assert (x.tier, x.read_refill, x.write_refill, x.from_server) == ("basic", 200, 100, False)
     (tmp_path / "o").write_text('{"type":"order","ts_ms":2,"extra":[1]}\n{bad\n{"type":"feed","ts_ms":5}\n')
     assert [r.type for r in files.last_lines(spark, str(tmp_path / "o"), 1).collect()] == ["feed"]
+
+
+def test_pages_share_files(spark, tmp_path):
+    """Pages that a query saves are lines of as many files as tasks wrote them, not a file each."""
+    from tapewright.plans import files as plans
+    from tapewright.sources import scratch
+
+    spark.range(90).selectExpr("id as s_suppkey", "cast(id % 25 as int) as s_nationkey").coalesce(2).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = plans.file_limits(spark, str(tmp_path))
+    path = next(p for p in reversed(scratch._placed) if "/limits-" in p).removeprefix("file://")
+    assert len(list(Path(path.removeprefix("file:")).glob("part-*"))) <= 2
+    assert sum(r.n for r in got.collect()) == 90 and {r.n for r in got.where("not from_server").collect()} == {30}
