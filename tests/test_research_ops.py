@@ -188,3 +188,59 @@ def test_heartbeats_and_trades(spark):
     assert [(r.health, (r.at_us - seen[0].at_us) // 3_600_000_000) for r in seen] == [("ok", 0), ("lagging", 3), ("ok", 5), ("lagging", 7), ("stale", 11), ("ok", 20), ("lagging", 22), ("stale", 26)]
     tr = spark.createDataFrame([(1, hour(0), "A"), (1, hour(0), "A"), (2, hour(1), "A")], "trade_id long, ts timestamp, ticker string")
     assert streams.drained(streams.deduped(streams.source(tr, "t"), "1 day"), "append", "t").count() == 2
+
+
+def test_rows_ahead_of_their_turn_wait_in_blocks():
+    """Rows that come before their turn cost state one access for a block, and come out in order whatever batches they come in."""
+
+    class Values:
+        def __init__(self):
+            self.kept, self.calls = {}, 0
+
+        def get(self):
+            return self.kept.get(0)
+
+        def update(self, v):
+            self.kept[0] = v
+
+        def updateValue(self, k, v):
+            self.calls += 1
+            self.kept[k] = v
+
+        def getValue(self, k):
+            self.calls += 1
+            return self.kept[k]
+
+        def containsKey(self, k):
+            return k in self.kept
+
+        def removeKey(self, k):
+            del self.kept[k]
+
+    class Handle:
+        def __init__(self):
+            self.made = {}
+
+        def getMapState(self, name, *_):
+            return self.made.setdefault(name, Values())
+
+        getValueState = getMapState
+
+        def registerTimer(self, at):
+            pass
+
+    n = 40_000
+    rows = [(i, i, i, i) for i in range(1, n + 1)]
+    for batches in ([rows[n // 2 :], rows[: n // 2]], [rows[1::2], rows[::2]], [rows[k::7] for k in range(6, -1, -1)], [rows[9:], rows[5:9], rows[:5] + rows[2:4]]):
+        p, handle, out = streams._Sequence(), Handle(), []
+        p.bound_us = 10**9
+        p.init(handle)
+        for batch in batches:
+            out += p._advanced((1, 0), sorted(batch, key=lambda r: r[0]), 0)
+        ok = [o for o in out if o[2] != "Late"]
+        assert [o[0] for o in ok] == list(range(1, n + 1)) and {o[2] for o in ok[1:]} == {"Ok"}
+        assert len(out) - n == (2 if len(batches) == 3 else 0) and not handle.made["waiting"].kept
+        assert handle.made["waiting"].calls < 100
+    p.init(handle := Handle())
+    assert p._advanced((1, 0), [(5, 5, 5, 5)], 0) == [] and p._advanced((1, 0), [(9, 9, 9, 9)], 0) == []
+    assert [o[2] for o in p._advanced((1, 0), [], 10**10)] == ["First", "Gap"]  # given up: both come out
