@@ -91,3 +91,12 @@ def test_trees_add_spans_precisely(spark):
     assert hits >= 0.99 * sum(bool(f) for f in found.values())
     assert sum(found[d] == w for d, w in want.items() if w) >= 0.95 * sum(bool(w) for w in want.values())
     assert sum(r.n_added for r in got) == sum(r.n_spans for r in got) - sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in got) > 0
+
+
+def test_fitted_on_all_labelled_proposals(spark, monkeypatch):
+    """More labelled proposals than any sample held before: all of them reach the fit."""
+    seen = []
+    monkeypatch.setattr(pii, "fitted", lambda labelled: seen.append(labelled.count()))
+    docs = spark.range(210).selectExpr("id as doc_id", "array_join(transform(sequence(1, 100), i -> concat('10.0.', i, '.', id)), ' x ') as text")
+    assert pii.spans(docs).agg({"n_ip": "sum"}).first()[0] == 21000
+    assert len(seen) == 1 and seen[0] >= 21000  # and numbers inside the addresses that look like phones
