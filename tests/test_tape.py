@@ -4,8 +4,10 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tapewright.operators import exposure, fills, quotes
+from tapewright.operators.order import numbered
 
 DAY = dt.datetime(2020, 1, 1)
 TAPE = "ticker string, tape_id long, price_cents int, size int, taker_yes boolean, ts timestamp_ntz"
@@ -207,3 +209,22 @@ def test_quotes(spark):
     assert got == [("ask", 1, 52, 4), ("ask", 4, 53, None), ("bid", 1, 48, 3), ("bid", 3, 97, 4), ("bid", 4, 49, None)]
     capped = quotes.with_cap(t.select("ticker", "tape_id", "price_cents", "size", "taker_yes"), 2, 10, 1).first()
     assert capped.placed > 0 and capped.sold >= 1
+
+
+def test_an_order_and_its_block_are_one_row(spark):
+    """200 orders and 64 prints that all cross: what is shuffled and written is a row for each order, not one for each pair."""
+    q = spark.createDataFrame([(i, "KA-1", 60, 1 + i % 90, True, day(0), 0, None) for i in range(200)], QUOTES)
+    prints = fills.numbered_sides(tape(spark, [(1 + k % 5, 40, 1, False) for k in range(64)]))
+    open_ = fills.orders(q, ("strict",)).selectExpr(*fills.ORDER, "ticker", "not buy_yes as taker_yes", "price_cents", "buy_yes", "60 as level", "59 as p", "cast(count as bigint) as left", "0L as ahead", "place_ts as from_ts", "timestamp_ntz'2100-01-01 00:00:00' as until_ts")
+    o = fills.living(prints, open_).withColumn("block", F.floor(F.col("lo") / fills.BLOCK)).withColumn("last", F.col("block"))
+    got = fills.walked(o, fills.rows_of_blocks(prints)).collect()
+    assert len(got) == 200
+    for r in got:
+        assert len(r.taken) == min(64, 1 + r.cid % 90) and r.left == max(0, 1 + r.cid % 90 - 64)
+
+
+def test_the_order_of_the_tape_is_not_written(spark, tmp_path):
+    """Columns that only order the tape are dropped before rows are written."""
+    df = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "n int, s string")
+    got = numbered(df, "tape_id", "n", then=lambda rows: rows.select(F.upper("s").alias("t"), "_at"))
+    assert got.columns == ["t", "tape_id"] and sorted(map(tuple, got.collect())) == [("A", 1), ("B", 2), ("C", 3)]
