@@ -103,3 +103,24 @@ def test_a_text_of_megabytes_in_parts(libraries):
     n_a, n_b, n_groups, _, _, pairs = aligner.of(text, False)
     assert (n_a, n_b) == (len(libraries[0].encode(" " + text, add_special_tokens=False).ids), len(libraries[1].encode(text)))
     assert len(pairs) == n_a + n_b - n_groups and len(text) > 2 * bpe.LONG
+
+
+def test_runs_take_no_memory_or_step_of_their_own():
+    """Between irregular groups tokens are written out in one go: ids of a run are never looked at one by one."""
+
+    class Once(list):
+        n = 0
+
+        def __getitem__(self, k):
+            Once.n += 1
+            return super().__getitem__(k)
+
+    n = 1 << 14
+    names = [str(k) for k in range(10)]
+    ids = Once([3] * n + [4, 5]), Once([6] * n + [7])
+    groups = alignment.Groups(text=True)
+    a, b = groups.add(([*range(1, n + 3)], [*range(1, n + 1), n + 2]), ids, (names, names))
+    assert Once.n == 0 and groups.n == n + 1 and "".join(groups.text) == "3|6;" * n + "4,5|7"
+    assert Counter(zip(a.tolist(), b.tolist(), strict=True)) == {(3, 6): n, (4, 7): 1, (5, 7): 1}
+    groups.add(([1], [1]), ([1], [2]), (names, names))
+    assert "".join(groups.text).endswith("4,5|7;1|2") and groups.digest.hexdigest() == hashlib.sha256("".join(groups.text).encode()).hexdigest()
