@@ -1,10 +1,14 @@
 import random
 import re
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from tapewright.llm import jaccard
+from tapewright.llm import common, jaccard
+from tapewright.sources import scratch
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -114,3 +118,38 @@ def test_each_pair_once(spark):
     rows = [(1, 2, 0), (2, 1, 0), (2, 1, 1), (3, 4, 0), (5, 4, 0), (6, 7, 1), (7, 6, 1)]
     got = sorted(map(tuple, jaccard._once(spark.createDataFrame(rows, "a long, b long, wide int")).collect()))
     assert got == [(2, 1, 1), (3, 4, 0), (5, 4, 0), (6, 7, 3)]
+
+
+def test_prefixes_of_unrelated_texts_share_nothing(spark, monkeypatch):
+    """A sketch of shingles that is as full as at many GB: texts of common words that each hold some words of their own."""
+    monkeypatch.setattr(jaccard, "COUNTERS", 1 << 13)
+    rng = random.Random(4)
+    common_words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(20)]
+    docs = [(i, " ".join(f"w{i}x{j}" if j % 12 == 5 else rng.choice(common_words) for j in range(60))) for i in range(800)]
+    join = jaccard.Join(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90)
+    met = join.signed.select("class", F.explode("prefix").alias("h")).groupBy("h").count().where("count > 1")
+    assert met.count() == 0
+    assert join.roots().count() == 0
+
+
+def test_tables_that_nothing_reads_again_are_deleted(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "_placed", [])
+    docs = common.kept(spark.createDataFrame(rows(1), "doc_id long, text string"), "docs")
+    got = jaccard.near_groups(docs, 3, 90)
+    there = sorted(Path(p).name.rsplit("-", 1)[0] for p in scratch._placed if Path(p.removeprefix("file://")).exists())
+    assert len(there) == len(scratch._placed) <= 16
+    assert not {"prefixes", "buckets", "shared", "candidates", "pairs", "stars", "open_members", "signs", "differences", "links"} & set(there)
+    assert got.count() == docs.count()
+
+
+def test_what_a_write_shuffled_is_deleted(spark):
+    files = lambda: sum(x.getName().startswith("shuffle_") for x in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before, df = files(), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert common.kept_alone(df, "x").count() == 7
+    until = time.time() + 10
+    while files() > before + 10 and time.time() < until:
+        time.sleep(0.2)
+    first = files()
+    common.kept(df, "x")
+    assert first < files()
+    assert spark.conf.get(common.CLEAN_UP, None) is None
