@@ -153,3 +153,23 @@ def test_what_a_write_shuffled_is_deleted(spark):
     common.kept(df, "x")
     assert first < files()
     assert spark.conf.get(common.CLEAN_UP, None) is None
+
+
+def test_shingles_of_one_class_are_not_grouped(spark, monkeypatch):
+    """What one class alone has is filtered out before rows of prefixes are shuffled."""
+    seen = {}
+    write = jaccard.kept_alone
+    monkeypatch.setattr(jaccard, "possibly", lambda df, held, key, f=jaccard.possibly: seen.setdefault(len(seen), f(df, held, key)))
+    monkeypatch.setattr(jaccard, "kept_alone", lambda df, name, *a: seen.__setitem__("met", (df.count(), seen[0].count())) or write(df, name, *a) if name == "buckets" else write(df, name, *a))
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(60)] + [(100 + i, " ".join(f"v{j}" for j in range(50)) + f" u{i}") for i in range(3)]
+    got = jaccard.near_groups(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90).collect()
+    assert sorted(r.component_id for r in got if r.doc_id >= 100) == [100] * 3
+    assert 0 < seen["met"][0] <= seen["met"][1] < 40  # of 60 * 6 rows of texts that share nothing
+
+
+def test_the_stage_of_the_pipeline_leaves_no_tables_behind(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "_placed", [])
+    docs = common.kept(spark.createDataFrame(rows(1), "doc_id long, text string"), "docs")
+    assert jaccard.deduplicated(docs, 3, 90).count() < docs.count()
+    there = {Path(p).name.rsplit("-", 1)[0] for p in scratch._placed}
+    assert not {"sets", "classes", "class_components"} & there
